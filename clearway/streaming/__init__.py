@@ -1,0 +1 @@
+"""No operators: scenes are complete, bounded sequences, so every operator here is a batch one."""
