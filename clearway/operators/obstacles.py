@@ -43,7 +43,8 @@ def ego_obstacles(voxels: DataFrame, frames: DataFrame, *, policy: str = POLICY_
 def pillars(voxels: DataFrame, frames: DataFrame) -> DataFrame:
     """Top-down map: per (scene, t, i, j), whether the ego height band holds an occupied / unknown voxel.
 
-    Every planar metric gives the same answer on pillars as on voxels; see :func:`pillar_voxels`.
+    ``voxels`` must be unique per cell for ``unknown`` to be right. Every planar metric gives the same
+    answer on pillars as on voxels; see :func:`pillar_voxels`.
     """
     return obstacle_centers(voxels, frames).groupBy(*FRAME_KEY, "i", "j").agg(
         F.max(F.col("state") == OCCUPIED).alias("occupied"),

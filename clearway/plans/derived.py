@@ -93,7 +93,7 @@ class SceneTables:
             (F.lit(ORIGIN[0]) + F.col("i0") * VOXEL_SIZE).alias("cx"),
             (F.lit(ORIGIN[1]) + (F.col("dj") + 12) * VOXEL_SIZE).alias("cy"), (F.col("k") * VOXEL_SIZE).alias("cz"),
             F.lit(4.5).alias("sx"), F.lit(2.0).alias("sy"), F.lit(1.8).alias("sz"), zero.alias("yaw"), label.alias("label"),
-            zero.alias("vx"), zero.alias("vy"),
+            zero.alias("vx"), zero.alias("vy"), zero.alias("ex"), zero.alias("ey"),
         )
 
     @cached_property

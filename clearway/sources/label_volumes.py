@@ -56,8 +56,6 @@ def read_label_volumes(spark: SparkSession, frames: DataFrame, root: str, *, mas
 
     ``attrs`` names frame columns to store on each voxel row, which saves the metrics a join later.
     """
-    # Volumes are large: keep Arrow batches short.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(root)
     base = root.rstrip("/") + "/"
     files = files.select(F.substring_index("path", base, -1).alias("gt_path"), "content")
