@@ -88,31 +88,30 @@ def under(policy: str, condition: Column) -> Column:
     return condition & F.col("solid") if policy == POLICY_FREE else condition
 
 
-def station_columns() -> tuple[Column, Column]:
-    """First and last station whose slice (half a voxel to both sides) holds the obstacle.
+def by_station(obstacles: DataFrame, *, keep_all: bool) -> DataFrame:
+    """One row per (obstacle, station); ``keep_all`` keeps obstacles of no station under a NULL one.
 
-    A slice is one voxel thick, so an obstacle touches at most two stations, next to the nearest one.
-    Membership is the exact double comparison |fwd - k * voxel| <= voxel / 2.
+    The slice of a station reaches half a voxel to both sides, so an obstacle can only touch the stations
+    just below and just above it. Membership is the exact double comparison |fwd - k * voxel| <= voxel / 2.
+    Obstacles of no station are dropped by exploding NULL: a filter would be pushed down and repeat the
+    whole geometry inside itself.
     """
-    base = F.floor(F.col("fwd") / F.col("voxel_size")).cast("int")
-    hits = []
-    for step in (-1, 0, 1, 2):
-        k = base + F.lit(step)
-        near = F.abs(F.col("fwd") - k * F.col("voxel_size")) <= F.col("voxel_size") / 2.0
-        hits.append(F.when((k >= 0) & near, k))
-    return F.coalesce(*hits), F.coalesce(*reversed(hits))
-
-
-def by_station(obstacles: DataFrame, *, keep_all: bool) -> DataFrame:
-    """One row per (obstacle, station); ``keep_all`` keeps obstacles of no station under a NULL one."""
-    first, last = station_columns()
-    rows = obstacles.withColumn("_first", first).withColumn("_last", last)
-    if not keep_all:
-        rows = rows.where(F.col("_first").isNotNull())
-    one = F.array(F.col("_first"))
-    both = F.array(F.col("_first"), F.col("_last"))
-    stations = F.when(F.col("_first").eqNullSafe(F.col("_last")), one).otherwise(both)
-    return rows.withColumn("station", F.explode(stations)).drop("_first", "_last")
+    below = F.floor(F.col("fwd") / F.col("voxel_size")).cast("int")
+    rows = obstacles.withColumn("_below", below)
+
+    def touches(k: Column) -> Column:
+        return (k >= 0) & (F.abs(F.col("fwd") - k * F.col("voxel_size")) <= F.col("voxel_size") / 2.0)
+
+    k = F.col("_below")
+    rows = rows.withColumn("_at", touches(k)).withColumn("_next", touches(k + 1))
+    stations = (
+        F.when(F.col("_at") & F.col("_next"), F.array(k, k + 1))
+        .when(F.col("_at"), F.array(k))
+        .when(F.col("_next"), F.array(k + 1))
+    )
+    if keep_all:
+        stations = stations.otherwise(F.array(F.lit(None).cast("int")))
+    return rows.withColumn("station", F.explode(stations)).drop("_below", "_at", "_next")
 
 
 def in_reach(horizon: float) -> Column:

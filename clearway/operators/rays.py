@@ -2,64 +2,71 @@
 
 A ray runs from the centre of its source cell to the centre of its target cell and steps one axis at a
 time across the boundary it reaches first (ties: x, then y, then z). Boundary times are accumulated by
-repeated addition, because the rounding of that sum decides exact ties.
+repeated addition, because the rounding of that sum decides exact ties; no closed form gives the same
+cells. Stepping all rays of an Arrow batch together is several hundred times faster than a fold over a
+struct in the JVM, so this is the one operator besides the volume decoder that leaves it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from clearway.functions.occupancy import OCCUPIED, UNKNOWN
 from clearway.operators.obstacles import unique_cells
 from clearway.schemas import CELL_KEY
 
-AXES = "xyz"
-
-
-def axis_steps() -> Column:
-    """The axis crossed at each step, as a string over x, y, z, without the last step into the target.
-
-    Needs the ray columns si..dk. Only three times and a short string are carried from step to step.
-    """
-    spans = [F.abs(F.col(d) - F.col(s)) for s, d in (("si", "di"), ("sj", "dj"), ("sk", "dk"))]
-
-    def every(numerator: float, span: Column) -> Column:
-        return F.when(span > 0, F.lit(numerator) / span).otherwise(F.lit(float("inf")))
-
-    deltas = [every(1.0, s) for s in spans]
-    start = F.struct(*[every(0.5, s).alias(a) for a, s in zip(AXES, spans)], F.lit("").alias("path"))
-
-    def step(state: Column, _: Column) -> Column:
-        x, y, z = (state[a] for a in AXES)
-        take_x = (x <= y) & (x <= z)
-        take_y = ~take_x & (y <= z)
-        take_z = ~take_x & ~take_y
-        moved = [
-            F.when(take, t + d).otherwise(t).alias(a)
-            for a, take, t, d in zip(AXES, (take_x, take_y, take_z), (x, y, z), deltas)
-        ]
-        axis = F.when(take_x, "x").when(take_y, "y").otherwise("z")
-        return F.struct(*moved, F.concat(state["path"], axis).alias("path"))
-
-    inner = spans[0] + spans[1] + spans[2] - 1
-    walk = F.aggregate(F.sequence(F.lit(1), inner), start, step, lambda s: s["path"])
-    return F.when(inner > 0, walk).otherwise(F.lit(""))
+# Rays stepped together; bounds the memory of one output batch.
+RAYS_PER_STEP = 4096
+
+
+def _cells_between(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ray number, position (from 1) and cell of every cell strictly between, for (n, 3) end points."""
+    span = np.abs(target - source)
+    inner = span.sum(axis=1) - 1
+    order = np.argsort(-inner, kind="stable")
+    cell, sign, span, inner = source[order].copy(), np.sign(target - source)[order], span[order], inner[order]
+    with np.errstate(divide="ignore"):
+        every = np.where(span > 0, 1.0 / span, np.inf)
+        crossing = np.where(span > 0, 0.5 / span, np.inf)
+    who, where, cells = [], [], []
+    for pos in range(1, int(inner.max(initial=0)) + 1):
+        # Rays are sorted by length, so the ones still on their way come first.
+        n = int(np.searchsorted(-inner, -pos, side="right"))
+        axis = crossing[:n].argmin(axis=1)
+        ray = np.arange(n)
+        cell[ray, axis] += sign[ray, axis]
+        crossing[ray, axis] += every[ray, axis]
+        who.append(order[:n])
+        where.append(np.full(n, pos, dtype=np.int32))
+        cells.append(cell[:n].astype(np.int32))
+    if not who:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty((0, 3), np.int32)
+    return np.concatenate(who), np.concatenate(where), np.concatenate(cells)
+
+
+def _step_rays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, RAYS_PER_STEP):
+            part = batch.slice(start, RAYS_PER_STEP)
+            ends = [np.stack([part[c].to_numpy() for c in cols], axis=1).astype(np.int64)
+                    for cols in (("si", "sj", "sk"), ("di", "dj", "dk"))]
+            who, pos, cells = _cells_between(*ends)
+            keys = [part[c].take(pa.array(who)) for c in ("ray_id", "scene", "t")]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, pa.array(pos), *[pa.array(cells[:, a]) for a in range(3)]],
+                names=["ray_id", "scene", "t", "pos", "i", "j", "k"],
+            )
 
 
 def ray_cells(rays: DataFrame) -> DataFrame:
     """The cells strictly between source and target, in order (``pos`` from 1), one row each."""
-    rows = rays.withColumn("_path", axis_steps()).where(F.length("_path") > 0)
-    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("_path"))))
-    walked = F.substring(F.col("_path"), F.lit(1), F.col("pos"))
-
-    def along(source: str, target: str, axis: str) -> Column:
-        taken = F.col("pos") - F.length(F.replace(walked, F.lit(axis), F.lit("")))
-        return (F.col(source) + F.signum(F.col(target) - F.col(source)).cast("int") * taken).cast("int")
-
-    return rows.select(
-        "ray_id", "scene", "t", "pos",
-        along("si", "di", "x").alias("i"), along("sj", "dj", "y").alias("j"), along("sk", "dk", "z").alias("k"),
-    )
+    types = dict(rays.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ("ray_id", "scene", "t")) + ", pos INT, i INT, j INT, k INT"
+    return rays.select("ray_id", "scene", "t", "si", "sj", "sk", "di", "dj", "dk").mapInArrow(_step_rays, schema)
 
 
 def ray_hits(rays: DataFrame, voxels: DataFrame, *, deduplicate: bool = True) -> DataFrame:

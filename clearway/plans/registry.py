@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clearway.functions import geometry as geo
 from clearway.functions.numbers import finite_or_null
-from clearway.functions.occupancy import METRIC_POLICIES, OCCUPIED, POLICY_FREE, POLICY_OCCUPIED, class_state, masked_class_state
+from clearway.functions.occupancy import FREE, METRIC_POLICIES, OCCUPIED, POLICY_FREE, POLICY_OCCUPIED, class_state, masked_class_state
 from clearway.operators import evaluation as ev
 from clearway.operators import frame_metrics as fm
 from clearway.operators import inspection, linking, obstacles, rays, retrieval, temporal
@@ -161,24 +161,29 @@ def report_sink(s: SceneTables) -> DataFrame:
 def label_volume_ingest(s: SceneTables) -> DataFrame:
     """Pack each frame's cells into a compressed label volume, then decode the volumes into voxel rows.
 
-    Cells are made unique first, so a volume is built from at most as many rows as the grid has cells.
+    Cells are made unique first, so a volume is built from at most as many cells as the grid has.
     """
+    nx, ny, nz = GRID_SHAPE
     state = masked_class_state(F.col("cls"), F.col("mask_lidar"), F.col("mask_camera"), "lidar")
-    cells = s.strip_cells(F.struct(state.alias("state"), "cls", "mask_lidar").alias("c"))
-    cells = cells.groupBy("scene", "t", "i", "j", "k").agg(F.max("c").alias("c")).select(
-        "scene", "t", "i", "j", "k", "c.cls", F.col("c.mask_lidar").alias("mask")
-    )
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        classes, mask = np.full(GRID_SHAPE, 17, dtype=np.uint8), np.ones(GRID_SHAPE, dtype=np.uint8)
-        at = (group["i"].to_numpy(), group["j"].to_numpy(), group["k"].to_numpy())
-        classes[at], mask[at] = group["cls"].to_numpy(), group["mask"].to_numpy()
-        out = io.BytesIO()
-        np.savez(out, semantics=classes, mask_lidar=mask, mask_camera=mask)
-        return pd.DataFrame({"scene": [group["scene"].iloc[0]], "t": [group["t"].iloc[0]], "content": [out.getvalue()]})
-
-    volumes = cells.groupBy("scene", "t").applyInPandas(pack, "scene BIGINT, t INT, content BINARY")
-    return decode_volumes(volumes, mask="lidar")
+    label = F.struct(state.alias("state"), (F.col("cls") * 2 + F.col("mask_lidar")).alias("code"))
+    cells = s.strip_cells(label.alias("label")).where(F.col("label.state") != FREE)
+    flat = (F.col("i") * ny + F.col("j")) * nz + F.col("k")
+    unique = cells.groupBy("scene", "t", flat.alias("flat")).agg(F.max("label").alias("label"))
+    packed = unique.groupBy("scene", "t").agg(F.collect_list(F.col("flat") * 64 + F.col("label.code")).alias("codes"))
+
+    @F.pandas_udf("BINARY")
+    def pack(codes: pd.Series) -> pd.Series:
+        def volume(values: np.ndarray) -> bytes:
+            classes, mask = np.full(nx * ny * nz, 17, dtype=np.uint8), np.ones(nx * ny * nz, dtype=np.uint8)
+            at, code = values // 64, values % 64
+            classes[at], mask[at] = code // 2, code % 2
+            out = io.BytesIO()
+            np.savez(out, semantics=classes.reshape(GRID_SHAPE), mask_lidar=mask.reshape(GRID_SHAPE))
+            return out.getvalue()
+
+        return codes.map(volume)
+
+    return decode_volumes(packed.select("scene", "t", pack("codes").alias("content")), mask="lidar")
 
 
 # --- Projections and filters ------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "clearway", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def get_session(app: str = "clearway", master: str | None = None, shuffle_partitions: int | None = None, **settings: str) -> SparkSession:
     """A session with the settings the engine relies on (UTC, AQE with skew-join splitting)."""
     builder = (
         SparkSession.builder.appName(app)
@@ -21,6 +21,8 @@ def get_session(app: str = "clearway", master: str | None = None, shuffle_partit
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
