@@ -77,9 +77,9 @@ def temporal_order(poses: DataFrame) -> DataFrame:
     The usual case, links that agree with the time stamps, costs one sort; only the scenes where they
     disagree go through :func:`chain_order`.
     """
-    rows = stamp_ordered_scenes(poses)
+    rows = materialise(stamp_ordered_scenes(poses))
     agree = rows.where("linked").drop("linked")
-    odd = materialise(rows.where("NOT linked").select(*poses.columns))
+    odd = rows.where("NOT linked").select(*poses.columns)
     if odd.isEmpty():
         return agree
     return agree.unionByName(chain_order(odd).select(*agree.columns))

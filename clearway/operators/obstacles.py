@@ -83,52 +83,53 @@ def in_grid_only(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return voxels.where(geo.in_grid(F.col("i"), F.col("j"), F.col("k"), shape))
 
 
-# Levels of one pillar packed into a bit mask; with margins on both sides it fits a BIGINT.
-MASK_LEVELS = 32
+# Cells of one row along i packed into a bit mask; with margins on both sides it fits a BIGINT.
+MASK_CELLS = 32
 MASK_MARGIN = 15
 
 
-def level_masks(voxels: DataFrame, radius: int) -> DataFrame:
-    """Pillar segments of ``MASK_LEVELS`` cells as bit masks, per (scene, t, state, i, j, segment).
+def row_masks(voxels: DataFrame, radius: int) -> DataFrame:
+    """Segments of ``MASK_CELLS`` cells along i as bit masks, per (scene, t, state, j, k, segment).
 
-    Bit ``MASK_MARGIN + k % MASK_LEVELS`` stands for level k. A cell within ``radius`` of a segment border
+    Bit ``MASK_MARGIN + i % MASK_CELLS`` stands for cell i. A cell within ``radius`` of a segment border
     also sets a margin bit of the neighbouring segment.
     """
-    segment = F.floor(F.col("k") / MASK_LEVELS).cast("int")
-    level = F.col("k") - F.floor(F.col("k") / MASK_LEVELS).cast("int") * MASK_LEVELS
+    segment = F.floor(F.col("i") / MASK_CELLS).cast("int")
+    place = F.col("i") - segment * MASK_CELLS + MASK_MARGIN
     places = F.array(
-        F.struct(segment.alias("segment"), (level + MASK_MARGIN).alias("bit")),
-        F.when(level >= MASK_LEVELS - radius, F.struct((segment + 1).alias("segment"), (level + MASK_MARGIN - MASK_LEVELS).alias("bit"))),
-        F.when(level < radius, F.struct((segment - 1).alias("segment"), (level + MASK_MARGIN + MASK_LEVELS).alias("bit"))),
+        F.struct(segment.alias("segment"), place.alias("bit")),
+        F.when(place >= MASK_MARGIN + MASK_CELLS - radius, F.struct((segment + 1).alias("segment"), (place - MASK_CELLS).alias("bit"))),
+        F.when(place < MASK_MARGIN + radius, F.struct((segment - 1).alias("segment"), (place + MASK_CELLS).alias("bit"))),
     )
     rows = voxels.withColumn("p", F.explode(places)).where(F.col("p").isNotNull())
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p.bit"))
-    return rows.groupBy("scene", "t", "state", "i", "j", F.col("p.segment").alias("segment")).agg(F.bit_or(bit).alias("mask"))
+    return rows.groupBy("scene", "t", "state", "j", "k", F.col("p.segment").alias("segment")).agg(F.bit_or(bit).alias("mask"))
 
 
 def supported_voxels(voxels: DataFrame, *, radius: int = 1, min_neighbours: int = 1) -> DataFrame:
     """Keep a cell only if enough cells of the same state lie within ``radius`` cells per axis.
 
-    Cells are packed into one bit mask per pillar segment. Each mask is sent to the (2 radius + 1)^2
-    pillars around it, where neighbours are counted with bit operations: the shuffle carries pillars
-    instead of cells, and there is neither a self join nor a list of neighbours.
+    Cells are packed into one bit mask per row segment. Each mask is sent to the (2 radius + 1)^2 rows
+    around it, where neighbours are counted with bit operations: the shuffle carries row segments
+    instead of cells, and there is neither a self join nor a list of neighbours. Copies of a cell set
+    the same bit, so the voxel table need not be unique.
     """
     if not 1 <= radius <= MASK_MARGIN:
         raise ValueError(f"radius must be between 1 and {MASK_MARGIN}")
     span = range(-radius, radius + 1)
-    moves = [(a, b) for a in span for b in span]
-    offsets = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(n).alias("n")) for n, (a, b) in enumerate(moves)])
-    sent = level_masks(voxels, radius).withColumn("o", F.explode(offsets)).select(
-        "scene", "t", "state", (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), "segment",
+    moves = [(b, c) for b in span for c in span]
+    offsets = F.array(*[F.struct(F.lit(b).alias("dj"), F.lit(c).alias("dk"), F.lit(n).alias("n")) for n, (b, c) in enumerate(moves)])
+    sent = row_masks(voxels, radius).withColumn("o", F.explode(offsets)).select(
+        "scene", "t", "state", (F.col("j") + F.col("o.dj")).alias("j"), (F.col("k") + F.col("o.dk")).alias("k"), "segment",
         "mask", F.col("o.n").alias("n"),
     )
     # Exactly one mask arrives from each side, so max only picks it.
-    around = sent.groupBy("scene", "t", "state", "i", "j", "segment").agg(*[
+    around = sent.groupBy("scene", "t", "state", "j", "k", "segment").agg(*[
         F.max(F.when(F.col("n") == n, F.col("mask"))).alias(f"m{n}") for n in range(len(moves))
     ])
     own = F.col(f"m{moves.index((0, 0))}")
     bits = F.filter(
-        F.sequence(F.lit(MASK_MARGIN), F.lit(MASK_MARGIN + MASK_LEVELS - 1)),
+        F.sequence(F.lit(MASK_MARGIN), F.lit(MASK_MARGIN + MASK_CELLS - 1)),
         lambda b: F.getbit(own, b) == 1,
     )
     cells = around.where(own.isNotNull()).withColumn("bit", F.explode(bits))
@@ -137,7 +138,7 @@ def supported_voxels(voxels: DataFrame, *, radius: int = 1, min_neighbours: int
     total = counts[0]
     for c in counts[1:]:
         total = total + c
-    k = F.col("segment") * MASK_LEVELS + F.col("bit") - MASK_MARGIN
+    i = F.col("segment") * MASK_CELLS + F.col("bit") - MASK_MARGIN
     return cells.withColumn("neighbours", total - 1).where(F.col("neighbours") >= min_neighbours).select(
-        "scene", "t", "i", "j", k.alias("k"), "state", "neighbours"
+        "scene", "t", i.alias("i"), "j", "k", "state", "neighbours"
     )

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from clearway.functions.occupancy import OCCUPIED, UNKNOWN
 from clearway.operators.obstacles import unique_cells
-from clearway.schemas import CELL_KEY
+from clearway.plans.joins import semi_join_if_small
+from clearway.schemas import CELL_KEY, FRAME_KEY
 
 # Rays stepped together; bounds the memory of one output batch.
 RAYS_PER_STEP = 4096
@@ -69,15 +70,27 @@ def ray_cells(rays: DataFrame) -> DataFrame:
     return rays.select("ray_id", "scene", "t", "si", "sj", "sk", "di", "dj", "dk").mapInArrow(_step_rays, schema)
 
 
-def ray_hits(rays: DataFrame, voxels: DataFrame, *, deduplicate: bool = True) -> DataFrame:
-    """Stored cells met by each ray: ray_id, pos, state. Free cells are not stored, so give no row."""
-    cells = unique_cells(voxels) if deduplicate else voxels
+def cells_near_rays(rays: DataFrame, voxels: DataFrame) -> DataFrame:
+    """The unique cells of the frames that have rays.
+
+    A counted-small set of frames is broadcast to drop other frames before any shuffle; a large set is
+    not worth a join of its own.
+    """
+    return unique_cells(semi_join_if_small(voxels, rays.select(*FRAME_KEY).distinct(), FRAME_KEY))
+
+
+def ray_hits(rays: DataFrame, voxels: DataFrame, *, unique: bool = False) -> DataFrame:
+    """Stored cells met by each ray: ray_id, pos, state. Free cells are not stored, so give no row.
+
+    ``unique`` tells that the voxel table has one row per cell already.
+    """
+    cells = voxels if unique else cells_near_rays(rays, voxels)
     return ray_cells(rays).join(cells, CELL_KEY).select("ray_id", "pos", "state")
 
 
-def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, deduplicate: bool = True) -> DataFrame:
+def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, unique: bool = False) -> DataFrame:
     """Per ray: OCCUPIED cells in between (``depth``), UNKNOWN ones, and visibility under both rules."""
-    hits = ray_hits(rays, voxels, deduplicate=deduplicate).groupBy("ray_id").agg(
+    hits = ray_hits(rays, voxels, unique=unique).groupBy("ray_id").agg(
         F.count_if(F.col("state") == OCCUPIED).alias("depth"),
         F.count_if(F.col("state") == UNKNOWN).alias("unknown_cells"),
         F.count_if(F.col("state") == occupied_value).alias("_blocking"),
@@ -88,9 +101,10 @@ def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUP
     ).drop("_blocking")
 
 
-def line_of_sight(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, unknown_blocks: bool = False) -> DataFrame:
+def line_of_sight(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, unknown_blocks: bool = False, unique: bool = False) -> DataFrame:
     """The rays that meet no blocking cell; blocking cells are filtered before the join."""
     states = [occupied_value, UNKNOWN] if unknown_blocks else [occupied_value]
-    blocking = unique_cells(voxels).where(F.col("state").isin(*states))
+    cells = voxels if unique else cells_near_rays(rays, voxels)
+    blocking = cells.where(F.col("state").isin(*states))
     blocked = ray_cells(rays).join(blocking, CELL_KEY, "left_semi").select("ray_id").distinct()
     return rays.join(blocked, "ray_id", "left_anti")

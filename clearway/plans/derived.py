@@ -14,6 +14,7 @@ from clearway.functions.geometry import heading_columns
 from clearway.functions.occupancy import FREE, masked_class_state
 from clearway.operators.obstacles import unique_cells
 from clearway.plans.catalogue import CATALOGUE
+from clearway.plans.layout import spread
 from clearway.plans.windows import core_rows, in_blocks, number_rows
 
 # Grid and vehicle of the derived scenes.
@@ -61,7 +62,7 @@ class SceneTables:
             F.when(supp % 5 == 0, 0).otherwise(1).alias("mask_lidar"),
             F.when(part % 4 == 0, 0).otherwise(1).alias("mask_camera"), "l_linestatus",
         )
-        return items.join(self.frames, "fkey")
+        return spread(items).join(self.frames, "fkey")
 
     def strip_cells(self, *columns: str | Column) -> DataFrame:
         """The cells of each strip (eight along i, mirrored to the right side for open lines)."""

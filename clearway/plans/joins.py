@@ -23,6 +23,16 @@ def join_checked(fact: DataFrame, side: DataFrame, on: list[str], how: str = "in
     return fact.join(side, on, how)
 
 
+def semi_join_if_small(fact: DataFrame, side: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Drop fact rows without a partner if ``side`` is counted to be small; otherwise keep all rows.
+
+    For filters that only save work and do not change the result.
+    """
+    if known_rows(side, limit) <= limit:
+        return fact.join(F.broadcast(side), on, "left_semi")
+    return fact
+
+
 def with_attrs(fact: DataFrame, frames: DataFrame, attrs: list[str]) -> DataFrame:
     """Frame attributes next to each child row.
 

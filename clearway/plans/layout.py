@@ -1,0 +1,14 @@
+"""Partition layout of inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer splits than there are cores, before its rows are multiplied.
+
+    A large input has many splits per core and is left as it is, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

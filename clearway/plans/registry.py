@@ -395,7 +395,7 @@ def ray_traversal(s: SceneTables) -> DataFrame:
 
 @query
 def line_of_sight(s: SceneTables) -> DataFrame:
-    out = rays.occlusion(s.rays, s.voxels(), deduplicate=False)
+    out = rays.occlusion(s.rays, s.voxel_rows(attrs=False))
     return out.select("ray_id", "scene", "t", "visible", "visible_unknown_blocks")
 
 
@@ -406,7 +406,7 @@ def visible_rays(s: SceneTables) -> DataFrame:
 
 @query
 def occlusion_depth(s: SceneTables) -> DataFrame:
-    return rays.occlusion(s.rays, s.voxels(), deduplicate=False).select("ray_id", "depth", "unknown_cells")
+    return rays.occlusion(s.rays, s.voxel_rows(attrs=False)).select("ray_id", "depth", "unknown_cells")
 
 
 @query
@@ -416,7 +416,7 @@ def occlusion_distrust(s: SceneTables) -> DataFrame:
     The shuffled control takes the depth of the next target of the frame, in cell order; a frame has at
     most one ray per grid cell, so that window is bounded by the grid.
     """
-    rows = rays.occlusion(s.rays, s.voxels(), deduplicate=False)
+    rows = rays.occlusion(s.rays, s.voxel_rows(attrs=False))
     frame = Window.partitionBy("scene", "t")
     ordered = frame.orderBy("ray_id")
     around = frame.orderBy("ray_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -478,7 +478,8 @@ def box_indistinguishable_frames(s: SceneTables) -> DataFrame:
 
 @query
 def noise_filtered_voxels(s: SceneTables) -> DataFrame:
-    kept = obstacles.supported_voxels(s.voxels().where(F.col("state") == OCCUPIED), radius=1, min_neighbours=2)
+    solid = s.voxel_rows(attrs=False).where(F.col("state") == OCCUPIED)
+    kept = obstacles.supported_voxels(solid, radius=1, min_neighbours=2)
     return kept.groupBy("scene", "t").agg(
         F.count("*").alias("cells"), F.sum("neighbours").alias("neighbours"),
         F.sum(F.col("i") * 192 + F.col("j") * 8 + F.col("k")).alias("cells_at"),
