@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clearway.functions.occupancy import POLICY_FREE
+from clearway.functions.occupancy import OCCUPIED, POLICY_FREE
 from clearway.operators import frame_metrics as fm
 from clearway.operators.obstacles import ego_obstacles
 from clearway.schemas import BOX_ATTRS, FRAME_KEY
@@ -42,15 +42,30 @@ def pick_frames(metrics: DataFrame) -> DataFrame:
     )
 
 
+# Bits per cell index in a packed cell number, whose order is that of (i, j, k).
+INDEX_BITS = 20
+
+
 def clearance_witness(voxels: DataFrame, frames: DataFrame, lookahead: float = fm.LOOKAHEAD) -> DataFrame:
-    """The obstacle that gives each frame its side clearance: smallest gap, then smallest i, j, k."""
+    """The obstacle that gives each frame its side clearance: smallest gap, then smallest i, j, k.
+
+    Obstacles first shrink to one cell per distinct gap, a hash aggregate over plain numbers, so the
+    ordered pick only sees a few rows per frame.
+    """
     side = F.abs(F.col("lat"))
     rows = ego_obstacles(voxels, frames, policy=POLICY_FREE).where(
         (F.col("fwd") >= 0.0) & (F.col("fwd") <= F.lit(lookahead)) & (side > fm.half_corridor())
     )
-    order = F.struct((side - fm.half_corridor()).alias("clearance"), "i", "j", "k")
-    best = rows.groupBy(*FRAME_KEY).agg(F.min(F.struct(order.alias("o"), "fwd", "lat")).alias("w"))
-    return best.select(*FRAME_KEY, "w.fwd", "w.lat", "w.o.clearance", "w.o.i", "w.o.j", "w.o.k")
+    width = 1 << INDEX_BITS
+    cell = (F.col("i").cast("long") * width + F.col("j")) * width + F.col("k")
+    gaps = rows.groupBy(*FRAME_KEY, (side - fm.half_corridor()).alias("clearance")).agg(F.min(cell).alias("cell"))
+    best = gaps.groupBy(*FRAME_KEY).agg(F.min(F.struct("clearance", "cell")).alias("w"))
+    cell, layer = F.col("w.cell"), width * width
+    picked = best.select(
+        *FRAME_KEY, "w.clearance", F.floor(cell / layer).cast("int").alias("i"),
+        F.floor((cell % layer) / width).cast("int").alias("j"), (cell % width).cast("int").alias("k"), F.lit(OCCUPIED).alias("state"),
+    )
+    return ego_obstacles(picked, frames, policy=POLICY_FREE).select(*FRAME_KEY, "fwd", "lat", "clearance", "i", "j", "k")
 
 
 def corridor_witness(voxels: DataFrame, frames: DataFrame, horizon: float = CORRIDOR_HORIZON) -> DataFrame:

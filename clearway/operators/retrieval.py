@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clearway.functions.occupancy import METRIC_POLICIES, POLICY_FREE, POLICY_IGNORED, POLICY_OCCUPIED
+from clearway.operators.frame_metrics import frame_metrics
 from clearway.operators.temporal import scope_flags, transition_hits
-from clearway.plans.catalogue import FrameView, Query
+from clearway.plans.catalogue import FrameView, Query, needs_of
 
 
 def match_matrix(metrics: DataFrame, queries: Sequence[Query], scenes: DataFrame | None = None, policies: Sequence[str] = METRIC_POLICIES) -> DataFrame:
@@ -78,3 +79,17 @@ def retrieve_transition(metrics: DataFrame, before: Column, after: Column, withi
     """Scenes where ``before`` holds and ``after`` holds at most ``within`` frames later."""
     hits = transition_hits(metrics, {"hit": (before, after, within)})
     return hits.where("hit").select("scene").distinct()
+
+
+def retrieve_by_variant(frames: DataFrame, voxels: DataFrame, variants: Sequence[str], queries: Sequence[Query]) -> DataFrame:
+    """Retrieval on several readings of the same volumes (for example one per visibility mask).
+
+    ``voxels`` has a column ``variant``. The variant becomes part of the scene key, so all readings share
+    one scan and one pass. Returns (variant, query_id, policy, scene).
+    """
+    keyed = F.struct("variant", "scene")
+    every = F.explode(F.array(*[F.lit(v) for v in variants]))
+    frames = frames.withColumn("variant", every).withColumn("scene", keyed).drop("variant")
+    voxels = voxels.withColumn("scene", keyed).drop("variant")
+    found = retrieve(frame_metrics(frames, voxels, None, needs_of(queries)), queries)
+    return found.select("scene.variant", "query_id", "policy", "scene.scene")

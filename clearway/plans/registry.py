@@ -567,11 +567,14 @@ def match_matrix(s: SceneTables) -> DataFrame:
 @query
 def mask_variants(s: SceneTables) -> DataFrame:
     """All occupancy queries without truth, on the dense, lidar and camera readings of the volumes."""
-    parts = []
-    for mask in ("none", "lidar", "camera"):
-        m = fm.frame_metrics(s.frames, s.voxel_rows(mask), None, cat.needs_of(OCCUPANCY_QUERIES))
-        parts.append(retrieval.retrieve(m, OCCUPANCY_QUERIES).withColumn("mask", F.lit(mask)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    masks = ("none", "lidar", "camera")
+    columns = (F.col("cls"), F.col("mask_lidar"), F.col("mask_camera"))
+    states = F.array(*[F.struct(F.lit(m).alias("variant"), masked_class_state(*columns, m).alias("state")) for m in masks])
+    attrs = [c for c in s.frames.columns if c not in ("scene", "t", "fkey")]
+    cells = s.strip_cells(states.alias("states"), *attrs).select("*", F.explode("states").alias("v"))
+    voxels = cells.select("scene", "t", "i", "j", "k", "v.variant", "v.state", *attrs).where(F.col("state") != FREE)
+    found = retrieval.retrieve_by_variant(s.frames, voxels, masks, OCCUPANCY_QUERIES)
+    return found.withColumnRenamed("variant", "mask")
 
 
 @query

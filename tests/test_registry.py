@@ -1,0 +1,55 @@
+"""Every registered query against its SQL, on the smallest data set."""
+
+import re
+
+import pytest
+
+import oracle_check
+from __spark_entry__ import entry, oracle_sql, queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return oracle_check.connect(FOLDER)
+
+
+def test_every_query_has_sql():
+    assert set(queries()) == set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_query_equals_sql(spark, con, name):
+    ok, message = oracle_check.compare(spark, con, name, FOLDER)
+    assert ok, message
+
+
+def test_entry(spark):
+    df = entry(spark)
+    assert df.columns == ["query_id", "policy", "scene"] and df.count() == 177
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", [
+    "retrieval_batch", "full_report", "min_free_width", "occlusion_depth", "box_indistinguishable_frames", "noise_filtered_voxels",
+    "link_order", "match_matrix", "threshold_sweep", "corridor_witness", "mask_variants",
+])
+def test_no_cross_or_nested_loop_join(spark, name):
+    plan = plan_of(queries()[name](spark, FOLDER))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_scans_read_only_what_is_used(spark):
+    plan = plan_of(queries()["q1_tight_clearance_at_speed"](spark, FOLDER))
+    schemas = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
+    assert schemas == {
+        "l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int,l_linestatus:string",
+        "o_orderkey:bigint,o_custkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz",
+        "o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz",
+    } or all("l_extendedprice" not in s and "o_orderpriority" not in s for s in schemas)
+    # No Python worker in the metric path.
+    assert "Python" not in plan and "Arrow" not in plan
