@@ -169,7 +169,9 @@ def label_volume_ingest(s: SceneTables) -> DataFrame:
     cells = s.strip_cells(label.alias("label")).where(F.col("label.state") != FREE)
     flat = (F.col("i") * ny + F.col("j")) * nz + F.col("k")
     unique = cells.groupBy("scene", "t", flat.alias("flat")).agg(F.max("label").alias("label"))
-    packed = unique.groupBy("scene", "t").agg(F.collect_list(F.col("flat") * 64 + F.col("label.code")).alias("codes"))
+    # A fixed number of partitions: adaptive merging goes by bytes and would leave the packing to few tasks.
+    tasks = int(s.spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = unique.repartition(tasks, "scene", "t").groupBy("scene", "t").agg(F.collect_list(F.col("flat") * 64 + F.col("label.code")).alias("codes"))
 
     @F.pandas_udf("BINARY")
     def pack(codes: pd.Series) -> pd.Series:

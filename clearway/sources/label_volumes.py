@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clearway.functions.occupancy import FREE_CLASS, GROUND_CLASSES, OCCUPIED, UNKNOWN
 from clearway.plans.joins import join_checked
 
-DECODED = "ny INT, nz INT, occupied ARRAY<INT>, unknown ARRAY<INT>"
+# Cells held in Python before they are handed to the JVM; a masked volume alone has some 600 000.
+CELLS_PER_BATCH = 4_000_000
 
 
 def _cells(content: bytes, mask_key: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Flat indices of the occupied and the unknown cells of one volume."""
+    """Row sizes of one volume and the flat indices of its occupied and unknown cells."""
     with np.load(io.BytesIO(content)) as arrays:
         classes = arrays["semantics"]
         hidden = arrays[mask_key] == 0 if mask_key else np.zeros(classes.shape, dtype=bool)
@@ -26,21 +28,40 @@ def _cells(content: bytes, mask_key: str | None) -> tuple[int, int, np.ndarray,
 def decode_volumes(volumes: DataFrame, *, mask: str = "lidar", keys: list[str] = ["scene", "t"]) -> DataFrame:
     """Voxel rows of a table with a binary ``content`` column; ``keys`` are kept on each row.
 
-    Python only unpacks the arrays, a batch of volumes at a time; cells are expanded in the JVM. ``mask``
-    is lidar, camera or any other word for the dense reading.
+    Python only unpacks the arrays and returns one row of index lists per volume, a bounded number of
+    cells at a time; cells are expanded in the JVM. ``mask`` is lidar, camera or any other word for the
+    dense reading.
     """
     mask_key = f"mask_{mask}" if mask in ("lidar", "camera") else None
 
-    @F.pandas_udf(DECODED)
-    def unpack(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_cells(c, mask_key) for c in content], columns=["ny", "nz", "occupied", "unknown"])
+    def packed(batch: pa.RecordBatch, start: int, rows: list[tuple]) -> pa.RecordBatch:
+        ny, nz, occupied, unknown = zip(*rows)
+        lists = [pa.array(x, pa.list_(pa.int32())) for x in (occupied, unknown)]
+        columns = [batch[k].slice(start, len(rows)) for k in keys]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(ny, pa.int32()), pa.array(nz, pa.int32()), *lists], names=[*keys, "ny", "nz", "occupied", "unknown"]
+        )
 
-    decoded = volumes.select(*keys, unpack("content").alias("v"))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, rows, held = 0, [], 0
+            for content in batch["content"]:
+                rows.append(_cells(content.as_py(), mask_key))
+                held += len(rows[-1][2]) + len(rows[-1][3])
+                if held >= CELLS_PER_BATCH:
+                    yield packed(batch, start, rows)
+                    start, rows, held = start + len(rows), [], 0
+            if rows:
+                yield packed(batch, start, rows)
+
+    types = dict(volumes.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ny INT, nz INT, occupied ARRAY<INT>, unknown ARRAY<INT>"
+    decoded = volumes.select(*keys, "content").mapInArrow(unpack, schema)
     sets = F.array(
-        F.struct(F.lit(OCCUPIED).alias("state"), F.col("v.occupied").alias("flat")),
-        F.struct(F.lit(UNKNOWN).alias("state"), F.col("v.unknown").alias("flat")),
+        F.struct(F.lit(OCCUPIED).alias("state"), F.col("occupied").alias("flat")),
+        F.struct(F.lit(UNKNOWN).alias("state"), F.col("unknown").alias("flat")),
     )
-    rows = decoded.select(*keys, "v.ny", "v.nz", F.explode(sets).alias("s")).select(
+    rows = decoded.select(*keys, "ny", "nz", F.explode(sets).alias("s")).select(
         *keys, "ny", "nz", "s.state", F.explode("s.flat").alias("flat")
     )
     layer = F.col("ny") * F.col("nz")

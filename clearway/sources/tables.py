@@ -11,7 +11,8 @@ from clearway.schemas import FRAME_KEY
 def write_frame_table(df: DataFrame, table: str, buckets: int) -> None:
     """Save a frame, voxel or box table bucketed by (scene, t).
 
-    Joins between such tables and every per-frame aggregate then run without a shuffle.
+    Joins between such tables and every per-frame aggregate then run without a shuffle. Make voxels
+    unique per cell first: a frame is then at most as large as its grid.
     """
     ordered = [*FRAME_KEY, *[c for c in ("k", "i", "j") if c in df.columns]]
     df.repartition(buckets, *FRAME_KEY).write.mode("overwrite").bucketBy(buckets, *FRAME_KEY).sortBy(*ordered).saveAsTable(table)
@@ -42,5 +43,10 @@ def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:
     report.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_sorted(rows: DataFrame, path: str, order: list[str], fmt: str = "json") -> None:
+    """Write rows in global order (range-partitioned), for example the names of a retrieved set."""
+    rows.sort(*order).write.mode("overwrite").format(fmt).save(path)
+
+
 def read_report(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)

@@ -153,3 +153,12 @@ def test_pillars(scenes):
     got = {(r["i"], r["j"]): (r["occupied"], r["unknown"]) for r in obstacles.pillars(b.voxels, b.frames).collect()}
     assert got == {(5, 3): (True, True), (5, 4): (False, True)}
     assert obstacles.in_grid_only(b.voxels, (6, 5, 3)).count() == 3
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "b"), ("q", "a"), ("p", "z")], "query_id STRING, scene STRING")
+    tables.write_report(rows, str(tmp_path / "report"), "parquet")
+    assert tables.read_report(spark, str(tmp_path / "report"), rows.schema, "parquet").count() == 3
+    tables.write_sorted(rows, str(tmp_path / "names"), ["query_id", "scene"])
+    lines = [x for p in sorted((tmp_path / "names").glob("*.json")) for x in p.read_text().split()]
+    assert [json.loads(x)["scene"] for x in lines] == ["z", "a", "b"]
