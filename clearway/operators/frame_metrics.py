@@ -24,7 +24,12 @@ STATION_SLACK = 1e-9
 
 @dataclass(frozen=True)
 class Needs:
-    """Which metrics to compute. ``abeam`` limits the clearance to obstacles at most that far ahead."""
+    """Which metrics to compute.
+
+    ``abeam`` limits the clearance to obstacles at most that far ahead. ``gate`` is a condition on frame
+    columns such as ``speed``: voxels of other frames are dropped before any geometry, so those frames
+    read as empty.
+    """
 
     centerline: bool = False
     clearance: bool = False
@@ -34,6 +39,7 @@ class Needs:
     ego_width: bool = False
     lookahead: float = LOOKAHEAD
     abeam: float | None = None
+    gate: Column | None = None
 
     @property
     def voxel_metrics(self) -> bool:
@@ -169,6 +175,8 @@ def _relevant(needs: Needs) -> Column:
 def occupancy_metrics(voxels: DataFrame, frames: DataFrame, needs: Needs) -> DataFrame:
     """Metrics of the frames that hold at least one relevant obstacle; NULL means "no answer"."""
     obstacles = ego_obstacles(voxels, frames).where(_relevant(needs))
+    if needs.gate is not None:
+        obstacles = obstacles.where(needs.gate)
     if not needs.width_horizons:
         return obstacles.groupBy(*FRAME_KEY).agg(*_row_aggregates(needs))
     first = (

@@ -67,9 +67,9 @@ def ego_speed(poses: DataFrame) -> DataFrame:
     return core_rows(blocked.withColumn("speed", F.coalesce(moved, F.lit(0.0)))).drop("_n_tx", "_n_ty", "_n_ts_us")
 
 
-def first_frame_value(frames: DataFrame, column: str) -> DataFrame:
-    """Value of a column at the first frame of each scene, also where frame numbers do not start at 0."""
-    return frames.groupBy("scene").agg(F.min_by(column, "t").alias(column))
+def first_frame_value(frames: DataFrame, *columns: str) -> DataFrame:
+    """Values of columns at the first frame of each scene, also where frame numbers do not start at 0."""
+    return frames.groupBy("scene").agg(*[F.min_by(c, "t").alias(c) for c in columns])
 
 
 def transition_hits_by_join(frames: DataFrame, before: Column, after: Column, within: int) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -65,6 +66,8 @@ class Query:
     before: Condition | None = None
     after: Condition | None = None
     within_frames: int = 0
+    # Scope any only: a part of the predicate (joined by "and") that needs no voxels, to skip frames early.
+    gate: Condition | None = None
 
     def __post_init__(self) -> None:
         conditions = (self.before, self.after) if self.scope == "transition" else (self.predicate,)
@@ -72,6 +75,8 @@ class Query:
             raise ValueError(f"unknown scope: {self.scope}")
         if any(c is None for c in conditions):
             raise ValueError(f"query {self.id}: scope {self.scope} lacks a condition")
+        if self.gate is not None and self.scope != "any":
+            raise ValueError(f"query {self.id}: only scope any can have a gate")
         if self.scope == "transition" and self.within_frames < 1:
             raise ValueError(f"query {self.id}: within_frames must be at least 1")
 
@@ -85,13 +90,20 @@ class Query:
 
 
 def needs_of(queries: Iterable[Query], **more) -> fm.Needs:
-    """The metrics a set of queries uses, so that nothing else is computed."""
+    """The metrics a set of queries uses, so that nothing else is computed.
+
+    Frames that pass no gate are skipped if every voxel query has one.
+    """
+    queries = list(queries)
     total = fm.Needs()
+    gates: list[Column | None] = []
     for q in queries:
         view = FrameView()
         for condition in q.conditions:
             condition(view)
         n = view.needs
+        if n.voxel_metrics:
+            gates.append(q.gate(FrameView()) if q.gate else None)
         total = fm.Needs(
             total.centerline or n.centerline,
             total.clearance or n.clearance,
@@ -100,6 +112,8 @@ def needs_of(queries: Iterable[Query], **more) -> fm.Needs:
             tuple(dict.fromkeys((*total.labels, *n.labels))),
             total.ego_width or n.ego_width,
         )
+    if gates and all(g is not None for g in gates):
+        total = replace(total, gate=reduce(lambda a, b: a | b, gates))
     return replace(total, **more)
 
 
@@ -108,6 +122,7 @@ TIGHT_CLEARANCE = Query(
     id="tight_clearance_at_speed",
     text="passed within 0.5 m of something solid while faster than 30 km/h",
     predicate=lambda f: (f.lateral_clearance() < 0.5) & (f.ego_speed() > 8.33),
+    gate=lambda f: f.ego_speed() > 8.33,
 )
 CORRIDOR_NARROWS = Query(
     id="corridor_narrows_below_vehicle_width",

@@ -309,6 +309,8 @@ ORACLES = {
         SELECT scene, t, count_if(occ) AS occupied, count_if(unk) AS unknown, sum(CASE WHEN occ THEN i * 24 + j END) AS occupied_at
         FROM (SELECT scene, t, i, j, bool_or(solid) AS occ, bool_or(NOT solid) AS unk FROM obs GROUP BY scene, t, i, j)
         GROUP BY scene, t"""),
+    "metrics_on_pillars": sql(f"""
+        SELECT scene, t, {pivoted('clearance', 'clearance')}, {pivoted('w_2s', 'free_width_2s')} FROM fm GROUP BY scene, t"""),
     "boolean_expression": sql("""
         SELECT scene, t FROM cheap_fm WHERE policy = 'free'
         AND ((clearance > 0.3 AND clearance <= 1.4 AND speed >= 4 AND speed <> 7) OR (centerline = 0.5 AND NOT speed > 12))"""),
@@ -343,7 +345,11 @@ ORACLES = {
             FROM cheap_fm a LEFT JOIN cheap_fm b
               ON a.policy = b.policy AND a.scene = b.scene AND b.t > a.t AND b.t - a.t <= 2
             GROUP BY a.policy, a.scene, a.t, a.path_1s) GROUP BY scene, t"""),
-    "first_frame_width": "SELECT DISTINCT o_custkey AS scene, 1.85::DOUBLE AS width FROM orders",
+    "first_frame_values": sql("SELECT scene, 1.85::DOUBLE AS width, speed FROM frames WHERE t = 0"),
+    "transition_by_join": sql("SELECT DISTINCT scene FROM m3 WHERE policy = 'free'"),
+    "condition_retrieval": sql("""
+        SELECT scene FROM cheap_fm WHERE policy = 'occupied' GROUP BY scene
+        HAVING bool_and(coalesce(clearance >= 0.5, true) AND path_1s)"""),
     "persistent_block": sql("""
         SELECT a.scene, a.t, a.run AS persistent, a.run AND coalesce(bool_or(b.path_1s), false) AS clears
         FROM (SELECT scene, t, NOT path_1s AND (coalesce(NOT lag(path_1s) OVER w, false) OR coalesce(NOT lead(path_1s) OVER w, false)) AS run

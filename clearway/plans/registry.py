@@ -265,6 +265,14 @@ def top_down_pillars(s: SceneTables) -> DataFrame:
     )
 
 
+@query
+def metrics_on_pillars(s: SceneTables) -> DataFrame:
+    """The planar metrics computed from the pillar map instead of the voxels."""
+    pillars = obstacles.pillar_voxels(s.voxel_rows(), s.frames)
+    m = fm.frame_metrics(s.frames, pillars, None, needs(clearance=True, width_horizons=(2.0,)))
+    return distances(m, [*both(fm.clearance_column), *both(lambda p: fm.width_column(2.0, p))])
+
+
 @query
 def boolean_expression(s: SceneTables) -> DataFrame:
     """and / or / not, all comparisons and a chained one, over frame values."""
@@ -368,8 +376,24 @@ def scope_transition(s: SceneTables) -> DataFrame:
 
 
 @query
-def first_frame_width(s: SceneTables) -> DataFrame:
-    return temporal.first_frame_value(s.frames, "width")
+def first_frame_values(s: SceneTables) -> DataFrame:
+    return temporal.first_frame_value(s.frames, "width", "speed")
+
+
+@query
+def transition_by_join(s: SceneTables) -> DataFrame:
+    """Scenes with a transition, through an equi-join on the later frame."""
+    m = metrics(s, needs(path_horizons=(1.0,)))
+    free = F.col(fm.path_column(1.0, POLICY_FREE))
+    return temporal.transition_hits_by_join(m.select("scene", "t", free.alias("free")), ~F.col("free"), F.col("free"), 3)
+
+
+@query
+def condition_retrieval(s: SceneTables) -> DataFrame:
+    """Scenes where every frame keeps half a metre to both sides and its path clear, even if the unknown is solid."""
+    m = metrics(s, needs(clearance=True, path_horizons=(1.0,)))
+    safe = (F.col(fm.clearance_column(POLICY_OCCUPIED)) >= 0.5) & F.col(fm.path_column(1.0, POLICY_OCCUPIED))
+    return retrieval.retrieve_where(m, safe, "all")
 
 
 @query

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +166,21 @@ def test_match_matrix(seven):
     assert rows["unknown_side"]["tight_clearance_at_speed__occupied"] and not rows["unknown_side"]["tight_clearance_at_speed__free"]
 
 
+def test_gate_changes_no_match(spark):
+    from conftest import Builder
+
+    b = Builder(spark)
+    for n, speed in enumerate((5.0, 9.0, 8.33)):
+        b.frame(f"s{n}", cells=[(5, 2, 2)], speed=speed)
+    needs = cat.needs_of([cat.TIGHT_CLEARANCE])
+    found = []
+    for gate in (needs.gate, None):
+        m = fm.frame_metrics(b.frames, b.voxels, None, replace(needs, gate=gate))
+        assert m.count() == 3
+        found.append(names(retrieval.retrieve_where(m, (F.col("clearance_free") < 0.8) & (F.col("speed") > 8.33))))
+    assert found == [{"s1"}, {"s1"}]
+
+
 def test_query_rules():
     with pytest.raises(ValueError):
         cat.Query("a", "", scope="sometimes", predicate=lambda f: f.ego_speed() > 1)
@@ -171,7 +188,10 @@ def test_query_rules():
         cat.Query("a", "", scope="transition", predicate=lambda f: f.ego_speed() > 1)
     with pytest.raises(ValueError):
         cat.Query("a", "", scope="any")
+    with pytest.raises(ValueError):
+        cat.Query("a", "", scope="all", predicate=lambda f: f.ego_speed() > 1, gate=lambda f: f.ego_speed() > 1)
     needs = cat.needs_of(cat.CATALOGUE)
+    assert needs.gate is None and cat.needs_of([cat.TIGHT_CLEARANCE, cat.NEAR_VEHICLE]).gate is not None
     assert needs.clearance and not needs.centerline and needs.ego_width
     assert (needs.path_horizons, needs.width_horizons, needs.labels) == ((1.0,), (2.0,), ("vehicle",))
 
