@@ -67,6 +67,8 @@ def chain_order(poses: DataFrame) -> DataFrame:
         if span < longest:
             second = jump.select("scene", F.col("src").alias("to"), F.col("to").alias("end"))
             jump = materialise(jump.join(second, ["scene", "to"]).select("scene", "src", F.col("end").alias("to")))
+            if jump.isEmpty():
+                break
     headless = poses.join(heads, "scene", "left_anti")
     return poses.join(reached, ["scene", "token"]).unionByName(number_rows(headless, ["scene"], ["pos"]))
 

@@ -15,6 +15,8 @@ def get_session(app: str = "clearway", master: str | None = None, shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Rows multiply after the join that may be skewed, so split its partitions earlier than usual.
+        .config("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64MB")
         .config("spark.ui.enabled", "false")
     )
     if master:

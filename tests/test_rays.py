@@ -1,9 +1,13 @@
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from clearway import schemas
 from clearway.operators import rays
+from clearway.sources import label_volumes
 
 
 def march(src, dst):
@@ -78,6 +82,13 @@ def test_line_of_sight(world):
     assert unknown_only == set(CASES) - {"unknown"}
 
 
+def test_workers_need_no_copy_of_the_package():
+    sent = cloudpickle.dumps((rays._step_rays, label_volumes._cells))
+    code = "import pickle, sys; print([f.__name__ for f in pickle.load(sys.stdin.buffer)], 'clearway' in sys.modules)"
+    out = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", env={"PATH": ""}, check=True)
+    assert out.stdout.decode().strip() == "['_step_rays', '_cells'] False"
+
+
 def test_rays_without_voxels(spark, world):
     rows, voxels = world
     assert rays.line_of_sight(rows, voxels.limit(0)).count() == len(CASES)
