@@ -2,17 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clearway.functions import geometry as geo
 from clearway.functions.occupancy import OCCUPIED, POLICY_FREE, POLICY_OCCUPIED, UNKNOWN, blocks
 from clearway.plans.joins import with_attrs
-from clearway.schemas import CELL_KEY, FRAME_ATTRS, FRAME_KEY
+from clearway.schemas import FRAME_ATTRS, FRAME_KEY
+
+
+# Consecutive cells along i that share one BIGINT mask: cell i is bit i % 64 of segment i / 64.
+SEGMENT_BITS = 6
+SEGMENT_CELLS = 1 << SEGMENT_BITS
+SEGMENT_KEY = ["scene", "t", "j", "k", "segment"]
+
+
+def segment_of(i: Column) -> Column:
+    return F.shiftright(i, SEGMENT_BITS)
+
+
+def place_in_segment(i: Column) -> Column:
+    return i.bitwiseAND(F.lit(SEGMENT_CELLS - 1))
+
+
+def bit_at(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def cell_masks(voxels: DataFrame) -> DataFrame:
+    """The voxel table as bit masks: per row segment, which cells are ``occupied`` and which ``unknown``.
+
+    An OCCUPIED observation wins over an UNKNOWN one, and repeated cells set the same bit, so this also
+    removes duplicates. Neighbouring cells merge map-side: far fewer rows are shuffled than cells.
+    """
+    bit = bit_at(place_in_segment(F.col("i")))
+    keyed = voxels.withColumn("segment", segment_of(F.col("i")))
+    masks = keyed.groupBy(*SEGMENT_KEY).agg(*[
+        F.coalesce(F.bit_or(F.when(F.col("state") == s, bit)), F.lit(0)).alias(n)
+        for n, s in (("occupied", OCCUPIED), ("unknown", UNKNOWN))
+    ])
+    return masks.withColumn("unknown", F.col("unknown").bitwiseAND(F.bitwise_not("occupied")))
 
 
 def unique_cells(voxels: DataFrame) -> DataFrame:
     """One row per cell; an OCCUPIED observation wins over an UNKNOWN one."""
-    return voxels.groupBy(*CELL_KEY).agg(F.max("state").alias("state"))
+    place = F.col("place")
+    cells = cell_masks(voxels).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_CELLS - 1))))
+    occupied = F.getbit("occupied", place) == 1
+    return cells.where(occupied | (F.getbit("unknown", place) == 1)).select(
+        "scene", "t", (F.col("segment") * SEGMENT_CELLS + place).alias("i"), "j", "k",
+        F.when(occupied, OCCUPIED).otherwise(UNKNOWN).alias("state"),
+    )
 
 
 def obstacle_centers(voxels: DataFrame, frames: DataFrame, *, policy: str = POLICY_OCCUPIED, attrs: list[str] = FRAME_ATTRS) -> DataFrame:
@@ -59,15 +98,17 @@ def pillar_voxels(voxels: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
+def stored_counts(voxels: DataFrame) -> DataFrame:
+    """Occupied and unknown cells of the frames that store any; repeated cells count once."""
+    return cell_masks(voxels).groupBy(*FRAME_KEY).agg(*[F.sum(F.bit_count(c)).alias(c) for c in ("occupied", "unknown")])
+
+
 def cell_counts(voxels: DataFrame, frames: DataFrame, volume: int) -> DataFrame:
     """Occupied / unknown / free cells per frame; free is what the sparse table does not store.
 
-    ``voxels`` must be unique per cell. Frames without any stored cell are wholly free.
+    Frames without any stored cell are wholly free.
     """
-    stored = voxels.groupBy(*FRAME_KEY).agg(
-        F.count_if(F.col("state") == OCCUPIED).alias("occupied"),
-        F.count_if(F.col("state") == UNKNOWN).alias("unknown"),
-    )
+    stored = stored_counts(voxels)
     counts = frames.select(*FRAME_KEY).join(stored, FRAME_KEY, "left").fillna(0, ["occupied", "unknown"])
     return counts.withColumn("free", F.lit(volume) - F.col("occupied") - F.col("unknown"))
 
@@ -102,8 +143,9 @@ def row_masks(voxels: DataFrame, radius: int) -> DataFrame:
         F.when(place < MASK_MARGIN + radius, F.struct((segment - 1).alias("segment"), (place + MASK_CELLS).alias("bit"))),
     )
     rows = voxels.withColumn("p", F.explode(places)).where(F.col("p").isNotNull())
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p.bit"))
-    return rows.groupBy("scene", "t", "state", "j", "k", F.col("p.segment").alias("segment")).agg(F.bit_or(bit).alias("mask"))
+    return rows.groupBy("scene", "t", "state", "j", "k", F.col("p.segment").alias("segment")).agg(
+        F.bit_or(bit_at(F.col("p.bit"))).alias("mask")
+    )
 
 
 def supported_voxels(voxels: DataFrame, *, radius: int = 1, min_neighbours: int = 1) -> DataFrame:
@@ -128,11 +170,8 @@ def supported_voxels(voxels: DataFrame, *, radius: int = 1, min_neighbours: int
         F.max(F.when(F.col("n") == n, F.col("mask"))).alias(f"m{n}") for n in range(len(moves))
     ])
     own = F.col(f"m{moves.index((0, 0))}")
-    bits = F.filter(
-        F.sequence(F.lit(MASK_MARGIN), F.lit(MASK_MARGIN + MASK_CELLS - 1)),
-        lambda b: F.getbit(own, b) == 1,
-    )
-    cells = around.where(own.isNotNull()).withColumn("bit", F.explode(bits))
+    bits = F.sequence(F.lit(MASK_MARGIN), F.lit(MASK_MARGIN + MASK_CELLS - 1))
+    cells = around.where(own.isNotNull()).withColumn("bit", F.explode(bits)).where(F.getbit(own, F.col("bit")) == 1)
     window = F.call_function("shiftleft", F.lit((1 << (2 * radius + 1)) - 1).cast("long"), F.col("bit") - radius)
     counts = [F.coalesce(F.bit_count(F.col(f"m{n}").bitwiseAND(window)), F.lit(0)) for n in range(len(moves))]
     total = counts[0]

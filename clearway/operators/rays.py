@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from clearway.functions.occupancy import OCCUPIED, UNKNOWN
-from clearway.operators.obstacles import unique_cells
+from clearway.operators.obstacles import SEGMENT_KEY, cell_masks, place_in_segment, segment_of
 from clearway.plans.joins import semi_join_if_small
-from clearway.schemas import CELL_KEY, FRAME_KEY
+from clearway.schemas import FRAME_KEY
 
 # Rays stepped together; bounds the memory of one output batch.
 RAYS_PER_STEP = 4096
@@ -70,27 +70,23 @@ def ray_cells(rays: DataFrame) -> DataFrame:
     return rays.select("ray_id", "scene", "t", "si", "sj", "sk", "di", "dj", "dk").mapInArrow(_step_rays, schema)
 
 
-def cells_near_rays(rays: DataFrame, voxels: DataFrame) -> DataFrame:
-    """The unique cells of the frames that have rays.
-
-    A counted-small set of frames is broadcast to drop other frames before any shuffle; a large set is
-    not worth a join of its own.
-    """
-    return unique_cells(semi_join_if_small(voxels, rays.select(*FRAME_KEY).distinct(), FRAME_KEY))
-
-
-def ray_hits(rays: DataFrame, voxels: DataFrame, *, unique: bool = False) -> DataFrame:
+def ray_hits(rays: DataFrame, voxels: DataFrame) -> DataFrame:
     """Stored cells met by each ray: ray_id, pos, state. Free cells are not stored, so give no row.
 
-    ``unique`` tells that the voxel table has one row per cell already.
+    Cells are looked up in the bit masks of :func:`cell_masks`, one row per key, so copies of a voxel
+    cannot multiply rows. A counted-small set of frames with rays is broadcast to drop other frames
+    before any shuffle; a large set is not worth a join of its own.
     """
-    cells = voxels if unique else cells_near_rays(rays, voxels)
-    return ray_cells(rays).join(cells, CELL_KEY).select("ray_id", "pos", "state")
+    masks = cell_masks(semi_join_if_small(voxels, rays.select(*FRAME_KEY).distinct(), FRAME_KEY))
+    met = ray_cells(rays).withColumn("segment", segment_of(F.col("i"))).join(masks, SEGMENT_KEY)
+    place = place_in_segment(F.col("i"))
+    state = F.when(F.getbit("occupied", place) == 1, OCCUPIED).when(F.getbit("unknown", place) == 1, UNKNOWN)
+    return met.select("ray_id", "pos", state.alias("state")).where(F.col("state").isNotNull())
 
 
-def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, unique: bool = False) -> DataFrame:
+def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED) -> DataFrame:
     """Per ray: OCCUPIED cells in between (``depth``), UNKNOWN ones, and visibility under both rules."""
-    hits = ray_hits(rays, voxels, unique=unique).groupBy("ray_id").agg(
+    hits = ray_hits(rays, voxels).groupBy("ray_id").agg(
         F.count_if(F.col("state") == OCCUPIED).alias("depth"),
         F.count_if(F.col("state") == UNKNOWN).alias("unknown_cells"),
         F.count_if(F.col("state") == occupied_value).alias("_blocking"),
@@ -101,10 +97,8 @@ def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUP
     ).drop("_blocking")
 
 
-def line_of_sight(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, unknown_blocks: bool = False, unique: bool = False) -> DataFrame:
-    """The rays that meet no blocking cell; blocking cells are filtered before the join."""
+def line_of_sight(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, unknown_blocks: bool = False) -> DataFrame:
+    """The rays that meet no blocking cell."""
     states = [occupied_value, UNKNOWN] if unknown_blocks else [occupied_value]
-    cells = voxels if unique else cells_near_rays(rays, voxels)
-    blocking = cells.where(F.col("state").isin(*states))
-    blocked = ray_cells(rays).join(blocking, CELL_KEY, "left_semi").select("ray_id").distinct()
+    blocked = ray_hits(rays, voxels).where(F.col("state").isin(*states)).select("ray_id").distinct()
     return rays.join(blocked, "ray_id", "left_anti")

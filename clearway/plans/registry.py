@@ -123,7 +123,7 @@ def requested_scenes_missing(s: SceneTables) -> DataFrame:
 
 @query
 def frame_assembly(s: SceneTables) -> DataFrame:
-    out = tables.assemble_frames(s.frames, s.voxels(), s.boxes)
+    out = tables.assemble_frames(s.frames, s.voxel_rows(attrs=False), s.boxes)
     return out.select("scene", "t", "time_s", "speed", "n_occupied", "n_unknown", "n_boxes")
 
 
@@ -331,7 +331,7 @@ def abeam_clearance(s: SceneTables) -> DataFrame:
 @query
 def state_counts(s: SceneTables) -> DataFrame:
     nx, ny, nz = GRID_SHAPE
-    return obstacles.cell_counts(s.voxels(), s.frames, nx * ny * nz)
+    return obstacles.cell_counts(s.voxel_rows(attrs=False), s.frames, nx * ny * nz)
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clearway.functions.occupancy import OCCUPIED, UNKNOWN
+from clearway.operators.obstacles import stored_counts
 from clearway.schemas import FRAME_KEY
 
 
@@ -20,9 +20,7 @@ def write_frame_table(df: DataFrame, table: str, buckets: int) -> None:
 
 def assemble_frames(frames: DataFrame, voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Frames next to what they hold: occupied, unknown and box counts; frames without children stay."""
-    cells = voxels.groupBy(*FRAME_KEY).agg(
-        F.count_if(F.col("state") == OCCUPIED).alias("n_occupied"), F.count_if(F.col("state") == UNKNOWN).alias("n_unknown")
-    )
+    cells = stored_counts(voxels).withColumnsRenamed({"occupied": "n_occupied", "unknown": "n_unknown"})
     objects = boxes.groupBy(*FRAME_KEY).agg(F.count("*").alias("n_boxes"))
     joined = frames.join(cells, FRAME_KEY, "left").join(objects, FRAME_KEY, "left")
     return joined.fillna(0, ["n_occupied", "n_unknown", "n_boxes"])
