@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clearway.functions import geometry as geo
-from clearway.functions.occupancy import OCCUPIED, POLICY_FREE, POLICY_OCCUPIED, UNKNOWN, blocks
+from clearway.functions.occupancy import OCCUPIED, POLICY_OCCUPIED, UNKNOWN, blocks
 from clearway.plans.joins import with_attrs
 from clearway.schemas import FRAME_ATTRS, FRAME_KEY
 
@@ -54,12 +54,12 @@ def unique_cells(voxels: DataFrame) -> DataFrame:
     )
 
 
-def obstacle_centers(voxels: DataFrame, frames: DataFrame, *, policy: str = POLICY_OCCUPIED, attrs: list[str] = FRAME_ATTRS) -> DataFrame:
+def obstacle_centers(voxels: DataFrame, frames: DataFrame, *, policy: str = POLICY_OCCUPIED) -> DataFrame:
     """Obstacle rows inside the ego height band with world coordinates x, y, z and frame attributes.
 
     ``policy='occupied'`` keeps UNKNOWN rows too, so one pass can serve both readings through ``state``.
     """
-    rows = with_attrs(voxels.where(blocks(F.col("state"), policy)), frames, sorted(set(attrs) | set(FRAME_ATTRS)))
+    rows = with_attrs(voxels.where(blocks(F.col("state"), policy)), frames, FRAME_ATTRS)
     z = geo.voxel_to_world(F.col("k"), F.col("oz"), F.col("voxel_size"))
     return (
         rows.withColumn("z", z)

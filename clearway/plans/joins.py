@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def known_rows(df: DataFrame, limit: int) -> int:
-    """Row count of ``df``, counted no further than ``limit + 1``."""
-    return df.limit(limit + 1).count()
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``limit`` rows. A plain count: it combines map-side and moves no rows."""
+    return df.count() <= limit
 
 
 def join_checked(fact: DataFrame, side: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -18,7 +18,7 @@ def join_checked(fact: DataFrame, side: DataFrame, on: list[str], how: str = "in
 
     The shuffled join is left to adaptive execution, which splits skewed keys of the fact side.
     """
-    if known_rows(side, limit) <= limit:
+    if is_small(side, limit):
         return fact.join(F.broadcast(side), on, how)
     return fact.join(side, on, how)
 
@@ -28,7 +28,7 @@ def semi_join_if_small(fact: DataFrame, side: DataFrame, on: list[str], limit: i
 
     For filters that only save work and do not change the result.
     """
-    if known_rows(side, limit) <= limit:
+    if is_small(side, limit):
         return fact.join(F.broadcast(side), on, "left_semi")
     return fact
 
