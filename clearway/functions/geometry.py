@@ -15,9 +15,10 @@ def world_to_voxel(value: Column, origin: Column, voxel_size: Column) -> Column:
     return F.rint((value - origin) / voxel_size).cast("int")
 
 
-def in_height_band(z: Column, ground_height: Column, height: Column) -> Column:
-    """Strictly above the ground and not above the vehicle envelope."""
-    return (z > ground_height) & (z <= ground_height + height)
+def in_height_band(z: Column, ground_height: Column, height: Column | None) -> Column:
+    """Strictly above the ground and at most ``height`` above it (None: no upper limit)."""
+    above = z > ground_height
+    return above if height is None else above & (z <= ground_height + height)
 
 
 def in_grid(i: Column, j: Column, k: Column, shape: tuple[int, int, int]) -> Column:

@@ -54,16 +54,20 @@ def unique_cells(voxels: DataFrame) -> DataFrame:
     )
 
 
-def obstacle_centers(voxels: DataFrame, frames: DataFrame, *, policy: str = POLICY_OCCUPIED) -> DataFrame:
-    """Obstacle rows inside the ego height band with world coordinates x, y, z and frame attributes.
+def obstacle_centers(
+    voxels: DataFrame, frames: DataFrame, *, policy: str = POLICY_OCCUPIED, max_height: str | float | None = "height"
+) -> DataFrame:
+    """Obstacle rows above the ground with world coordinates x, y, z and frame attributes.
 
+    ``max_height`` caps the height above ground: a frame column (the ego height by default), metres or None.
     ``policy='occupied'`` keeps UNKNOWN rows too, so one pass can serve both readings through ``state``.
     """
     rows = with_attrs(voxels.where(blocks(F.col("state"), policy)), frames, FRAME_ATTRS)
     z = geo.voxel_to_world(F.col("k"), F.col("oz"), F.col("voxel_size"))
+    cap = F.col(max_height) if isinstance(max_height, str) else None if max_height is None else F.lit(float(max_height))
     return (
         rows.withColumn("z", z)
-        .where(geo.in_height_band(F.col("z"), F.col("ground_height"), F.col("height")))
+        .where(geo.in_height_band(F.col("z"), F.col("ground_height"), cap))
         .withColumn("x", geo.voxel_to_world(F.col("i"), F.col("ox"), F.col("voxel_size")))
         .withColumn("y", geo.voxel_to_world(F.col("j"), F.col("oy"), F.col("voxel_size")))
     )

@@ -12,8 +12,12 @@ from clearway.operators.temporal import scope_flags, transition_hits
 from clearway.plans.catalogue import FrameView, Query, needs_of
 
 
-def match_matrix(metrics: DataFrame, queries: Sequence[Query], scenes: DataFrame | None = None, policies: Sequence[str] = METRIC_POLICIES) -> DataFrame:
+def match_matrix(
+    metrics: DataFrame, queries: Sequence[Query], scenes: DataFrame | None = None, policies: Sequence[str] = METRIC_POLICIES
+) -> DataFrame:
     """One row per scene with a BOOLEAN column ``<query id>__<policy>`` per query and policy."""
+    if len({q.id for q in queries}) < len(queries):
+        raise ValueError("query ids must be distinct")
     columns: dict[str, Column] = {}
     moves: dict[str, tuple[Column, Column, int]] = {}
     flags: dict[str, tuple[str, str]] = {}

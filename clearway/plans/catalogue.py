@@ -52,6 +52,12 @@ class FrameView:
 Condition = Callable[[FrameView], Column]
 
 
+# What a query may declare.
+SCOPES = ("any", "all", "transition")
+BACKENDS = ("occupancy", "tracking")
+STATUSES = ("implemented", "baseline_only")
+
+
 @dataclass(frozen=True)
 class Query:
     """One retrieval query; ``transition`` uses before / after / within_frames, the other scopes predicate."""
@@ -69,16 +75,22 @@ class Query:
     # Scope any only: a part of the predicate (joined by "and") that needs no voxels, to skip frames early.
     gate: Condition | None = None
 
+    rationale: str = ""
+
     def __post_init__(self) -> None:
-        conditions = (self.before, self.after) if self.scope == "transition" else (self.predicate,)
-        if self.scope not in ("any", "all", "transition"):
-            raise ValueError(f"unknown scope: {self.scope}")
-        if any(c is None for c in conditions):
-            raise ValueError(f"query {self.id}: scope {self.scope} lacks a condition")
-        if self.gate is not None and self.scope != "any":
-            raise ValueError(f"query {self.id}: only scope any can have a gate")
-        if self.scope == "transition" and self.within_frames < 1:
-            raise ValueError(f"query {self.id}: within_frames must be at least 1")
+        moving = self.scope == "transition"
+        rules = {
+            "scope is any, all or transition": self.scope in SCOPES,
+            "backend is occupancy or tracking": self.backend in BACKENDS,
+            "status is implemented or baseline_only": self.status in STATUSES,
+            "transition has before, after and a positive within_frames, and nothing else does":
+                moving == (self.before is not None) == (self.after is not None) == (self.within_frames >= 1),
+            "any and all have a predicate, transition has none": moving == (self.predicate is None),
+            "only scope any may have a gate": self.gate is None or self.scope == "any",
+        }
+        broken = [rule for rule, kept in rules.items() if not kept]
+        if broken:
+            raise ValueError(f"query {self.id}: {'; '.join(broken)}")
 
     @property
     def is_occupancy(self) -> bool:
@@ -121,18 +133,21 @@ def needs_of(queries: Iterable[Query], **more) -> fm.Needs:
 TIGHT_CLEARANCE = Query(
     id="tight_clearance_at_speed",
     text="passed within 0.5 m of something solid while faster than 30 km/h",
+    rationale="distance to occupied space is no property of a box; the surface may be a wall, debris or a curb",
     predicate=lambda f: (f.lateral_clearance() < 0.5) & (f.ego_speed() > 8.33),
     gate=lambda f: f.ego_speed() > 8.33,
 )
 CORRIDOR_NARROWS = Query(
     id="corridor_narrows_below_vehicle_width",
     text="the free path ahead narrowed to less than the width of the car",
+    rationale="the width of free space is a property of empty space",
     predicate=lambda f: (f.min_free_width_along_path(2.0) > 0) & (f.min_free_width_along_path(2.0) < f.ego_width()),
 )
 BLOCKED_THEN_CLEARS = Query(
     id="blocked_then_clears",
     text="the path ahead was blocked and became free within three frames",
     scope="transition",
+    rationale="a change of free space over time; box tracks carry no free space",
     before=lambda f: ~f.free_along_ego_path(1.0),
     after=lambda f: f.free_along_ego_path(1.0),
     within_frames=3,
@@ -143,6 +158,7 @@ NEAR_VEHICLE = Query(
     backend="tracking",
     status="baseline_only",
     box_expressible=True,
+    rationale="control: boxes answer this just as well",
     predicate=lambda f: f.distance_to_nearest_object("vehicle") < 2.0,
 )
 CATALOGUE = (TIGHT_CLEARANCE, CORRIDOR_NARROWS, BLOCKED_THEN_CLEARS, NEAR_VEHICLE)

@@ -231,6 +231,16 @@ def obstacle_filter(s: SceneTables) -> DataFrame:
     )
 
 
+@query
+def obstacles_uncapped(s: SceneTables) -> DataFrame:
+    """Occupied cells above the ground without an upper limit, and below a fixed height of one metre."""
+    rows = obstacles.obstacle_centers(s.voxels(), s.frames, policy=POLICY_FREE, max_height=None)
+    return rows.groupBy("scene", "t").agg(
+        F.count("*").alias("above_ground"), F.max("z").alias("z_max"),
+        F.count_if(geo.in_height_band(F.col("z"), F.col("ground_height"), F.lit(1.0))).alias("below_one_metre"),
+    )
+
+
 @query
 def ego_projection(s: SceneTables) -> DataFrame:
     """Box centres in the ego frame, for headings in steps of 45 degrees and a moving ego."""

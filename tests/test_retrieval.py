@@ -186,8 +186,17 @@ def test_query_rules():
         cat.Query("a", "", scope="sometimes", predicate=lambda f: f.ego_speed() > 1)
     with pytest.raises(ValueError):
         cat.Query("a", "", scope="transition", predicate=lambda f: f.ego_speed() > 1)
-    with pytest.raises(ValueError):
-        cat.Query("a", "", scope="any")
+    fast = lambda f: f.ego_speed() > 1
+    for wrong in (
+        {"scope": "any"}, {"predicate": fast, "backend": "lidar"}, {"predicate": fast, "status": "planned"},
+        {"predicate": fast, "within_frames": 2}, {"predicate": fast, "before": fast},
+        {"scope": "transition", "before": fast, "after": fast}, {"scope": "transition", "before": fast, "within_frames": 2},
+        {"scope": "transition", "before": fast, "after": fast, "within_frames": 2, "predicate": fast},
+    ):
+        with pytest.raises(ValueError):
+            cat.Query("a", "", **wrong)
+    cat.Query("a", "", scope="transition", before=fast, after=fast, within_frames=1)
+    cat.Query("a", "", scope="all", predicate=fast)
     with pytest.raises(ValueError):
         cat.Query("a", "", scope="all", predicate=lambda f: f.ego_speed() > 1, gate=lambda f: f.ego_speed() > 1)
     needs = cat.needs_of(cat.CATALOGUE)
