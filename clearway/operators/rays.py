@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clearway.functions.occupancy import OCCUPIED, UNKNOWN
-from clearway.operators.obstacles import SEGMENT_KEY, cell_masks, place_in_segment, segment_of
+from clearway.functions.occupancy import FREE, OCCUPIED, UNKNOWN
+from clearway.operators.obstacles import SEGMENT_BITS, SEGMENT_CELLS, SEGMENT_KEY, cell_masks
 from clearway.plans.joins import semi_join_if_small
 from clearway.schemas import FRAME_KEY
 
+RAY_KEY = ["ray_id", *FRAME_KEY]
 # Rays stepped together; bounds the memory of one output batch.
 RAYS_PER_STEP = 4096
 
@@ -49,56 +50,79 @@ def _cells_between(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(who), np.concatenate(where), np.concatenate(cells)
 
 
-def _step_rays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """The batches in parts of ``RAYS_PER_STEP`` rays, each with the cells of its rays."""
     for batch in batches:
         for start in range(0, batch.num_rows, RAYS_PER_STEP):
             part = batch.slice(start, RAYS_PER_STEP)
             ends = [np.stack([part[c].to_numpy() for c in cols], axis=1).astype(np.int64)
                     for cols in (("si", "sj", "sk"), ("di", "dj", "dk"))]
-            who, pos, cells = _cells_between(*ends)
-            keys = [part[c].take(pa.array(who)) for c in ("ray_id", "scene", "t")]
-            yield pa.RecordBatch.from_arrays(
-                [*keys, pa.array(pos), *[pa.array(cells[:, a]) for a in range(3)]],
-                names=["ray_id", "scene", "t", "pos", "i", "j", "k"],
-            )
+            yield part, *_cells_between(*ends)
 
 
-def ray_cells(rays: DataFrame) -> DataFrame:
-    """The cells strictly between source and target, in order (``pos`` from 1), one row each."""
+def _emit(part: pa.RecordBatch, who: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Computed columns next to the keys of the rays they belong to."""
+    keys = [part[c].take(pa.array(who)) for c in RAY_KEY]
+    return pa.RecordBatch.from_arrays([*keys, *[pa.array(c) for c in columns.values()]], names=[*RAY_KEY, *columns])
+
+
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, who, pos, cells in _stepped(batches):
+        yield _emit(part, who, {"pos": pos, "i": cells[:, 0], "j": cells[:, 1], "k": cells[:, 2]})
+
+
+def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, who, pos, cells in _stepped(batches):
+        order = np.lexsort((pos, who))
+        who, (i, j, k) = who[order], cells[order].T
+        segment = i >> SEGMENT_BITS
+        row = np.stack([who, j, k, segment])
+        # A ray never comes back to a row segment it has left, so its cells there are consecutive.
+        first = np.flatnonzero(np.r_[True, (row[:, 1:] != row[:, :-1]).any(axis=0)][: len(who)])
+        bits = np.left_shift(np.uint64(1), (i & (SEGMENT_CELLS - 1)).astype(np.uint64))
+        path = np.bitwise_or.reduceat(bits, first).view(np.int64) if len(first) else bits.view(np.int64)
+        yield _emit(part, who[first], {"j": j[first], "k": k[first], "segment": segment[first], "path": path})
+
+
+def _mapped(rays: DataFrame, step, columns: str) -> DataFrame:
     types = dict(rays.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in ("ray_id", "scene", "t")) + ", pos INT, i INT, j INT, k INT"
-    return rays.select("ray_id", "scene", "t", "si", "sj", "sk", "di", "dj", "dk").mapInArrow(_step_rays, schema)
+    schema = ", ".join(f"{c} {types[c]}" for c in RAY_KEY) + ", " + columns
+    return rays.select(*RAY_KEY, "si", "sj", "sk", "di", "dj", "dk").mapInArrow(step, schema)
 
 
-def ray_hits(rays: DataFrame, voxels: DataFrame) -> DataFrame:
-    """Stored cells met by each ray: ray_id, pos, state. Free cells are not stored, so give no row.
+def ray_cells(rays: DataFrame) -> DataFrame:
+    """The cells strictly between source and target, in order (``pos`` from 1), one row each."""
+    return _mapped(rays, _cell_rows, "pos INT, i INT, j INT, k INT")
 
-    Cells are looked up in the bit masks of :func:`cell_masks`, one row per key, so copies of a voxel
-    cannot multiply rows. A counted-small set of frames with rays is broadcast to drop other frames
-    before any shuffle; a large set is not worth a join of its own.
-    """
-    masks = cell_masks(semi_join_if_small(voxels, rays.select(*FRAME_KEY).distinct(), FRAME_KEY))
-    met = ray_cells(rays).withColumn("segment", segment_of(F.col("i"))).join(masks, SEGMENT_KEY)
-    place = place_in_segment(F.col("i"))
-    state = F.when(F.getbit("occupied", place) == 1, OCCUPIED).when(F.getbit("unknown", place) == 1, UNKNOWN)
-    return met.select("ray_id", "pos", state.alias("state")).where(F.col("state").isNotNull())
+
+def ray_segments(rays: DataFrame) -> DataFrame:
+    """The cells between source and target as bit masks (``path``) over the segments of ``cell_masks``."""
+    return _mapped(rays, _segment_rows, "j INT, k INT, segment INT, path BIGINT")
 
 
 def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED) -> DataFrame:
-    """Per ray: OCCUPIED cells in between (``depth``), UNKNOWN ones, and visibility under both rules."""
-    hits = ray_hits(rays, voxels).groupBy("ray_id").agg(
-        F.count_if(F.col("state") == OCCUPIED).alias("depth"),
-        F.count_if(F.col("state") == UNKNOWN).alias("unknown_cells"),
-        F.count_if(F.col("state") == occupied_value).alias("_blocking"),
+    """Per ray: OCCUPIED cells in between (``depth``), UNKNOWN ones, and visibility under both rules.
+
+    Paths and voxels meet as bit masks, one voxel row per key, so copies of a voxel cannot multiply rows.
+    A counted-small set of frames with rays is broadcast to drop other frames before any shuffle; a large
+    set is not worth a join of its own.
+    """
+    masks = cell_masks(semi_join_if_small(voxels, rays.select(*FRAME_KEY).distinct(), FRAME_KEY))
+    met = ray_segments(rays).join(masks, SEGMENT_KEY)
+    hits = met.groupBy("ray_id").agg(
+        F.sum(F.bit_count(F.col("path").bitwiseAND(F.col("occupied")))).alias("depth"),
+        F.sum(F.bit_count(F.col("path").bitwiseAND(F.col("unknown")))).alias("unknown_cells"),
+    )
+    out = rays.join(hits, "ray_id", "left").fillna(0, ["depth", "unknown_cells"])
+    steps = F.abs(F.col("di") - F.col("si")) + F.abs(F.col("dj") - F.col("sj")) + F.abs(F.col("dk") - F.col("sk"))
+    free = F.greatest(steps - 1, F.lit(0)) - F.col("depth") - F.col("unknown_cells")
+    blocking = {OCCUPIED: F.col("depth"), UNKNOWN: F.col("unknown_cells"), FREE: free}.get(occupied_value, F.lit(0))
+    return out.withColumn("visible", blocking == 0).withColumn(
+        "visible_unknown_blocks", (blocking == 0) & (F.col("unknown_cells") == 0)
     )
-    out = rays.join(hits, "ray_id", "left").fillna(0, ["depth", "unknown_cells", "_blocking"])
-    return out.withColumn("visible", F.col("_blocking") == 0).withColumn(
-        "visible_unknown_blocks", (F.col("_blocking") == 0) & (F.col("unknown_cells") == 0)
-    ).drop("_blocking")
 
 
 def line_of_sight(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, unknown_blocks: bool = False) -> DataFrame:
     """The rays that meet no blocking cell."""
-    states = [occupied_value, UNKNOWN] if unknown_blocks else [occupied_value]
-    blocked = ray_hits(rays, voxels).where(F.col("state").isin(*states)).select("ray_id").distinct()
-    return rays.join(blocked, "ray_id", "left_anti")
+    seen = occlusion(rays, voxels, occupied_value=occupied_value)
+    return seen.where("visible_unknown_blocks" if unknown_blocks else "visible").select(*rays.columns)

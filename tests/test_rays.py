@@ -51,6 +51,20 @@ def test_cells_match_single_steps(spark):
         assert got.get(n, []) == march(a, b), (a, b)
 
 
+def test_segments_hold_the_same_cells(spark):
+    rng = random.Random(9)
+    ends = [((0, 0, 0), (150, 3, 2)), ((63, 0, 0), (64, 5, 0)), ((2, 2, 2), (2, 2, 2)), ((130, 1, 1), (-70, 0, 4))]
+    ends += [tuple(tuple(rng.randrange(-90, 90) for _ in range(3)) for _ in range(2)) for _ in range(100)]
+    got = {}
+    for r in rays.ray_segments(table(spark, ends)).collect():
+        for b in range(64):
+            if (r["path"] >> b) & 1:
+                cell = (r["segment"] * 64 + b, r["j"], r["k"])
+                assert cell not in got.setdefault(r["ray_id"], set())
+                got[r["ray_id"]].add(cell)
+    assert got == {n: set(march(a, b)) for n, (a, b) in enumerate(ends) if march(a, b)}
+
+
 CASES = {
     "clear": ([], True, True, 0),
     "blocked": ([(4, 0, 0, 1)], False, False, 1),
@@ -80,13 +94,14 @@ def test_line_of_sight(world):
     assert strict == {s for s, (_, _, v, _) in CASES.items() if v}
     unknown_only = {r["scene"] for r in rays.line_of_sight(*world, occupied_value=-1).collect()}
     assert unknown_only == set(CASES) - {"unknown"}
+    assert {r["scene"] for r in rays.line_of_sight(*world, occupied_value=0).collect()} == set()
 
 
 def test_workers_need_no_copy_of_the_package():
-    sent = cloudpickle.dumps((rays._step_rays, label_volumes._cells))
+    sent = cloudpickle.dumps((rays._segment_rows, label_volumes._cells))
     code = "import pickle, sys; print([f.__name__ for f in pickle.load(sys.stdin.buffer)], 'clearway' in sys.modules)"
     out = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", env={"PATH": ""}, check=True)
-    assert out.stdout.decode().strip() == "['_step_rays', '_cells'] False"
+    assert out.stdout.decode().strip() == "['_segment_rows', '_cells'] False"
 
 
 def test_rays_without_voxels(spark, world):
