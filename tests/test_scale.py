@@ -1,5 +1,7 @@
 """Properties that matter at scale: no shuffle on bucketed tables, small partials, hot keys."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,21 @@ def test_write_frame_table(spark, tmp_path):
     spark.sql("DROP DATABASE scale_test CASCADE")
 
 
+def test_gate_and_state_reach_the_scan(spark, tmp_path):
+    """With the frame columns stored on the voxels, a query's gate is a filter of the Parquet scan."""
+    voxels, frames = grid(spark, 5000)
+    voxels.join(frames, ["scene", "t"]).write.parquet(f"{tmp_path}/stored")
+    stored = spark.read.parquet(f"{tmp_path}/stored")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = plan_of(fm.occupancy_metrics(stored, frames, cat.needs_of([cat.TIGHT_CLEARANCE])))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):plan.index("ReadSchema")]
+    assert "GreaterThan(speed,8.33)" in pushed and "In(state" in pushed
+    read = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
+    assert "time_s" not in read and "heading" not in read
+    assert plan.count("Join") == 0
+
+
 def test_partials_combine_before_the_shuffle(spark):
     voxels, frames = grid(spark, 20000)
     plan = plan_of(fm.occupancy_metrics(voxels, frames, fm.Needs(clearance=True)))
