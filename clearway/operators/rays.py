@@ -3,8 +3,8 @@
 A ray runs from the centre of its source cell to the centre of its target cell and steps one axis at a
 time across the boundary it reaches first (ties: x, then y, then z). Boundary times are accumulated by
 repeated addition, because the rounding of that sum decides exact ties; no closed form gives the same
-cells. Stepping all rays of an Arrow batch together is several hundred times faster than a fold over a
-struct in the JVM, so this is the one operator besides the volume decoder that leaves it.
+cells. Stepping all rays of an Arrow batch together took the traversal query from 25 s, as a fold over a
+struct in the JVM, to under 5 s at sf0.1, so this operator leaves the JVM, as the volume decoder does.
 """
 
 from __future__ import annotations
