@@ -7,14 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clearway.llm import packing
+from clearway.llm.common import table
 from clearway.llm.queries import tokenizer_path
+from clearway.session import new_shared_path
 
 # SQL has neither the fitted models nor the tokenizer.
 ORACLE_SQL = None
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Everything that is left, in sequences of 2048 tokens."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("best-fit packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage is written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_shared_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
