@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -51,3 +52,19 @@ def by_row(fn: Callable[..., tuple | None], columns: list[str], schema: pa.Schem
 def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, label) of about ``rows`` labelled documents, chosen by a hash of the id; all if there are fewer.
+
+    Of contradicting labels of one id the more frequent counts, 1 in a tie; null ids and labels are left out. The chosen labels, never more
+    than ``rows`` and a chance excess, are broadcast, so the texts are not shuffled.
+    """
+    known = (
+        labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("double").alias("label"))
+        .dropna().groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    )
+    parts = 1 << 30
+    share = min(parts, math.ceil(parts * rows / max(1, known.count())))
+    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(label)), F.lit(parts)) < share)
+    return id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "id")
