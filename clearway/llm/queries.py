@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clearway.llm import digest, html_text, packing, pieces, quality, secret_scan, simhash, url_rules, vectors
+from clearway.llm import digest, html_text, packing, pieces, quality, secret_scan, simhash, toxicity, url_rules, vectors
 from clearway.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,6 @@ def tokenizer_path(name: str) -> str:
 @query
 def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    # NULL-safe: a row without an id is never learned from and counts as held out of nothing.
     model = quality.fit(docs, labels.where(fold("doc_id", 5) != 0))
     return quality.score(docs, model).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
@@ -67,6 +66,17 @@ def op6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
 
+TOXIC_THRESHOLD = 0.7
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 

@@ -164,8 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id, with all columns of ``docs``.
 
-    Rows that repeat an id are kept with it; rows without an id stay only if their group has no other.
+    Rows that repeat the kept id stay with it; rows without an id have no name to be kept or dropped by and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius)
+    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct())
+    named = docs.where(F.col(id_col).isNotNull())
+    return named.join(kept, named[id_col].cast("long") == kept["_kept"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

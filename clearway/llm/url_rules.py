@@ -45,16 +45,17 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         .withColumn("digest", F.sha2(F.concat_ws("\n", "host", "path"), 256))
         .select("rule", "verdict", F.substring("digest", 1, PREFIX_DIGITS).alias("short"), F.col("digest").alias("rule_digest"), F.length("path").alias("path_length"))
     )
-    # One row, however many rules there are: the lengths their paths have, bounded by the longest url.
-    lengths = rules.agg(F.array_sort(F.collect_set("path_length")).alias("lengths")).withColumn("all", F.lit(1))
+    # The lengths their paths have: no more than the longest url has characters, however many rules there are.
+    lengths = sorted(r.path_length for r in rules.select("path_length").distinct().collect())
+    if not lengths:
+        lengths = [1]
     urls = (
         pages.select(F.col(url_col).cast("string").alias("url")).where(F.col("url").isNotNull()).distinct()
         .select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     )
-    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
     expressions = (
-        urls.withColumn("all", F.lit(1)).join(F.broadcast(lengths), "all")
-        .select("url", F.explode(F.flatten(F.transform(
+        urls.select("url", F.explode(F.flatten(F.transform(
             suffixes(F.col("host")), lambda h: F.transform(fitting, lambda n: F.sha2(F.concat_ws("\n", h, F.col("path").substr(F.lit(1), n)), 256)),
         ))).alias("digest"))
         .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
