@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -77,10 +78,14 @@ class Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("body", None)
+        self.open: Counter[str] = Counter()
         self.depth = 0
-        self.articles = 0
         self.links = 0
 
+    @property
+    def in_article(self) -> bool:
+        return self.open["article"] > 0
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
             return
@@ -91,7 +96,7 @@ class Builder(HTMLParser):
                 self.links = 1
             elif tag == "br":
                 self.at.items.append(" ")
-            if tag not in VOID and is_furniture(tag, attrs, self.articles > 0):
+            if tag not in VOID and is_furniture(tag, attrs, self.in_article):
                 self._open(tag, True)
             return
         if tag in CLOSES_P:
@@ -103,7 +108,7 @@ class Builder(HTMLParser):
             self.at.tags += 1
             self.at.items.append(" ")
             return
-        self._open(tag, is_furniture(tag, attrs, self.articles > 0))
+        self._open(tag, is_furniture(tag, attrs, self.in_article))
 
     def handle_endtag(self, tag):
         if tag == "a":
@@ -122,28 +127,26 @@ class Builder(HTMLParser):
     def _open(self, tag, furniture):
         self.links = 0
         if self.depth >= MAX_DEPTH:
-            return
+            return  # what is nested deeper counts to the element around it
         inner = Element(tag, self.at, furniture)
         self.at.items.append(inner)
         self.at = inner
         self.depth += 1
-        self.articles += tag == "article"
+        self.open[tag] += 1
 
     def _close(self, tag, within):
         """End the innermost open ``tag``, unless one of ``within`` or a table cell bounds it."""
-        found, steps = self.at, 0
-        while found.parent is not None and found.tag != tag:
+        if not self.open[tag]:
+            return
+        found = self.at
+        while found.tag != tag:
             if found.tag in within or (tag == "p" and found.tag in ("td", "th", "article", "li")):
                 return
-            found, steps = found.parent, steps + 1
-        if found.parent is None:
-            return
-        while self.at is not found:
-            self.articles -= self.at.tag == "article"
+            found = found.parent
+        while self.at is not found.parent:
+            self.open[self.at.tag] -= 1
+            self.depth -= 1
             self.at = self.at.parent
-        self.articles -= found.tag == "article"
-        self.at = found.parent
-        self.depth -= steps + 1
 
 
 def _preorder(root: Element) -> list[Element]:
@@ -177,6 +180,12 @@ def _measure(elements: list[Element], body: Element) -> None:
         e.total = sum(x.density for x in e.items if isinstance(x, Element) and not x.furniture)
 
 
+def _within(inner: Element, outer: Element) -> bool:
+    while inner is not None and inner is not outer:
+        inner = inner.parent
+    return inner is outer
+
+
 def _content(body: Element) -> list[Element]:
     elements = _preorder(body)
     _measure(elements, body)
@@ -186,10 +195,13 @@ def _content(body: Element) -> list[Element]:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    # The page's own mark of its article outranks the densities inside it.
-    marked = [e for e in path if e.tag == "article"] or [e for e in path if e.tag == "main"]
-    if marked:
-        return [marked[-1]]
+    # The page's own mark of its article outranks the densities: of the one around the best element, or of the only one.
+    marked = [e for e in path if e.tag == "article"][-1:] or [e for e in path if e.tag == "main"][-1:]
+    if not marked:
+        marked = [e for e in elements if e.tag == "article" and e.chars]
+        marked = [e for e in marked if not any(e is not m and _within(e, m) for m in marked)] if len(marked) < 10 else []
+    if len(marked) == 1:
+        return marked
     threshold = min(e.density for e in path)
     inside = set(map(id, path))
     chosen, stack = [], [body]

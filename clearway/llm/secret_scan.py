@@ -40,15 +40,37 @@ REACH = 64
 # A candidate is one unbroken string of key characters, this long, with digits and letters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SURROUNDINGS = 256
-MIN_BYTES_PER_CHAR = 0.55
+MIN_BYTES_PER_CHAR = 0.65
 
+# Words that identifiers, paths and placeholders are made of; strings built from them compress behind this.
 IDENTIFIERS = """
-abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000 1111111111 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX 1234567890
-your_password_here your-api-key-here YOUR_SECRET_TOKEN change_me placeholder example sample dummy test_token access_key_id secret_access_key
-client_id client_secret private_key public_key refresh_token session_token authorization_header bearer username password passwd credentials
-config settings environment variable parameter argument function return import package module class object string integer default
-get_secret_value set_password reset_password token_expires_in max_tokens num_tokens tokenizer token_type api_key_required api_version
-localhost http https www com org net html json yaml xml path file name value type data user id key index version
+abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000 1111111111 xxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXX 1234567890 9876543210
+account action active address admin agent alias allow amount answer apply archive argument array article assert asset async attribute audio author auto
+back balance bank base batch block body boolean branch bridge browser bucket buffer build button byte cache call cancel card category cell chain change
+channel char check child class clean clear click client clone close cloud code collection color column command comment commit common compare complete
+component compress compute condition config configuration confirm connect connection console constant container content context control convert cookie
+copy core count country create currency current custom data database date debug decode default define delete delivery deploy description design detail
+device dialog digest direct directory disable display document domain double download driver dump duplicate dynamic edit element email enable encode
+encoder end engine entity entry enum environment equal error event example except execute exist expire export express extension external factory fail
+feature fetch field file filter final find first flag float folder font force form format forward frame free from function game gateway generate generic
+global google graph grid group guard handle handler hash head header height help hidden history home host http https image import index info init inner
+input insert install instance integer interface internal invalid invoice item java javascript job join json keyboard kind label language large last latest
+layer layout leaf left length level library license light limit line link list listener load local location lock login logout loop machine mail main
+manager map mark mask master match memory menu merge message meta method metric minimum mobile mode model module monitor mount move name native network
+next node none normal note notification null number object offer offset open operation operator option order organization origin output overlay owner
+package page pair panel parameter parent parse partition password path pattern payment percent permission person phone photo picture placeholder plan
+platform player plugin point policy port position post prefix press preview previous price primary print private process product profile program
+progress project property protocol provider proxy public purchase query queue quick random range rate read ready record redirect reference refresh region
+register release remote remove render repeat replace report request required reset resource response restore result return review right role root route
+router rule run sample save scale scan schedule schema scope screen script search second secret section secure segment select send sequence serial
+server service session setting settings setup shape share shell short show signature simple single size slot sort source space split stack stage standard
+start state static status step stop storage store stream string strip style subject submit suffix summary support switch symbol sync syntax system table
+target task template tenant test text thread threshold time timeout timestamp title token tool topic total trace track transaction transfer transform
+transition translate transport tree trigger true type unique unit update upgrade upload url user username utility valid validate value variable vector
+vendor verify version video view virtual visible visit wait warning watch web weight width window word worker workspace wrapper write year yellow zone
+your_password_here your-api-key-here YOUR_SECRET_TOKEN change_me dummy test_token access_key_id secret_access_key client_id client_secret private_key
+public_key refresh_token session_token authorization_header bearer credentials get_user_by_id set_value is_valid to_string max_tokens num_tokens
+tokenizer api_version localhost www com org net io html yaml xml src/main/java lib/python usr/local/bin node_modules
 """.strip().encode()
 
 
@@ -73,7 +95,9 @@ class Novelty:
 
     def marginal_bytes(self, around: bytes, candidate: bytes) -> int:
         primed = zstandard.ZstdCompressionDict(self.identifiers + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        packer = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+        options = zstandard.ZstdCompressionParameters.from_level(
+            19, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        packer = zstandard.ZstdCompressor(dict_data=primed, compression_params=options)
         # The same surroundings go before both, so that only what the candidate adds is left.
         tail = around[-16:]
         return len(packer.compress(tail + candidate)) - len(packer.compress(tail))

@@ -1,0 +1,71 @@
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings, strategies as st
+
+from clearway.llm import pieces
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
+ENCODER = pieces.Encoder(PATH)
+
+
+def ids(text):
+    import numpy as np
+
+    return np.frombuffer(ENCODER.encode([text])[0], dtype="<i4").tolist()
+
+
+@pytest.mark.parametrize("text", ["", " ", "  a  b\n\nc \t d", "▁x <s> </s> <0x41> <unk>", "日本語 😀 é é", "x" * 300, " " * 40, "antidisestablishmentarianism", "\x00\x1f"])
+def test_ids_equal_the_librarys(text):
+    assert ids(text) == LIBRARY.encode(text)
+    assert ENCODER.decode(ids(text)) == LIBRARY.decode(LIBRARY.encode(text))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8", exclude_characters="\x00"), st.sampled_from("etaoin shrdlu▁\n")), max_size=60))
+def test_ids_of_any_text(text):
+    assert ids(text) == LIBRARY.encode(text)
+
+
+def test_shared_prefixes_do_not_change_ids():
+    words = ["▁the", "▁them", "▁theme", "▁then", "▁thermal", "▁z"]
+    walk = pieces.TrieWalk(ENCODER.model)
+    assert [walk.encode(w) for w in sorted(words)] == [pieces.TrieWalk(ENCODER.model).encode(w) for w in sorted(words)]
+
+
+def test_unigram_takes_the_best_sum():
+    """Against all cuts of short words, with invented scores."""
+    from itertools import product
+
+    model = object.__new__(pieces.PieceModel)
+    model.pieces = ["a", "b", "ab", "ba", "aba", "abb"]
+    model.ids = {p: i for i, p in enumerate(model.pieces)}
+    model.scores = dict(enumerate([-3.0, -3.5, -4.0, -4.5, -8.0, -6.0]))
+    model.longest, model.merges, model.worst, model.byte_ids, model.unknown = 3, False, -20.0, {}, 99
+    walk = pieces.TrieWalk(model)
+    for word in sorted("".join(w) for n in range(1, 7) for w in product("ab", repeat=n)):
+        def best(rest):
+            return 0.0 if not rest else max(model.scores[i] + best(rest[len(p):]) for p, i in model.ids.items() if rest.startswith(p))
+
+        found = walk.encode(word)
+        assert "".join(model.pieces[i] for i in found) == word and abs(sum(model.scores[i] for i in found) - best(word)) < 1e-9
+    assert walk.encode("ac") == [0, 99]
+
+
+def test_documents_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = pieces.decode(pieces.encode(docs, PATH), PATH).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.ids == LIBRARY.encode(texts[r.doc_id]) and r.text == texts[r.doc_id]
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, [1]), (1, "", None), (None, "word " * 50_000, None), (2, "same", []), (2, "same", [])], "doc_id long, text string, ids array<int>")
+    got = pieces.decode(pieces.encode(docs, PATH), PATH).collect()
+    assert sorted((r.doc_id or 0, len(r.ids), len(r.text)) for r in got) == [(0, len(LIBRARY.encode("word " * 50_000)), 250_000), (1, 0, 0), (1, 0, 0), (2, 1, 4), (2, 1, 4)]
+    odd = spark.createDataFrame([(1, None), (2, [None, -1, 10**6])], "doc_id long, ids array<int>")
+    assert [r.text for r in pieces.decode(odd, PATH).collect()] == ["", ""]
+    assert pieces.encode(docs.limit(0), PATH).collect() == []

@@ -1,0 +1,67 @@
+import math
+
+import numpy as np
+import pytest
+
+from brute import lowest_reachable
+from clearway.llm import vectors
+
+
+def brute(rows, threshold):
+    usable = [
+        (n, i, np.array(v, dtype=float)) for n, (i, v) in enumerate(rows)
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    ]
+    width = max((len(v) for *_, v in usable), default=0)
+    links, degree = [], [0] * len(rows)
+    unit = {n: np.pad(v, (0, width - len(v))) / np.linalg.norm(v) for n, _, v in usable}
+    for a, i, _ in usable:
+        for b, j, _ in usable:
+            if a != b and unit[a] @ unit[b] >= threshold - 1e-12:
+                degree[a] += 1
+                links.append((i, j))
+    ids = {i for i, _ in rows if i is not None}
+    low = lowest_reachable(ids, links)
+    return sorted(((i if i is not None else -1, degree[n], low.get(i, -1), low.get(i) == i) for n, (i, v) in enumerate(rows)))
+
+
+def result(df):
+    return sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id if r.component_id is not None else -1, r.kept) for r in df.collect())
+
+
+@pytest.mark.parametrize("cells,block,threshold", [(1, 4096, 0.95), (5, 20, 0.95), (12, 7, 0.9), (30, 16, 0.5)])
+def test_no_link_is_lost(spark, cells, block, threshold):
+    rng = np.random.default_rng(cells)
+    centres = rng.normal(size=(12, 8))
+    points = [centres[k % 12] + rng.normal(size=8) * rng.choice([0.05, 0.2, 0.5]) for k in range(150)] + [rng.normal(size=8) for _ in range(60)]
+    rows = [(n + 1, p.astype(np.float32).tolist()) for n, p in enumerate(points)]
+    rows += [(1000 + n, rows[3][1]) for n in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert result(vectors.near_duplicates(df, threshold=threshold, cells=cells, block=block)) == brute(rows, threshold)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 0.0]),
+        (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0]), (10, [1e-300, 0.0]), (11, [1e300, 0.0]), (12, [-1.0, 0.0]), (13, [1.0]), (14, [0.0, 0.0, 1.0]),
+    ]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<double>, node string, home int")
+    got = {r[0]: r[1:] for r in result(vectors.near_duplicates(df))}
+    for alone in (1, 2, 3, 4, 5, 6, 12, 14):
+        assert got[alone] == (0, alone, True)
+    assert got[-1] == (0, -1, True)
+    for linked in (7, 8, 9, 10, 11, 13):
+        assert got[linked] == (5, 7, linked == 7)
+    assert vectors.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [5.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(vectors.near_duplicates(df)) == sorted([(1, 2, 1, True), (1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False)])
+
+
+def test_embeddings_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert result(vectors.near_duplicates(df)) == brute(rows, 0.95)
