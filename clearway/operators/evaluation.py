@@ -85,6 +85,11 @@ def sensitivity_report(flags: DataFrame, truth: DataFrame, queries: DataFrame) -
     ``flags`` has one row per (query_id, scene) with BOOLEAN columns free and occupied. One outer join
     with the truth serves all three policies; every count combines map-side.
     """
+    return _report(flags, truth, queries, F.lit(True))
+
+
+def _report(flags: DataFrame, truth: DataFrame, queries: DataFrame, by_policy: Column) -> DataFrame:
+    """The report of queries that are read under every policy, and (not ``by_policy``) of those read once, as policy "any"."""
     sets = policy_sets(flags).where(F.col(POLICY_FREE) | F.col(POLICY_OCCUPIED))
     labelled = truth.select("query_id", "scene", F.lit(True).alias("_want")).distinct()
     rows = sets.join(labelled, ["query_id", "scene"], "full")
@@ -96,11 +101,14 @@ def sensitivity_report(flags: DataFrame, truth: DataFrame, queries: DataFrame) -
         got = or_false(F.col(p))
         aggs += [F.count_if(got & want).alias(f"tp_{p}"), F.count_if(got & ~want).alias(f"fp_{p}"), F.count_if(~got & want).alias(f"fn_{p}")]
     counts = rows.groupBy("query_id").agg(*aggs)
-    full = queries.select("query_id").join(counts, "query_id", "left").na.fill(0)
-    per_policy = F.array(*[
-        F.struct(F.lit(p).alias("policy"), *[F.col(f"{o}_{p}").alias(o) for o in ("tp", "fp", "fn")]) for p in policies
-    ])
-    long = full.select("query_id", "undetermined", F.explode(per_policy).alias("e")).select("query_id", "undetermined", "e.*")
+    full = queries.select("query_id", by_policy.alias("_by_policy")).join(counts, "query_id", "left").na.fill(0)
+
+    def entry(policy: str, source: str) -> Column:
+        return F.struct(F.lit(policy).alias("policy"), *[F.col(f"{o}_{source}").alias(o) for o in ("tp", "fp", "fn")])
+
+    entries = F.when(F.col("_by_policy"), F.array(*[entry(p, p) for p in policies])).otherwise(F.array(entry("any", POLICY_FREE)))
+    undetermined = F.when(F.col("_by_policy"), F.col("undetermined")).otherwise(0).alias("undetermined")
+    long = full.select("query_id", undetermined, F.explode(entries).alias("e")).select("query_id", "undetermined", "e.*")
     return with_scores(long).withColumn("retrieved", F.col("tp") + F.col("fp")).withColumn(
         "unknown_stable", F.col("undetermined") == 0
     )
@@ -116,24 +124,11 @@ def baseline_report(flags: DataFrame, truth: DataFrame, queries: DataFrame) -> D
 def full_report(metrics: DataFrame, queries: Sequence[Query], truth: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
     """All queries: occupancy ones per policy, baseline ones once (policy ``any``), with their metadata.
 
-    The metrics feed one match matrix; both halves of the report read from it.
+    The metrics feed one match matrix, and its rows meet the truth once.
     """
-    spark = metrics.sparkSession
-    matrix = match_matrix(metrics, queries, scenes)
-    table = query_table(spark, queries)
-    parts = []
-    occupancy = [q for q in queries if q.is_occupancy]
-    baseline = [q for q in queries if not q.is_occupancy]
-    common = ["query_id", "policy", "tp", "fp", "fn", "precision", "recall", "f1", "retrieved", "undetermined", "unknown_stable"]
-    if occupancy:
-        report = sensitivity_report(scene_flags(matrix, occupancy), truth, table.where("is_occupancy"))
-        parts.append(report.select(*common))
-    if baseline:
-        report = baseline_report(scene_flags(matrix, baseline), truth, table.where("NOT is_occupancy"))
-        report = report.withColumns({"policy": F.lit("any"), "undetermined": F.lit(0).cast("long"), "unknown_stable": F.lit(True)})
-        parts.append(report.select(*common))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return rows.join(F.broadcast(table.drop("text")), "query_id")
+    flags = scene_flags(match_matrix(metrics, queries, scenes), queries)
+    table = query_table(metrics.sparkSession, queries)
+    return _report(flags, truth, table, F.col("is_occupancy")).join(F.broadcast(table.drop("text")), "query_id")
 
 
 def measurement_agreement(pairs: DataFrame, measured: str, oracle: str, low: float = 0.75, high: float = 1.25) -> DataFrame:

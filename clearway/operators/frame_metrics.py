@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clearway.functions.numbers import or_false, or_inf
 from clearway.functions.occupancy import METRIC_POLICIES, POLICY_FREE, POLICY_IGNORED
 from clearway.operators.obstacles import ego_obstacles
+from clearway.operators.temporal import first_frame_value
 from clearway.plans.joins import with_attrs
 from clearway.schemas import FRAME_KEY
 
@@ -212,7 +213,7 @@ def box_metrics(boxes: DataFrame, frames: DataFrame, labels: tuple[str | None, .
 
 def first_frame_width(frames: DataFrame) -> DataFrame:
     """Ego width of a scene, which is always that of its first frame."""
-    return frames.where(F.col("t") == 0).select("scene", F.col("width").alias("ego_width"))
+    return first_frame_value(frames, "width").withColumnRenamed("width", "ego_width")
 
 
 def frame_metrics(frames: DataFrame, voxels: DataFrame | None, boxes: DataFrame | None = None, needs: Needs = ALL_METRICS) -> DataFrame:

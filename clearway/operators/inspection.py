@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from clearway.functions.numbers import or_false
 from clearway.functions.occupancy import OCCUPIED, POLICY_FREE
 from clearway.operators import frame_metrics as fm
 from clearway.operators.obstacles import ego_obstacles
 from clearway.schemas import BOX_ATTRS, FRAME_KEY
+from clearway.session import materialise
 
 # Speed gate (m/s) and horizons (s) of the frame picks.
 FAST = 8.33
@@ -31,19 +35,33 @@ def pick_frames(metrics: DataFrame) -> DataFrame:
     blocked = ~F.col(fm.path_column(BLOCKED_HORIZON, POLICY_FREE))
     matches = (width > 0) & (width < F.col("ego_width"))
 
-    def first(preferred: Column, metric: Column) -> Column:
-        return F.min_by(F.col("t"), F.struct((~preferred).alias("rest"), metric.alias("m"), F.col("t")))
-
-    return metrics.groupBy("scene").agg(
-        first(matches, width).alias("corridor"),
-        F.coalesce(F.min(F.when(blocked, F.col("t"))), F.lit(0)).alias("blocked"),
-        first(F.col("speed") > FAST, clearance).alias("tight"),
-        first(F.lit(True), clearance).alias("default"),
+    rows = materialise(metrics.select(
+        "scene", "t", width.alias("width"), clearance.alias("clearance"), or_false(matches).alias("matches"),
+        (F.col("speed") > FAST).alias("fast"), blocked.alias("blocked"),
+    ))
+    # The best value of each rule, then the first frame that has it: two hash aggregates instead of a sort of all frames.
+    best = materialise(rows.groupBy("scene").agg(
+        F.min(F.when(F.col("matches"), F.col("width"))).alias("_match"), F.min("width").alias("_width"),
+        F.min(F.when(F.col("fast"), F.col("clearance"))).alias("_fast"), F.min("clearance").alias("_clearance"),
+    ))
+
+    def first(has: Column) -> Column:
+        return F.min(F.when(has, F.col("t")))
+
+    def preferred(flag: str, value: str, among: str, overall: str) -> Column:
+        return F.coalesce(
+            first(F.col(flag) & (F.col(value) == F.col(among))), first(F.col(among).isNull() & (F.col(value) == F.col(overall))))
+
+    return rows.join(best, "scene").groupBy("scene").agg(
+        preferred("matches", "width", "_match", "_width").alias("corridor"),
+        F.coalesce(first(F.col("blocked")), F.lit(0)).alias("blocked"),
+        preferred("fast", "clearance", "_fast", "_clearance").alias("tight"),
+        first(F.col("clearance") == F.col("_clearance")).alias("default"),
     )
 
 
-# Bits per cell index in a packed cell number, whose order is that of (i, j, k).
-INDEX_BITS = 20
+# Values of a cell index. Three indices, shifted to start at 0, are one decimal number whose order is that of (i, j, k).
+INDEX_VALUES = 1 << 32
 
 
 def clearance_witness(voxels: DataFrame, frames: DataFrame, lookahead: float = fm.LOOKAHEAD) -> DataFrame:
@@ -56,14 +74,19 @@ def clearance_witness(voxels: DataFrame, frames: DataFrame, lookahead: float = f
     rows = ego_obstacles(voxels, frames, policy=POLICY_FREE).where(
         (F.col("fwd") >= 0.0) & (F.col("fwd") <= F.lit(lookahead)) & (side > fm.half_corridor())
     )
-    width = 1 << INDEX_BITS
-    cell = (F.col("i").cast("long") * width + F.col("j")) * width + F.col("k")
+    def digit(c: str) -> Column:
+        return F.col(c).cast("long").cast("decimal(20,0)") + F.lit(Decimal(INDEX_VALUES // 2))
+
+    high, low = F.lit(Decimal(INDEX_VALUES * INDEX_VALUES)), F.lit(Decimal(INDEX_VALUES))
+    cell = (digit("i") * high + digit("j") * low + digit("k")).cast("decimal(38,0)")
     gaps = rows.groupBy(*FRAME_KEY, (side - fm.half_corridor()).alias("clearance")).agg(F.min(cell).alias("cell"))
     best = gaps.groupBy(*FRAME_KEY).agg(F.min(F.struct("clearance", "cell")).alias("w"))
-    cell, layer = F.col("w.cell"), width * width
+    best = best.select(*FRAME_KEY, "w.clearance", "w.cell")
+    half, plane = INDEX_VALUES // 2, INDEX_VALUES * INDEX_VALUES
     picked = best.select(
-        *FRAME_KEY, "w.clearance", F.floor(cell / layer).cast("int").alias("i"),
-        F.floor((cell % layer) / width).cast("int").alias("j"), (cell % width).cast("int").alias("k"), F.lit(OCCUPIED).alias("state"),
+        *FRAME_KEY, "clearance", F.expr(f"cast(cell div {plane}BD - {half} as int)").alias("i"),
+        F.expr(f"cast((cell % {plane}BD) div {INDEX_VALUES}BD - {half} as int)").alias("j"),
+        F.expr(f"cast(cast(cell % {INDEX_VALUES}BD as long) - {half} as int)").alias("k"), F.lit(OCCUPIED).alias("state"),
     )
     return ego_obstacles(picked, frames, policy=POLICY_FREE).select(*FRAME_KEY, "fwd", "lat", "clearance", "i", "j", "k")
 
@@ -109,11 +132,15 @@ def indistinguishable_units(answers: DataFrame, boxes: DataFrame, keys: list[str
     """Units whose boxes equal those of another unit that gives a different occupancy answer.
 
     ``answers`` has the keys and a BOOLEAN ``answer``. No function of the boxes can return the right
-    answer for all rows of one observation. Units without boxes share the empty observation.
+    answer for all rows of one observation. Units without boxes share the empty observation, which may be most of them, so
+    they are counted on their own and never joined; both sides of the join are written tables, whose large keys are split.
     """
     observation = ["n_boxes", "h1", "h2"]
-    units = answers.join(box_fingerprint(boxes, keys), keys, "left").fillna(0, observation)
-    groups = units.groupBy(*observation).agg(
-        F.count("*").alias("group_size"), F.count_if("answer").alias("group_matches")
-    ).where((F.col("group_matches") > 0) & (F.col("group_matches") < F.col("group_size")))
-    return units.join(groups, observation).drop("h1", "h2")
+    units = materialise(answers.join(box_fingerprint(boxes, keys), keys, "left"))
+    sizes = [F.count("*").alias("group_size"), F.count_if("answer").alias("group_matches")]
+    differ = (F.col("group_matches") > 0) & (F.col("group_matches") < F.col("group_size"))
+    boxed, empty = units.where(F.col("n_boxes").isNotNull()), units.where(F.col("n_boxes").isNull())
+    groups = materialise(boxed.groupBy(*observation).agg(*sizes).where(differ))
+    found = empty.agg(*sizes).first()
+    alone = empty.fillna(0, ["n_boxes"]).withColumns({n: F.lit(found[n]) for n in ("group_size", "group_matches")}).where(differ)
+    return boxed.join(groups, observation).drop("h1", "h2").unionByName(alone.drop("h1", "h2"))

@@ -16,9 +16,14 @@ def _ends(link: Column) -> Column:
     return link.isNull() | link.isin(*END_MARKS)
 
 
+def file_order(poses: DataFrame) -> list[str]:
+    """The columns that give the order of the rows of a scene in its files."""
+    return [c for c in ("doc", "pos") if c in poses.columns]
+
+
 def scene_heads(poses: DataFrame) -> DataFrame:
     """Head token of each scene: the first row in file order whose ``prev`` points nowhere."""
-    heads = poses.where(_ends(F.col("prev"))).groupBy("scene").agg(F.min_by("token", "pos").alias("head"))
+    heads = poses.where(_ends(F.col("prev"))).groupBy("scene").agg(F.min_by("token", F.struct(*file_order(poses))).alias("head"))
     # An empty token cannot start a chain; such a scene falls back to file order.
     return heads.where(F.col("head") != "")
 
@@ -70,7 +75,7 @@ def chain_order(poses: DataFrame) -> DataFrame:
             if jump.isEmpty():
                 break
     headless = poses.join(heads, "scene", "left_anti")
-    return poses.join(reached, ["scene", "token"]).unionByName(number_rows(headless, ["scene"], ["pos"]))
+    return poses.join(reached, ["scene", "token"]).unionByName(number_rows(headless, ["scene"], file_order(poses)))
 
 
 def temporal_order(poses: DataFrame) -> DataFrame:

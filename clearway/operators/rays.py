@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from clearway.functions.occupancy import FREE, OCCUPIED, UNKNOWN
 from clearway.operators.obstacles import SEGMENT_BITS, SEGMENT_CELLS, SEGMENT_KEY, cell_masks
-from clearway.plans.joins import semi_join_if_small
 from clearway.schemas import FRAME_KEY
 
 RAY_KEY = ["ray_id", *FRAME_KEY]
@@ -104,11 +103,9 @@ def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUP
     """Per ray: OCCUPIED cells in between (``depth``), UNKNOWN ones, and visibility under both rules.
 
     Paths and voxels meet as bit masks, one voxel row per key, so copies of a voxel cannot multiply rows.
-    A counted-small set of frames with rays is broadcast to drop other frames before any shuffle; a large
-    set is not worth a join of its own.
+    Voxels of frames without rays find no partner in that join; they are merged map-side before it.
     """
-    masks = cell_masks(semi_join_if_small(voxels, rays.select(*FRAME_KEY).distinct(), FRAME_KEY))
-    met = ray_segments(rays).join(masks, SEGMENT_KEY)
+    met = ray_segments(rays).join(cell_masks(voxels), SEGMENT_KEY)
     hits = met.groupBy("ray_id").agg(
         F.sum(F.bit_count(F.col("path").bitwiseAND(F.col("occupied")))).alias("depth"),
         F.sum(F.bit_count(F.col("path").bitwiseAND(F.col("unknown")))).alias("unknown_cells"),

@@ -28,7 +28,8 @@ def match_matrix(
             if q.scope == "transition":
                 moves[name] = (q.before(view), q.after(view), q.within_frames)
             else:
-                columns[name] = q.predicate(view)
+                # The gate is a part of the condition, whichever frames other queries of the batch let through.
+                columns[name] = q.predicate(view) & q.gate(view) if q.gate else q.predicate(view)
     frames = metrics
     if moves:
         # Conditions first, so that only BOOLEANs travel through the window.

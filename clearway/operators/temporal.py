@@ -26,14 +26,14 @@ def scope_flags(frames: DataFrame, flags: dict[str, tuple[str, str]], scenes: Da
     """One row per scene, lifting BOOLEAN frame columns: ``flags`` maps name -> (column, scope).
 
     Scope ``any`` (and ``transition``, on hits) is false and ``all`` is true for a scene without frames;
-    such scenes appear if ``scenes`` lists them.
+    such scenes appear if ``scenes`` lists them. A NULL flag counts as false.
     """
     lift = {"any": F.max, "transition": F.max, "all": F.min}
     empty = {"any": False, "transition": False, "all": True}
     for _, scope in flags.values():
         if scope not in lift:
             raise ValueError(f"unknown scope: {scope}")
-    out = frames.groupBy("scene").agg(*[lift[s](c).alias(n) for n, (c, s) in flags.items()])
+    out = frames.groupBy("scene").agg(*[lift[s](or_false(F.col(c))).alias(n) for n, (c, s) in flags.items()])
     if scenes is not None:
         out = scenes.select("scene").distinct().join(out, "scene", "left")
     return out.withColumns({n: F.coalesce(F.col(n), F.lit(empty[s])) for n, (_, s) in flags.items()})

@@ -75,8 +75,6 @@ class Query:
     # Scope any only: a part of the predicate (joined by "and") that needs no voxels, to skip frames early.
     gate: Condition | None = None
 
-    rationale: str = ""
-
     def __post_init__(self) -> None:
         moving = self.scope == "transition"
         rules = {
@@ -129,36 +127,32 @@ def needs_of(queries: Iterable[Query], **more) -> fm.Needs:
     return replace(total, **more)
 
 
-# Ids, texts and thresholds of the catalogued queries.
+# Ids, scopes and thresholds of the catalogued queries.
 TIGHT_CLEARANCE = Query(
     id="tight_clearance_at_speed",
-    text="passed within 0.5 m of something solid while faster than 30 km/h",
-    rationale="distance to occupied space is no property of a box; the surface may be a wall, debris or a curb",
+    text="side gap under half a metre above 8.33 m/s",
     predicate=lambda f: (f.lateral_clearance() < 0.5) & (f.ego_speed() > 8.33),
     gate=lambda f: f.ego_speed() > 8.33,
 )
 CORRIDOR_NARROWS = Query(
     id="corridor_narrows_below_vehicle_width",
-    text="the free path ahead narrowed to less than the width of the car",
-    rationale="the width of free space is a property of empty space",
+    text="less room between the sides than the ego is wide, within two seconds",
     predicate=lambda f: (f.min_free_width_along_path(2.0) > 0) & (f.min_free_width_along_path(2.0) < f.ego_width()),
 )
 BLOCKED_THEN_CLEARS = Query(
     id="blocked_then_clears",
-    text="the path ahead was blocked and became free within three frames",
+    text="swept path closed, then open at most three frames later",
     scope="transition",
-    rationale="a change of free space over time; box tracks carry no free space",
     before=lambda f: ~f.free_along_ego_path(1.0),
     after=lambda f: f.free_along_ego_path(1.0),
     within_frames=3,
 )
 NEAR_VEHICLE = Query(
     id="near_a_tracked_vehicle",
-    text="came within 2 m of another vehicle",
+    text="vehicle box centre nearer than two metres",
     backend="tracking",
     status="baseline_only",
     box_expressible=True,
-    rationale="control: boxes answer this just as well",
     predicate=lambda f: f.distance_to_nearest_object("vehicle") < 2.0,
 )
 CATALOGUE = (TIGHT_CLEARANCE, CORRIDOR_NARROWS, BLOCKED_THEN_CLEARS, NEAR_VEHICLE)

@@ -14,7 +14,6 @@ from clearway.functions.geometry import heading_columns
 from clearway.functions.occupancy import FREE, masked_class_state
 from clearway.operators.obstacles import unique_cells
 from clearway.plans.catalogue import CATALOGUE
-from clearway.plans.layout import spread
 from clearway.plans.windows import core_rows, in_blocks, number_rows
 
 # Grid and vehicle of the derived scenes.
@@ -62,7 +61,7 @@ class SceneTables:
             F.when(supp % 5 == 0, 0).otherwise(1).alias("mask_lidar"),
             F.when(part % 4 == 0, 0).otherwise(1).alias("mask_camera"), "l_linestatus",
         )
-        return spread(items).join(self.frames, "fkey")
+        return items.join(self.frames, "fkey")
 
     def strip_cells(self, *columns: str | Column) -> DataFrame:
         """The cells of each strip (eight along i, mirrored to the right side for open lines)."""
@@ -99,12 +98,12 @@ class SceneTables:
 
     @cached_property
     def rays(self) -> DataFrame:
-        """Rays from the ego cell to the head of each strip, in the first two frames of a scene.
+        """Rays from the ego cell to the head of each strip.
 
         ``observed`` tells whether the sensor saw the target in every strip that starts there.
         """
         si, sj, sk = EGO_CELL
-        targets = self.strips.where(F.col("t") < 2).groupBy("scene", "t", "fkey", "i0", "dj", "k").agg(
+        targets = self.strips.groupBy("scene", "t", "fkey", "i0", "dj", "k").agg(
             F.min("mask_lidar").alias("observed")
         )
         dj = F.col("dj") + 12

@@ -1,45 +1,18 @@
-"""Joins of a huge fact table with a smaller side, broadcast only behind a size check."""
+"""Joins of a huge fact table with a smaller side."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-# Largest side, in rows, that is sent to every executor.
-BROADCAST_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows. A plain count: it combines map-side and moves no rows."""
-    return df.count() <= limit
-
-
-def join_checked(fact: DataFrame, side: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a broadcast of ``side`` if it is counted to be small, else a shuffled join.
-
-    The shuffled join is left to adaptive execution, which splits skewed keys of the fact side.
-    """
-    if is_small(side, limit):
-        return fact.join(F.broadcast(side), on, how)
-    return fact.join(side, on, how)
-
-
-def semi_join_if_small(fact: DataFrame, side: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Drop fact rows without a partner if ``side`` is counted to be small; otherwise keep all rows.
-
-    For filters that only save work and do not change the result.
-    """
-    if is_small(side, limit):
-        return fact.join(F.broadcast(side), on, "left_semi")
-    return fact
+from pyspark.sql import DataFrame
 
 
 def with_attrs(fact: DataFrame, frames: DataFrame, attrs: list[str]) -> DataFrame:
     """Frame attributes next to each child row.
 
     A fact table that already stores them (the layout to prefer: constant per frame, so nearly free
-    in a columnar file) is returned as it is and never joined.
+    in a columnar file) is returned as it is and never joined. The join itself is left to adaptive execution, which
+    broadcasts a side that turns out small and splits skewed keys of the fact side.
     """
     missing = [a for a in attrs if a not in fact.columns]
     if not missing:
         return fact
-    return join_checked(fact, frames.select("scene", "t", *missing), ["scene", "t"])
+    return fact.join(frames.select("scene", "t", *missing), ["scene", "t"])

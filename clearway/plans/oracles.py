@@ -38,7 +38,7 @@ PARTS = {
     "rays": """
         SELECT ((fkey * 64 + i0) * 32 + dj + 12) * 8 + k AS ray_id, scene, t, 10 AS si, 12 AS sj, 2 AS sk,
                i0 AS di, dj + 12 AS dj, k AS dk, min(mask_lidar) = 1 AS observed
-        FROM strip WHERE t < 2 GROUP BY fkey, scene, t, i0, strip.dj, k""",
+        FROM strip GROUP BY fkey, scene, t, i0, strip.dj, k""",
     "stamped": """
         SELECT user_id AS scene, CAST(event_id AS VARCHAR) AS token, event_id, epoch_us(ts) AS ts_us, value AS tx,
                CAST(json_extract_string(props, '$.k') AS DOUBLE) AS ty,
@@ -258,6 +258,8 @@ ORACLES = {
     "scene_index_scan": sql("""
         SELECT CAST(scene AS VARCHAR) AS scene, token, CAST(t % 64 AS INT) AS pos, older AS prev, newer AS next, ts_us, tx, ty,
                'gts/' || token || '/labels.npz' AS gt_path FROM stamped"""),
+    "scene_index_order": sql("SELECT CAST(scene AS VARCHAR) AS scene, token, t FROM stamped"),
+    "label_volume_files": sql("SELECT scene, t, i, j, k, state FROM voxels"),
     "requested_scenes_missing": "SELECT DISTINCT p_partkey AS scene FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)",
     "frame_assembly": sql("""
         SELECT f.scene, f.t, f.time_s, f.speed, coalesce(n_occupied, 0) AS n_occupied, coalesce(n_unknown, 0) AS n_unknown,
@@ -375,7 +377,7 @@ ORACLES = {
                   SELECT 'distance', (di - 10) * (di - 10) + (dj - 12) * (dj - 12) > 400, observed FROM depths
                   UNION ALL
                   SELECT 'shuffled_depth', coalesce(lead(depth) OVER w, first_value(depth) OVER w) > 0, observed
-                  FROM depths WINDOW w AS (PARTITION BY scene, t ORDER BY ray_id))
+                  FROM depths WINDOW w AS (PARTITION BY scene, t ORDER BY (ray_id % 1000003) * 7919 % 1000003, ray_id))
             GROUP BY flag)"""),
     "ego_speed": sql("""
         SELECT scene, token, t, round(CASE WHEN dt > 0 THEN sqrt(dx * dx + dy * dy) / dt ELSE 0 END, 6) AS speed
@@ -441,7 +443,7 @@ ORACLES = {
         GROUP BY query_id, policy, scene HAVING count(*) = 1"""),
     "precision_recall_f1": sql(f"""
         SELECT query_id, tp, fp, fn, {SCORES} FROM ({counts(
-            "(SELECT * FROM m1 UNION ALL SELECT * FROM m4 )",
+            "matches4",
             f"(SELECT query_id, 'free' AS policy FROM {ALL_QUERIES} AS q(query_id))")}) AS c"""),
     "baseline_report": sql(BASELINE4),
     "full_report": sql(FULL_REPORT),

@@ -20,7 +20,7 @@ from clearway.plans import catalogue as cat
 from clearway.plans.derived import GRID_SHAPE, ORIGIN, VOXEL_SIZE, SceneTables
 from clearway.session import new_shared_path
 from clearway.sources import scene_index, tables
-from clearway.sources.label_volumes import decode_volumes
+from clearway.sources.label_volumes import decode_volumes, read_label_volumes, write_volumes
 
 REGISTRY: dict[str, Callable[[SceneTables], DataFrame]] = {}
 OCCUPANCY_QUERIES = tuple(q for q in cat.CATALOGUE if q.is_occupancy)
@@ -91,8 +91,7 @@ def retrieval_batch(s: SceneTables) -> DataFrame:
 # --- Sources and sinks ------------------------------------------------------------------------------
 
 
-@query
-def scene_index_scan(s: SceneTables) -> DataFrame:
+def written_index(s: SceneTables) -> DataFrame:
     """Write the poses as index documents of at most 64 frames, one per line, and read them back."""
     entry = F.struct(
         F.col("t"), F.col("token"),
@@ -115,6 +114,17 @@ def scene_index_scan(s: SceneTables) -> DataFrame:
     return scene_index.read_scene_index(s.spark, path, line_delimited=True)
 
 
+@query
+def scene_index_scan(s: SceneTables) -> DataFrame:
+    return written_index(s).drop("doc")
+
+
+@query
+def scene_index_order(s: SceneTables) -> DataFrame:
+    """Scenes spread over several index documents, in link order."""
+    return linking.temporal_order(written_index(s)).select("scene", "token", "t")
+
+
 @query
 def requested_scenes_missing(s: SceneTables) -> DataFrame:
     requested = s.source("part").select(F.col("p_partkey").alias("scene"))
@@ -157,21 +167,20 @@ def report_sink(s: SceneTables) -> DataFrame:
     return tables.read_report(s.spark, path, report.schema)
 
 
-@query
-def label_volume_ingest(s: SceneTables) -> DataFrame:
-    """Pack each frame's cells into a compressed label volume, then decode the volumes into voxel rows.
+def packed_volumes(s: SceneTables) -> DataFrame:
+    """Each frame's cells as a label volume (scene, t, content).
 
     Cells are made unique first, so a volume is built from at most as many cells as the grid has.
     """
     nx, ny, nz = GRID_SHAPE
     state = masked_class_state(F.col("cls"), F.col("mask_lidar"), F.col("mask_camera"), "lidar")
-    label = F.struct(state.alias("state"), (F.col("cls") * 2 + F.col("mask_lidar")).alias("code"))
-    cells = s.strip_cells(label.alias("label")).where(F.col("label.state") != FREE)
+    # State and code in one number, so that the larger state wins and the aggregate stays a hash aggregate.
+    label = (state * 64 + F.col("cls") * 2 + F.col("mask_lidar")).alias("label")
+    cells = s.strip_cells(state.alias("state"), label).where(F.col("state") != FREE)
     flat = (F.col("i") * ny + F.col("j")) * nz + F.col("k")
     unique = cells.groupBy("scene", "t", flat.alias("flat")).agg(F.max("label").alias("label"))
-    # A fixed number of partitions: adaptive merging goes by bytes and would leave the packing to few tasks.
-    tasks = int(s.spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = unique.repartition(tasks, "scene", "t").groupBy("scene", "t").agg(F.collect_list(F.col("flat") * 64 + F.col("label.code")).alias("codes"))
+    code = F.pmod("label", F.lit(64))
+    packed = unique.groupBy("scene", "t").agg(F.collect_list(F.col("flat") * 64 + code).alias("codes"))
 
     @F.pandas_udf("BINARY")
     def pack(codes: pd.Series) -> pd.Series:
@@ -185,7 +194,24 @@ def label_volume_ingest(s: SceneTables) -> DataFrame:
 
         return codes.map(volume)
 
-    return decode_volumes(packed.select("scene", "t", pack("codes").alias("content")), mask="lidar")
+    return packed.select("scene", "t", pack("codes").alias("content"))
+
+
+@query
+def label_volume_ingest(s: SceneTables) -> DataFrame:
+    """Label volumes from memory into voxel rows."""
+    return decode_volumes(packed_volumes(s), mask="lidar")
+
+
+@query
+def label_volume_files(s: SceneTables) -> DataFrame:
+    """Write the label volumes as files to the shared folder and read those of the frames back."""
+    root = new_shared_path(s.spark, "volumes")
+    volumes = packed_volumes(s).withColumn("gt_path", F.concat_ws("/", F.lit("gts"), "scene", "t", F.lit("labels.npz")))
+    write_volumes(volumes, root).collect()
+    frames = s.voxel_rows(attrs=False).select("scene", "t").distinct()
+    frames = frames.withColumn("gt_path", F.concat_ws("/", F.lit("gts"), "scene", "t", F.lit("labels.npz")))
+    return read_label_volumes(s.spark, frames, root, mask="lidar")
 
 
 # --- Projections and filters ------------------------------------------------------------------------
@@ -449,13 +475,14 @@ def occlusion_depth(s: SceneTables) -> DataFrame:
 def occlusion_distrust(s: SceneTables) -> DataFrame:
     """Occlusion depth as a sign that the sensor did not see the target, next to two controls.
 
-    The shuffled control takes the depth of the next target of the frame, in cell order; a frame has at
-    most one ray per grid cell, so that window is bounded by the grid.
+    The shuffled control takes the depth of another target of the frame, the next one in an order that mixes up the
+    ray numbers; a frame has at most one ray per grid cell, so that window is bounded by the grid.
     """
     rows = rays.occlusion(s.rays, s.voxel_rows(attrs=False))
     frame = Window.partitionBy("scene", "t")
-    ordered = frame.orderBy("ray_id")
-    around = frame.orderBy("ray_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mixed = [(F.col("ray_id") % 1000003) * 7919 % 1000003, F.col("ray_id")]
+    ordered = frame.orderBy(*mixed)
+    around = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("shuffled", F.coalesce(F.lead("depth").over(ordered), F.first("depth").over(around)))
     dx, dy = F.col("di") - F.col("si"), F.col("dj") - F.col("sj")
     flags = {"depth": F.col("depth") > 0, "shuffled_depth": F.col("shuffled") > 0, "distance": dx * dx + dy * dy > 400}
@@ -566,9 +593,8 @@ def outcome_lists(s: SceneTables) -> DataFrame:
 
 @query
 def precision_recall_f1(s: SceneTables) -> DataFrame:
-    m = metrics(s, cat.needs_of([cat.TIGHT_CLEARANCE, cat.NEAR_VEHICLE]))
-    chosen = [cat.TIGHT_CLEARANCE, cat.NEAR_VEHICLE]
-    got = retrieval.retrieve(m, chosen).where("policy = 'free'")
+    m = metrics(s, cat.needs_of(cat.CATALOGUE))
+    got = retrieval.retrieve(m, cat.CATALOGUE).where("policy = 'free'")
     ids = s.spark.createDataFrame([(q.id,) for q in cat.CATALOGUE] + [("unlabelled",)], "query_id STRING")
     return ev.score(got, s.truth, ids)
 
@@ -590,7 +616,8 @@ def full_report(s: SceneTables) -> DataFrame:
 def expressibility_coverage(s: SceneTables) -> DataFrame:
     """Coverage over the queries that have at least one labelled scene."""
     table = ev.query_table(s.spark, cat.CATALOGUE)
-    return ev.coverage(table.join(s.truth, "query_id", "left_semi"))
+    # One row per query before the join, however many scenes are labelled.
+    return ev.coverage(table.join(s.truth.select("query_id").distinct(), "query_id", "left_semi"))
 
 
 @query

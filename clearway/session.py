@@ -17,6 +17,8 @@ def get_session(app: str = "clearway", master: str | None = None, shuffle_partit
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Rows multiply after the join that may be skewed, so split its partitions earlier than usual.
         .config("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64MB")
+        # Checkpoints go once nothing refers to them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -36,16 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", root)
+    _delete_at_end(spark, root)
     return root
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove a path when the driver ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def new_shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, for one written table."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, for one written table; it is removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _delete_at_end(spark, path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:

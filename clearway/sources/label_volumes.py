@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clearway.functions.occupancy import FREE_CLASS, GROUND_CLASSES, OCCUPIED, UNKNOWN
-from clearway.plans.joins import join_checked
 
 # Cells held in Python before they are handed to the JVM; a masked volume alone has some 600 000.
 CELLS_PER_BATCH = 4_000_000
@@ -32,6 +33,11 @@ def decode_volumes(volumes: DataFrame, *, mask: str = "lidar", keys: list[str] =
     cells at a time; cells are expanded in the JVM. ``mask`` is lidar, camera or any other word for the
     dense reading.
     """
+    return _cell_rows(_index_lists(volumes, mask, keys), keys)
+
+
+def _index_lists(volumes: DataFrame, mask: str, keys: list[str]) -> DataFrame:
+    """One row per volume: its keys, row sizes and the flat indices of its occupied and unknown cells."""
     mask_key = f"mask_{mask}" if mask in ("lidar", "camera") else None
 
     def packed(batch: pa.RecordBatch, start: int, rows: list[tuple]) -> pa.RecordBatch:
@@ -56,7 +62,10 @@ def decode_volumes(volumes: DataFrame, *, mask: str = "lidar", keys: list[str] =
 
     types = dict(volumes.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ny INT, nz INT, occupied ARRAY<INT>, unknown ARRAY<INT>"
-    decoded = volumes.select(*keys, "content").mapInArrow(unpack, schema)
+    return volumes.select(*keys, "content").mapInArrow(unpack, schema)
+
+
+def _cell_rows(decoded: DataFrame, keys: list[str]) -> DataFrame:
     sets = F.array(
         F.struct(F.lit(OCCUPIED).alias("state"), F.col("occupied").alias("flat")),
         F.struct(F.lit(UNKNOWN).alias("state"), F.col("unknown").alias("flat")),
@@ -75,10 +84,54 @@ def decode_volumes(volumes: DataFrame, *, mask: str = "lidar", keys: list[str] =
 def read_label_volumes(spark: SparkSession, frames: DataFrame, root: str, *, mask: str = "lidar", attrs: list[str] = []) -> DataFrame:
     """Read the volumes named by ``frames.gt_path`` below ``root`` into voxel rows.
 
+    Only the folders of the frames' scenes are listed and read. A file that does not exist is an error, since a frame without
+    volume would read as free space. Files are decoded where they are read; only their index lists meet the frames.
     ``attrs`` names frame columns to store on each voxel row, which saves the metrics a join later.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(root)
-    base = root.rstrip("/") + "/"
-    files = files.select(F.substring_index("path", base, -1).alias("gt_path"), "content")
+    base = root.rstrip("/")
     keys = ["scene", "t", *attrs]
-    return decode_volumes(join_checked(files, frames.select("gt_path", *keys), ["gt_path"]), mask=mask, keys=keys)
+    # A volume lies in a folder of its own in the folder of its scene; the list of these folders is what the reader lists anyway.
+    wanted = frames.select("gt_path", F.regexp_extract("gt_path", "^(.*?)/?[^/]*/[^/]*$", 1).alias("folder"), F.size(F.split("gt_path", "/")).alias("depth"))
+    folders = [r.folder for r in wanted.select("folder").distinct().collect()]
+    depths = [r.depth for r in wanted.select("depth").distinct().collect()]
+    if not folders:
+        return _cell_rows(frames.limit(0).select(*keys, *(F.lit(None).cast(t).alias(n) for n, t in LISTS.items())), keys)
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz")
+        .load([f"{base}/{f}" if f else base for f in folders])
+        # The end of a file's path is its name in the index, however the root is written.
+        .withColumn("gt_path", F.explode(F.array(*(F.substring_index("path", "/", -d) for d in depths))))
+    )
+    absent = wanted.select("gt_path").distinct().join(files.select("gt_path"), "gt_path", "left_anti")
+    missing = [r.gt_path for r in absent.limit(5).collect()]
+    if missing:
+        raise FileNotFoundError(f"label volumes below {root} are missing, for example: {missing}")
+    decoded = _index_lists(files, mask, ["gt_path"])
+    return _cell_rows(decoded.join(frames.select("gt_path", *keys), "gt_path"), keys)
+
+
+# Columns of a decoded volume besides its keys.
+LISTS = {"ny": "int", "nz": "int", "occupied": "array<int>", "unknown": "array<int>"}
+
+
+def write_volumes(volumes: DataFrame, root: str) -> DataFrame:
+    """Write each row's ``content`` as the file ``gt_path`` below ``root``, which all executors reach; one row per task.
+
+    A file is written whole under a name of its own and then moved, so a repeated task does no harm.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pa_fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        written = 0
+        for batch in batches:
+            for path, content in zip(batch["gt_path"].to_pylist(), batch["content"]):
+                target = f"{base}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0])
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, target)
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["written"])
+
+    return volumes.select("gt_path", "content").mapInArrow(run, "written long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clearway.functions.geometry import heading_columns
 from clearway.operators.linking import temporal_order
@@ -23,14 +23,29 @@ EGO_LENGTH = 4.6
 EGO_HEIGHT = 1.9
 
 
+def _required(value: Column, what: str) -> Column:
+    missing = F.raise_error(F.concat(F.lit(f"no {what} in frame "), F.col("token"), F.lit(" of scene "), F.col("scene")))
+    return F.coalesce(value, missing)
+
+
 def parse_index(documents: DataFrame) -> DataFrame:
-    """One row per frame token; ``pos`` is the place of the token in its document."""
-    scenes = documents.select(F.explode("scene_infos").alias("scene", "tokens"))
-    frames = scenes.select("scene", F.posexplode("tokens").alias("pos", "token", "f"))
+    """One row per (scene, token); ``doc`` numbers the documents and ``pos`` is the place of the token in its document.
+
+    A scene may be spread over documents: (doc, pos) is its file order, and the first of repeated tokens counts. ``doc``
+    is (file, number), or just a number where the documents come from no file. A frame without a stamp
+    or a planar position is an error as soon as these are read.
+    """
+    number = F.monotonically_increasing_id()
+    if "doc" not in documents.columns:
+        documents = documents.withColumn("doc", F.struct(F.lit("").alias("file"), number.alias("at")))
+    scenes = documents.select("doc", F.explode("scene_infos").alias("scene", "tokens"))
+    frames = scenes.select("scene", "doc", F.posexplode("tokens").alias("pos", "token", "f"))
+    first = frames.groupBy("scene", "token").agg(F.min_by(F.struct("doc", "pos", "f"), F.struct("doc", "pos")).alias("r"))
+    frames = first.select("scene", "token", "r.doc", "r.pos", "r.f")
     return frames.select(
-        "scene", "token", "pos", "f.prev", "f.next", F.col("f.timestamp").alias("ts_us"),
-        F.try_element_at("f.ego_pose.translation", F.lit(1)).alias("tx"),
-        F.try_element_at("f.ego_pose.translation", F.lit(2)).alias("ty"),
+        "scene", "token", "doc", "pos", "f.prev", "f.next", _required(F.col("f.timestamp"), "time stamp").alias("ts_us"),
+        _required(F.try_element_at("f.ego_pose.translation", F.lit(1)), "position").alias("tx"),
+        _required(F.try_element_at("f.ego_pose.translation", F.lit(2)), "position").alias("ty"),
         "f.gt_path",
     )
 
@@ -42,7 +57,10 @@ def read_scene_index(spark: SparkSession, path: str, *, line_delimited: bool = F
     documents (say one scene per line), which are split over tasks.
     """
     reader = spark.read.schema(INDEX_SCHEMA).option("multiLine", str(not line_delimited).lower())
-    return parse_index(reader.json(path))
+    documents = reader.json(path)
+    # Numbers grow along a file, so with its name they give one order of all documents.
+    doc = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return parse_index(documents.select("scene_infos", doc.alias("doc")))
 
 
 def missing_scenes(requested: DataFrame, index: DataFrame) -> DataFrame:

@@ -51,3 +51,13 @@ def test_witness_pair(spark, scenes):
     answers = m.groupBy("scene").agg(F.max(F.col("clearance_free") < 0.5).alias("answer"))
     got = inspection.indistinguishable_units(answers, b.boxes, ["scene"]).collect()
     assert {(r["scene"], r["answer"], r["group_size"]) for r in got} == {("clear", False, 2), ("wall", True, 2)}
+
+
+def test_clearance_witness_with_any_index(spark, scenes):
+    """Negative and very large indices come back as they were."""
+    far = 3_000_000
+    for cells in ([(5, -3, 2), (5, 9, 2)], [(far, far - 3, 2)], [(-far, -far + 3, 2)]):
+        i, j, _ = cells[0]
+        b = scenes().frame("s", cells=cells, origin=(-float(i), -float(j) - 3.0, 0.0))
+        (w,) = inspection.clearance_witness(b.voxels, b.frames).collect()
+        assert (w["i"], w["j"], w["k"]) == cells[0]

@@ -242,3 +242,19 @@ def test_threshold_curve(spark):
     truth = spark.createDataFrame([("a",), ("d",)], "scene STRING")
     rows = {r["threshold"]: (r["tp"], r["fp"], r["fn"]) for r in ev.threshold_curve(values, "value", (0.1, 0.5, 1.0), truth).collect()}
     assert rows == {0.1: (0, 0, 2), 0.5: (1, 0, 1), 1.0: (1, 1, 1)}
+
+
+def test_gate_is_part_of_the_condition(scenes):
+    """A slow scene with a wall at 1.6 m: dropping its voxels by the gate must not make it match, alone or in a batch."""
+    gated = cat.Query(id="open_at_speed", text="", predicate=lambda f: f.lateral_clearance() > 5, gate=lambda f: f.ego_speed() > 8)
+    plain = cat.Query(id="open", text="", predicate=lambda f: f.lateral_clearance() > 5)
+    b = scenes().frame("slow", cells=[(2, 2, 1)], speed=3.0).frame("fast", cells=[(2, 2, 1)], speed=9.0).frame("free", speed=9.0)
+    for batch in ([gated], [gated, plain]):
+        found = retrieval.retrieve(fm.frame_metrics(b.frames, b.voxels, None, cat.needs_of(batch)), batch).collect()
+        assert {r["scene"] for r in found if r["query_id"] == "open_at_speed"} == {"free"}
+
+
+def test_unknown_flags_do_not_hold(spark):
+    rows = spark.createDataFrame([("a", None), ("b", None), ("b", True), ("c", True)], "scene STRING, hit BOOLEAN")
+    got = {r["scene"]: (r["all"], r["any"]) for r in temporal.scope_flags(rows, {"all": ("hit", "all"), "any": ("hit", "any")}).collect()}
+    assert got == {"a": (False, False), "b": (False, True), "c": (True, True)}

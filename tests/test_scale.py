@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearway.operators import frame_metrics as fm
-from clearway.operators import obstacles, rays, retrieval, temporal
+from clearway.operators import inspection, obstacles, rays, retrieval, temporal
 from clearway.plans import catalogue as cat
-from clearway.plans.joins import join_checked, semi_join_if_small
+from clearway.plans.joins import with_attrs
 from clearway.sources.tables import write_frame_table
 
 NEEDS = fm.Needs(True, True, (1.0,), (2.0,))
@@ -93,10 +93,10 @@ def test_partials_combine_before_the_shuffle(spark):
 
 
 def test_hot_frame_gives_the_same_metrics(spark):
-    """A frame with a third of all rows, many of them copies: broadcast, shuffled and unique input agree."""
+    """A frame with a third of all rows, many of them copies: joined, stored and unique input agree."""
     voxels, frames = grid(spark, 60000)
     attrs = ["ex", "ey", "fwd_x", "fwd_y", "speed", "width", "length", "height", "voxel_size", "ox", "oy", "oz", "ground_height"]
-    shuffled = join_checked(voxels, frames.select("scene", "t", *attrs), ["scene", "t"], limit=1)
+    shuffled = with_attrs(voxels, frames.hint("merge"), attrs)
     unique = obstacles.unique_cells(voxels)
     results = [
         {(r["scene"], r["t"]): r for r in fm.frame_metrics(frames, v, None, NEEDS).collect()} for v in (voxels, shuffled, unique)
@@ -104,17 +104,16 @@ def test_hot_frame_gives_the_same_metrics(spark):
     assert results[0] == results[1] == results[2] and ("hot", 0) in results[0]
 
 
-def test_large_sides_are_not_broadcast(spark):
+def test_join_is_left_to_the_optimiser(spark):
+    """No hint and no job of its own: a side is broadcast only below Spark's threshold."""
     voxels, frames = grid(spark, 1000)
-    assert "Broadcast" in plan_of(join_checked(voxels, frames, ["scene", "t"]))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "Broadcast" not in plan_of(join_checked(voxels, frames, ["scene", "t"], limit=10))
+        assert "Broadcast" not in plan_of(with_attrs(voxels, frames, ["speed"]))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert semi_join_if_small(voxels, frames.limit(0), ["scene", "t"], limit=10).count() == 0
-    assert semi_join_if_small(voxels, frames, ["scene", "t"], limit=10).count() == 1000
+    assert with_attrs(with_attrs(voxels, frames, ["speed"]), frames, ["speed"]).columns == [*voxels.columns, "speed"]
 
 
 def test_hot_scene_windows_split_into_blocks(spark):
@@ -148,3 +147,25 @@ def test_needs_keep_unused_metrics_out_of_the_plan(spark):
     voxels, frames = grid(spark, 1000)
     plan = plan_of(fm.frame_metrics(frames, voxels, None, cat.needs_of([cat.TIGHT_CLEARANCE])))
     assert "station" not in plan and "hypot" not in plan.lower()
+
+
+def test_unboxed_units_share_no_join_key(spark):
+    """Most units without boxes: they are counted, not joined, and the answer is the same as by brute force."""
+    answers = spark.range(3000).select(F.concat(F.lit("s"), F.col("id")).alias("scene"), F.lit(0).alias("t"), (F.col("id") % 5 == 0).alias("answer"))
+    boxes = spark.range(30).select(
+        F.concat(F.lit("s"), F.col("id")).alias("scene"), F.lit(0).alias("t"), (F.col("id") % 3).cast("double").alias("cx"), F.lit(0.0).alias("cy"),
+        F.lit(0.0).alias("cz"), *[F.lit(1.0).alias(c) for c in ("sx", "sy", "sz")], F.lit(0.0).alias("yaw"), F.lit("car").alias("label"),
+        F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"),
+    )
+    out = inspection.indistinguishable_units(answers, boxes, ["scene", "t"])
+    join = plan_of(out)
+    rows = {r["scene"]: (r["n_boxes"], r["group_size"], r["group_matches"]) for r in out.collect()}
+    assert len(rows) == 3000 and rows["s2999"] == (0, 2970, 594) and rows["s1"] == (1, 10, 2)
+    assert join.count("Join") == 1
+
+
+def test_hash_aggregates_only(spark):
+    from __spark_entry__ import queries
+
+    for name in ("label_volume_ingest", "representative_frames"):
+        assert "SortAggregate" not in plan_of(queries()[name](spark, "/root/testdata/sf0.001"))

@@ -104,6 +104,62 @@ def test_line_delimited_index(spark, tmp_path):
     assert {(r["token"], r["pos"]) for r in rows} == {(f"{s}{n}", p) for s in "ab" for p, n in enumerate((2, 0, 1))}
 
 
+def document(**scenes):
+    return {"scene_infos": {s: {t: {"prev": p, "next": n, "timestamp": ts, "ego_pose": {"translation": at}, "gt_path": "x"} for t, p, n, ts, at in rows} for s, rows in scenes.items()}}
+
+
+def test_scene_spread_over_documents(spark, tmp_path):
+    """Positions restart in every document: the head is the first one in file order, repeated tokens count once."""
+    first = document(s=[("a", None, "b", 5, [0, 0, 0]), ("b", "a", "c", 4, [1, 0, 0])])
+    second = document(s=[("c", "b", None, 3, [2, 0, 0]), ("x", None, None, 9, [0, 0, 0]), ("a", None, "x", 5, [9, 9, 9])])
+    (tmp_path / "index.json").write_text("\n".join(json.dumps(x) for x in (first, second)))
+    index = scene_index.read_scene_index(spark, str(tmp_path / "index.json"), line_delimited=True)
+    assert sorted(r["token"] for r in index.collect()) == ["a", "b", "c", "x"]
+    from clearway.operators.linking import temporal_order
+
+    assert {r["token"]: r["t"] for r in temporal_order(index).collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+@pytest.mark.parametrize("stamp,at", [(None, [0, 0, 0]), (1, [0, None, 0]), (1, [0]), (1, None)])
+def test_missing_pose_is_an_error(spark, tmp_path, stamp, at):
+    (tmp_path / "index.json").write_text(json.dumps(document(s=[("a", None, None, stamp, at)])))
+    index = scene_index.read_scene_index(spark, str(tmp_path / "index.json"))
+    assert index.select("scene").distinct().count() == 1
+    with pytest.raises(Exception, match="in frame a of scene s"):
+        scene_index.frames_from_index(index).collect()
+
+
+def test_missing_volume_is_an_error(spark, release):
+    root, _ = release
+    frames = scene_index.frames_from_index(scene_index.read_scene_index(spark, f"{root}/annotations.json"))
+    wrong = frames.withColumn("gt_path", F.when(F.col("t") == 1, "gts/scene-a/none/labels.npz").otherwise(F.col("gt_path")))
+    with pytest.raises(FileNotFoundError, match="gts/scene-a/none/labels.npz"):
+        label_volumes.read_label_volumes(spark, wrong, f"{root}")
+
+
+def test_only_the_folders_of_requested_scenes_are_read(spark, release):
+    root, truth = release
+    frames = scene_index.frames_from_index(scene_index.read_scene_index(spark, f"{root}/annotations.json")).where("scene = 'scene-b'")
+    voxels = label_volumes.read_label_volumes(spark, frames, f"{root}/", mask="none")
+    assert {p.split("/")[-3] for p in voxels.inputFiles()} == {"scene-b"}
+    assert voxels.select("scene").distinct().count() == 1
+    assert label_volumes.read_label_volumes(spark, frames.limit(0), f"{root}").collect() == []
+    # File contents never travel: the join sees index lists.
+    plan = voxels._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") > plan.index("Join")
+
+
+def test_volumes_written_to_shared_storage(spark, release, tmp_path):
+    root, truth = release
+    frames = scene_index.frames_from_index(scene_index.read_scene_index(spark, f"{root}/annotations.json"))
+    rows = [(r["gt_path"], bytearray((root / r["gt_path"]).read_bytes())) for r in frames.collect()]
+    volumes = spark.createDataFrame(rows, "gt_path STRING, content BINARY")
+    for _ in range(2):
+        assert sum(r["written"] for r in label_volumes.write_volumes(volumes, f"{tmp_path}/copy").collect()) == len(rows)
+    copied, own = (label_volumes.read_label_volumes(spark, frames, f"{r}") for r in (tmp_path / "copy", root))
+    assert copied.exceptAll(own).isEmpty() and own.exceptAll(copied).isEmpty()
+
+
 def test_class_states(spark):
     rows = spark.createDataFrame([(17, 1, 1), (11, 1, 1), (4, 1, 0), (4, 0, 1)], "cls INT, l INT, c INT")
     out = rows.select(
