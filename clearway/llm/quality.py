@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     moments = {r.pos: r for r in sample.select(F.posexplode("stats")).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s")).collect()}
     d = len(STATISTICS)
     mean = np.array([moments[k].m for k in range(d)])
-    scale = np.array([moments[k].s or 1.0 for k in range(d)])
+    # A constant statistic may come out a rounding error off zero.
+    scale = np.array([moments[k].s if moments[k].s > 1e-9 else 1.0 for k in range(d)])
     rng = np.random.default_rng(SEED)
     directions = rng.normal(size=(d, COSINES)) / math.sqrt(d)
     phases = rng.uniform(0, 2 * math.pi, COSINES)

@@ -52,7 +52,8 @@ def test_normal_equations_equal_one_solve(spark):
     scored = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert all((scored[n] > 0.5) == (n % 3 > 0) for n, _ in rows)
     stats = np.array([quality.statistics(t) for n, t in rows])
-    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.scale[stats.std(axis=0) > 0], stats.std(axis=0)[stats.std(axis=0) > 0])
+    spread = stats.std(axis=0)
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.scale, np.where(spread > 1e-9, spread, 1.0))
     cos = model.features(stats)[:, :-1]
     z = np.clip((stats - model.mean) / model.scale, -6, 6)
     kernel = np.exp(-((z[:, None] - z[None]) ** 2).sum(axis=2) / (2 * z.shape[1]))
