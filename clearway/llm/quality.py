@@ -147,8 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         .mapInArrow(_statistics_of, "id long, label int, stats array<double>")
         # Every fourth row calibrates; copies of a text under other ids may be on both sides.
         .withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)) == 0)
-        .coalesce(FIT_PARTS)
-    )
+    ).coalesce(FIT_PARTS)  # of the written sample; the scan of all documents keeps its tasks
     n, rate = sample.agg(F.count("*"), F.avg("label")).first()
     if not n or rate in (0.0, 1.0):
         return _constant(0.5 if not n else rate)

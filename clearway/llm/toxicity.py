@@ -125,7 +125,8 @@ def _minimise(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Model:
     """Fit on about ``rows`` labelled documents. Without labels every score is 0.5; with one class only, that class."""
-    sample = cut(labelled_sample(docs, labels, label, rows, id_col, text_col).select("text", "label").coalesce(FIT_PARTS))
+    # Of the written sample; the scan of all documents keeps its tasks.
+    sample = cut(labelled_sample(docs, labels, label, rows, id_col, text_col).select("text", "label")).coalesce(FIT_PARTS)
     n, ones = sample.agg(F.count("*"), F.sum("label")).first()
     nothing = np.zeros(0, np.int64), np.zeros(0)
     if not n:

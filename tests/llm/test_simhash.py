@@ -42,8 +42,8 @@ def links_of(prints, radius):
     return [(int(a), int(b)) for a, b in np.argwhere(near) if a < b]
 
 
-@pytest.mark.parametrize("radius,tile", [(0, 4096), (1, 3), (2, 4096), (2, 5), (3, 50)])
-def test_links_connect_what_is_near(spark, radius, tile):
+@pytest.mark.parametrize("radius,tile,parts", [(0, 4096, 4), (1, 3, 4), (2, 4096, 4), (2, 5, 4), (3, 50, 2), (2, 50, 8), (2, 9, 2)])
+def test_links_connect_what_is_near(spark, radius, tile, parts):
     rng = random.Random(radius)
     prints = {0, 2**64 - 1}
     for _ in range(60):
@@ -54,7 +54,7 @@ def test_links_connect_what_is_near(spark, radius, tile):
                 p ^= 1 << rng.randrange(64)
     prints = sorted(prints)
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    found = simhash.near_links(spark.createDataFrame([(s,) for s in signed], "print long"), radius, tile).collect()
+    found = simhash.near_links(spark.createDataFrame([(s,) for s in signed], "print long"), radius, tile, parts).collect()
     place = {s: n for n, s in enumerate(signed)}
     got = [(place[r.a], place[r.b]) for r in found]
     wanted = links_of(prints, radius)
