@@ -134,7 +134,7 @@ def digests_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for first, earlier in before.items():
         back = F.when(F.col("key") == first, F.lit(earlier)).otherwise(back)
     copies = copies.select("id", "key", "text", back.alias("part"), F.lit(True).alias("extra"))
-    dealt = rows.unionByName(copies).repartition(parts, "part").sortWithinPartitions("part", "extra", F.desc("key"), F.xxhash64("text"), "text")
+    dealt = rows.unionByName(copies).repartitionById(parts, "part").sortWithinPartitions("part", "extra", F.desc("key"), F.xxhash64("text"), "text")
 
     def compare(doc: int, text: str, own: str, following: str, next_print: str) -> tuple:
         changed = edited(text, following)
