@@ -18,6 +18,7 @@ from clearway.operators import frame_metrics as fm
 from clearway.operators import inspection, linking, obstacles, rays, retrieval, temporal
 from clearway.plans import catalogue as cat
 from clearway.plans.derived import GRID_SHAPE, ORIGIN, VOXEL_SIZE, SceneTables
+from clearway.plans.windows import number_rows
 from clearway.session import new_shared_path
 from clearway.sources import scene_index, tables
 from clearway.sources.label_volumes import decode_volumes, read_label_volumes, write_volumes
@@ -197,6 +198,15 @@ def packed_volumes(s: SceneTables) -> DataFrame:
     return packed.select("scene", "t", pack("codes").alias("content"))
 
 
+@query
+def sorted_names(s: SceneTables) -> DataFrame:
+    """Scene names written in global order and read back; ``place`` counts them across the files."""
+    path = new_shared_path(s.spark, "names")
+    tables.write_sorted(s.frames.select("scene").distinct(), path, ["scene"], "parquet")
+    names = s.spark.read.parquet(path).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    return number_rows(names.withColumn("all", F.lit(0)), ["all"], ["file", "at"], "place").select("scene", "place")
+
+
 @query
 def label_volume_ingest(s: SceneTables) -> DataFrame:
     """Label volumes from memory into voxel rows."""
