@@ -12,20 +12,34 @@ keeps them apart. Exactly one path meets that everywhere and it is the model's o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clearway.llm.common import id_and_text, per_process, record_batch
+from clearway.llm.common import id_and_text, per_process
 
 MARK = "▁"
 # A word: a run of marks and what follows it. No piece has a mark after another character (checked on loading).
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 # Words whose ids, and pairs of pieces whose fit, a worker remembers; when full, the memory starts anew.
 REMEMBERED = 300_000
-UNKNOWN = -1
+# Texts whose words are encoded together: more share more prefixes but need more memory.
+ROWS = 2048
+NO_PIECE = -1
+
+
+def piece_ends(ids: dict[str, int]) -> dict[str, int]:
+    """Every ending of a piece, with the piece's id if it is one itself and else ``NO_PIECE``.
+
+    Reading backwards from a position can stop at the first string that ends no piece.
+    """
+    ends = {p[k:]: NO_PIECE for p in ids for k in range(1, len(p))}
+    return ends | ids
 
 
 class PieceModel:
@@ -43,21 +57,23 @@ class PieceModel:
         self.scores = {i: model.get_score(i) for i in usual}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if self.is_byte[i]}
         self.unknown = model.unk_id()
-        self.longest = max(map(len, self.ids))
+        self.ends = piece_ends(self.ids)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece with an inner mark: words of this model cannot be encoded one by one")
         # Byte-pair models score a piece by its place in the order of merges.
         ordinary = [s for s in self.scores.values() if s > -1e8]
         self.merges = bool(ordinary) and all(float(s).is_integer() for s in ordinary)
+        self.code = {i: self.code_of(i) for i in usual}
         self.worst = min(self.scores.values(), default=0.0) - 10.0
         self.fit: dict[tuple[int | str | None, int | str], bool] = {}
-        self.words: dict[str, bytes] = {}
-
-    def ids_of(self, piece: int | str) -> list[int]:
-        """A piece's id, or the bytes of a character that no piece covers."""
+        
+    def code_of(self, piece: int | str) -> bytes:
+        """A piece's id, or those of the bytes of a character that no piece covers, as little-endian signed 32-bit numbers."""
         if not isinstance(piece, str):
-            return [piece]
-        return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+            ids = [piece]
+        else:
+            ids = [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+        return np.array(ids, dtype="<i4").tobytes()
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging the best-scored neighbours first, the leftmost of equals."""
@@ -65,7 +81,7 @@ class PieceModel:
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                score = self.scores.get(self.ids.get(parts[i] + parts[i + 1], UNKNOWN))
+                score = self.scores.get(self.ids.get(parts[i] + parts[i + 1], NO_PIECE))
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if best is None:
@@ -94,59 +110,44 @@ class TrieWalk:
     def __init__(self, model: PieceModel):
         self.model = model
         self.word = ""
-        # Per position: the piece that ends there (an id, or an uncovered character), and the score of the best path.
+        # Per position: the piece that ends there (an id, or an uncovered character), the ids so far and the score of the best path.
         self.last: list[int | str | None] = [None]
+        self.coded: list[bytes] = [b""]
         self.total: list[float] = [0.0]
 
-    def encode(self, word: str) -> list[int]:
-        shared = 0
-        for a, b in zip(self.word, word):
-            if a != b:
-                break
-            shared += 1
-        del self.last[shared + 1:], self.total[shared + 1:]
+    def encode(self, word: str) -> bytes:
+        """Little-endian signed 32-bit ids."""
+        shared = len(commonprefix((self.word, word)))
         self.word = word
-        step = self._merge_step if self.model.merges else self._unigram_step
+        last, coded, model = self.last, self.coded, self.model
+        del last[shared + 1:], coded[shared + 1:], self.total[shared + 1:]
+        ends, fit, code = model.ends, model.fit, model.code
         for end in range(shared + 1, len(word) + 1):
-            step(word, end)
-        ids: list[int] = []
-        at = len(word)
-        path = []
-        while at:
-            piece = self.last[at]
-            path.append(piece)
-            at -= len(piece) if isinstance(piece, str) else len(self.model.pieces[piece])
-        for piece in reversed(path):
-            ids += self.model.ids_of(piece)
-        return ids
-
-    def _merge_step(self, word: str, end: int) -> None:
-        model = self.model
-        for start in range(max(0, end - model.longest), end):
-            piece = model.ids.get(word[start:end])
-            if piece is None:
-                if end - start > 1:
-                    continue
-                piece = word[start:end]
-            if model.fits(self.last[start] if start else None, piece):
-                self.last.append(piece)
-                self.total.append(0.0)
-                return
-        raise AssertionError(f"no encoding ends at {end} of {word!r}")
-
-    def _unigram_step(self, word: str, end: int) -> None:
-        model = self.model
-        best, chosen = None, None
-        for start in range(max(0, end - model.longest), end):
-            piece = model.ids.get(word[start:end])
-            if piece is not None:
-                score = self.total[start] + model.scores[piece]
-                if best is None or score > best:
-                    best, chosen = score, piece
-        if chosen is None:
-            best, chosen = self.total[end - 1] + model.worst, word[end - 1]
-        self.last.append(chosen)
-        self.total.append(best)
+            # Pieces that end here, the shortest first; a character that is no piece stands for itself.
+            at = end - 1
+            piece = ends.get(word[at], NO_PIECE)
+            ending = [(at, word[at] if piece == NO_PIECE else piece)]
+            while at:
+                at -= 1
+                piece = ends.get(word[at:end])
+                if piece is None:
+                    break
+                if piece != NO_PIECE:
+                    ending.append((at, piece))
+            if model.merges:
+                for at, piece in reversed(ending):
+                    fits = fit.get((last[at], piece))
+                    if fits or (fits is None and model.fits(last[at], piece)):
+                        break
+                else:
+                    raise AssertionError(f"no encoding ends at {end} of {word!r}")
+            else:
+                total, at = max((self.total[at] + (model.worst if isinstance(p, str) else model.scores[p]), at) for at, p in ending)
+                piece = dict(ending)[at]
+                self.total.append(total)
+            last.append(piece)
+            coded.append(coded[at] + (code[piece] if piece in code else model.code_of(piece)))
+        return coded[-1]
 
 
 class Encoder:
@@ -155,7 +156,6 @@ class Encoder:
     def __init__(self, path: str):
         self.model = PieceModel(path)
         self.known: dict[str, bytes] = {}
-        self.as_bytes = lambda ids: np.array(ids, dtype="<i4").tobytes()
         self.spelled = [
             bytes([int(p[3:5], 16)]) if is_byte else p.replace(MARK, " ").encode() if p in self.model.ids else b""
             for p, is_byte in zip(self.model.pieces, self.model.is_byte)
@@ -165,20 +165,20 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian signed 32-bit ids of each text; an empty text has none."""
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        counts = Counter(chain.from_iterable(split))
         known = self.known
+        if len(known) >= REMEMBERED:
+            known.clear()
         walk = TrieWalk(self.model)
-        fresh = {}
-        for word in sorted({w for words in split for w in words if w not in known}):
-            ids = self.as_bytes(walk.encode(word))
-            (known if len(word) <= 64 else fresh)[word] = ids
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
+        fresh = {w: walk.encode(w) for w in sorted(w for w in counts if w not in known)}
+        found = [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
+        # A word met once may well never come again.
+        known.update((w, ids) for w, ids in fresh.items() if counts[w] > 1 and len(w) <= 64)
+        return found
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids: marks are spaces but for the first, bytes that are no UTF-8 are replacement characters."""
-        spelled = self.spelled
-        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
+        """The text of ids in range: marks are spaces but for the first, bytes that are no UTF-8 are replacement characters."""
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -192,8 +192,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 encoded = encoder.encode(part["text"].to_pylist())
                 ends = [0]
                 for ids in encoded:
@@ -204,9 +204,6 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
-
-
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, ids and the text they spell, of every row; null ids count as none, null elements and ids out of range spell nothing."""
 
@@ -214,12 +211,17 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
         encoder = _encoder(vocabulary)
         size = len(encoder.spelled)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc, ids in zip(part["id"].to_pylist(), part["ids"].to_pylist()):
-                    rows.append((doc, ids, encoder.decode(i for i in ids if i is not None and 0 <= i < size)))
-                yield record_batch(rows, DECODED)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lists = part["ids"]
+                bounds = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+                flat = lists.flatten().fill_null(-1).to_numpy()
+                odd = (flat < 0) | (flat >= size)
+                texts = [
+                    encoder.decode((ids[~odd[start:end]] if odd[start:end].any() else ids).tolist())
+                    for start, end in zip(bounds[:-1], bounds[1:]) for ids in (flat[start:end],)
+                ]
+                yield pa.RecordBatch.from_arrays([part["id"], lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
