@@ -25,8 +25,9 @@ from clearway.llm.forest import Forest
 FIT_VECTORS = 8192
 ROUNDS = 8
 MOST_CELLS = 256
-# Vectors of one block; two blocks are compared at once.
+# Vectors of one block and the components they may have together; two blocks are compared at once.
 BLOCK = 4096
+BLOCK_NUMBERS = 1 << 20
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -93,7 +94,7 @@ def block_links(a: np.ndarray, b: np.ndarray | None, count_a: np.ndarray, count_
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-                    cells: int | None = None, block: int = BLOCK) -> DataFrame:
+                    cells: int | None = None, block: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Rows link if the cosine of their vectors, in double precision, reaches ``threshold``; equal vectors always do. The component is the smallest
@@ -111,6 +112,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if not n:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
 
+    block = block or max(64, min(BLOCK, BLOCK_NUMBERS // width))
     share = min(1.0, FIT_VECTORS / n)
     sample = distinct.where(F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) < math.ceil(share * (1 << 30))).select("vec").toArrow()["vec"].combine_chunks()
     sample = _unit(_matrix(sample, width)) if len(sample) else np.eye(1, width)
