@@ -27,9 +27,9 @@ MARK = "▁"
 # A word: a run of marks and what follows it. No piece has a mark after another character (checked on loading).
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 # Words whose ids, and pairs of pieces whose fit, a worker remembers; when full, the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 # Texts whose words are encoded together: more share more prefixes but need more memory.
-ROWS = 2048
+ROWS = 1024
 NO_PIECE = -1
 
 
@@ -93,7 +93,7 @@ class PieceModel:
         """Whether encoding both pieces together, or ``right`` alone at the start, keeps them as they are."""
         known = self.fit.get((left, right))
         if known is None:
-            if len(self.fit) >= REMEMBERED:
+            if len(self.fit) >= 2 * REMEMBERED:
                 self.fit.clear()
             if left is None:
                 known = isinstance(right, str) or self.merged(self.pieces[right]) == [self.pieces[right]]
@@ -186,26 +186,26 @@ def _encoder(path: str) -> Encoder:
     return per_process(("piece encoder", path), lambda: Encoder(path))
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every row; null and empty texts have no ids. ``vocabulary`` is a .model file on every executor."""
+def _encoding(vocabulary: str):
+    """Batches of (id, text) to batches of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                encoded = encoder.encode(part["text"].to_pylist())
+                encoded = encoder.encode(part.column(1).to_pylist())
                 ends = [0]
                 for ids in encoded:
                     ends.append(ends[-1] + len(ids) // 4)
                 flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(encoded))])
-                yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "ids"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, ids and the text they spell, of every row; null ids count as none, null elements and ids out of range spell nothing."""
+def _decoding(vocabulary: str):
+    """Batches of (id, ids) to batches of (doc_id, ids, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
@@ -213,7 +213,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                lists = part["ids"]
+                lists = part.column(1)
                 bounds = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
                 flat = lists.flatten().fill_null(-1).to_numpy()
                 odd = (flat < 0) | (flat >= size)
@@ -221,7 +221,27 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
                     encoder.decode((ids[~odd[start:end]] if odd[start:end].any() else ids).tolist())
                     for start, end in zip(bounds[:-1], bounds[1:]) for ids in (flat[start:end],)
                 ]
-                yield pa.RecordBatch.from_arrays([part["id"], lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+
+    return run
+
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (array of int) of every row; null and empty texts have no ids. ``vocabulary`` is a .model file on every executor."""
+    return id_and_text(docs, id_col, text_col).mapInArrow(_encoding(vocabulary), "doc_id long, ids array<int>")
 
+
+def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id, ids and the text they spell, of every row; null ids count as none, null elements and ids out of range spell nothing."""
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return rows.mapInArrow(_decoding(vocabulary), "doc_id long, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and the text that they spell: ``decode`` of ``encode``, one after the other in the same worker."""
+    first, second = _encoding(vocabulary), _decoding(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return second(first(batches))
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")

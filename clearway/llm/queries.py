@@ -57,7 +57,7 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = tokenizer_path("piece_bpe_32k.model")
-    decoded = pieces.decode(pieces.encode(table(spark, folder, "documents"), vocabulary), vocabulary)
+    decoded = pieces.encode_and_decode(table(spark, folder, "documents"), vocabulary)
     return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

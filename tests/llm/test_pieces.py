@@ -60,7 +60,7 @@ def test_documents_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = pieces.decode(pieces.encode(docs, PATH), PATH).collect()
-    assert len(got) == len(texts)
+    assert len(got) == len(texts) and sorted(got) == sorted(pieces.encode_and_decode(docs, PATH).collect())
     for r in got:
         assert r.ids == LIBRARY.encode(texts[r.doc_id]) and r.text == texts[r.doc_id]
 
