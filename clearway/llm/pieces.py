@@ -110,17 +110,17 @@ class TrieWalk:
     def __init__(self, model: PieceModel):
         self.model = model
         self.word = ""
-        # Per position: the piece that ends there (an id, or an uncovered character), the ids so far and the score of the best path.
+        # Per position: the piece that ends there (an id, or an uncovered character), where it starts and the score of the best path.
         self.last: list[int | str | None] = [None]
-        self.coded: list[bytes] = [b""]
+        self.start: list[int] = [0]
         self.total: list[float] = [0.0]
 
     def encode(self, word: str) -> bytes:
         """Little-endian signed 32-bit ids."""
         shared = len(commonprefix((self.word, word)))
         self.word = word
-        last, coded, model = self.last, self.coded, self.model
-        del last[shared + 1:], coded[shared + 1:], self.total[shared + 1:]
+        last, start, model = self.last, self.start, self.model
+        del last[shared + 1:], start[shared + 1:], self.total[shared + 1:]
         ends, fit, code = model.ends, model.fit, model.code
         for end in range(shared + 1, len(word) + 1):
             # Pieces that end here, the shortest first; a character that is no piece stands for itself.
@@ -146,8 +146,15 @@ class TrieWalk:
                 piece = dict(ending)[at]
                 self.total.append(total)
             last.append(piece)
-            coded.append(coded[at] + (code[piece] if piece in code else model.code_of(piece)))
-        return coded[-1]
+            start.append(at)
+        # The ids are read once, back from the end: a copy per position would take memory with the square of the word's length.
+        parts, end = [], len(word)
+        while end:
+            piece = last[end]
+            parts.append(code[piece] if piece in code else model.code_of(piece))
+            end = start[end]
+        parts.reverse()
+        return b"".join(parts)
 
 
 class Encoder:

@@ -1,3 +1,6 @@
+import random
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -25,6 +28,17 @@ def test_ids_equal_the_librarys(text):
     assert ENCODER.decode(ids(text)) == LIBRARY.decode(LIBRARY.encode(text))
 
 
+def test_a_long_text_without_blanks_takes_memory_by_its_length():
+    rng = random.Random(3)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789\n\t", "日本語中文字漢検索学生時間大小"):
+        text = "".join(rng.choice(alphabet) for _ in range(200_000))
+        assert ids(text) == LIBRARY.encode(text)
+    tracemalloc.start()
+    ids(text[:10_000])
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8", exclude_characters="\x00"), st.sampled_from("etaoin shrdlu▁\n")), max_size=60))
 def test_ids_of_any_text(text):
