@@ -37,8 +37,12 @@ SENSITIVE = re.compile(
 # Each of them holds one of these, which are quicker to look for.
 HINTS = ("passw", "passphrase", "secret", "token", "key", "credential", "authorization", "bearer", "client", "signature")
 REACH = 64
-# A candidate is one unbroken string of key characters, this long, with digits and letters.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# A string of key characters, this long, with digits and letters. The parts of a run between "=" are candidates, with "=" as padding of their
+# end; a run whose parts are all shorter is one as a whole.
+LEAST_CHARS = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}|[A-Za-z0-9+/_-]{15}={1,2}|[A-Za-z0-9+/_-]{14}==")
+RUN = re.compile(r"[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{15,}")
+TAIL = re.compile(r"(?<=[A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+")
 SURROUNDINGS = 256
 MIN_BYTES_PER_CHAR = 0.65
 
@@ -112,28 +116,31 @@ def novel_spans(text: str, base: Iterable[Span], novelty: Novelty, least: float
     if not any(hint in lower for hint in HINTS):
         return []
     taken = sorted((start, end) for _, start, end in base)
-    found: list[Span] = []
+    candidates: list[tuple[int, int]] = []
     done = 0
     for word in SENSITIVE.finditer(text):
-        at = max(done, word.end())
-        for m in CANDIDATE.finditer(text, at, min(len(text), word.end() + REACH)):
-            # The window may cut the string short: take all of it.
-            start, end = m.start(), m.end()
-            while end < len(text) and CANDIDATE_CHARS.match(text, end):
-                end += 1
-            if start > 0 and CANDIDATE_CHARS.match(text, start - 1):
-                continue  # the rest of a string that began before
-            done = max(done, end)
-            string = text[start:end]
-            if any(s < end and start < e for s, e in taken) or not (_DIGIT.search(string) and _LETTER.search(string)):
+        done = max(done, word.end())
+        # What goes on without a break belongs to a name or string that began before.
+        if tail := TAIL.match(text, done):
+            done = tail.end()
+        # A run that starts within reach may end beyond: the window holds the shortest, then all of it is taken.
+        for m in RUN.finditer(text, done, min(len(text), word.end() + REACH + LEAST_CHARS)):
+            start, end = RUN.match(text, m.start()).span()
+            if start < done:
                 continue
-            around = (text[max(0, start - SURROUNDINGS):start] + "\n" + text[end:end + SURROUNDINGS]).encode("utf-8", "replace")
-            if novelty.marginal_bytes(around, string.encode()) >= least * len(string):
-                found.append(("novel", start, end))
+            done = end
+            candidates += [m.span() for m in CANDIDATE.finditer(text, start, end)] or [(start, end)]
+    found: list[Span] = []
+    for start, end in candidates:
+        string = text[start:end]
+        if any(s < end and start < e for s, e in taken) or not (_DIGIT.search(string) and _LETTER.search(string)):
+            continue
+        around = (text[max(0, start - SURROUNDINGS):start] + "\n" + text[end:end + SURROUNDINGS]).encode("utf-8", "replace")
+        if novelty.marginal_bytes(around, string.encode()) >= least * len(string):
+            found.append(("novel", start, end))
     return found
 
 
-CANDIDATE_CHARS = re.compile(r"[A-Za-z0-9+/_=-]")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from clearway.llm.secret_scan import base_spans, find_secrets, joined, novel_spans, Novelty, redact, span_digest
@@ -50,6 +51,24 @@ def test_compressible_or_unrelated_strings_are_left():
         assert novel_spans(text, base_spans(text), novelty) == [], text
 
 
+@pytest.mark.parametrize("text", [
+    f"private_key={KEY}", f"AWS_SECRET_ACCESS_KEY={KEY}", f"SECRET_KEY={KEY}\n", f"https://example.com/a?signature={KEY}&page=2",
+    f"SIGNATURE_OF_THE_PRODUCTION_SERVER={KEY}", f"bearer={KEY}", "the private key" + " of us" * 9 + f" {KEY}",
+])
+def test_strings_after_an_assignment_sign_or_late_in_reach(text):
+    assert [(k, text[s:e]) for k, s, e in novel_spans(text, base_spans(text), Novelty())] == [("novel", KEY)]
+
+
+def test_padding_belongs_to_the_string():
+    for key in (f"{KEY}==", KEY[:14] + "==", KEY[:15] + "=", f"{KEY[:9]}={KEY[9:18]}"):
+        text = f"CREDENTIAL={key}\n"
+        assert [text[s:e] for _, s, e in novel_spans(text, base_spans(text), Novelty())] == [key]
+
+
+def test_one_long_run_of_sensitive_words_is_read_once():
+    assert novel_spans("token" * 100_000, [], Novelty()) == []
+
+
 def test_documents_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     got = {r.doc_id: r for r in span_digest(find_secrets(docs)).collect()}
