@@ -130,17 +130,35 @@ def novel_spans(text: str, base: Iterable[Span], novelty: Novelty, least: float
                 continue
             done = end
             candidates += [m.span() for m in CANDIDATE.finditer(text, start, end)] or [(start, end)]
+    starts = {start for start, _ in candidates}
     found: list[Span] = []
     for start, end in candidates:
         string = text[start:end]
         if any(s < end and start < e for s, e in taken) or not (_DIGIT.search(string) and _LETTER.search(string)):
             continue
-        around = (text[max(0, start - SURROUNDINGS):start] + "\n" + text[end:end + SURROUNDINGS]).encode("utf-8", "replace")
+        around = _surroundings(text, start, end, starts).encode("utf-8", "replace")
         if novelty.marginal_bytes(around, string.encode()) >= least * len(string):
             found.append(("novel", start, end))
     return found
 
 
+def _surroundings(text: str, start: int, end: int, starts: set[int]) -> str:
+    """The text on both sides without repeats of the candidate, which would make it look known.
+
+    Of repeats before it only those that are candidates themselves go; one that stands free of any sensitive word stays.
+    """
+    string = text[start:end]
+    # One length more, so that no repeat is cut by the border.
+    at = max(0, start - SURROUNDINGS - len(string))
+    before = []
+    while (hit := text.find(string, at, start)) >= 0:
+        before.append(text[at:hit] if hit in starts else text[at:hit + len(string)])
+        at = hit + len(string)
+    before.append(text[at:start])
+    after = text[end:end + SURROUNDINGS + len(string)].replace(string, "")
+    return "".join(before)[-SURROUNDINGS:] + "\n" + after[:SURROUNDINGS]
+
+
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 

@@ -65,6 +65,14 @@ def test_padding_belongs_to_the_string():
         assert [text[s:e] for _, s, e in novel_spans(text, base_spans(text), Novelty())] == [key]
 
 
+@pytest.mark.parametrize("text,copies", [
+    (f"bearer {KEY}\nbearer {KEY}\n", 2), (f"private_key={KEY}\nclient_id=x\nprivate_key={KEY}\nprivate_key={KEY}", 3),
+    (f"the bearer {KEY} is no copy of " + "some words " * 8 + KEY, 1), (f"bearer {KEY}" + " ab" * 85 + f" bearer {KEY}", 2),
+])
+def test_repeated_keys_are_found(text, copies):
+    assert [text[s:e] for _, s, e in novel_spans(text, base_spans(text), Novelty())] == [KEY] * copies
+
+
 def test_one_long_run_of_sensitive_words_is_read_once():
     assert novel_spans("token" * 100_000, [], Novelty()) == []
 
