@@ -25,7 +25,7 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 NEVER_TEXT = frozenset(
-    "head script style noscript template iframe object svg canvas audio video map nav aside footer form button select textarea input "
+    "head script style noscript template iframe object svg canvas audio video map nav aside footer button select textarea input "
     "option dialog menu".split()
 )
 # A header or footer inside an article is a part of it only if it is a header.
@@ -34,22 +34,25 @@ CLOSES_P = frozenset(
     "hgroup hr li main menu nav ol p pre search section summary table ul".split()
 )
 SAME_KIND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-# Words in class, id or role that name page furniture.
+# Words in class, id or role that name page furniture, and words that only say which or where.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion nav navbar navigation menu menus menubar breadcrumb "
     "breadcrumbs header masthead topbar footer sidebar sidebars aside complementary contentinfo notice notices cookie cookies consent gdpr banner alert popup "
     "modal overlay comment comments commentlist discussion disqus replies reply respond reactions form login signup subscribe subscription newsletter search "
     "share sharing social related recommended recommendations widget widgets toolbar pagination pager skip".split()
 )
-_WORDS = re.compile(r"[a-z]+")
+PLACES = frozenset("area bar block box container group item items left link links list page posts right section site top wrap wrapper".split())
+_TOKENS, _WORDS = re.compile(r"[^\s]+"), re.compile(r"[a-z]+")
 MAX_DEPTH = 2000
 
 
 class Element:
-    __slots__ = ("tag", "parent", "items", "tags", "link_tags", "furniture", "chars", "link_chars", "density", "total")
+    __slots__ = ("tag", "parent", "items", "own", "tags", "link_tags", "furniture", "suspect", "chars", "link_chars", "density", "total")
 
-    def __init__(self, tag: str, parent: Element | None, furniture: bool = False):
-        self.tag, self.parent, self.furniture = tag, parent, furniture
+    def __init__(self, tag: str, parent: Element | None, furniture: bool = False, suspect: bool = False):
+        self.tag, self.parent, self.furniture, self.suspect = tag, parent, furniture, suspect
+        # Own text markup, links and their characters, before measuring.
+        self.own: tuple[int, int, int] | None = None
         self.items: list[Element | str] = []
         # Own text markup and links; the numbers of whole subtrees once measured.
         self.tags = self.link_tags = self.chars = self.link_chars = 0
@@ -57,21 +60,34 @@ class Element:
 
 
 def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Elements that hold no text of the page by their kind, or hidden ones."""
     if tag in NEVER_TEXT or (tag == "header" and not in_article):
         return True
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name in ("class", "id", "role") and value and tag not in ("body", "html", "article", "main"):
-            # "article-header" names the header of the article, "page-header" that of the page.
-            words = _WORDS.findall(value.lower())
-            if any(w in FURNITURE for w in words) and not (in_article and words and words[-1] == "header" and tag in ("header", "div")):
-                return True
         if name in ("class", "id") and value and tag == "article" and any(w in ("comment", "comments", "reply") for w in _WORDS.findall(value.lower())):
             return True
     return False
 
 
+def is_suspect(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Forms, and elements whose class, id or role has a token of furniture words only; they go if they hold little (``_settle``)."""
+    if tag in ("body", "html", "article", "main"):
+        return False
+    if tag == "form":
+        return True
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            for token in _TOKENS.findall(value.lower()):
+                # "article-header" names the header of the article, "page-header" that of the page.
+                words = _WORDS.findall(token)
+                named = any(w in FURNITURE for w in words) and all(w in FURNITURE or w in PLACES for w in words)
+                if named and not (in_article and words[-1] == "header" and tag in ("header", "div")):
+                    return True
+    return False
+
+
 class Builder(HTMLParser):
     """A forgiving tree of block elements: unclosed and stray tags end where HTML would end them."""
 
@@ -96,6 +112,7 @@ class Builder(HTMLParser):
                 self.links = 1
             elif tag == "br":
                 self.at.items.append(" ")
+            # Inside running text only what is hidden goes.
             if tag not in VOID and is_furniture(tag, attrs, self.in_article):
                 self._open(tag, True)
             return
@@ -108,7 +125,7 @@ class Builder(HTMLParser):
             self.at.tags += 1
             self.at.items.append(" ")
             return
-        self._open(tag, is_furniture(tag, attrs, self.in_article))
+        self._open(tag, is_furniture(tag, attrs, self.in_article), is_suspect(tag, attrs, self.in_article))
 
     def handle_endtag(self, tag):
         if tag == "a":
@@ -124,11 +141,11 @@ class Builder(HTMLParser):
     def unknown_decl(self, data):
         """CDATA sections and the like hold no text of the page."""
 
-    def _open(self, tag, furniture):
+    def _open(self, tag, furniture, suspect=False):
         self.links = 0
         if self.depth >= MAX_DEPTH:
             return  # what is nested deeper counts to the element around it
-        inner = Element(tag, self.at, furniture)
+        inner = Element(tag, self.at, furniture, suspect)
         self.at.items.append(inner)
         self.at = inner
         self.depth += 1
@@ -161,7 +178,11 @@ def _preorder(root: Element) -> list[Element]:
 
 def _measure(elements: list[Element], body: Element) -> None:
     for e in reversed(elements):
-        e.chars += sum(len(x) - x.count(" ") for x in e.items if isinstance(x, str))
+        if e.own is None:
+            e.own = e.tags, e.link_tags, e.link_chars
+        e.tags, e.link_tags, e.link_chars = e.own
+        e.density = 0.0
+        e.chars = sum(len(x) - x.count(" ") for x in e.items if isinstance(x, str))
         e.tags += 1
         for x in e.items:
             if isinstance(x, Element) and not x.furniture:
@@ -186,15 +207,41 @@ def _within(inner: Element, outer: Element) -> bool:
     return inner is outer
 
 
-def _content(body: Element) -> list[Element]:
-    elements = _preorder(body)
-    _measure(elements, body)
-    best = max(elements, key=lambda e: e.total)  # the outermost of equals, as parents come first
-    if best.total == 0:
-        best = body
-    path = [best]
+def _path(e: Element) -> list[Element]:
+    path = [e]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    return path
+
+
+def _densest(elements: list[Element], body: Element) -> Element:
+    _measure(elements, body)
+    best = max(elements, key=lambda e: e.total)  # the outermost of equals, as parents come first
+    return best if best.total else body
+
+
+def _settle(elements: list[Element], body: Element) -> bool:
+    """Mark suspects as furniture, but for those around the densest subtree, an article or a main.
+
+    On a page without article and main, those with over half of the text stay too.
+    """
+    best = _densest(elements, body)
+    kept = set(map(id, _path(best)))
+    marks = [e for e in elements if e.tag in ("article", "main") and e.chars]
+    for e in marks:
+        kept.update(map(id, _path(e)))
+    gone = [e for e in elements if e.suspect and id(e) not in kept and (marks or 2 * e.chars <= body.chars)]
+    for e in gone:
+        e.furniture = True
+    return bool(gone)
+
+
+def _content(body: Element) -> list[Element]:
+    elements = _preorder(body)
+    if any(e.suspect for e in elements) and _settle(elements, body):
+        elements = _preorder(body)
+    best = _densest(elements, body)
+    path = _path(best)
     # The page's own mark of its article outranks the densities: of the one around the best element, or of the only one.
     marked = [e for e in path if e.tag == "article"][-1:] or [e for e in path if e.tag == "main"][-1:]
     if not marked:

@@ -31,6 +31,26 @@ CASES = {
 }
 
 
+DIVS = f"<div class=story><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+STORY = "\n".join([LONG.strip()] * 3)
+WRAPPED = {
+    "sidebar layout": (page(f"<div class='page has-sidebar'>{DIVS}</div>"), STORY),
+    "no ads": (page(f"<div class='layout no-ads'>{DIVS}</div>"), STORY),
+    "widget": (page(f"<div class='elementor-widget post-content'><article>{DIVS}</article></div>"), STORY),
+    "named wrapper": (page(f"<div class=widget>{DIVS}</div><div class=sidebar>side</div>"), STORY),
+    "named wrapper of the article": (page(f"<div class='sidebar'><article>{DIVS}</article></div>"), STORY),
+    "page-wide form": (page(f"<form><article>{DIVS}</article><input></form>"), STORY),
+    "page-wide form without article": (page(f"<form>{DIVS}<input></form>"), STORY),
+    "inline": (page(f"<article><p>{LONG}<span class='hljs-comment'>one</span> <span class='search-hit'>two</span> <a class='related'>three</a></p></article>"), f"{LONG}one two three"),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_names_of_wrappers_and_inline_elements_lose_no_text(name):
+    given, wanted = WRAPPED[name]
+    assert main_text(given) == wanted
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_cases(name):
     given, wanted = CASES[name]
