@@ -201,12 +201,6 @@ def _measure(elements: list[Element], body: Element) -> None:
         e.total = sum(x.density for x in e.items if isinstance(x, Element) and not x.furniture)
 
 
-def _within(inner: Element, outer: Element) -> bool:
-    while inner is not None and inner is not outer:
-        inner = inner.parent
-    return inner is outer
-
-
 def _path(e: Element) -> list[Element]:
     path = [e]
     while path[-1].parent is not None:
@@ -241,13 +235,14 @@ def _content(body: Element) -> list[Element]:
     if any(e.suspect for e in elements) and _settle(elements, body):
         elements = _preorder(body)
     best = _densest(elements, body)
+    # A sum that comes from one article or main alone stands for that.
+    dense = [x for x in best.items if isinstance(x, Element) and not x.furniture and x.density]
+    if len(dense) == 1 and dense[0].tag in ("article", "main"):
+        best = dense[0]
     path = _path(best)
-    # The page's own mark of its article outranks the densities: of the one around the best element, or of the only one.
+    # The page's own mark of its article widens a best element that lies inside it.
     marked = [e for e in path if e.tag == "article"][-1:] or [e for e in path if e.tag == "main"][-1:]
-    if not marked:
-        marked = [e for e in elements if e.tag == "article" and e.chars]
-        marked = [e for e in marked if not any(e is not m and _within(e, m) for m in marked)] if len(marked) < 10 else []
-    if len(marked) == 1:
+    if marked:
         return marked
     threshold = min(e.density for e in path)
     inside = set(map(id, path))

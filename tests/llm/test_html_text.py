@@ -33,6 +33,10 @@ CASES = {
 
 DIVS = f"<div class=story><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
 STORY = "\n".join([LONG.strip()] * 3)
+CHOSEN = {
+    "teaser article beside divs": (page(f"<div>{DIVS}</div><div><article><p>Teaser</p></article></div>"), STORY),
+    "main text beside many articles": (page(f"{DIVS}<ul>" + "<li><article><p>Teaser</p></article>" * 12 + "</ul>"), STORY),
+}
 WRAPPED = {
     "sidebar layout": (page(f"<div class='page has-sidebar'>{DIVS}</div>"), STORY),
     "no ads": (page(f"<div class='layout no-ads'>{DIVS}</div>"), STORY),
@@ -45,6 +49,12 @@ WRAPPED = {
 }
 
 
+@pytest.mark.parametrize("name", CHOSEN)
+def test_density_chooses_the_content(name):
+    given, wanted = CHOSEN[name]
+    assert main_text(given) == wanted
+
+
 @pytest.mark.parametrize("name", WRAPPED)
 def test_names_of_wrappers_and_inline_elements_lose_no_text(name):
     given, wanted = WRAPPED[name]
