@@ -63,7 +63,7 @@ def statistics(text: str) -> list[float]:
     n = len(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
     often = Counter(words)
-    pairs = Counter(zip(words[::2], words[1::2]))
+    pairs = Counter(zip(words, words[1:]))
     lines = [x for x in text.split("\n") if x.strip()] or [""]
     ends = Counter(w[-1:] for w in often)
     odd = sum(k for c, k in ends.items() if c and not c.isalnum() and c not in ".,;:?\"')")
@@ -72,7 +72,7 @@ def statistics(text: str) -> list[float]:
         max(often.values()) / n, sum(map(eq, words, words[1:])) / n,
         *share.tolist(), float(-(p * np.log2(p)).sum()),
         sum(k for w, k in often.items() if not any(map(str.isalnum, w))) / n, odd / len(often),
-        2 * max(pairs.values(), default=0) / n,
+        max(pairs.values(), default=0) / max(1, n - 1),
         math.log1p(len(lines)), math.log1p(len(text) / len(lines)), 1 - len(set(lines)) / len(lines),
         sum(k for w, k in often.items() if len(w) > 1 and w.isupper()) / n,
     ]

@@ -92,3 +92,9 @@ def test_gram_buckets_do_not_depend_on_slices(monkeypatch):
     whole = np.sort(np.concatenate(list(toxicity.gram_slices(text))))
     monkeypatch.setattr(toxicity, "SLICE", 64)
     assert (np.sort(np.concatenate(list(toxicity.gram_slices(text)))) == whole).all()
+
+
+def test_commonest_pair_does_not_depend_on_where_it_starts():
+    at = quality.STATISTICS.index("commonest_pair")
+    assert quality.statistics("a b c a b d")[at] == quality.statistics("x a b c a b")[at] == 2 / 5
+    assert quality.statistics("one")[at] == 0
