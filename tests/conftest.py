@@ -1,15 +1,14 @@
 from __future__ import annotations
 
-import math
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
-from clearway import schemas  # noqa: E402
 from clearway.session import get_session  # noqa: E402
+from scene_rows import Builder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,46 +19,9 @@ def spark():
     session.stop()
 
 
-class Builder:
-    """Collects literal scenes and turns them into frames / voxels / boxes DataFrames."""
-
-    def __init__(self, spark, voxel=1.0, origin=(0.0, 0.0, 0.0), ground=0.5):
-        self.spark, self.voxel, self.origin, self.ground = spark, voxel, origin, ground
-        self.frame_rows, self.voxel_rows, self.box_rows = [], [], []
-
-    def frame(self, scene, t=0, cells=(), ego=(0.0, 0.0), heading=0.0, speed=0.0, boxes=(), origin=None, width=1.85):
-        o = origin or self.origin
-        self.frame_rows.append((
-            scene, t, float(t), float(ego[0]), float(ego[1]), 0.0, heading, math.cos(heading), math.sin(heading), float(speed),
-            width, 4.6, 1.9, self.voxel, *map(float, o), self.ground,
-        ))
-        for cell in cells:
-            i, j, k, state = (*cell, 1) if len(cell) == 3 else cell
-            self.voxel_rows.append((scene, t, i, j, k, state))
-        for n, (center, label) in enumerate(boxes):
-            self.box_rows.append((scene, t, n, *map(float, center), 4.5, 2.0, 1.8, 0.0, label, 0.0, 0.0))
-        return self
-
-    @property
-    def frames(self):
-        return self.spark.createDataFrame(self.frame_rows, schemas.FRAMES)
-
-    @property
-    def voxels(self):
-        return self.spark.createDataFrame(self.voxel_rows, schemas.VOXELS)
-
-    @property
-    def boxes(self):
-        return self.spark.createDataFrame(self.box_rows, schemas.BOXES)
-
-
 @pytest.fixture
 def scenes(spark):
     def make(**kw):
         return Builder(spark, **kw)
 
     return make
-
-
-def by_scene(df, t=0):
-    return {r["scene"]: r for r in df.where(f"t = {t}").collect()}

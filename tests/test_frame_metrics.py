@@ -6,7 +6,7 @@ import pytest
 
 from clearway.operators import frame_metrics as fm
 from clearway.operators.obstacles import pillar_voxels
-from conftest import by_scene
+from scene_rows import by_scene
 
 INF = math.inf
 E20 = {"ego": (20, 20), "speed": 10}
@@ -45,7 +45,7 @@ def build(scenes):
 
 @pytest.fixture(scope="module")
 def metrics(spark):
-    from conftest import Builder
+    from scene_rows import Builder
 
     b = build(lambda: Builder(spark))
     return by_scene(fm.frame_metrics(b.frames, b.voxels, b.boxes, NEEDS))

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from clearway.operators import frame_metrics as fm
 from clearway.operators import inspection
-from conftest import by_scene
+from scene_rows import by_scene
 
 
 def test_frame_picks(spark):

@@ -19,7 +19,7 @@ def sequence(b, scene, pattern):
 
 @pytest.fixture(scope="module")
 def metrics(spark):
-    from conftest import Builder
+    from scene_rows import Builder
 
     b = Builder(spark)
     for name, pattern in {
@@ -111,7 +111,7 @@ def steps(start, stop):
 
 @pytest.fixture(scope="module")
 def seven(spark):
-    from conftest import Builder
+    from scene_rows import Builder
 
     b = Builder(spark, voxel=V)
     wall = [place(f, WALL_SIDE) for f in steps(2.0, 8.0)]
@@ -167,7 +167,7 @@ def test_match_matrix(seven):
 
 
 def test_gate_changes_no_match(spark):
-    from conftest import Builder
+    from scene_rows import Builder
 
     b = Builder(spark)
     for n, speed in enumerate((5.0, 9.0, 8.33)):
