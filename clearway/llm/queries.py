@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clearway.llm import digest, html_text, packing, pieces, quality, secret_scan, simhash, toxicity, url_rules, vectors, whitening
+from clearway.llm import digest, html_text, packing, pieces, quality, runs, secret_scan, simhash, toxicity, url_rules, vectors, whitening
 from clearway.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ SELECT page_id, url, text, length(text) AS n_chars FROM texts
 @query
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.longest_run(runs.periodic_runs(table(spark, folder, "documents"), edit=True, digest=True))
