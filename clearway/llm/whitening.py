@@ -22,6 +22,8 @@ from clearway.llm.common import cut
 SCALE = 256
 # Vectors multiplied at once; bounds the memory of a product.
 BLOCK = 4096
+# Entries of the vectors that one task multiplies, on average; there are as many tasks as the session has cores at least, if there are as many parts.
+TASK_ENTRIES = 1 << 22
 # Partial sums meet in this many tasks before the driver adds them up.
 PARTIAL_SUMS = 16
 # A component is found once its residual is below this share of the largest deviation. A deviation below the other share of it counts as none:
@@ -61,7 +63,12 @@ def fit(vectors: DataFrame, wanted: int = 4) -> Components | None:
         return None
     n, sums = rows[0].n, [int(r.s) for r in rows]
     centre = Centre.of(n, sums)
-    return bidiagonalise(distinct, centre, n, sums, wanted)
+    return bidiagonalise(in_few_tasks(distinct, n * len(sums)), centre, n, sums, wanted)
+
+
+def in_few_tasks(points: DataFrame, entries: int) -> DataFrame:
+    """Parts put together, as every pass over them starts all tasks again."""
+    return points.coalesce(max(points.sparkSession.sparkContext.defaultParallelism, -(-entries // TASK_ENTRIES)))
 
 
 @dataclass(frozen=True)
