@@ -9,6 +9,8 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from clearway.session import materialise as cut  # noqa: F401 - a reliable checkpoint, used by every iterative operator
 
@@ -49,6 +51,10 @@ def by_row(fn: Callable[..., tuple | None], columns: list[str], schema: pa.Schem
     return run
 
 
+def spark_schema(schema: pa.Schema) -> StructType:
+    return from_arrow_schema(schema)
+
+
 def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clearway.llm import digest, html_text, packing, pieces, quality, runs, secret_scan, simhash, toxicity, url_rules, vectors, whitening
+from clearway.llm import digest, html_text, language_model, packing, pieces, quality, runs, secret_scan, simhash, toxicity, url_rules, vectors, whitening
 from clearway.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,11 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.longest_run(runs.periodic_runs(table(spark, folder, "documents"), edit=True, digest=True))
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    # Of the nine tenths that are learned from, one tenth is deleted from the counts while the weights are learned.
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    scored = language_model.score(table(spark, folder, "documents"), training=h % 10 != 0, deleted=F.floor(h / 10) % 10 == 0)
+    return scored.withColumn("held_out", fold("doc_id", 10) == 0)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clearway.llm.common import id_and_text, record_batch
+from clearway.llm.common import id_and_text, record_batch, spark_schema
 
 LEAST_LENGTH = 12
 # Bytes of text whose words share a grammar; a longer document is a slice of its own.
@@ -324,7 +324,10 @@ def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-RUN_SCHEMA = "doc_id long, n_words long, runs array<struct<start:long, length:long, period:long>>, collapsed string"
+LONG = pa.int64()
+RUN = pa.struct([("start", LONG), ("length", LONG), ("period", LONG)])
+RUNS = pa.schema([("doc_id", LONG), ("n_words", LONG), ("runs", pa.list_(RUN)), ("collapsed", pa.string())])
+DIGESTS = pa.schema([*((c, LONG) for c in ("doc_id", "n_runs", "start", "length", "period")), ("runs_sha256", pa.string()), ("collapsed_sha256", pa.string())])
 
 
 def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LENGTH, edit: bool = False,
@@ -337,11 +340,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     :func:`edited`); with ``digest`` the runs and texts themselves are replaced by ``runs_sha256`` and ``collapsed_sha256``, and the
     longest run's start, length and period (of equal ones the first, then the one with the smaller period; null without runs).
     """
-    if digest:
-        schema = "doc_id long, n_runs long, start long, length long, period long, runs_sha256 string, collapsed_sha256 string"
-    else:
-        schema = RUN_SCHEMA
-    kinds = arrow_schema(schema)
+    schema = DIGESTS if digest else RUNS
 
     def row(doc_id: int | None, found: Found) -> tuple:
         collapsed = b" ".join(found.collapsed())
@@ -359,16 +358,9 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if edit:
                     documents = [edited(words, i) for words, i in zip(documents, ids)]
                 rows = [row(i, found) for i, found in zip(ids, documents_runs(documents, least))]
-                yield record_batch(rows, kinds)
+                yield record_batch(rows, schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
-
-
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, spark_schema(schema))
 
 
 def longest_run(runs: DataFrame) -> DataFrame:

@@ -1,0 +1,143 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clearway.llm import language_model as lm
+from clearway.llm.simhash import words_of
+
+SCHEMA = "doc_id long, text string"
+
+
+def fold(doc_id, folds):
+    return zlib.crc32(str(doc_id).encode()) // (1 if folds == 10 else 10) % 10
+
+
+def kind_of(doc_id):
+    if doc_id is None or zlib.crc32(str(doc_id).encode()) % 10 == 0:
+        return 0
+    return 2 if zlib.crc32(str(doc_id).encode()) // 10 % 10 == 0 else 1
+
+
+def split(column="doc_id"):
+    h = F.crc32(F.col(column).cast("string").cast("binary"))
+    return {"training": h % 10 != 0, "deleted": F.floor(h / 10) % 10 == 0}
+
+
+def bucket(n):
+    return n.bit_length()
+
+
+def brute(rows):
+    """(doc_id, n_tokens, n_known, N, base score, score) of each row, with dictionaries and one loop per word."""
+    tokens = [[*words_of(t or ""), None] for _, t in rows]
+    kinds = [kind_of(i) for i, _ in rows]
+    single, pair, single_deleted, pair_deleted = Counter(), Counter(), Counter(), Counter()
+    for words, kind in zip(tokens, kinds):
+        pairs = list(zip([None, *words], words))
+        if kind:
+            single.update(words)
+            pair.update(pairs)
+        if kind == 2:
+            single_deleted.update(words)
+            pair_deleted.update(pairs)
+    n, v, deleted = sum(single.values()), len(single), sum(single_deleted.values())
+    events = []
+    for (left, right), times in pair_deleted.items():
+        context = single[left] - single_deleted[left]
+        f2 = (pair[left, right] - pair_deleted[left, right]) / context if context else 0.0
+        events.append((bucket(context), f2, (single[right] - single_deleted[right]) / max(1, n - deleted), times))
+    weights = {b: [1 / 3] * 3 if b else [0.0, 0.5, 0.5] for b in range(64)} if n else {b: [0.0, 0.0, 1.0] for b in range(64)}
+    before, steps = None, 0
+    while deleted:
+        likelihood, sums = 0.0, {}
+        for b, f2, f1, times in events:
+            terms = [w * f for w, f in zip(weights[b], (f2, f1, 1 / (v + 1)))]
+            mixed = sum(terms)
+            likelihood += times * math.log(mixed)
+            sums[b] = [s + times * t / mixed for s, t in zip(sums.get(b, [0.0] * 3), terms)]
+        for b, s in sums.items():
+            s = [s[0] + lm.PRIOR * (b > 0), s[1] + lm.PRIOR, s[2] + lm.PRIOR]
+            weights[b] = [x / sum(s) for x in s]
+        mean, steps = likelihood / deleted, steps + 1
+        if steps >= lm.STEPS or before is not None and mean - before < lm.LEAST_GAIN:
+            break
+        before = mean
+    out = []
+    for (doc_id, _), words in zip(rows, tokens):
+        base = sum(math.log10((single[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+        score = 0.0
+        for left, right in zip([None, *words], words):
+            w = weights[bucket(single[left])]
+            f2 = pair[left, right] / single[left] if single[left] else 0.0
+            score += math.log10(w[0] * f2 + w[1] * single[right] / max(1, n) + w[2] / (v + 1))
+        out.append((doc_id, len(words), sum(single[w] > 0 for w in words), n, base, score))
+    return out
+
+
+def check(df, rows):
+    got = sorted((tuple(r) for r in lm.score(df, **split()).collect()), key=str)
+    expected = sorted(brute(rows), key=str)
+    assert [g[:4] for g in got] == [e[:4] for e in expected]
+    for g, e in zip(got, expected):
+        assert g[4] == pytest.approx(e[4], rel=1e-9, abs=1e-9)
+        assert g[5] == pytest.approx(e[5], rel=2e-4, abs=1e-3)
+
+
+def test_documents_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    check(df, [(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_many_batches_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(lm, "PART_WORDS", 500)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 3000").repartition(3)
+    check(df, [(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_odd_rows(spark):
+    rows = [(i, f"the cat sat on mat {i % 7} the cat") for i in range(60)]
+    rows += [(60, None), (61, ""), (62, " \n "), (None, "the cat"), (None, None), (63, "The CAT"), (63, "The CAT"), (64, "nie gesehen ß É\x85x")]
+    rows += [(65, "w " * 30_000), (66, "x" * 50_000)]
+    df = spark.createDataFrame([(*r, "x", 3) for r in rows], SCHEMA + ", kind string, batch int")
+    check(df, rows)
+    assert lm.score(df.limit(0), **split()).collect() == []
+
+
+@pytest.mark.parametrize("kept", [0, 1, 2])
+def test_texts_of_one_kind(spark, kept):
+    """Without training texts all probabilities are 1; without deleted ones the weights stay equal; with nothing else they go to what is new."""
+    rows = [(i, f"a b {i % 3} c") for i in range(200) if kind_of(i) == kept]
+    df = spark.createDataFrame(rows, SCHEMA)
+    check(df, rows)
+    if kept == 0:
+        assert {(r.base_score, r.score, r.train_tokens) for r in lm.score(df, **split()).collect()} == {(0.0, 0.0, 0)}
+
+
+def test_probabilities_sum_to_one(spark):
+    """Over all known words and one unknown, after a seen and an unseen context."""
+    texts = [(i, t) for i, t in enumerate(["a b a c", "b a", "c c a b", "a", "b b a d"] * 8) if kind_of(i)]
+    vocabulary = ["a", "b", "c", "d", "new"]
+    first = [(10_000 + 10 * k, w) for k, w in enumerate(vocabulary)]
+    asked = [(next(i for i in range(at, at + 1000) if kind_of(i) == 0), f"{context} {w}") for context in ("a", "odd") for at, w in first]
+    alone = [(next(i for i in range(50_000 + 1000 * k, 60_000) if kind_of(i) == 0), c) for k, c in enumerate(("a", "odd"))]
+    rows = [(i, f"{k} {t}") for k, (i, t) in enumerate(asked + alone)]
+    df = spark.createDataFrame(texts + [(i, t.split(" ", 1)[1]) for i, t in rows], SCHEMA)
+    check(df, [tuple(r) for r in df.collect()])
+
+
+def test_held_out_texts_are_likelier_than_by_single_words(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    r = lm.score(df, **split()).where(held_out).agg(F.sum("base_score").alias("base"), F.sum("score").alias("model")).first()
+    assert r.model > r.base
+
+
+def test_packing_of_numbers():
+    for kind, numbers in (("<u4", [0, 1, 70_000]), ("<i8", [1 << 40, 3]), ("<u8", [])):
+        array = np.array(numbers, dtype=kind)
+        assert lm.unpack(lm.pack(array), kind).tolist() == numbers

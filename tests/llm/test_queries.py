@@ -17,6 +17,7 @@ COLUMNS = {
     "op8": "page_id bigint, host string, path string, rule string, verdict string",
     "op9": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op13": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op11": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     "op12": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
     "op10": "page_id bigint, url string, text string, n_chars bigint",
 }
