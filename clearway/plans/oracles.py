@@ -53,7 +53,28 @@ PARTS = {
                -6 + v.j * 0.5::DOUBLE AS lat, f.speed
         FROM voxels v JOIN frames f ON v.scene = f.scene AND v.t = f.t
         WHERE v.k * 0.5::DOUBLE > 0.25::DOUBLE AND v.k * 0.5::DOUBLE <= 0.25::DOUBLE + 1.9::DOUBLE""",
+    "touching": """
+        SELECT a.scene, a.t, a.state, a.i, a.j, a.k, b.i AS bi, b.j AS bj, b.k AS bk,
+               abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1 AS over_face
+        FROM voxels a, unnest(range(-1, 2)) AS x(di), unnest(range(-1, 2)) AS y(dj), unnest(range(-1, 2)) AS z(dk), voxels b
+        WHERE b.scene = a.scene AND b.t = a.t AND b.state = a.state AND b.i = a.i + di AND b.j = a.j + y.dj AND b.k = a.k + dk""",
+    "reached": """
+        SELECT scene, t, state, i, j, k, i AS ri, j AS rj, k AS rk FROM voxels
+        UNION SELECT r.scene, r.t, r.state, r.i, r.j, r.k, n.bi, n.bj, n.bk FROM reached r JOIN touching n
+          ON n.scene = r.scene AND n.t = r.t AND n.state = r.state AND n.i = r.ri AND n.j = r.rj AND n.k = r.rk""",
+    "reached_over_faces": """
+        SELECT scene, t, i, j, k, i AS ri, j AS rj, k AS rk FROM voxels WHERE state = 1
+        UNION SELECT r.scene, r.t, r.i, r.j, r.k, n.bi, n.bj, n.bk FROM reached_over_faces r JOIN touching n
+          ON n.scene = r.scene AND n.t = r.t AND n.state = 1 AND n.i = r.ri AND n.j = r.rj AND n.k = r.rk AND n.over_face""",
+    "clustered": """
+        SELECT scene, t, state, i, j, k, count(*) AS cells, min({'k': rk, 'j': rj, 'i': ri}) AS head FROM reached GROUP BY ALL""",
     "policies": "SELECT * FROM (VALUES ('free'), ('occupied')) AS p(policy)",
+    "quiet_near": """
+        SELECT policy, v.scene, v.t, min(abs(-6 + v.j * 0.5::DOUBLE) - (1.85::DOUBLE / 2 + 0.25::DOUBLE)) AS clearance
+        FROM clustered v, policies
+        WHERE (v.state = 1 OR policy = 'occupied') AND v.cells >= 12 AND v.k * 0.5::DOUBLE > 0.25::DOUBLE AND v.k * 0.5::DOUBLE <= 0.25::DOUBLE + 1.9::DOUBLE
+          AND -5 + v.i * 0.5::DOUBLE BETWEEN 0 AND 20 AND abs(-6 + v.j * 0.5::DOUBLE) > 1.85::DOUBLE / 2 + 0.25::DOUBLE
+        GROUP BY policy, v.scene, v.t""",
     "view": "SELECT policy, obs.* FROM obs, policies WHERE solid OR policy = 'occupied'",
     "near": """
         SELECT policy, scene, t,
@@ -153,6 +174,9 @@ PARTS = {
 }
 
 
+RECURSIVE = {"walk", "reached", "reached_over_faces"}
+
+
 def sql(select: str, recursive: bool = False) -> str:
     """A statement with the parts that ``select`` mentions, directly or through other parts."""
     used: list[str] = []
@@ -165,9 +189,9 @@ def sql(select: str, recursive: bool = False) -> str:
                 pull(PARTS[name])
 
     pull(select)
-    head = "WITH RECURSIVE " if "walk" in used else "WITH "
+    head = "WITH RECURSIVE " if RECURSIVE & set(used) else "WITH "
     parts = [
-        f"{n} AS ({PARTS[n]})" if n in ("walk", "policies") else f"{n} AS MATERIALIZED ({PARTS[n]})"
+        f"{n} AS ({PARTS[n]})" if n in RECURSIVE | {"policies"} else f"{n} AS MATERIALIZED ({PARTS[n]})"
         for n in PARTS if n in used
     ]
     return (head + ",\n".join(parts) + "\n" if parts else "") + select
@@ -427,6 +451,16 @@ ORACLES = {
             WHERE a.state = 1 AND b.state = 1 AND (di <> 0 OR y.dj <> 0 OR dk <> 0)
               AND b.scene = a.scene AND b.t = a.t AND b.i = a.i + di AND b.j = a.j + y.dj AND b.k = a.k + dk
             GROUP BY ALL HAVING count(*) >= 2) GROUP BY scene, t"""),
+    "voxel_clusters": sql("""
+        SELECT scene, t, state, head.i AS first_i, head.j AS first_j, head.k AS first_k, max(cells) AS cells,
+               min(i) AS i_min, max(i) AS i_max, min(j) AS j_min, max(j) AS j_max, min(k) AS k_min, max(k) AS k_max
+        FROM clustered GROUP BY scene, t, state, head"""),
+    "cluster_filtered_voxels": sql("""
+        SELECT scene, t, count(*) AS cells, sum(i * 192 + j * 8 + k) AS cells_at FROM (
+            SELECT scene, t, i, j, k FROM reached_over_faces GROUP BY ALL HAVING count(*) >= 12) GROUP BY scene, t"""),
+    "clearance_without_noise": sql(f"""
+        SELECT f.scene, f.t, {pivoted('clearance', 'clearance')} FROM frames f
+        LEFT JOIN quiet_near n ON n.scene = f.scene AND n.t = f.t GROUP BY f.scene, f.t"""),
     "sensitivity_report": sql(REPORT3),
     "policy_sets": sql('SELECT query_id, scene, "free", occupied, ignored, undetermined FROM sets3'),
     "undetermined_scenes": sql("""

@@ -15,7 +15,7 @@ from clearway.functions.numbers import finite_or_null
 from clearway.functions.occupancy import FREE, METRIC_POLICIES, OCCUPIED, POLICY_FREE, POLICY_OCCUPIED, class_state, masked_class_state
 from clearway.operators import evaluation as ev
 from clearway.operators import frame_metrics as fm
-from clearway.operators import inspection, linking, obstacles, rays, retrieval, temporal
+from clearway.operators import clusters, inspection, linking, obstacles, rays, retrieval, temporal
 from clearway.plans import catalogue as cat
 from clearway.plans.derived import GRID_SHAPE, ORIGIN, VOXEL_SIZE, SceneTables
 from clearway.plans.windows import number_rows
@@ -559,6 +559,28 @@ def noise_filtered_voxels(s: SceneTables) -> DataFrame:
     )
 
 
+@query
+def voxel_clusters(s: SceneTables) -> DataFrame:
+    """Every cluster of touching cells of one state, with its size and the box around it."""
+    return clusters.clusters(s.voxel_rows(attrs=False))
+
+
+@query
+def cluster_filtered_voxels(s: SceneTables) -> DataFrame:
+    """Occupied cells of clusters of at least 12 cells, cells touching over faces only."""
+    solid = s.voxel_rows(attrs=False).where(F.col("state") == OCCUPIED)
+    return clusters.without_small_clusters(solid, 12, diagonal=False).groupBy("scene", "t").agg(
+        F.count("*").alias("cells"), F.sum(F.col("i") * 192 + F.col("j") * 8 + F.col("k")).alias("cells_at"))
+
+
+@query
+def clearance_without_noise(s: SceneTables) -> DataFrame:
+    """Side clearance that clusters of fewer than 12 cells do not narrow."""
+    kept = clusters.without_small_clusters(s.voxel_rows(attrs=False), 12)
+    m = fm.frame_metrics(s.frames, kept, s.boxes, needs(clearance=True))
+    return distances(m, both(fm.clearance_column))
+
+
 # --- Evaluation -------------------------------------------------------------------------------------
 
 
