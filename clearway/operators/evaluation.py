@@ -10,6 +10,7 @@ from clearway.functions.numbers import inf, or_false
 from clearway.functions.occupancy import POLICY_FREE, POLICY_IGNORED, POLICY_OCCUPIED
 from clearway.operators.retrieval import match_matrix, policy_sets, scene_flags
 from clearway.plans.catalogue import Query
+from clearway.plans.windows import number_rows, running_totals
 
 # Decimal places of precision, recall and F1 in a report.
 SCORE_PLACES = 3
@@ -165,6 +166,58 @@ def threshold_curve(values: DataFrame, value: str, thresholds: Sequence[float],
     return with_scores(counts)
 
 
+def full_curve(values: DataFrame, value: str, truth: DataFrame) -> DataFrame:
+    """Scores of "value < threshold" at every threshold where they change: one row per distinct finite value, and one above all.
+
+    ``values`` has one row per scene, ``truth`` the column scene. The threshold of a row is a distinct value itself; scenes with that
+    value are not yet below it, so tied scenes enter together at the next row. The last threshold is infinity and takes in all finite values.
+    Any other threshold has the scores of the next row. Open (infinite, missing) values are never retrieved.
+    """
+    want = truth.select("scene", F.lit(True).alias("_want")).distinct()
+    rows = values.select("scene", value).join(want, "scene", "full")
+    threshold = F.when((F.col(value) < inf()), F.col(value)).otherwise(inf())
+    true = or_false(F.col("_want"))
+    steps = rows.groupBy(threshold.alias("threshold")).agg(F.count_if(true).alias("true"), F.count_if(~true).alias("false"))
+    # A row above all values, if no scene is open.
+    last = values.sparkSession.range(1).select(inf().alias("threshold"), F.lit(0).cast("long").alias("true"), F.lit(0).cast("long").alias("false"))
+    steps = steps.unionByName(last).groupBy("threshold").agg(F.sum("true").alias("true"), F.sum("false").alias("false"))
+    curve = running_totals(steps, [], ["threshold"], ["true", "false"])
+    return with_scores(curve.select(
+        "threshold", F.col("before_true").alias("tp"), F.col("before_false").alias("fp"), (F.col("all_true") - F.col("before_true")).alias("fn")))
+
+
+def average_precision(rows: DataFrame, scores: dict[str, Column], actual: Column) -> DataFrame:
+    """How well each score ranks the rows where ``actual`` holds: one row per score.
+
+    Average precision over distinct score values, highest first: the share of the true rows that has each value, times the precision among
+    all rows with at least that value. Tied rows count together, so their order does not matter. Rows whose score is NULL come last, together.
+    ``chance`` is the precision of an order at random.
+    """
+    entries = F.array(*[F.struct(F.lit(n).alias("score"), c.cast("double").alias("value")) for n, c in scores.items()])
+    long = rows.select(F.explode(entries).alias("e"), or_false(actual).alias("want")).select("e.*", "want")
+    steps = long.groupBy("score", F.coalesce(-F.col("value"), inf()).alias("last")).agg(
+        F.count_if("want").alias("true"), F.count("*").alias("n"))
+    ranked = running_totals(steps, ["score"], ["last"], ["true", "n"])
+    precision = (F.col("before_true") + F.col("true")) / (F.col("before_n") + F.col("n"))
+    return ranked.groupBy("score").agg(
+        (F.sum(F.col("true") * precision) / F.sum("true")).alias("average_precision"), (F.sum("true") / F.sum("n")).alias("chance"),
+        F.count("*").alias("distinct_values"), F.sum("n").alias("rows"))
+
+
+def permuted(rows: DataFrame, id_col: str, value: str, mixed: Column, within: Sequence[Column] = (), name: str = "permuted") -> DataFrame:
+    """Add column ``name``: ``value`` dealt anew among all rows, or among those that are equal in ``within``.
+
+    The rows are numbered twice over the whole table, in the order of their ids and in the order of ``mixed``, a hash of them; a row gets the
+    value of the row with the same number. Numbering splits large groups over tasks, and the two meet by a plain join.
+    Ids are distinct.
+    """
+    classes = [f"_class{n}" for n in range(max(1, len(within)))]
+    tagged = rows.withColumns({c: w for c, w in zip(classes, within or (F.lit(0),))})
+    plain = number_rows(tagged, classes, [id_col], "_at")
+    other = number_rows(tagged.select(*classes, F.col(id_col).alias("_id"), mixed.alias("_mixed"), F.col(value).alias(name)), classes, ["_mixed", "_id"], "_at")
+    return plain.join(other.drop("_id", "_mixed"), [*classes, "_at"]).drop(*classes, "_at")
+
+
 def flag_agreement(rows: DataFrame, flags: dict[str, Column], actual: Column) -> DataFrame:
     """Scores of several BOOLEAN flags against one actual condition, one row per flag.
 

@@ -171,6 +171,17 @@ PARTS = {
         FROM rays r LEFT JOIN ray_cells c ON c.ray_id = r.ray_id
         LEFT JOIN voxels v ON v.scene = r.scene AND v.t = r.t AND v.i = c.i AND v.j = c.j AND v.k = c.k
         GROUP BY ALL""",
+    "best": "SELECT scene, min(clearance) AS value FROM cheap_fm WHERE policy = 'free' AND speed > 8.33::DOUBLE GROUP BY scene",
+    "measured": """
+        SELECT *, row_number() OVER (ORDER BY ray_id) AS place, row_number() OVER (ORDER BY mixed, ray_id) AS place2,
+               row_number() OVER (PARTITION BY class ORDER BY ray_id) AS inner_place,
+               row_number() OVER (PARTITION BY class ORDER BY mixed, ray_id) AS inner_place2
+        FROM (SELECT ray_id, observed, CAST(depth AS BIGINT) AS depth, CAST((di - 10) * (di - 10) + (dj - 12) * (dj - 12) AS BIGINT) AS distance,
+                     floor(sqrt((di - 10) * (di - 10) + (dj - 12) * (dj - 12)) / 8) AS class, (ray_id % 1000003) * 7919 % 1000003 AS mixed
+              FROM depths)""",
+    "ranked": """
+        SELECT a.ray_id, a.observed, a.depth, a.distance, b.depth AS shuffled_depth, c.depth AS matched_depth
+        FROM measured a JOIN measured b ON b.place2 = a.place JOIN measured c ON c.class = a.class AND c.inner_place2 = a.inner_place""",
 }
 
 
@@ -498,6 +509,23 @@ ORACLES = {
                round(count_if(a >= b * 0.75::DOUBLE AND a <= b * 1.25::DOUBLE) / count(a + b)::DOUBLE, 6) AS tolerance_accuracy
         FROM (SELECT scene, t, max(clearance) FILTER (policy = 'occupied') AS a, max(clearance) FILTER (policy = 'free') AS b
               FROM cheap_fm GROUP BY scene, t)"""),
+    "threshold_full_curve": sql(f"""
+        SELECT round(threshold, 6) AS threshold, tp, fp, fn, {SCORES} FROM (
+            SELECT h.threshold, count_if(want AND b.value < coalesce(h.threshold, 'inf'::DOUBLE)) AS tp,
+                   count_if(NOT want AND b.value < coalesce(h.threshold, 'inf'::DOUBLE)) AS fp,
+                   count_if(want AND coalesce(b.value >= coalesce(h.threshold, 'inf'::DOUBLE), true)) AS fn
+            FROM (SELECT b.value, w.scene IS NOT NULL AS want FROM best b
+                  FULL JOIN (SELECT scene FROM truth WHERE query_id = '{Q1}') w ON w.scene = b.scene) b
+            CROSS JOIN (SELECT DISTINCT value AS threshold FROM best WHERE value IS NOT NULL UNION ALL SELECT NULL) AS h
+            GROUP BY h.threshold)"""),
+    "occlusion_ranking": sql("""
+        SELECT score, round(sum(hits * upto_hits::DOUBLE / upto) / sum(hits), 6) AS average_precision,
+               round(sum(hits) / sum(n)::DOUBLE, 6) AS chance, count(*) AS distinct_values, sum(n) AS rows
+        FROM (SELECT score, hits, n, sum(hits) OVER w AS upto_hits, sum(n) OVER w AS upto FROM (
+                  SELECT score, value, count_if(NOT observed) AS hits, count(*) AS n FROM ranked
+                  UNPIVOT (value FOR score IN (depth, distance, shuffled_depth, matched_depth)) GROUP BY score, value)
+              WINDOW w AS (PARTITION BY score ORDER BY value DESC))
+        GROUP BY score"""),
     "threshold_sweep": sql(f"""
         SELECT threshold, tp, fp, fn, {SCORES} FROM (
             SELECT threshold, count_if(got AND want) AS tp, count_if(got AND NOT want) AS fp, count_if(NOT got AND want) AS fn

@@ -19,7 +19,7 @@ from clearway.operators import clusters, inspection, linking, obstacles, rays, r
 from clearway.plans import catalogue as cat
 from clearway.plans.derived import GRID_SHAPE, ORIGIN, VOXEL_SIZE, SceneTables
 from clearway.plans.windows import number_rows
-from clearway.session import new_shared_path
+from clearway.session import materialise, new_shared_path
 from clearway.sources import scene_index, tables
 from clearway.sources.label_volumes import decode_volumes, read_label_volumes, write_volumes
 
@@ -499,6 +499,25 @@ def occlusion_distrust(s: SceneTables) -> DataFrame:
     return ev.flag_agreement(rows, flags, ~F.col("observed"))
 
 
+@query
+def occlusion_ranking(s: SceneTables) -> DataFrame:
+    """Occlusion depth as a ranking of targets the sensor did not see, against three controls.
+
+    The distance from the ego, the depths dealt anew among all rays, and the depths dealt anew among rays of the same distance class (whole
+    steps of eight cells): what depth knows beyond distance is what it gains on the last.
+    """
+    dx, dy = F.col("di") - F.col("si"), F.col("dj") - F.col("sj")
+    found = rays.occlusion(s.rays, s.voxel_rows(attrs=False)).select("ray_id", "observed", "depth", (dx * dx + dy * dy).alias("distance"))
+    # Three numberings below start from these rows.
+    found = materialise(found)
+    mixed = (F.col("ray_id") % 1000003) * 7919 % 1000003
+    dealt = ev.permuted(found, "ray_id", "depth", mixed, name="shuffled_depth")
+    dealt = ev.permuted(dealt, "ray_id", "depth", mixed, [F.floor(F.sqrt("distance") / 8)], name="matched_depth")
+    names = ("depth", "distance", "shuffled_depth", "matched_depth")
+    out = ev.average_precision(dealt, {n: F.col(n) for n in names}, ~F.col("observed"))
+    return out.withColumns({c: F.round(c, 6) for c in ("average_precision", "chance")})
+
+
 # --- Order ------------------------------------------------------------------------------------------
 
 
@@ -680,13 +699,24 @@ def clearance_agreement(s: SceneTables) -> DataFrame:
     return out.withColumns({"mae": F.round("mae", 6), "tolerance_accuracy": F.round("tolerance_accuracy", 6)})
 
 
+def best_clearance(s: SceneTables) -> DataFrame:
+    """The smallest clearance of each scene at speed."""
+    m = metrics(s, needs(clearance=True)).where(F.col("speed") > 8.33)
+    return m.groupBy("scene").agg(F.min(fm.clearance_column(POLICY_FREE)).alias("value"))
+
+
+@query
+def threshold_full_curve(s: SceneTables) -> DataFrame:
+    """The tight-clearance query at every threshold that makes a difference."""
+    curve = ev.full_curve(best_clearance(s), "value", s.truth.where(F.col("query_id") == cat.TIGHT_CLEARANCE.id))
+    return curve.withColumn("threshold", finite_or_null(F.col("threshold")))
+
+
 THRESHOLDS = (0.1, 0.3, 0.5, 1.0, 1.5, 2.0, 3.0)
 
 
 @query
 def threshold_sweep(s: SceneTables) -> DataFrame:
     """The tight-clearance query as a curve over its distance threshold."""
-    m = metrics(s, needs(clearance=True)).where(F.col("speed") > 8.33)
-    best = m.groupBy("scene").agg(F.min(fm.clearance_column(POLICY_FREE)).alias("value"))
     truth = s.truth.where(F.col("query_id") == cat.TIGHT_CLEARANCE.id)
-    return ev.threshold_curve(best, "value", THRESHOLDS, truth)
+    return ev.threshold_curve(best_clearance(s), "value", THRESHOLDS, truth)

@@ -45,6 +45,26 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str | Column], name:
     )
 
 
+def running_totals(df: DataFrame, keys: list[str], order: list[str | Column], sums: list[str]) -> DataFrame:
+    """Add ``before_<c>`` and ``all_<c>``, the sum of column c over the rows earlier in their group and over all of them, for each c of ``sums``.
+
+    Prefix sums in three steps: rows are range-partitioned on (keys, order), every part is summed on its own, and parts are shifted by
+    the totals of the parts before them. No group is ever sorted in one task; what is windowed in one task is one row per part. Rows
+    with equal order must be added up first, or any of them may come first. The parts are written once, so a lost executor
+    cannot deal them out differently.
+    """
+    parts = materialise(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    shifts = totals.select(
+        *keys, "_part", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums],
+        *[F.sum(f"_{c}").over(whole).alias(f"all_{c}") for c in sums])
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    shifted = [(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}")).alias(f"before_{c}") for c in sums]
+    return parts.join(shifts, [*keys, "_part"]).select(*df.columns, *shifted, *[f"all_{c}" for c in sums])
+
+
 def in_blocks(df: DataFrame, keys: list[str], index: str, back: int, ahead: int, block: int = BLOCK_FRAMES) -> tuple[DataFrame, WindowSpec]:
     """Cut each group into blocks of consecutive ``index`` values with a margin on both sides.
 
