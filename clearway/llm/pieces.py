@@ -12,7 +12,6 @@ keeps them apart. Exactly one path meets that everywhere and it is the model's o
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from os.path import commonprefix
@@ -26,20 +25,55 @@ from clearway.llm.common import id_and_text, per_process
 MARK = "▁"
 # A word: a run of marks and what follows it. No piece has a mark after another character (checked on loading).
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-# Words whose ids, and pairs of pieces whose fit, a worker remembers; when full, the memory starts anew.
-REMEMBERED = 150_000
+# Pairs of pieces whose fit a worker remembers, and states of the piece automaton; when full, the memory starts anew.
+REMEMBERED_PAIRS = 300_000
+STATES = 300_000
+# Bytes of the words that a worker remembers in each of two generations, with what Python needs for each; longer words are not remembered.
+REMEMBERED_BYTES = 80_000_000
+WORD_OVERHEAD = 160
+LONG_WORD = 64
 # Texts whose words are encoded together: more share more prefixes but need more memory.
 ROWS = 1024
 NO_PIECE = -1
 
 
-def piece_ends(ids: dict[str, int]) -> dict[str, int]:
-    """Every ending of a piece, with the piece's id if it is one itself and else ``NO_PIECE``.
+class State:
+    """The longest end of what was read that begins a piece, and the pieces that end here, the longest first.
 
-    Reading backwards from a position can stop at the first string that ends no piece.
+    A character that is no piece stands for itself; so something ends at every place.
     """
-    ends = {p[k:]: NO_PIECE for p in ids for k in range(1, len(p))}
-    return ends | ids
+
+    __slots__ = ("text", "ending", "after")
+
+    def __init__(self, text: str, ending: tuple[tuple[int, int | str], ...]):
+        self.text, self.ending, self.after = text, ending, {}
+
+
+class Automaton:
+    """States made as they are met. Reading a character leads from a state to the next, so no substring is looked up twice."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids = ids
+        self.begins = {p[:k] for p in ids for k in range(1, len(p) + 1)}
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: dict[tuple[str, str], State] = {}
+        self.root = State("", ())
+
+    def step(self, state: State, char: str) -> State:
+        """The state after ``char``; remembered in ``state.after``."""
+        text = state.text + char
+        while text and text not in self.begins:
+            text = text[1:]
+        found = self.states.get((text, char))
+        if found is None:
+            ending = tuple((len(text) - k, self.ids[text[k:]]) for k in range(len(text)) if text[k:] in self.ids)
+            if char not in self.ids:
+                ending += ((1, char),)
+            found = self.states[text, char] = State(text, ending)
+        state.after[char] = found
+        return found
 
 
 class PieceModel:
@@ -57,7 +91,7 @@ class PieceModel:
         self.scores = {i: model.get_score(i) for i in usual}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if self.is_byte[i]}
         self.unknown = model.unk_id()
-        self.ends = piece_ends(self.ids)
+        self.automaton = Automaton(self.ids)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece with an inner mark: words of this model cannot be encoded one by one")
         # Byte-pair models score a piece by its place in the order of merges.
@@ -66,7 +100,7 @@ class PieceModel:
         self.code = {i: self.code_of(i) for i in usual}
         self.worst = min(self.scores.values(), default=0.0) - 10.0
         self.fit: dict[tuple[int | str | None, int | str], bool] = {}
-        
+
     def code_of(self, piece: int | str) -> bytes:
         """A piece's id, or those of the bytes of a character that no piece covers, as little-endian signed 32-bit numbers."""
         if not isinstance(piece, str):
@@ -93,7 +127,7 @@ class PieceModel:
         """Whether encoding both pieces together, or ``right`` alone at the start, keeps them as they are."""
         known = self.fit.get((left, right))
         if known is None:
-            if len(self.fit) >= 2 * REMEMBERED:
+            if len(self.fit) >= REMEMBERED_PAIRS:
                 self.fit.clear()
             if left is None:
                 known = isinstance(right, str) or self.merged(self.pieces[right]) == [self.pieces[right]]
@@ -109,8 +143,11 @@ class TrieWalk:
 
     def __init__(self, model: PieceModel):
         self.model = model
+        if len(model.automaton.states) >= STATES:
+            model.automaton.clear()
         self.word = ""
-        # Per position: the piece that ends there (an id, or an uncovered character), where it starts and the score of the best path.
+        # Per position: the automaton's state, the piece that ends there (an id, or an uncovered character), where it starts, the best path's score.
+        self.states = [model.automaton.root]
         self.last: list[int | str | None] = [None]
         self.start: list[int] = [0]
         self.total: list[float] = [0.0]
@@ -119,32 +156,26 @@ class TrieWalk:
         """Little-endian signed 32-bit ids."""
         shared = len(commonprefix((self.word, word)))
         self.word = word
-        last, start, model = self.last, self.start, self.model
-        del last[shared + 1:], start[shared + 1:], self.total[shared + 1:]
-        ends, fit, code = model.ends, model.fit, model.code
+        last, start, states, model = self.last, self.start, self.states, self.model
+        del last[shared + 1:], start[shared + 1:], self.total[shared + 1:], states[shared + 1:]
+        fit, code, step = model.fit, model.code, model.automaton.step
+        state = states[-1]
         for end in range(shared + 1, len(word) + 1):
-            # Pieces that end here, the shortest first; a character that is no piece stands for itself.
-            at = end - 1
-            piece = ends.get(word[at], NO_PIECE)
-            ending = [(at, word[at] if piece == NO_PIECE else piece)]
-            while at:
-                at -= 1
-                piece = ends.get(word[at:end])
-                if piece is None:
-                    break
-                if piece != NO_PIECE:
-                    ending.append((at, piece))
+            char = word[end - 1]
+            state = state.after.get(char) or step(state, char)
             if model.merges:
-                for at, piece in reversed(ending):
+                for length, piece in state.ending:
+                    at = end - length
                     fits = fit.get((last[at], piece))
                     if fits or (fits is None and model.fits(last[at], piece)):
                         break
                 else:
-                    raise AssertionError(f"no encoding ends at {end} of {word!r}")
+                    return self.merged_word(word)
             else:
-                total, at = max((self.total[at] + (model.worst if isinstance(p, str) else model.scores[p]), at) for at, p in ending)
-                piece = dict(ending)[at]
+                total, at = max((self.total[end - n] + (model.worst if isinstance(p, str) else model.scores[p]), end - n) for n, p in state.ending)
+                piece = next(p for n, p in state.ending if end - n == at)
                 self.total.append(total)
+            states.append(state)
             last.append(piece)
             start.append(at)
         # The ids are read once, back from the end: a copy per position would take memory with the square of the word's length.
@@ -156,13 +187,42 @@ class TrieWalk:
         parts.reverse()
         return b"".join(parts)
 
+    def merged_word(self, word: str) -> bytes:
+        """The ids of a word for which the walk finds no path: by merging the whole word; the walk starts anew after it."""
+        self.word = ""
+        del self.last[1:], self.start[1:], self.total[1:], self.states[1:]
+        return b"".join(self.model.code_of(self.model.ids.get(p, p)) for p in self.model.merged(word))
+
+
+class Remembered:
+    """Ids of words, in two generations: when the younger is full the older is forgotten, and what is still in use moves up."""
+
+    def __init__(self, limit: int = REMEMBERED_BYTES):
+        self.limit, self.young, self.old, self.size = limit, {}, {}, 0
+
+    def get(self, word: str) -> bytes | None:
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is not None:
+                self.put(word, ids)
+        return ids
+
+    def put(self, word: str, ids: bytes) -> None:
+        if len(word) > LONG_WORD:
+            return
+        if self.size >= self.limit:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young[word] = ids
+        self.size += len(word) + len(ids) + WORD_OVERHEAD
+
 
 class Encoder:
     """Ids of whole texts, batch by batch; words met before are looked up."""
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered()
         self.spelled = [
             bytes([int(p[3:5], 16)]) if is_byte else p.replace(MARK, " ").encode() if p in self.model.ids else b""
             for p, is_byte in zip(self.model.pieces, self.model.is_byte)
@@ -172,16 +232,19 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian signed 32-bit ids of each text; an empty text has none."""
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        counts = Counter(chain.from_iterable(split))
-        known = self.known
-        if len(known) >= REMEMBERED:
-            known.clear()
+        ids: dict[str, bytes] = {}
+        fresh = []
+        for word in set(chain.from_iterable(split)):
+            known = self.known.get(word)
+            if known is None:
+                fresh.append(word)
+            else:
+                ids[word] = known
         walk = TrieWalk(self.model)
-        fresh = {w: walk.encode(w) for w in sorted(w for w in counts if w not in known)}
-        found = [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
-        # A word met once may well never come again.
-        known.update((w, ids) for w, ids in fresh.items() if counts[w] > 1 and len(w) <= 64)
-        return found
+        for word in sorted(fresh):
+            ids[word] = walk.encode(word)
+            self.known.put(word, ids[word])
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids in range: marks are spaces but for the first, bytes that are no UTF-8 are replacement characters."""

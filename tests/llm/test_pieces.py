@@ -59,7 +59,7 @@ def test_unigram_takes_the_best_sum():
     model.pieces = ["a", "b", "ab", "ba", "aba", "abb"]
     model.ids = {p: i for i, p in enumerate(model.pieces)}
     model.scores = dict(enumerate([-3.0, -3.5, -4.0, -4.5, -8.0, -6.0]))
-    model.ends, model.fit, model.merges, model.worst, model.byte_ids, model.unknown, model.code = pieces.piece_ends(model.ids), {}, False, -20.0, {}, 99, {}
+    model.automaton, model.fit, model.merges, model.worst, model.byte_ids, model.unknown, model.code = pieces.Automaton(model.ids), {}, False, -20.0, {}, 99, {}
     walk = pieces.TrieWalk(model)
     for word in sorted("".join(w) for n in range(1, 7) for w in product("ab", repeat=n)):
         def best(rest):
@@ -70,6 +70,36 @@ def test_unigram_takes_the_best_sum():
     assert numbers(walk.encode("ac")) == [0, 99]
 
 
+def test_a_word_without_path_is_merged(monkeypatch):
+    """If no piece fits what is before it, the whole word is merged, and the words after it are not disturbed."""
+    words = sorted(["\u2581alpha", "\u2581alphabet", "\u2581beta"])
+    wanted = [pieces.TrieWalk(ENCODER.model).encode(w) for w in words]
+    monkeypatch.setattr(ENCODER.model, "fit", {})
+    monkeypatch.setattr(ENCODER.model, "fits", lambda left, right: False)
+    walk = pieces.TrieWalk(ENCODER.model)
+    assert [walk.encode(w) for w in words] == wanted
+
+
+def test_memory_of_words_is_bounded():
+    known = pieces.Remembered(limit=2000)
+    for n in range(100):
+        known.put(f"word{n}", b"....")
+        assert known.get("word0") == b"...." and len(known.young) + len(known.old) < 30
+    assert known.get("word1") is None and known.get("word99") == b"...."
+    known.put("x" * 1000, b"....")
+    assert known.get("x" * 1000) is None
+
+
+def test_small_memory_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(pieces, "STATES", 50)
+    monkeypatch.setattr(pieces, "REMEMBERED_PAIRS", 20)
+    encoder = pieces.Encoder(PATH)
+    encoder.known.limit = 3000
+    texts = [f"some words {n} are here \u00e9\u00df\u4e2d {n * 7919} and there" for n in range(200)]
+    for at in range(0, 200, 20):
+        assert [numbers(ids) for ids in encoder.encode(texts[at: at + 20])] == [LIBRARY.encode(t) for t in texts[at: at + 20]]
+
+
 def test_documents_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
