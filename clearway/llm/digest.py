@@ -16,6 +16,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -98,43 +99,51 @@ NEIGHBOURS = pa.schema([
 LOWEST = -(1 << 63)
 
 
-def _ranges(docs: DataFrame, parts: int) -> Column:
-    """The part of each ``key``: ranges of about equal size whose bounds are data, so that every scan agrees on them."""
-    bounds = sorted(set(docs.approxQuantile("near", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    # Halving instead of one test per bound.
-    def part(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("near") <= bounds[middle], part(low, middle)).otherwise(part(middle + 1, high))
+def _ranges(rows: DataFrame, parts: int) -> Column:
+    """The part of each row, in the order of ``key`` and within a key against that of ``h``: ranges of about equal size.
 
-    return part(0, len(bounds))
+    The bounds are data, so that every scan agrees on them. A key that holds several ranges' rows is several equal bounds;
+    its rows are dealt to all of these ranges by their hash, which is even.
+    """
+    shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    found = rows.agg(F.percentile_approx("key", shares, F.lit(10 * parts)).alias("b")).first().b if parts > 1 else None
+    bounds = np.array(sorted(found or []), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def part(key: pd.Series, h: pd.Series) -> pd.Series:
+        key = key.to_numpy()
+        low, high = np.searchsorted(bounds, key), np.searchsorted(bounds, key, side="right")
+        # The share of all hashes below this one, in [0, 1).
+        share = (h.to_numpy() >> 11).astype(np.float64) / 2.0 ** 53 + 0.5
+        equal = np.maximum(high - low, 1)
+        return pd.Series((low + equal - 1 - np.floor(share * equal)).astype(np.int32))
+
+    return part("key", "h")
 
 
 def digests_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprint every document and its edited text, and compare them and the next document.
 
     The next document has the next lower id; the first follows the last, and a single one follows itself. Null ids are the lowest;
-    rows of one id are ordered by their texts. Returns the columns of ``NEIGHBOURS``, one row per input row.
+    rows of one id are ordered by a hash of their texts. Returns the columns of ``NEIGHBOURS``, one row per input row.
 
-    Texts are shuffled once, into ranges of the id. A range ends with a copy of the first document of the next one, so each
-    range is worked off alone, as a stream.
+    Texts are shuffled once, into ranges of id and hash, so rows that share an id are split too; only rows with equal id and text meet in one range, whose
+    fingerprints are made once. A range ends with a copy of the first document of the next one, so each is worked off alone, as a stream.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = id_and_text(docs, id_col, text_col).withColumn("key", F.coalesce("id", F.lit(LOWEST))).withColumn("near", F.col("key").cast("double"))
+    rows = id_and_text(docs, id_col, text_col).withColumns({"key": F.coalesce("id", F.lit(LOWEST)), "h": F.xxhash64("text")})
     part = _ranges(rows, parts)
     # One row per range, however many documents there are.
-    firsts = {r.part: r.first for r in rows.groupBy(part.alias("part")).agg(F.max("key").alias("first")).collect()}
-    order = sorted(firsts, reverse=True)
-    before = {firsts[p]: order[i - 1] for i, p in enumerate(order)}
-    rows = rows.select("id", "key", "text", part.alias("part"), F.lit(False).alias("extra"))
-    copies = rows.where(F.col("key").isin(*before)) if before else rows.limit(0)
-    back = F.lit(None).cast("int")
-    for first, earlier in before.items():
-        back = F.when(F.col("key") == first, F.lit(earlier)).otherwise(back)
-    copies = copies.select("id", "key", "text", back.alias("part"), F.lit(True).alias("extra"))
-    dealt = rows.unionByName(copies).repartitionById(parts, "part").sortWithinPartitions("part", "extra", F.desc("key"), F.xxhash64("text"), "text")
+    first = F.max(F.struct("key", F.bitwise_not("h").alias("not_h"))).alias("first")
+    firsts = sorted(rows.select("key", "h", part.alias("part")).groupBy("part").agg(first).collect(), reverse=True)
+    links = [(r.first.key, ~r.first.not_h, firsts[i - 1].part) for i, r in enumerate(firsts)]
+    # As many rows as ranges, so small enough to broadcast. Of equal rows one is copied.
+    copied = rows.join(F.broadcast(spark.createDataFrame(links, "key long, h long, part int")), ["key", "h"])
+    copies = copied.groupBy("part", "key", "h").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    columns = ["id", "key", "h", "text", "part", "extra"]
+    dealt = rows.withColumns({"part": part, "extra": F.lit(False)}).select(columns).unionByName(copies.withColumn("extra", F.lit(True)).select(columns))
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "extra", F.desc("key"), "h")
 
     def compare(doc: int, text: str, own: str, following: str, next_print: str) -> tuple:
         changed = edited(text, following)
@@ -149,9 +158,7 @@ def digests_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 out = []
                 columns = (batch.slice(at, 512)[c].to_pylist() for c in ("part", "extra", "id", "text"))
                 for number, extra, doc, text in zip(*columns):
-                    if previous and previous[0] == number and previous[1]:
-                        continue  # only the first copy follows anything
-                    own = fingerprint(text)
+                    own = previous[4] if previous and previous[3] == text else fingerprint(text)
                     if previous and previous[0] == number:
                         out.append(compare(*previous[2:], text, own))
                     previous = (number, extra, doc, text, own)

@@ -38,7 +38,7 @@ def test_counts_do_not_depend_on_slices():
     assert digest.bucket_counts(small).tolist() == wanted
 
 
-@pytest.mark.parametrize("parts", [1, 3, 7])
+@pytest.mark.parametrize("parts", [1, 3, 7, 1000])
 def test_documents_and_their_neighbours(spark, parts):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     got = {r.doc_id: r for r in digest.digests_with_next(docs, parts=parts).collect()}
@@ -71,3 +71,19 @@ def test_single_and_none(spark):
     one = digest.digests_with_next(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.near_next, r.edited_sha256) for r in one] == [(1, 1.0, hashlib.sha256(b"abcdab").hexdigest())]
     assert digest.digests_with_next(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_one_id_is_split(spark, parts):
+    """Half of the rows share one id, others none; each follows the next lower id, and within an id the next higher hash."""
+    rows = [(7, f"seven {n}") for n in range(300)] + [(None, f"none {n}") for n in range(150)] + [(n, f"single {n}") for n in range(20)] + [(3, "three")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    changed = [(d, digest.edited(t, order[(n + 1) % len(order)][1])) for n, (d, t) in enumerate(order)]
+    got = digest.digests_with_next(docs, parts=parts).collect()
+    assert sorted((r.doc_id or -1, r.edited_sha256) for r in got) == sorted((d or -1, hashlib.sha256(t.encode()).hexdigest()) for d, t in changed)
+    if parts > 4:
+        ranged = docs.selectExpr("coalesce(doc_id, -99) as key", "xxhash64(text) as h")
+        sizes = ranged.groupBy(digest._ranges(ranged, parts).alias("part")).count().toPandas()["count"]
+        assert sizes.max() < 60
