@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from html.parser import HTMLParser
+from collections.abc import Iterator
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -42,15 +42,104 @@ FURNITURE = frozenset(
     "share sharing social related recommended recommendations widget widgets toolbar pagination pager skip".split()
 )
 PLACES = frozenset("area bar block box container group item items left link links list page posts right section site top wrap wrapper".split())
+# Of the furniture, what names remarks of readers; and parts of such names.
+REMARKS = frozenset("comment comments commentlist discussion disqus replies reply respond reactions".split())
+REMARK_PARTS = PLACES | frozenset("author body children content count even odd depth form head header footer inner main meta new old text thread title".split())
+# Elements whose content is text up to their end tag, and those of them that may hold character references.
+RAW = frozenset("script style xmp iframe noembed noframes".split())
+RAW_WITH_REFERENCES = frozenset("title textarea".split())
+NAMES = frozenset("class id role itemprop".split())
 _TOKENS, _WORDS = re.compile(r"[^\s]+"), re.compile(r"[a-z]+")
-MAX_DEPTH = 2000
+_TAG_NAME = re.compile(r"[^\s/>]+")
+_BETWEEN, _SPACE = re.compile(r"[\s/]*"), re.compile(r"\s*")
+_ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+Attributes = list[tuple[str, str]]
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, Attributes]]:
+    """("text", text, []), ("start", name, attributes) and ("end", name, []) in page order.
+
+    Every character is looked at a bounded number of times: what is opened and never closed (a comment, a tag, a quoted value, a script) takes
+    the rest of the page, as in browsers. Comments, declarations and processing instructions are left out.
+    """
+    at, size = 0, len(html)
+    while at < size:
+        less = html.find("<", at)
+        if less < 0:
+            yield "text", unescape(html[at:]), []
+            return
+        if less > at:
+            yield "text", unescape(html[at:less]), []
+        at = less + 1
+        char = html[at:at + 1]
+        if char.isascii() and char.isalpha():
+            name = _TAG_NAME.match(html, at)
+            read = _attributes(html, name.end())
+            if read is None:
+                return
+            at, attributes = read
+            tag = name[0].lower()
+            yield "start", tag, attributes
+            if tag in RAW or tag in RAW_WITH_REFERENCES:
+                end = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(html, at)
+                stop = end.start() if end else size
+                if stop > at:
+                    yield "text", unescape(html[at:stop]) if tag in RAW_WITH_REFERENCES else html[at:stop], []
+                at = stop
+        elif char == "/" and html[at + 1:at + 2].isascii() and html[at + 1:at + 2].isalpha():
+            name = _TAG_NAME.match(html, at + 1)
+            read = _attributes(html, name.end())
+            if read is None:
+                return
+            at = read[0]
+            yield "end", name[0].lower(), []
+        elif html.startswith("!--", at):
+            # "<!-->" and "<!--->" are whole comments.
+            end = html.find("-->", at + 1)
+            if end < 0:
+                return
+            at = end + 3
+        elif char and char in "!?/":
+            end = html.find(">", at)
+            if end < 0:
+                return
+            at = end + 1
+        else:
+            yield "text", "<", []
+
+
+def _attributes(html: str, at: int) -> tuple[int, Attributes] | None:
+    """Where a tag ends, and its attributes from ``at`` on; None if it has no end."""
+    found: Attributes = []
+    while True:
+        at = _BETWEEN.match(html, at).end()
+        if at >= len(html):
+            return None
+        if html[at] == ">":
+            return at + 1, found
+        name = _ATTRIBUTE.match(html, at)
+        at, value = name.end(), ""
+        after = _SPACE.match(html, at).end()
+        if html[after:after + 1] == "=":
+            at = _SPACE.match(html, after + 1).end()
+            quote = html[at:at + 1]
+            if quote and quote in "\"'":
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = html[at + 1:end], end + 1
+            else:
+                value = _UNQUOTED.match(html, at)[0]
+                at += len(value)
+        found.append((name[0].lower(), unescape(value)))
 
 
 class Element:
-    __slots__ = ("tag", "parent", "items", "own", "tags", "link_tags", "furniture", "suspect", "chars", "link_chars", "density", "total")
+    __slots__ = ("tag", "parent", "items", "own", "tags", "link_tags", "furniture", "suspect", "remarks", "chars", "link_chars", "density", "total")
 
-    def __init__(self, tag: str, parent: Element | None, furniture: bool = False, suspect: bool = False):
-        self.tag, self.parent, self.furniture, self.suspect = tag, parent, furniture, suspect
+    def __init__(self, tag: str, parent: Element | None, furniture: bool = False, suspect: bool = False, remarks: bool = False):
+        self.tag, self.parent, self.furniture, self.suspect, self.remarks = tag, parent, furniture, suspect, remarks
         # Own text markup, links and their characters, before measuring.
         self.own: tuple[int, int, int] | None = None
         self.items: list[Element | str] = []
@@ -59,52 +148,63 @@ class Element:
         self.density = self.total = 0.0
 
 
-def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+def is_furniture(tag: str, attrs: Attributes, in_article: bool) -> bool:
     """Elements that hold no text of the page by their kind, or hidden ones."""
-    if tag in NEVER_TEXT or (tag == "header" and not in_article):
-        return True
+    return tag in NEVER_TEXT or (tag == "header" and not in_article) or any(name == "hidden" for name, _ in attrs)
+
+
+def names_of(attrs: Attributes) -> Iterator[list[str]]:
+    """The words of each token of class, id and role."""
     for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id") and value and tag == "article" and any(w in ("comment", "comments", "reply") for w in _WORDS.findall(value.lower())):
-            return True
-    return False
+        if name in NAMES and value:
+            for token in _TOKENS.findall(value.lower()):
+                yield _WORDS.findall(token)
+
 
+def is_remarks(tag: str, attrs: Attributes) -> bool:
+    """Elements named as remarks of readers: a token of such words and parts of such names only ("comment-list", not "has-comments")."""
+    return tag not in ("body", "html", "main") and any(
+        any(w in REMARKS for w in words) and all(w in REMARKS or w in REMARK_PARTS for w in words) for words in names_of(attrs))
 
-def is_suspect(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+
+def is_suspect(tag: str, attrs: Attributes, in_article: bool) -> bool:
     """Forms, and elements whose class, id or role has a token of furniture words only; they go if they hold little (``_settle``)."""
     if tag in ("body", "html", "article", "main"):
         return False
     if tag == "form":
         return True
-    for name, value in attrs:
-        if name in ("class", "id", "role") and value:
-            for token in _TOKENS.findall(value.lower()):
-                # "article-header" names the header of the article, "page-header" that of the page.
-                words = _WORDS.findall(token)
-                named = any(w in FURNITURE for w in words) and all(w in FURNITURE or w in PLACES for w in words)
-                if named and not (in_article and words[-1] == "header" and tag in ("header", "div")):
-                    return True
+    for words in names_of(attrs):
+        # "article-header" names the header of the article, "page-header" that of the page.
+        named = any(w in FURNITURE for w in words) and all(w in FURNITURE or w in PLACES for w in words)
+        if named and not (in_article and words[-1] == "header" and tag in ("header", "div")):
+            return True
     return False
 
 
-class Builder(HTMLParser):
+class Builder:
     """A forgiving tree of block elements: unclosed and stray tags end where HTML would end them."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = self.at = Element("body", None)
-        self.open: Counter[str] = Counter()
-        self.depth = 0
+        # The open elements, outermost first, and the places of each kind among them.
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
         self.links = 0
 
-    @property
-    def in_article(self) -> bool:
-        return self.open["article"] > 0
-
-    def handle_starttag(self, tag, attrs):
+    def read(self, html: str) -> Element:
+        for kind, value, attributes in tokens(html):
+            if kind == "text":
+                self.text(value)
+            elif kind == "start":
+                self.start(value, attributes)
+            else:
+                self.end(value)
+        return self.root
+
+    def start(self, tag: str, attrs: Attributes) -> None:
         if tag in ("html", "body"):
             return
+        in_article = bool(self.places.get("article"))
         if tag in INLINE:
             self.at.tags += 1
             if tag == "a":
@@ -113,11 +213,11 @@ class Builder(HTMLParser):
             elif tag == "br":
                 self.at.items.append(" ")
             # Inside running text only what is hidden goes.
-            if tag not in VOID and is_furniture(tag, attrs, self.in_article):
-                self._open(tag, True)
+            if tag not in VOID and is_furniture(tag, attrs, in_article):
+                self._open(Element(tag, self.at, True))
             return
         if tag in CLOSES_P:
-            self._close("p", ())
+            self._close("p", ("td", "th", "article", "li"))
         if tag in SAME_KIND:
             for kind in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                 self._close(kind, SAME_KIND[tag])
@@ -125,45 +225,35 @@ class Builder(HTMLParser):
             self.at.tags += 1
             self.at.items.append(" ")
             return
-        self._open(tag, is_furniture(tag, attrs, self.in_article), is_suspect(tag, attrs, self.in_article))
+        self._open(Element(tag, self.at, is_furniture(tag, attrs, in_article), is_suspect(tag, attrs, in_article), is_remarks(tag, attrs)))
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag == "a":
             self.links = 0
         if tag not in VOID:
-            self._close(tag, () if tag not in INLINE else ("p",))
+            self._close(tag, ("td", "th", "article", "li") if tag == "p" else ("p",) if tag in INLINE else ())
 
-    def handle_data(self, data):
+    def text(self, data: str) -> None:
         self.at.items.append(data)
         if self.links:
             self.at.link_chars += len(data) - data.count(" ")
 
-    def unknown_decl(self, data):
-        """CDATA sections and the like hold no text of the page."""
-
-    def _open(self, tag, furniture, suspect=False):
+    def _open(self, inner: Element) -> None:
         self.links = 0
-        if self.depth >= MAX_DEPTH:
-            return  # what is nested deeper counts to the element around it
-        inner = Element(tag, self.at, furniture, suspect)
         self.at.items.append(inner)
         self.at = inner
-        self.depth += 1
-        self.open[tag] += 1
+        self.places.setdefault(inner.tag, []).append(len(self.stack))
+        self.stack.append(inner)
 
-    def _close(self, tag, within):
-        """End the innermost open ``tag``, unless one of ``within`` or a table cell bounds it."""
-        if not self.open[tag]:
+    def _close(self, tag: str, within: tuple[str, ...]) -> None:
+        """End the innermost open ``tag``, unless one of ``within`` lies between."""
+        places = self.places.get(tag)
+        if not places or any(self.places.get(w) and self.places[w][-1] > places[-1] for w in within):
             return
-        found = self.at
-        while found.tag != tag:
-            if found.tag in within or (tag == "p" and found.tag in ("td", "th", "article", "li")):
-                return
-            found = found.parent
-        while self.at is not found.parent:
-            self.open[self.at.tag] -= 1
-            self.depth -= 1
-            self.at = self.at.parent
+        for e in reversed(self.stack[places[-1]:]):
+            self.places[e.tag].pop()
+            self.stack.pop()
+        self.at = self.stack[-1] if self.stack else self.root
 
 
 def _preorder(root: Element) -> list[Element]:
@@ -214,6 +304,29 @@ def _densest(elements: list[Element], body: Element) -> Element:
     return best if best.total else body
 
 
+def _drop_remarks(elements: list[Element]) -> bool:
+    """Mark remarks of readers as furniture, whatever their size.
+
+    A container named so is only a wrapper of the page if it holds the page's main, or the only article, and no other stands outside of remarks.
+    """
+    inside: set[int] = set()
+    for e in elements:
+        if e.remarks or (e.parent is not None and id(e.parent) in inside):
+            inside.add(id(e))
+    marks = [e for e in elements if e.tag == "main" or (e.tag == "article" and not e.remarks)]
+    kept: set[int] = set()
+    if all(id(e) in inside for e in marks):
+        mains = [e for e in marks if e.tag == "main"]
+        for e in mains or (marks if len(marks) == 1 else []):
+            while e is not None and id(e) not in kept:
+                kept.add(id(e))
+                e = e.parent
+    gone = [e for e in elements if e.remarks and id(e) not in kept]
+    for e in gone:
+        e.furniture = True
+    return bool(gone)
+
+
 def _settle(elements: list[Element], body: Element) -> bool:
     """Mark suspects as furniture, but for those around the densest subtree, an article or a main.
 
@@ -223,7 +336,9 @@ def _settle(elements: list[Element], body: Element) -> bool:
     kept = set(map(id, _path(best)))
     marks = [e for e in elements if e.tag in ("article", "main") and e.chars]
     for e in marks:
-        kept.update(map(id, _path(e)))
+        while e is not None and id(e) not in kept:
+            kept.add(id(e))
+            e = e.parent
     gone = [e for e in elements if e.suspect and id(e) not in kept and (marks or 2 * e.chars <= body.chars)]
     for e in gone:
         e.furniture = True
@@ -232,6 +347,8 @@ def _settle(elements: list[Element], body: Element) -> bool:
 
 def _content(body: Element) -> list[Element]:
     elements = _preorder(body)
+    if _drop_remarks(elements):
+        elements = _preorder(body)
     if any(e.suspect for e in elements) and _settle(elements, body):
         elements = _preorder(body)
     best = _densest(elements, body)
@@ -286,10 +403,7 @@ def main_text(html: str | None) -> str:
     """The blocks of the main content, one a line; empty if there is none."""
     if not html:
         return ""
-    builder = Builder()
-    builder.feed(html)
-    builder.close()
-    return "\n".join(line for e in _content(builder.root) for line in _blocks(e))
+    return "\n".join(line for e in _content(Builder().read(html)) for line in _blocks(e))
 
 
 EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

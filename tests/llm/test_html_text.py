@@ -1,9 +1,11 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
-from clearway.llm.html_text import extract, main_text
+from clearway.llm.html_text import extract, main_text, tokens
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -49,6 +51,75 @@ WRAPPED = {
 }
 
 
+REMARK = "I do not agree with a single word of this, and I have read all of it twice. " * 2
+MANY = "".join(f"<div class=item><b>reader {n}</b><p>{REMARK}{n}</p></div>" for n in range(40))
+REMARKS = {
+    "many beside an article": (page(f"<article>{DIVS}</article><div class='comments'>{MANY}</div>"), STORY),
+    "many beside divs": (page(f"<div class=content>{DIVS}</div><div class='comments'>{MANY}</div>"), STORY),
+    "many inside the article": (page(f"<article>{DIVS}<section id=comment-list>{MANY}</section></article>"), STORY),
+    "a short text beside more remarks": (page(f"<div class=content><p>{'word ' * 90}</p></div><div class=comments><p>{'remark ' * 100}</p></div>"), ("word " * 90).strip()),
+    "articles as remarks": (page(f"<article>{DIVS}</article><ol class=comment-list>" + f"<li class=comment><article class=comment-body><p>{REMARK}</p></article>" * 30 + "</ol>"), STORY),
+    "plain articles as remarks": (page(f"<div>{DIVS}</div><section class=comments>" + f"<article><p>{REMARK}</p></article>" * 30 + "</section>"), STORY),
+    "a wrapper with an odd name": (page(f"<div class=discussion><article>{DIVS}</article></div>"), STORY),
+    "an article that has comments": (page(f"<article class='post has-comments'>{DIVS}</article>"), STORY),
+    "an article on replies": (page(f"<article id='why-reply-matters'>{DIVS}</article>"), STORY),
+    "text hidden from readers aloud": (page(f"<article><h1 aria-hidden=true>Head</h1><p>a <span aria-hidden='true'>b</span> c</p></article>"), "Head\na b c"),
+    "hidden text": (page(f"<article><p>{LONG}</p><p hidden>no</p></article>"), LONG.strip()),
+}
+
+
+@pytest.mark.parametrize("name", REMARKS)
+def test_remarks_of_readers_go_and_articles_stay(name):
+    given, wanted = REMARKS[name]
+    assert main_text(given) == wanted
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages(seed):
+    """Any number of paragraphs, furniture and remarks in random wrappers: the paragraphs come out, nothing else."""
+    rng = random.Random(seed)
+
+    def prose(name, least, most):
+        return " ".join(f"{name}{rng.randrange(1000)}" for _ in range(rng.randint(least, most))) + "."
+
+    paragraphs = [prose("text", 15, 80) for _ in range(rng.randint(3, 12))]
+    story = "".join(f"<p>{p}</p>" for p in paragraphs)
+    story = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div><div id=story>{}</div></div>", "<main><article class=has-comments>{}</article></main>"]).format(story)
+    menu = "<ul class=menu>" + "".join(f"<li><a href=x>{prose('menu', 1, 3)}</a>" for _ in range(rng.randint(2, 12))) + "</ul>"
+    remarks = "".join(rng.choice(["<div class=comment><p>{}</p></div>", "<article class=comment>{}</article>", "<li>{}</li>"]).format(prose("remark", 5, 60)) for _ in range(rng.randint(0, 60)))
+    remarks = rng.choice(["<div class=comments>{}</div>", "<section id=comments>{}</section>", "<ol class='comment-list wide'>{}</ol>", "<div id=disqus_thread>{}</div>", "<div role=complementary class=replies>{}</div>"]).format(remarks)
+    around = [f"<header>{prose('site', 2, 9)}</header>", f"<nav>{menu}</nav>", menu, f"<div class=sidebar>{prose('side', 3, 20)}</div>", "<script>var x='<p>no</p>'</script>", f"<div class=ad>{prose('buy', 3, 12)}</div>"]
+    before = "".join(rng.sample(around, rng.randint(0, 4)))
+    assert main_text(page(f"{before}{story}{remarks}<footer>{prose('foot', 2, 9)}</footer>")) == "\n".join(paragraphs)
+
+
+def test_furniture_at_any_depth():
+    deep = "<div>" * 2100
+    assert main_text(f"{deep}<p>text here</p><script>var x=1</script><nav>menu</nav>") == "text here"
+    assert main_text(f"{deep}<article><p>{LONG}</p><div class=comments><p>no</p></div></article><div class=ad>no</div>") == LONG.strip()
+
+
+@pytest.mark.parametrize("part", ["<a ", "<!--", "<", "</", "<![CDATA[", "<p title='", "&", "<script>", "</x ", "<?", "<p><x>", "<td><x>", "<b><i>", "<ul><li>", "<p><td><x><div></div>", "<title>", "<a href=\"x"])
+def test_time_grows_with_the_page(part):
+    started = time.time()
+    main_text("<article><p>kept</p>" + part * 60_000)
+    assert time.time() - started < 10
+
+
+def test_tokens():
+    cases = {
+        "a<b c=d e='f>g' h>i</b >j": [("text", "a"), ("start", "b", [("c", "d"), ("e", "f>g"), ("h", "")]), ("text", "i"), ("end", "b"), ("text", "j")],
+        "x<!-- <p> -->y<!-->z<!doctype html>": [("text", "x"), ("text", "y"), ("text", "z")],
+        "1 < 2 &lt; 3 <4> </5>6": [("text", "1 "), ("text", "<"), ("text", " 2 < 3 "), ("text", "<"), ("text", "4> "), ("text", "6")],
+        "<SCRIPT>a</b></Script><p>": [("start", "script", []), ("text", "a</b>"), ("end", "script"), ("start", "p", [])],
+        "<title>a &amp; <b></title>c": [("start", "title", []), ("text", "a & <b>"), ("end", "title"), ("text", "c")],
+        "a<br/>b<img src=x/y alt = 'é'>": [("text", "a"), ("start", "br", []), ("text", "b"), ("start", "img", [("src", "x/y"), ("alt", "é")])],
+        "a<p class='x": [("text", "a")], "a<": [("text", "a"), ("text", "<")], "": [],
+    }
+    for given, wanted in cases.items():
+        assert [(k, v, a) if k == "start" else (k, v) for k, v, a in tokens(given)] == wanted
+
+
 @pytest.mark.parametrize("name", CHOSEN)
 def test_density_chooses_the_content(name):
     given, wanted = CHOSEN[name]
