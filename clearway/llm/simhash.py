@@ -53,6 +53,12 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(bits[::-1]).tobytes(), "big")
 
 
+def bits_of_majority(hashes: np.ndarray) -> int:
+    """The SimHash of some hashes as an unsigned number; 0 for none."""
+    bits = (2 * _ones(hashes) > len(hashes)).astype(np.uint8)
+    return int.from_bytes(np.packbits(bits[::-1]).tobytes(), "big") if len(hashes) else 0
+
+
 def _ones(hashes: np.ndarray) -> np.ndarray:
     """How many hashes have each bit, from bit 0."""
     total = np.zeros(64, dtype=np.int64)
@@ -165,14 +171,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = cut(named.join(lowest, "component").select("print", "component_id"))
     return rows.join(names, "print").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id, with all columns of ``docs``.
-
-    Rows that repeat the kept id stay with it; rows without an id have no name to be kept or dropped by and stay.
-    """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius)
-    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct())
-    named = docs.where(F.col(id_col).isNotNull())
-    return named.join(kept, named[id_col].cast("long") == kept["_kept"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

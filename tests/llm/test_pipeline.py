@@ -1,5 +1,5 @@
 import corpus_pipeline
-from clearway.llm import packing, quality, secret_scan, simhash, toxicity
+from clearway.llm import near_copies, packing, quality, secret_scan, toxicity
 from clearway.llm.queries import QUALITY_THRESHOLD, TOXIC_THRESHOLD, fold, tokenizer_path
 
 FOLDER = "/root/testdata/sf0.01"
@@ -27,8 +27,11 @@ def test_every_stage_takes_effect(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in scores if r.score < TOXIC_THRESHOLD}
 
     single = after("SimHash near-dedup", clean)
-    groups = simhash.near_duplicates(clean).collect()
-    assert sorted(r.doc_id for r in single.collect()) == sorted({r.component_id for r in groups})
+    groups = near_copies.groups(clean).collect()
+    lowest = {}
+    for r in groups:
+        lowest[r.component] = min(r.id, lowest.get(r.component, r.id))
+    assert sorted(r.doc_id for r in single.collect()) == sorted(lowest.values())
 
     masked = after("secret scans", single)
     assert masked.count() == single.count() and all(r.n_chars == len(r.text) for r in masked.collect())
