@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clearway.llm import packing, quality, secret_scan, simhash, toxicity
+from clearway.llm import near_copies, packing, quality, secret_scan, toxicity
 from clearway.llm.common import table
 from clearway.llm.queries import QUALITY_THRESHOLD, TOXIC_THRESHOLD, fold, tokenizer_path
 from clearway.session import new_shared_path
@@ -32,7 +32,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
