@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 import zstandard
@@ -37,7 +38,7 @@ SENSITIVE = re.compile(
 # Each of them holds one of these, which are quicker to look for.
 HINTS = ("passw", "passphrase", "secret", "token", "key", "credential", "authorization", "bearer", "client", "signature")
 REACH = 64
-# A string of key characters, this long, with digits and letters. The parts of a run between "=" are candidates, with "=" as padding of their
+# A string of key characters, this long. The parts of a run between "=" are candidates, with "=" as padding of their
 # end; a run whose parts are all shorter is one as a whole.
 LEAST_CHARS = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}|[A-Za-z0-9+/_-]{15}={1,2}|[A-Za-z0-9+/_-]{14}==")
@@ -130,36 +131,24 @@ def novel_spans(text: str, base: Iterable[Span], novelty: Novelty, least: float
                 continue
             done = end
             candidates += [m.span() for m in CANDIDATE.finditer(text, start, end)] or [(start, end)]
-    starts = {start for start, _ in candidates}
     found: list[Span] = []
     for start, end in candidates:
         string = text[start:end]
-        if any(s < end and start < e for s, e in taken) or not (_DIGIT.search(string) and _LETTER.search(string)):
+        if any(s < end and start < e for s, e in taken):
             continue
-        around = _surroundings(text, start, end, starts).encode("utf-8", "replace")
+        around = _surroundings(text, start, end).encode("utf-8", "replace")
         if novelty.marginal_bytes(around, string.encode()) >= least * len(string):
             found.append(("novel", start, end))
     return found
 
 
-def _surroundings(text: str, start: int, end: int, starts: set[int]) -> str:
-    """The text on both sides without repeats of the candidate, which would make it look known.
-
-    Of repeats before it only those that are candidates themselves go; one that stands free of any sensitive word stays.
-    """
+def _surroundings(text: str, start: int, end: int) -> str:
+    """The text on both sides without repeats of the candidate, which would make it look known."""
     string = text[start:end]
     # One length more, so that no repeat is cut by the border.
-    at = max(0, start - SURROUNDINGS - len(string))
-    before = []
-    while (hit := text.find(string, at, start)) >= 0:
-        before.append(text[at:hit] if hit in starts else text[at:hit + len(string)])
-        at = hit + len(string)
-    before.append(text[at:start])
+    before = text[max(0, start - SURROUNDINGS - len(string)):start].replace(string, "")
     after = text[end:end + SURROUNDINGS + len(string)].replace(string, "")
-    return "".join(before)[-SURROUNDINGS:] + "\n" + after[:SURROUNDINGS]
-
-
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+    return before[-SURROUNDINGS:] + "\n" + after[:SURROUNDINGS]
 
 
 def joined(spans: Iterable[Span]) -> str:
@@ -204,8 +193,24 @@ def span_digest(found: DataFrame) -> DataFrame:
     )
 
 
+def repeats(text: str, found: Iterable[Span]) -> Iterator[tuple[int, int]]:
+    """Where else a text has the strings that were found in it, in one pass however many there are."""
+    strings = {text[s:e] for kind, s, e in found if kind != "assign"}
+    strings |= {m[2] for kind, s, e in found if kind == "assign" and (m := ASSIGN.match(text, s)) and len(m[2]) >= LEAST_CHARS}
+    if strings:
+        automaton = ahocorasick.Automaton()
+        for string in strings:
+            automaton.add_word(string, len(string))
+        automaton.make_automaton()
+        for last, length in automaton.iter(text):
+            yield last + 1 - length, last + 1
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", least: float = MIN_BYTES_PER_CHAR) -> DataFrame:
-    """``docs`` with every secret replaced by ``mark``; overlapping spans become one mark. Null texts stay null, all columns stay."""
+    """``docs`` with every secret replaced by ``mark``; overlapping spans become one mark. Null texts stay null, all columns stay.
+
+    What was found once is replaced wherever else the same text has it: keys, digests and novel strings, and assigned values as long as those.
+    """
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
@@ -215,7 +220,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
             if text is None:
                 return None
             base = base_spans(text)
-            spans = sorted((s, e) for _, s, e in base + novel_spans(text, base, novelty, least))
+            found = base + novel_spans(text, base, novelty, least)
+            spans = sorted({*((s, e) for _, s, e in found), *repeats(text, found)})
             parts, at = [], 0
             for start, end in spans:
                 if start >= at:
