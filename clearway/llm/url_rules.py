@@ -1,6 +1,6 @@
 """Block and allow rules for urls by hashed host-suffix and path-prefix expressions.
 
-A url is expanded into every suffix of its host joined with every prefix of its path that some rule may have. Expressions
+A url is expanded into the suffixes of its host joined with the prefixes of its path, of the numbers of labels and characters that some rule has. Expressions
 and rules meet in an equi-join on a short prefix of their digests; the full digests confirm a hit, and the longest rule
 wins. All of it is DataFrame functions; each distinct url is judged once, so a url that fills the table is no hot key.
 """
@@ -24,10 +24,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and every rest after one of its dots."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def suffixes(host: Column, label_counts: list[int]) -> Column:
+    """The ends of a host that have one of these numbers of labels; a host of very many labels has no more of them."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    return F.array_compact(F.array(*(F.when(labels >= n, F.substring_index(host, ".", -n)) for n in label_counts)))
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -43,12 +43,12 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         .groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # allow < block
         .withColumn("rule", F.concat("host", "path"))
         .withColumn("digest", F.sha2(F.concat_ws("\n", "host", "path"), 256))
-        .select("rule", "verdict", F.substring("digest", 1, PREFIX_DIGITS).alias("short"), F.col("digest").alias("rule_digest"), F.length("path").alias("path_length"))
+        .select("rule", "verdict", F.substring("digest", 1, PREFIX_DIGITS).alias("short"), F.col("digest").alias("rule_digest"),
+                F.length("path").alias("path_length"), F.size(F.split("host", r"\.", -1)).alias("labels"))
     )
-    # The lengths their paths have: no more than the longest url has characters, however many rules there are.
-    lengths = sorted(r.path_length for r in rules.select("path_length").distinct().collect())
-    if not lengths:
-        lengths = [1]
+    # The lengths their paths and the numbers of labels their hosts have: few, however many rules there are.
+    sizes = rules.agg(F.collect_set("path_length").alias("lengths"), F.collect_set("labels").alias("labels")).first()
+    lengths, label_counts = sorted(sizes.lengths) or [1], sorted(sizes.labels) or [1]
     urls = (
         pages.select(F.col(url_col).cast("string").alias("url")).where(F.col("url").isNotNull()).distinct()
         .select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -56,7 +56,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
     expressions = (
         urls.select("url", F.explode(F.flatten(F.transform(
-            suffixes(F.col("host")), lambda h: F.transform(fitting, lambda n: F.sha2(F.concat_ws("\n", h, F.col("path").substr(F.lit(1), n)), 256)),
+            suffixes(F.col("host"), label_counts), lambda h: F.transform(fitting, lambda n: F.sha2(F.concat_ws("\n", h, F.col("path").substr(F.lit(1), n)), 256)),
         ))).alias("digest"))
         .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     )

@@ -1,4 +1,5 @@
 import random
+import time
 
 from clearway.llm.url_rules import judge
 
@@ -43,3 +44,14 @@ def test_no_cross_join_and_no_python(spark):
     plan = judge(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
     plan = plan._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "html" not in plan
+
+
+def test_a_host_of_very_many_labels(spark):
+    """Only ends with as many labels as some rule's host are built."""
+    host = "a." * 20_000 + "example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/de/x"), (2, f"http://{host}x/de/x"), (3, "http://com/de/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("example.com", "/de/", "block"), ("com", "/", "allow"), ("a.b.c.d.example.com", "/", "block")], "host string, path string, verdict string")
+    started = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in judge(pages, rules, default="block").collect()}
+    assert got == {1: ("example.com/de/", "block"), 2: (None, "block"), 3: ("com/", "allow")}
+    assert time.time() - started < 20
