@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
-from clearway.session import materialise as cut  # noqa: F401 - a reliable checkpoint, used by every iterative operator
+from clearway.session import new_shared_path, materialise as cut  # noqa: F401 - a reliable checkpoint, used by every iterative operator
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +51,15 @@ def by_row(fn: Callable[..., tuple | None], columns: list[str], schema: pa.Schem
     return run
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder. Unlike a checkpoint it has the size of what was written; a checkpoint keeps the estimate of the
+    plan it came from, a product over all joins, which long chains of joins square with every round.
+    """
+    path = new_shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spark_schema(schema: pa.Schema) -> StructType:
     return from_arrow_schema(schema)
 

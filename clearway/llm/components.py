@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
-from clearway.llm.common import cut
+from clearway.llm.common import cut as checkpointed
 
 
 def _lowest(links: DataFrame) -> DataFrame:
@@ -17,7 +19,7 @@ def _summary(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(mixed)).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b: long); the component is its smallest reachable node.
 
     Alternates large-star and small-star steps until the links are stars. A step sends each link to the smallest node its end

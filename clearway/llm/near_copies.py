@@ -5,9 +5,9 @@ most pairs of unrelated fingerprints of a large corpus would have to be compared
 of two texts with a similarity of 0.8 one in 1500 shares none of the 24 bands of 6. Inside a tile, and between the tiles of a band that is common, all
 fingerprints are compared in full, but for tiles whose numbers of ones differ by more than the radius.
 
-A comparison first sends a spanning forest of the smallest distances within the radius, at most one link per fingerprint however large a group is. Each link is
-confirmed on the whole sets of shingles, and components of confirmed links are the groups. Where links failed, texts that are still apart are compared again:
-with the 8 nearest ones that belong to other groups, then the 64 nearest, until none within the radius is left out.
+A comparison sends a spanning forest of the smallest distances within the radius, at most one link per fingerprint however large a group is. All texts that could be
+linked are then in one component of these links. Inside a component, pairs within the radius are confirmed on the whole sets of shingles, the nearest first, unless
+they are connected already. A large component is dealt to many tasks; the text with most links goes to all of them, so that tasks mostly agree without being compared.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from clearway.llm.common import cut, spark_schema
+from clearway.llm.common import spark_schema, written as cut
 from clearway.llm.components import components
 from clearway.llm.simhash import bits_of_majority, words_of
 
@@ -29,6 +29,8 @@ SIMILARITY = 0.8
 RADIUS = 20
 BANDS, ROWS = 24, 6
 TILE = 2048
+# Texts of a component, and bytes of their sets of shingles, that one task holds, twice if it compares with another's.
+GROUP_TEXTS, GROUP_BYTES = 512, 16 << 20
 # Shingles whose MinHash values are computed at once; bounds the memory a long text needs.
 SLICE = 4096
 # Fixed by a rule: odd multipliers and shifts of the MinHash functions.
@@ -40,8 +42,6 @@ LONG = pa.int64()
 SKETCH = pa.schema([("id", LONG), ("h", LONG), ("node", LONG), ("print", LONG), ("bands", pa.list_(LONG))])
 SETS = pa.schema([("node", LONG), ("shingles", pa.binary())])
 LINKS = pa.schema([("a", LONG), ("b", LONG)])
-# A link, or a comparison (of tiles of a band) that left some out.
-FOUND = pa.schema([("a", LONG), ("b", LONG), ("band", LONG), ("cut", pa.int32()), ("cut2", pa.int32())])
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> tuple[np.ndarray, int]:
@@ -102,25 +102,20 @@ def distances(a: np.ndarray, other: np.ndarray, label: np.ndarray, other_label:
         yield at, bits
 
 
-def forest_links(a: np.ndarray, b: np.ndarray | None, label: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], bool]:
-    """A spanning forest of smallest Hamming distances within ``radius``, between rows of two tiles or inside one, over groups that ``label`` tells.
+def forest_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of smallest Hamming distances within ``radius``, between rows of two tiles or inside one.
 
-    Returns places in both tiles, one after the other, and whether other pairs were left out. Every round each group takes its nearest link
-    to another, so the groups at least halve in number.
+    Returns places in both tiles, one after the other. Every round each connected part takes its nearest link to another, so the parts at least halve in number.
     """
     both = a if b is None else np.concatenate([a, b])
-    _, label = np.unique(label, return_inverse=True)
+    label = np.arange(len(both))
     shift, other = (0, a) if b is None else (len(a), b)
     links: list[tuple[int, int]] = []
-    pairs = None
     while True:
         distance = np.full(len(both), radius + 1, dtype=np.int64)
         partner = np.zeros(len(both), dtype=np.int64)
-        close = 0
         for at, bits in distances(a, other, label[: len(a)], label[shift: shift + len(other)]):
             here = np.arange(at, at + len(bits))
-            if pairs is None:
-                close += int((bits <= radius).sum())
             nearest = bits.argmin(axis=1)
             distance[here] = bits[here - at, nearest]
             partner[here] = nearest + shift
@@ -130,12 +125,10 @@ def forest_links(a: np.ndarray, b: np.ndarray | None, label: np.ndarray, radius:
                 better = np.flatnonzero(least < distance[shift:])
                 distance[shift + better] = least[better]
                 partner[shift + better] = at + nearest[better]
-        if pairs is None:
-            pairs = close // 2 if b is None else close
         found = np.flatnonzero(distance <= radius)
         if not len(found):
-            return links, pairs > len(links)
-        # The nearest link of each group; later ones of a round may have been connected by earlier ones.
+            return links
+        # The nearest link of each part; later ones of a round may have been connected by earlier ones.
         order = found[np.argsort(distance[found], kind="stable")]
         _, first = np.unique(label[order], return_index=True)
         for i in order[np.sort(first)].tolist():
@@ -145,20 +138,44 @@ def forest_links(a: np.ndarray, b: np.ndarray | None, label: np.ndarray, radius:
                 label[label == label[j]] = label[i]
 
 
-def nearest_links(a: np.ndarray, b: np.ndarray | None, label: np.ndarray, radius: int, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """For each row its ``most`` nearest ones of other groups within ``radius``, and whether any has more."""
-    links: list[tuple[int, int]] = []
-    more = False
-    sides = [(a, 0, a, 0)] if b is None else [(a, 0, b, len(a)), (b, len(a), a, 0)]
-    for rows, start, other, shift in sides:
-        for at, bits in distances(rows, other, label[start: start + len(rows)], label[shift: shift + len(other)]):
-            count = (bits <= radius).sum(axis=1)
-            more |= bool((count > most).any())
-            for i in np.flatnonzero(count):
-                near = np.flatnonzero(bits[i] <= radius)
-                near = near[np.argsort(bits[i, near], kind="stable")[:most]]
-                links += [(start + at + int(i), shift + int(j)) for j in near]
-    return links, more
+def confirmed_links(a: np.ndarray, b: np.ndarray | None, label: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of two tiles, or inside one, whose sets are similar enough, as far as they connect something new; rows of one ``label`` are connected."""
+    _, group = np.unique(label, return_inverse=True)
+    shift, other = (0, a) if b is None else (len(a), b)
+    found = []
+    for at, bits in distances(a, other, group[: len(a)], group[shift: shift + len(other)]):
+        i, j = np.nonzero(bits <= radius)
+        near = bits[i, j].astype(np.int64)
+        i, j = i + at, j + shift
+        keep = i < j
+        found.append(np.stack([near[keep], i[keep], j[keep]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    parent = list(range(int(group.max(initial=-1)) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    numbers = group.tolist()
+    for i, j in zip(*(pairs[k, np.argsort(pairs[0], kind="stable")].tolist() for k in (1, 2))):
+        x, y = root(numbers[i]), root(numbers[j])
+        if x != y and similar(sets[i], sets[j], similarity):
+            parent[y] = x
+            links.append((i, j))
+    return links
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    # Sets of too different sizes need no comparison.
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and common >= similarity * (len(both) - common) - 1e-9
 
 
 def tiles_of(nodes: DataFrame, tile: int) -> DataFrame:
@@ -166,81 +183,84 @@ def tiles_of(nodes: DataFrame, tile: int) -> DataFrame:
     banded = nodes.select(F.explode("bands").alias("band"), "node", "print")
     shared = banded.groupBy("band").agg(F.ceil(F.count("*") / tile).cast("int").alias("cuts"), F.count("*").alias("n")).where("n > 1").drop("n")
     dealt = banded.join(shared, "band").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    return _as_tiles(dealt.withColumn("label", F.col("node")))
+    ones = F.bit_count("print")
+    return cut(dealt.groupBy("band", "cuts", "cut").agg(
+        F.sort_array(F.collect_list(F.struct("node", "print"))).alias("rows"), F.min(ones).alias("least"), F.max(ones).alias("most")))
 
 
-def _as_tiles(rows: DataFrame) -> DataFrame:
-    ones = F.bit_count("print")
-    return cut(rows.groupBy("band", "cut").agg(
-        F.sort_array(F.collect_list(F.struct("node", "print", "label"))).alias("rows"), F.min(ones).alias("least"), F.max(ones).alias("most")))
+def candidate_links(tiles: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of ``tiles`` which share a band and differ in at most ``radius`` bits."""
+    inside = tiles.select("rows", F.lit(None).cast(dict(tiles.dtypes)["rows"]).alias("rows2"))
+    many = tiles.where("cuts > 1")
+    other = many.select("band", *[F.col(c).alias(f"{c}2") for c in ("cut", "rows", "least", "most")])
+    near = (F.col("least") - F.col("most2") <= radius) & (F.col("least2") - F.col("most") <= radius)
+    between = many.join(other, "band").where((F.col("cut") < F.col("cut2")) & near).select("rows", "rows2")
 
+    def links(a: pa.Array, b: pa.Array | None) -> list[tuple[int, int]]:
+        prints = [x.field("print").to_numpy().view(np.uint64) for x in (a, b) if x is not None]
+        if b is None and len(a) == 2:
+            return [(0, 1)] if int(prints[0][0] ^ prints[0][1]).bit_count() <= radius else []
+        return forest_links(prints[0], prints[1] if b is not None else None, radius)
 
-def compared(keys: DataFrame, tiles: DataFrame, radius: int, most: int | None) -> DataFrame:
-    """FOUND by the comparisons of ``keys`` (band, cut, cut2; null: inside the tile)."""
-    other = tiles.select("band", *[F.col(c).alias(f"{c}2") for c in ("cut", "rows", "least", "most")])
-    apart = (F.col("least") - F.col("most2") > radius) | (F.col("least2") - F.col("most") > radius)
-    meeting = keys.join(tiles, ["band", "cut"]).join(other, ["band", "cut2"], "left").where(~F.coalesce(apart, F.lit(False)))
+    return inside.unionByName(between).mapInArrow(_linking(links), spark_schema(LINKS)).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for band, first, second, rows, others in zip(*(batch[c] for c in ("band", "cut", "cut2", "rows", "rows2"))):
-                sides = [rows.values] if not others.is_valid else [rows.values, others.values]
-                node, label = (np.concatenate([s.field(c).to_numpy() for s in sides]) for c in ("node", "label"))
-                if (label == label[0]).all():
-                    continue
-                prints = [s.field("print").to_numpy().view(np.uint64) for s in sides] + [None]
-                links, more = forest_links(*prints[:2], label, radius) if most is None else nearest_links(*prints[:2], label, radius, most)
-                ends = np.sort(node[np.array(links, dtype=np.int64).reshape(-1, 2)], axis=1)
-                columns = [pa.array(ends[:, 0]), pa.array(ends[:, 1]), *(pa.nulls(len(ends), f.type) for f in list(FOUND)[2:])]
-                yield pa.RecordBatch.from_arrays(columns, schema=FOUND)
-                if more:
-                    yield pa.RecordBatch.from_pylist([{"band": band.as_py(), "cut": first.as_py(), "cut2": second.as_py()}], schema=FOUND)
-
-    return meeting.select("band", "cut", "cut2", "rows", "rows2").mapInArrow(run, spark_schema(FOUND))
-
-
-def near_groups(tiles: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(node, component) over all confirmed links between nodes of ``tiles``: first inside the tiles, then between tiles of one band."""
-    inside = tiles.select("band", "cut", F.lit(None).cast("int").alias("cut2"))
-    between = tiles.select("band", "cut").join(tiles.select("band", F.col("cut").alias("cut2")), "band").where("cut < cut2")
-    links = named = None
-    for keys in (inside, between):
-        most = None
-        here = tiles if named is None else _relabelled(tiles, named)
-        while not keys.isEmpty():
-            found = cut(compared(keys, here, radius, most))
-            good = confirmed(found.where("a is not null").select("a", "b").distinct(), sets, similarity)
-            links = cut(good if links is None else links.unionByName(good))
-            named = cut(components(links))
-            keys = found.where("band is not null").select("band", "cut", "cut2").distinct()
-            ends = keys.select("band", "cut").unionByName(keys.select("band", F.col("cut2").alias("cut")).where("cut is not null")).distinct()
-            here = _relabelled(here.join(ends, ["band", "cut"]), named)
-            most = 8 if most is None else most * 8
-    return named if named is not None else tiles.select(F.explode("rows.node").alias("node")).distinct().withColumn("component", F.col("node"))
-
-
-def _relabelled(tiles: DataFrame, named: DataFrame) -> DataFrame:
-    rows = tiles.select("band", "cut", F.explode("rows").alias("r")).select("band", "cut", "r.node", "r.print")
-    return _as_tiles(rows.join(named, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-
-
-def confirmed(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links whose sets of shingles (node, shingles: sorted 64-bit numbers) have a Jaccard similarity of at least ``similarity``."""
-    with_b = links.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+
+def _linking(links):
+    """A ``mapInArrow`` function over columns rows and rows2 (or null): calls ``links`` on both and returns the nodes of the places it gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["of_a"], batch["of_b"]):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                most = min(len(x), len(y)) / max(len(x), len(y), 1)
-                # Sets of too different sizes need no comparison.
-                common = len(np.intersect1d(x, y, assume_unique=True)) if most >= similarity else 0
-                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9 and common > 0)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], schema=LINKS).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, spark_schema(LINKS))
+            ends = [np.zeros((0, 2), dtype=np.int64)]
+            for rows, rows2 in zip(batch["rows"], batch["rows2"]):
+                a, b = rows.values, rows2.values if rows2.is_valid else None
+                if found := links(a, b):
+                    node = a.field("node").to_numpy() if b is None else np.concatenate([a.field("node").to_numpy(), b.field("node").to_numpy()])
+                    ends.append(np.sort(node[np.array(found)], axis=1))
+            ends = np.concatenate(ends)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=LINKS)
+
+    return run
+
+
+def confirmed_groups(links: DataFrame, sets: DataFrame, radius: int, similarity: float, texts: int) -> DataFrame:
+    """(node, component) over all pairs of ``sets`` (node, print, shingles) in one component of ``links`` that are near and similar enough."""
+    named = cut(components(links, cut))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count().join(named, "node")
+    members = sets.join(named, "node").select("component", F.struct("node", "print", "shingles").alias("r"))
+    # As many parts of a component as its texts need; the text with most links is in all of them.
+    sizes = members.groupBy("component").agg(
+        F.ceil(F.greatest(F.count("*") / texts, F.sum(F.length("r.shingles")) / GROUP_BYTES)).cast("int").alias("cuts"))
+    hubs = ends.groupBy("component").agg(F.max_by("node", F.struct("count", "node")).alias("hub"))
+    parts = F.when(F.col("r.node") == F.col("hub"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("r.node"), F.col("cuts")).cast("int")))
+    dealt = members.join(sizes.join(hubs, "component"), "component").select("component", "cuts", F.explode(parts).alias("cut"), "r")
+    tiles = cut(dealt.groupBy("component", "cuts", "cut").agg(F.collect_list("r").alias("rows")))
+
+    def confirming(a: pa.Array, b: pa.Array | None) -> list[tuple[int, int]]:
+        sides = [a] if b is None else [a, b]
+        prints = [x.field("print").to_numpy().view(np.uint64) for x in sides] + [None]
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for x in sides for v in x.field("shingles")]
+        labels = [x.field("label" if b is not None else "node").to_numpy() for x in sides]
+        return confirmed_links(prints[0], prints[1], np.concatenate(labels), sets, radius, similarity)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.select("rows", "rows2").mapInArrow(_linking(confirming), spark_schema(LINKS)))
+
+    good = confirm(tiles.withColumn("rows2", F.lit(None).cast(dict(tiles.dtypes)["rows"])))
+    many = tiles.where("cuts > 1")
+    if not many.isEmpty():
+        # Parts of one component whose texts are not all connected yet are compared with each other.
+        known = components(good, cut).withColumnRenamed("component", "label")
+        rows = many.select("component", "cut", F.explode("rows").alias("r")).select("component", "cut", "r.*").join(known, "node", "left")
+        rows = rows.withColumn("label", F.coalesce("label", "node"))
+        labelled = cut(rows.groupBy("component", "cut").agg(
+            F.collect_list(F.struct("node", "print", "shingles", "label")).alias("rows"), F.min("label").alias("least"), F.max("label").alias("most")))
+        other = labelled.select("component", *[F.col(c).alias(f"{c}2") for c in ("cut", "rows", "least", "most")])
+        heads = labelled.drop("rows").join(other.drop("rows2"), "component").where("cut < cut2 and (least <> most2 or least2 <> most)")
+        pairs = heads.select("component", "cut", "cut2").join(labelled.select("component", "cut", "rows"), ["component", "cut"]).join(
+            other.select("component", "cut2", "rows2"), ["component", "cut2"])
+        good = cut(good.unionByName(confirm(pairs)))
+    return components(good, cut)
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -266,13 +286,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     # The first row of each node stands for it; copies are aggregated before they are shuffled.
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("first")
     nodes = cut(found.groupBy("node").agg(first, F.first("print").alias("print"), F.first("bands").alias("bands")))
-    tiles = tiles_of(nodes, tile)
-    linked = tiles.select(F.explode("rows.node").alias("node")).distinct()
-    # Only texts that share a band are read again; of a node's texts one, by its id and hash.
+    links = cut(candidate_links(tiles_of(nodes, tile), radius))
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Only texts with links are read again; of a node's texts one, by its id and hash.
     wanted = cut(linked.join(nodes.select("node", F.col("first.id").alias("id2"), F.col("first.h").alias("h2")), "node"))
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
-    sets = cut(shingle_sets(texts.select("node", "text")).dropDuplicates(["node"]))
-    named = near_groups(tiles, sets, radius, similarity)
+    sets = shingle_sets(texts.select("node", "text")).dropDuplicates(["node"]).join(nodes.select("node", "print"), "node")
+    named = confirmed_groups(links, cut(sets), radius, similarity, min(tile, GROUP_TEXTS))
     grouped = nodes.select("node", "first").join(named, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     best = grouped.groupBy("component").agg(F.min("first").alias("best"))
     by_row = found.groupBy("node", "id", "h").agg(F.count("*").alias("rows"))

@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from brute import lowest_reachable
 from clearway.llm import near_copies
@@ -67,9 +66,7 @@ def test_a_group_of_many_near_copies(spark):
     kept = sorted(r.doc_id for r in near_copies.keep_one(df).collect())
     assert kept == [0, *range(5000, 5050)]
     nodes = near_copies.sketches(near_copies._rows(df, "doc_id", "text")).select("node", "print", "bands")
-    tiles = near_copies.tiles_of(nodes, 4000)
-    keys = tiles.select("band", "cut", F.lit(None).cast("int").alias("cut2"))
-    assert near_copies.compared(keys, tiles, near_copies.RADIUS, None).where("a is not null").count() < 24 * 2000
+    assert near_copies.candidate_links(near_copies.tiles_of(nodes, 4000), near_copies.RADIUS).count() < 24 * 2000
 
 
 def test_odd_rows(spark):
@@ -94,27 +91,39 @@ def test_columns_with_clashing_names(spark):
 
 def test_links_of_tiles():
     rng = np.random.default_rng(4)
-    for size in (2, 3, 40, 700):
+    for size in (2, 3, 40, 400):
         prints = rng.integers(0, 1 << 12, size=size, dtype=np.uint64)
         distance = lambda i, j: int(prints[i] ^ prints[j]).bit_count()
-        for split, label in ((None, np.arange(size)), (size // 2, np.arange(size)), (size // 2, np.arange(size) % 50)):
+        for split in (None, size // 2):
             a, b = (prints, None) if split is None else (prints[:split], prints[split:])
-            pairs = {(j, i) for i in range(size) for j in range(i) if distance(i, j) <= 3 and label[i] != label[j] and (split is None or j < split <= i)}
-            groups = [(int(label[i]) + size, i) for i in range(size)]
-            joined = lowest_reachable(range(2 * size), groups + list(pairs))
-            links, more = near_copies.forest_links(a, b, label, 3)
-            assert lowest_reachable(range(2 * size), groups + links) == joined and more == (len(pairs) > len(links))
-            # A forest over the groups, and one of least total distance.
-            group, total, wanted = label.tolist(), 0, 0
+            pairs = [(j, i) for i in range(size) for j in range(i) if distance(i, j) <= 3 and (split is None or j < split <= i)]
+            links = near_copies.forest_links(a, b, 3)
+            assert lowest_reachable(range(size), links) == lowest_reachable(range(size), pairs)
+            # A forest of least total distance.
+            group, total, wanted = list(range(size)), 0, 0
             for d, i, j in sorted((distance(i, j), i, j) for i, j in pairs):
                 if group[i] != group[j]:
                     total, wanted = total + d, wanted + 1
                     group = [group[i] if x == group[j] else x for x in group]
             assert len(links) == wanted and sum(distance(i, j) for i, j in links) == total
-            links, more = near_copies.nearest_links(a, b, label, 3, size)
-            assert {(min(p), max(p)) for p in links} == pairs and not more
-            links, more = near_copies.nearest_links(a, b, label, 3, 2)
-            assert {(min(p), max(p)) for p in links} <= pairs and (more or {(min(p), max(p)) for p in links} == pairs)
+
+
+@pytest.mark.parametrize("split", [None, 30])
+def test_confirmed_links_connect_all_similar_sets(split):
+    """Also where the nearest fingerprint belongs to a set that is not similar enough; rows of one label are connected already."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 60, size=100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(60, 100)], rng.integers(1, 1 << 60, size=rng.integers(0, 9), dtype=np.uint64)])) for _ in range(70)]
+    prints = rng.integers(0, 1 << 5, size=70, dtype=np.uint64)
+    label = np.arange(70) % 66
+    a, b = (prints, None) if split is None else (prints[:split], prints[split:])
+    same = [(i, i - 66) for i in range(66, 70)]
+    pairs = [
+        (j, i) for i in range(70) for j in range(i) if (split is None or j < split <= i) and int(prints[i] ^ prints[j]).bit_count() <= 4
+        and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    ]
+    links = near_copies.confirmed_links(a, b, label, sets, 4, 0.8)
+    assert links and set(links) <= set(pairs) and lowest_reachable(range(70), same + links) == lowest_reachable(range(70), same + pairs)
 
 
 def test_shingles():
