@@ -27,7 +27,7 @@ STRIP_CELLS = 8
 
 
 class SceneTables:
-    """Lazily declared tables of one data folder. Nothing is cached but the plans."""
+    """Lazily declared tables of one data folder, for one query. Nothing is cached but the plans."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,8 +31,8 @@ def query(fn: Callable[[SceneTables], DataFrame]) -> Callable[[SceneTables], Dat
     return fn
 
 
-@lru_cache(maxsize=8)
 def tables_of(spark: SparkSession, folder: str) -> SceneTables:
+    """The tables of one query. Nothing is shared with other queries: each derives what it needs from the folder as it is then."""
     return SceneTables(spark, folder)
 
 

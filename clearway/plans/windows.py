@@ -22,10 +22,10 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str | Column], name:
 
     Groups that fit one task use ``row_number``. If any group is larger, rows are range-partitioned on
     (keys, order), which splits a huge group over many tasks; each part is numbered on its own and
-    shifted by the size of the parts before it. The order must be total within a group. The rows are written
-    first, so counting the groups does not run what made them a second time.
+    shifted by the size of the parts before it. The order must be total within a group. Groups are counted
+    first, which reads no more than the keys of a scan; hand over written rows where they are costly to make. Only a large group has
+    the rows written.
     """
-    df = materialise(df)
     if largest_group(df, keys) <= limit:
         spec = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(spec) - 1).cast("int"))

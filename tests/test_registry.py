@@ -46,7 +46,38 @@ def test_no_cross_or_nested_loop_join(spark, name):
 def test_scans_read_only_what_is_used(spark):
     plan = plan_of(queries()["q1_tight_clearance_at_speed"](spark, FOLDER))
     read = {c.split(":")[0] for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan) for c in schema.split(",")}
-    # The frames are numbered in a written table; the facts are read as they are.
-    assert read == {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus"}
+    assert read == {
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"}
     # No Python worker in the metric path.
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["lateral_clearance", "link_order", "occlusion_depth"])
+def test_a_query_costs_the_same_again(spark, name):
+    """No query leaves data behind that a later one would use: the second run starts as many jobs, and reads the tables, as the first."""
+    jobs = []
+    for n in range(2):
+        spark.sparkContext.setJobGroup(f"{name} {n}", name)
+        queries()[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{name} {n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_tables_replaced_in_the_folder_are_read_anew(spark, tmp_path):
+    """Orders that come later are in the frames of the next query."""
+    for table in ("orders", "lineitem"):
+        spark.read.parquet(f"{FOLDER}/{table}.parquet").where("o_orderkey < 100" if table == "orders" else "l_orderkey < 100").write.parquet(f"{tmp_path}/{table}.parquet")
+    before = queries()["lateral_clearance"](spark, str(tmp_path)).count()
+    spark.read.parquet(f"{FOLDER}/orders.parquet").where("o_orderkey < 200").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert queries()["lateral_clearance"](spark, str(tmp_path)).count() > before
+
+
+@pytest.mark.parametrize("name", ["q1_tight_clearance_at_speed", "match_matrix", "full_report", "min_free_width"])
+def test_building_a_query_only_counts_groups(spark, name):
+    spark.sparkContext.setJobGroup(f"build {name}", name)
+    queries()[name](spark, FOLDER)
+    built = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"build {name}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Reading schemas and counting one table; nothing is written.
+    assert built <= 8
