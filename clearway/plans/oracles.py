@@ -314,6 +314,7 @@ ORACLES = {
         SELECT q.query_id, count(tr.scene) AS truth_scenes FROM {ALL_QUERIES} AS q(query_id)
         LEFT JOIN truth AS tr ON tr.query_id = q.query_id GROUP BY q.query_id"""),
     "report_sink": sql(FULL_REPORT),
+    "report_replaced_queries": sql(f"SELECT query_id, policy, tp, fp, fn FROM ({FULL_REPORT}) WHERE query_id <> '{Q1}' OR policy = 'occupied'"),
     "label_volume_ingest": sql("SELECT scene, t, i, j, k, state FROM voxels"),
     "class_states": sql("""
         SELECT cls, mask_lidar, mask_camera, dense, CASE WHEN mask_lidar = 0 THEN -1 ELSE dense END AS lidar,

@@ -167,6 +167,16 @@ def report_sink(s: SceneTables) -> DataFrame:
     return tables.read_report(s.spark, path, report.schema)
 
 
+@query
+def report_replaced_queries(s: SceneTables) -> DataFrame:
+    """A report by query, in which the rows of one query are then replaced by those of its occupied reading alone."""
+    rows = full_report(s).select("query_id", "policy", "tp", "fp", "fn")
+    path = new_shared_path(s.spark, "report-by-query")
+    tables.replace_queries(rows, path)
+    tables.replace_queries(rows.where((F.col("query_id") == cat.TIGHT_CLEARANCE.id) & (F.col("policy") == "occupied")), path)
+    return s.spark.read.schema(rows.schema).parquet(path)
+
+
 def packed_volumes(s: SceneTables) -> DataFrame:
     """Each frame's cells as a label volume (scene, t, content).
 

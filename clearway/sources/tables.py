@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clearway.operators.obstacles import stored_counts
@@ -36,9 +38,56 @@ def frame_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     return frames.join(boxes, FRAME_KEY, "left")
 
 
+# The file in a report's folder that names the version to read.
+CURRENT = "_CURRENT"
+
+
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write one record per report row."""
-    report.write.mode("overwrite").format(fmt).save(path)
+    """Write one record per report row, whole or not at all.
+
+    The rows go to a new folder below ``path``; once they are there, one rename of a small file makes it the report. Until then, and if the write
+    fails, readers keep the report before. That one is left for readers that have begun; older ones go.
+    """
+    version = f"version-{uuid.uuid4().hex}"
+    report.write.format(fmt).save(f"{path}/{version}")
+    spark = report.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    folder = files.Path(path)
+    store = folder.getFileSystem(conf)
+    before = current_version(spark, path)
+    note = files.Path(folder, f"_{version}")
+    out = store.create(note)
+    out.write(bytearray(version.encode()))
+    out.close()
+    replace = spark.sparkContext._gateway.new_array(getattr(files, "Options$Rename"), 1)
+    replace[0] = getattr(files, "Options$Rename").OVERWRITE
+    files.FileContext.getFileContext(store.getUri(), conf).rename(
+        store.makeQualified(note), store.makeQualified(files.Path(folder, CURRENT)), replace)
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("version-") and name not in (version, before):
+            store.delete(status.getPath(), True)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the report at ``path`` that is to be read; None if none was ever finished."""
+    files = spark._jvm.org.apache.hadoop.fs
+    note = files.Path(files.Path(path), CURRENT)
+    store = note.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(note):
+        return None
+    with_close = store.open(note)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(with_close, "UTF-8")
+    finally:
+        with_close.close()
+
+
+def replace_queries(report: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write the rows of some queries into a report that is partitioned by query; those of other queries stay as they are."""
+    writer = report.write.partitionBy("query_id").format(fmt).mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").save(path)
 
 
 def write_sorted(rows: DataFrame, path: str, order: list[str], fmt: str = "json") -> None:
@@ -47,4 +96,8 @@ def write_sorted(rows: DataFrame, path: str, order: list[str], fmt: str = "json"
 
 
 def read_report(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
-    return spark.read.schema(schema).format(fmt).load(path)
+    """The finished report that ``write_report`` left at ``path``."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no finished report at {path}")
+    return spark.read.schema(schema).format(fmt).load(f"{path}/{version}")

@@ -218,3 +218,34 @@ def test_sinks(spark, tmp_path):
     tables.write_sorted(rows, str(tmp_path / "names"), ["query_id", "scene"])
     lines = [x for p in sorted((tmp_path / "names").glob("*.json")) for x in p.read_text().split()]
     assert [json.loads(x)["scene"] for x in lines] == ["z", "a", "b"]
+
+
+def test_a_failing_report_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "report")
+    first = spark.range(5).selectExpr("id", "id * 2 as score")
+    with pytest.raises(FileNotFoundError):
+        tables.read_report(spark, path, first.schema)
+    failing = spark.range(100).repartition(4).selectExpr("id", "CASE WHEN id = 77 THEN raise_error('no score') ELSE id END AS score").select("id", F.col("score").cast("long"))
+    with pytest.raises(Exception, match="no score"):
+        tables.write_report(failing, path)
+    with pytest.raises(FileNotFoundError):
+        tables.read_report(spark, path, first.schema)
+    tables.write_report(first, path)
+    reader = tables.read_report(spark, path, first.schema)
+    with pytest.raises(Exception, match="no score"):
+        tables.write_report(failing, path)
+    assert sorted(map(tuple, tables.read_report(spark, path, first.schema).collect())) == [(n, 2 * n) for n in range(5)]
+    # A reader that began before a new report is published reads the old one to its end.
+    tables.write_report(first.where("id > 2"), path)
+    assert reader.count() == 5 and tables.read_report(spark, path, first.schema).count() == 2
+    tables.write_report(first.where("id > 3"), path)
+    kept = [f.name for f in (tmp_path / "report").iterdir() if f.name.startswith("version-")]
+    assert len(kept) == 2 and tables.read_report(spark, path, first.schema).count() == 1
+
+
+def test_single_queries_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "by_query")
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "query_id string, score int")
+    tables.replace_queries(rows, path)
+    tables.replace_queries(spark.createDataFrame([("a", 9)], "query_id string, score int"), path)
+    assert sorted((r.query_id, r.score) for r in spark.read.schema(rows.schema).parquet(path).collect()) == [("a", 9), ("b", 3), ("c", 4)]
