@@ -162,3 +162,43 @@ def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     scored = language_model.score(table(spark, folder, "documents"), training=h % 10 != 0, deleted=F.floor(h / 10) % 10 == 0)
     return scored.withColumn("held_out", fold("doc_id", 10) == 0)
+
+
+# Two equal six-word stretches one period apart lie in every run, as a run of q has at least max(12, 2 q) - q words that are equal to those q later.
+SQL["op13_periodic_runs"] = """
+WITH hashed AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '') AS w,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h
+    FROM documents
+), cut AS (
+    SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed
+), docs AS (
+    SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n),
+        lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w
+    FROM cut
+), grams AS (
+    SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS gram FROM docs, unnest(range(n - 5)) AS u(i)
+), matched AS (
+    SELECT x.doc_id, y.i - x.i AS q, x.i FROM grams AS x JOIN grams AS y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i
+), stretches AS (
+    SELECT doc_id, q, min(i) AS s, max(i) + 6 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM matched)
+    GROUP BY doc_id, q, island
+), runs AS (
+    SELECT doc_id, s, e, min(q) AS q FROM stretches WHERE e - s >= greatest(12, 2 * q) GROUP BY doc_id, s, e
+), found AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', e - s, ',', q, chr(10)), '' ORDER BY s, q) AS lines,
+           list({'s': s, 'l': e - s, 'q': q} ORDER BY e - s DESC, s, q)[1] AS best
+    FROM runs GROUP BY doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, i FROM runs, unnest(range(s + q, e)) AS u(i)
+), kept AS (
+    SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS words
+    FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM docs) AS p ANTI JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i
+    GROUP BY p.doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM docs AS d LEFT JOIN found AS f ON f.doc_id = d.doc_id LEFT JOIN kept AS k ON k.doc_id = d.doc_id
+"""
