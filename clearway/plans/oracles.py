@@ -296,6 +296,7 @@ ORACLES = {
     "scene_index_order": sql("SELECT CAST(scene AS VARCHAR) AS scene, token, t FROM stamped"),
     "sorted_names": sql("SELECT scene, CAST(row_number() OVER (ORDER BY scene) - 1 AS INT) AS place FROM (SELECT DISTINCT scene FROM frames )"),
     "label_volume_files": sql("SELECT scene, t, i, j, k, state FROM voxels"),
+    "label_volume_source": sql("SELECT scene, t, i, j, k, state FROM voxels"),
     "requested_scenes_missing": "SELECT DISTINCT p_partkey AS scene FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)",
     "frame_assembly": sql("""
         SELECT f.scene, f.t, f.time_s, f.speed, coalesce(n_occupied, 0) AS n_occupied, coalesce(n_unknown, 0) AS n_unknown,

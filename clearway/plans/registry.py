@@ -20,7 +20,7 @@ from clearway.plans.derived import GRID_SHAPE, ORIGIN, VOXEL_SIZE, SceneTables
 from clearway.plans.windows import number_rows
 from clearway.session import materialise, new_shared_path
 from clearway.sources import scene_index, tables
-from clearway.sources.label_volumes import decode_volumes, read_label_volumes, write_volumes
+from clearway.sources.label_volumes import decode_volumes, read_label_volumes, scan_label_volumes, write_volumes
 
 REGISTRY: dict[str, Callable[[SceneTables], DataFrame]] = {}
 OCCUPANCY_QUERIES = tuple(q for q in cat.CATALOGUE if q.is_occupancy)
@@ -222,15 +222,27 @@ def label_volume_ingest(s: SceneTables) -> DataFrame:
     return decode_volumes(packed_volumes(s), mask="lidar")
 
 
-@query
-def label_volume_files(s: SceneTables) -> DataFrame:
-    """Write the label volumes as files to the shared folder and read those of the frames back."""
+def written_volumes(s: SceneTables) -> str:
+    """Write the label volumes as files below a new folder of the shared folder."""
     root = new_shared_path(s.spark, "volumes")
     volumes = packed_volumes(s).withColumn("gt_path", F.concat_ws("/", F.lit("gts"), "scene", "t", F.lit("labels.npz")))
     write_volumes(volumes, root).collect()
+    return root
+
+
+@query
+def label_volume_files(s: SceneTables) -> DataFrame:
+    """Write the label volumes as files and read those of the frames back."""
     frames = s.voxel_rows(attrs=False).select("scene", "t").distinct()
     frames = frames.withColumn("gt_path", F.concat_ws("/", F.lit("gts"), "scene", "t", F.lit("labels.npz")))
-    return read_label_volumes(s.spark, frames, root, mask="lidar")
+    return read_label_volumes(s.spark, frames, written_volumes(s), mask="lidar")
+
+
+@query
+def label_volume_source(s: SceneTables) -> DataFrame:
+    """The same files read without an index, planned by scene."""
+    rows = scan_label_volumes(s.spark, f"{written_volumes(s)}/gts", mask="lidar")
+    return rows.select(F.col("scene").cast("long").alias("scene"), F.col("token").cast("int").alias("t"), "i", "j", "k", "state")
 
 
 # --- Projections and filters ------------------------------------------------------------------------

@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.types import StructType
 
 from clearway.functions.occupancy import FREE_CLASS, GROUND_CLASSES, OCCUPIED, UNKNOWN
+from clearway.sources.storage import many_tasks, open_store
+
+# Fixed value: name of the file of a volume in its folder.
+VOLUME_NAME = "labels.npz"
 
 # Cells held in Python before they are handed to the JVM; a masked volume alone has some 600 000.
 CELLS_PER_BATCH = 4_000_000
 
 
-def _cells(content: bytes, mask_key: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Row sizes of one volume and the flat indices of its occupied and unknown cells."""
-    with np.load(io.BytesIO(content)) as arrays:
+def _mask_key(mask: str) -> str | None:
+    return f"mask_{mask}" if mask in ("lidar", "camera") else None
+
+
+def _cells(content: BinaryIO, mask_key: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Row sizes of one volume and the flat indices of its occupied and unknown cells. Only the members used are read."""
+    with np.load(content) as arrays:
         classes = arrays["semantics"]
         hidden = arrays[mask_key] == 0 if mask_key else np.zeros(classes.shape, dtype=bool)
     solid = ~np.isin(classes, (FREE_CLASS, *GROUND_CLASSES)) & ~hidden
@@ -36,33 +47,47 @@ def decode_volumes(volumes: DataFrame, *, mask: str = "lidar", keys: list[str] =
     return _cell_rows(_index_lists(volumes, mask, keys), keys)
 
 
-def _index_lists(volumes: DataFrame, mask: str, keys: list[str]) -> DataFrame:
-    """One row per volume: its keys, row sizes and the flat indices of its occupied and unknown cells."""
-    mask_key = f"mask_{mask}" if mask in ("lidar", "camera") else None
+def _packed(columns: list[pa.Array], names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    """Key columns next to the decoded volumes of their rows."""
+    ny, nz, occupied, unknown = zip(*rows)
+    lists = [pa.array(x, pa.list_(pa.int32())) for x in (occupied, unknown)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(ny, pa.int32()), pa.array(nz, pa.int32()), *lists], names=[*names, *LISTS])
+
 
-    def packed(batch: pa.RecordBatch, start: int, rows: list[tuple]) -> pa.RecordBatch:
-        ny, nz, occupied, unknown = zip(*rows)
-        lists = [pa.array(x, pa.list_(pa.int32())) for x in (occupied, unknown)]
-        columns = [batch[k].slice(start, len(rows)) for k in keys]
-        return pa.RecordBatch.from_arrays(
-            [*columns, pa.array(ny, pa.int32()), pa.array(nz, pa.int32()), *lists], names=[*keys, "ny", "nz", "occupied", "unknown"]
-        )
+def _index_lists(volumes: DataFrame, mask: str, keys: list[str], root: str | None = None) -> DataFrame:
+    """One row per volume: its keys, row sizes and the flat indices of its occupied and unknown cells.
+
+    A volume is the binary ``content`` of its row or, with a ``root``, the file ``gt_path`` below it, which is opened by the task
+    that decodes it; rows of one file that follow each other open it once.
+    """
+    mask_key = _mask_key(mask)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(root) if root is not None else (None, "")
+        last, cells = None, None
         for batch in batches:
             start, rows, held = 0, [], 0
-            for content in batch["content"]:
-                rows.append(_cells(content.as_py(), mask_key))
-                held += len(rows[-1][2]) + len(rows[-1][3])
+            for value in batch["gt_path" if store else "content"]:
+                name = value.as_py()
+                if store is None:
+                    cells = _cells(io.BytesIO(name), mask_key)
+                elif cells is None or name != last:
+                    if name is None:
+                        raise FileNotFoundError(f"a frame below {root} has no label volume")
+                    with store.open_input_file(f"{base}/{name}") as content:
+                        last, cells = name, _cells(content, mask_key)
+                rows.append(cells)
+                held += len(cells[2]) + len(cells[3])
                 if held >= CELLS_PER_BATCH:
-                    yield packed(batch, start, rows)
+                    yield _packed([batch[k].slice(start, len(rows)) for k in keys], keys, rows)
                     start, rows, held = start + len(rows), [], 0
             if rows:
-                yield packed(batch, start, rows)
+                yield _packed([batch[k].slice(start, len(rows)) for k in keys], keys, rows)
 
     types = dict(volumes.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ny INT, nz INT, occupied ARRAY<INT>, unknown ARRAY<INT>"
-    return volumes.select(*keys, "content").mapInArrow(unpack, schema)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{n} {t}" for n, t in LISTS.items())])
+    source = "content" if root is None else "gt_path"
+    return volumes.select(*dict.fromkeys([*keys, source])).mapInArrow(unpack, schema)
 
 
 def _cell_rows(decoded: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,39 +106,103 @@ def _cell_rows(decoded: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def read_label_volumes(spark: SparkSession, frames: DataFrame, root: str, *, mask: str = "lidar", attrs: list[str] = []) -> DataFrame:
+def read_label_volumes(
+    spark: SparkSession, frames: DataFrame, root: str, *, mask: str = "lidar", attrs: list[str] = [], tasks: int | None = None
+) -> DataFrame:
     """Read the volumes named by ``frames.gt_path`` below ``root`` into voxel rows.
 
-    Only the folders of the frames' scenes are listed and read. A file that does not exist is an error, since a frame without
-    volume would read as free space. Files are decoded where they are read; only their index lists meet the frames.
-    ``attrs`` names frame columns to store on each voxel row, which saves the metrics a join later.
+    Nothing is listed: frames are dealt to tasks by range of path, and every task opens the files of its frames and reads the
+    array members it needs. Frames that share a file follow each other, so it is opened once per task; ranges end between frames
+    too, so a file that many frames name is no hot spot. A file that does not exist is an error of the query, since a frame without volume would
+    read as free space. ``attrs`` names frame columns to store on each voxel row, which saves the metrics a join later.
     """
-    base = root.rstrip("/")
     keys = ["scene", "t", *attrs]
-    # A volume lies in a folder of its own in the folder of its scene; the list of these folders is what the reader lists anyway.
-    wanted = frames.select("gt_path", F.regexp_extract("gt_path", "^(.*?)/?[^/]*/[^/]*$", 1).alias("folder"), F.size(F.split("gt_path", "/")).alias("depth"))
-    folders = [r.folder for r in wanted.select("folder").distinct().collect()]
-    depths = [r.depth for r in wanted.select("depth").distinct().collect()]
-    if not folders:
-        return _cell_rows(frames.limit(0).select(*keys, *(F.lit(None).cast(t).alias(n) for n, t in LISTS.items())), keys)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz")
-        .load([f"{base}/{f}" if f else base for f in folders])
-        # The end of a file's path is its name in the index, however the root is written.
-        .withColumn("gt_path", F.explode(F.array(*(F.substring_index("path", "/", -d) for d in depths))))
-    )
-    absent = wanted.select("gt_path").distinct().join(files.select("gt_path"), "gt_path", "left_anti")
-    missing = [r.gt_path for r in absent.limit(5).collect()]
-    if missing:
-        raise FileNotFoundError(f"label volumes below {root} are missing, for example: {missing}")
-    decoded = _index_lists(files, mask, ["gt_path"])
-    return _cell_rows(decoded.join(frames.select("gt_path", *keys), "gt_path"), keys)
+    place = ["gt_path", "scene", "t"]
+    dealt = frames.select(*dict.fromkeys([*place, *keys])).repartitionByRange(tasks or many_tasks(spark), *place).sortWithinPartitions(*place)
+    return _cell_rows(_index_lists(dealt, mask, keys, root), keys)
 
 
 # Columns of a decoded volume besides its keys.
 LISTS = {"ny": "int", "nz": "int", "occupied": "array<int>", "unknown": "array<int>"}
 
 
+# --- Volumes without an index -----------------------------------------------------------------------
+
+
+class SceneShare(InputPartition):
+    """Scenes that one task reads."""
+
+    def __init__(self, scenes: tuple[str, ...]):
+        super().__init__(scenes)
+        self.scenes = scenes
+
+
+class LabelVolumeReader(DataSourceReader):
+    """Plans by scene: asked for scenes by name, nothing is listed; otherwise the names of the scenes' folders are, and no file."""
+
+    def __init__(self, options: Mapping[str, str]):
+        self.root, self.mask = options["path"], options.get("mask", "lidar")
+        self.tasks = int(options.get("tasks", "4096"))
+        self.scenes: set[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("scene",):
+                asked = set(f.value if isinstance(f, In) else [f.value])
+                self.scenes = asked if self.scenes is None else self.scenes & asked
+            else:
+                yield f
+
+    def partitions(self) -> list[SceneShare]:
+        if self.scenes is None:
+            store, base = open_store(self.root)
+            names = [f.base_name for f in store.get_file_info(pa_fs.FileSelector(base)) if f.type == pa_fs.FileType.Directory]
+        else:
+            names = [n for n in self.scenes if n is not None]
+        names.sort()
+        shares = min(self.tasks, len(names))
+        # A reader must have a partition even if there is nothing to read.
+        return [SceneShare(tuple(names[n::shares])) for n in range(shares)] or [SceneShare(())]
+
+    def read(self, partition: SceneShare) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(self.root)
+        mask_key = _mask_key(self.mask)
+        for scene in partition.scenes:
+            folders = store.get_file_info(pa_fs.FileSelector(f"{base}/{scene}", allow_not_found=True))
+            for folder in sorted((f for f in folders if f.type == pa_fs.FileType.Directory), key=lambda f: f.base_name):
+                with store.open_input_file(f"{folder.path}/{VOLUME_NAME}") as content:
+                    cells = _cells(content, mask_key)
+                yield _packed([pa.array([scene]), pa.array([folder.base_name])], ["scene", "token"], [cells])
+
+
+class LabelVolumeSource(DataSource):
+    """``spark.read.format("label_volumes")``: one row per volume of a folder ``scene/token/labels.npz``.
+
+    Options: the path, ``mask`` (which array members are read) and ``tasks`` (most partitions). Equality and ``isin`` on the scene
+    are taken over by the reader. A token's folder without its file is an error.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "label_volumes"
+
+    def schema(self) -> str:
+        return ", ".join(["scene string, token string", *(f"{n} {t}" for n, t in LISTS.items())])
+
+    def reader(self, schema: StructType) -> LabelVolumeReader:
+        return LabelVolumeReader(self.options)
+
+
+def scan_label_volumes(spark: SparkSession, root: str, *, mask: str = "lidar", scenes: list[str] | None = None, tasks: int = 4096) -> DataFrame:
+    """Voxel rows (scene, token, cell, state) of the volumes below ``root``, of some scenes or all, without an index."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(LabelVolumeSource)
+    volumes = spark.read.format("label_volumes").option("mask", mask).option("tasks", str(tasks)).load(root)
+    if scenes is not None:
+        volumes = volumes.where(F.col("scene").isin(scenes))
+    return _cell_rows(volumes, ["scene", "token"])
+
+
 def write_volumes(volumes: DataFrame, root: str) -> DataFrame:
     """Write each row's ``content`` as the file ``gt_path`` below ``root``, which all executors reach; one row per task.
 
@@ -121,7 +210,7 @@ def write_volumes(volumes: DataFrame, root: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pa_fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        store, base = open_store(root)
         written = 0
         for batch in batches:
             for path, content in zip(batch["gt_path"].to_pylist(), batch["content"]):

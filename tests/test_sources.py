@@ -133,20 +133,72 @@ def test_missing_volume_is_an_error(spark, release):
     root, _ = release
     frames = scene_index.frames_from_index(scene_index.read_scene_index(spark, f"{root}/annotations.json"))
     wrong = frames.withColumn("gt_path", F.when(F.col("t") == 1, "gts/scene-a/none/labels.npz").otherwise(F.col("gt_path")))
-    with pytest.raises(FileNotFoundError, match="gts/scene-a/none/labels.npz"):
-        label_volumes.read_label_volumes(spark, wrong, f"{root}")
+    with pytest.raises(Exception, match="gts/scene-a/none/labels.npz"):
+        label_volumes.read_label_volumes(spark, wrong, f"{root}").collect()
+    without = frames.withColumn("gt_path", F.when(F.col("t") > 0, F.col("gt_path")))
+    with pytest.raises(Exception, match="no label volume"):
+        label_volumes.read_label_volumes(spark, without, f"{root}").collect()
 
 
-def test_only_the_folders_of_requested_scenes_are_read(spark, release):
+def test_only_named_files_are_opened(spark, release, tmp_path):
+    """Nothing is listed and no content travels; a file that frames share is opened once per task, an unreadable one beside it never."""
     root, truth = release
     frames = scene_index.frames_from_index(scene_index.read_scene_index(spark, f"{root}/annotations.json")).where("scene = 'scene-b'")
     voxels = label_volumes.read_label_volumes(spark, frames, f"{root}/", mask="none")
-    assert {p.split("/")[-3] for p in voxels.inputFiles()} == {"scene-b"}
+    assert voxels.inputFiles() == [f for f in voxels.inputFiles() if f.endswith(".json")]
     assert voxels.select("scene").distinct().count() == 1
     assert label_volumes.read_label_volumes(spark, frames.limit(0), f"{root}").collect() == []
-    # File contents never travel: the join sees index lists.
     plan = voxels._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("MapInArrow") > plan.index("Join")
+    assert plan.index("MapInArrow") < plan.index("Exchange")
+    shared = frames.crossJoin(spark.range(40).select(F.col("id").cast("int").alias("n"))).withColumn("t", F.col("n"))
+    rows = label_volumes.read_label_volumes(spark, shared, f"{root}", mask="none", tasks=5)
+    counts = {r["t"]: r["count"] for r in rows.groupBy("t").count().collect()}
+    assert set(counts) == set(range(40)) and set(counts.values()) == {voxels.count()}
+
+
+def test_one_open_per_file_and_only_the_members_asked_for(release, tmp_path, monkeypatch):
+    """The worker function itself, with a store that counts: one open for rows of one file, no read of the other mask."""
+    root, truth = release
+    store, base = label_volumes.open_store(f"file:{root}/gts")
+    opened, members = [], []
+
+    class Counting:
+        def open_input_file(self, path):
+            opened.append(path)
+            return store.open_input_file(path)
+
+        def get_file_info(self, selector):
+            return store.get_file_info(selector)
+
+    real = np.lib.npyio.NpzFile.__getitem__
+    monkeypatch.setattr(np.lib.npyio.NpzFile, "__getitem__", lambda self, key: members.append(key) or real(self, key))
+    monkeypatch.setattr(label_volumes, "open_store", lambda _: (Counting(), base))
+    reader = label_volumes.LabelVolumeReader({"path": "x", "mask": "camera"})
+    list(reader.pushFilters([label_volumes.In(("scene",), ("scene-a", "gone"))]))
+    shares = reader.partitions()
+    assert [s.scenes for s in shares] == [("gone",), ("scene-a",)]
+    assert sum(len(list(reader.read(s))) for s in shares) == 3
+    assert len(opened) == len(set(opened)) == 3 and set(members) == {"semantics", "mask_camera"}
+
+
+def test_volumes_as_a_data_source(spark, release):
+    root, truth = release
+    every = label_volumes.scan_label_volumes(spark, f"{root}/gts", mask="lidar")
+    frames = scene_index.frames_from_index(scene_index.read_scene_index(spark, f"{root}/annotations.json"))
+    by_index = label_volumes.read_label_volumes(spark, frames, f"{root}", mask="lidar", attrs=["token"]).drop("t").select(*every.columns)
+    assert every.exceptAll(by_index).isEmpty() and by_index.exceptAll(every).isEmpty()
+    some = label_volumes.scan_label_volumes(spark, f"{root}/gts", mask="none", scenes=["scene-b", "scene-z"])
+    assert {r["scene"] for r in some.select("scene").distinct().collect()} == {"scene-b"}
+    # The scene filter is the reader's: one partition per scene asked for, and no filter on the scene above the scan.
+    assert some.rdd.getNumPartitions() == 2 and every.rdd.getNumPartitions() == 2
+    assert "scene-z" not in some._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
+    assert label_volumes.scan_label_volumes(spark, f"{root}/gts", scenes=[]).count() == 0
+
+
+def test_folder_without_its_volume_is_an_error(spark, release, tmp_path):
+    (tmp_path / "s" / "a").mkdir(parents=True)
+    with pytest.raises(Exception, match="labels.npz"):
+        label_volumes.scan_label_volumes(spark, str(tmp_path)).collect()
 
 
 def test_volumes_written_to_shared_storage(spark, release, tmp_path):
