@@ -293,6 +293,9 @@ ORACLES = {
     "scene_index_scan": sql("""
         SELECT CAST(scene AS VARCHAR) AS scene, token, CAST(t % 64 AS INT) AS pos, older AS prev, newer AS next, ts_us, tx, ty,
                'gts/' || token || '/labels.npz' AS gt_path FROM stamped"""),
+    "scene_index_ranges": sql("""
+        SELECT CAST(scene AS VARCHAR) AS scene, token, older AS prev, newer AS next, ts_us, tx, ty,
+               'gts/' || token || '/labels.npz' AS gt_path FROM stamped"""),
     "scene_index_order": sql("SELECT CAST(scene AS VARCHAR) AS scene, token, t FROM stamped"),
     "sorted_names": sql("SELECT scene, CAST(row_number() OVER (ORDER BY scene) - 1 AS INT) AS place FROM (SELECT DISTINCT scene FROM frames )"),
     "label_volume_files": sql("SELECT scene, t, i, j, k, state FROM voxels"),

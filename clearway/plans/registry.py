@@ -91,8 +91,8 @@ def retrieval_batch(s: SceneTables) -> DataFrame:
 # --- Sources and sinks ------------------------------------------------------------------------------
 
 
-def written_index(s: SceneTables) -> DataFrame:
-    """Write the poses as index documents of at most 64 frames, one per line, and read them back."""
+def index_files(s: SceneTables) -> str:
+    """Write the poses as index documents of at most 64 frames, one per line."""
     entry = F.struct(
         F.col("t"), F.col("token"),
         F.struct(
@@ -111,7 +111,11 @@ def written_index(s: SceneTables) -> DataFrame:
     )
     path = new_shared_path(s.spark, "scene-index")
     documents.write.json(path)
-    return scene_index.read_scene_index(s.spark, path, line_delimited=True)
+    return path
+
+
+def written_index(s: SceneTables) -> DataFrame:
+    return scene_index.read_scene_index(s.spark, index_files(s), line_delimited=True)
 
 
 @query
@@ -119,6 +123,12 @@ def scene_index_scan(s: SceneTables) -> DataFrame:
     return written_index(s).drop("doc")
 
 
+@query
+def scene_index_ranges(s: SceneTables) -> DataFrame:
+    """The same files in byte ranges, whatever the documents in them."""
+    return scene_index.read_index_ranges(s.spark, index_files(s), range_bytes=1 << 18).drop("doc", "pos")
+
+
 @query
 def scene_index_order(s: SceneTables) -> DataFrame:
     """Scenes spread over several index documents, in link order."""

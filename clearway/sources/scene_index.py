@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from clearway.functions.geometry import heading_columns
 from clearway.operators.linking import temporal_order
 from clearway.operators.temporal import ego_speed
+from clearway.sources.index_ranges import RANGE_BYTES, frame_entries
 
-INDEX_SCHEMA = (
-    "scene_infos MAP<STRING, MAP<STRING, STRUCT<prev: STRING, next: STRING, timestamp: BIGINT, "
-    "ego_pose: STRUCT<translation: ARRAY<DOUBLE>>, gt_path: STRING>>>"
-)
+FRAME_SCHEMA = "STRUCT<prev: STRING, next: STRING, timestamp: BIGINT, ego_pose: STRUCT<translation: ARRAY<DOUBLE>>, gt_path: STRING>"
+INDEX_SCHEMA = f"scene_infos MAP<STRING, MAP<STRING, {FRAME_SCHEMA}>>"
 
 # Calibration of the ego-centric label volumes and the default vehicle.
 VOXEL_SIZE = 0.4
@@ -40,6 +39,11 @@ def parse_index(documents: DataFrame) -> DataFrame:
         documents = documents.withColumn("doc", F.struct(F.lit("").alias("file"), number.alias("at")))
     scenes = documents.select("doc", F.explode("scene_infos").alias("scene", "tokens"))
     frames = scenes.select("scene", "doc", F.posexplode("tokens").alias("pos", "token", "f"))
+    return _first_of_each(frames)
+
+
+def _first_of_each(frames: DataFrame) -> DataFrame:
+    """Columns of the index from (scene, doc, pos, token, f)."""
     first = frames.groupBy("scene", "token").agg(F.min_by(F.struct("doc", "pos", "f"), F.struct("doc", "pos")).alias("r"))
     frames = first.select("scene", "token", "r.doc", "r.pos", "r.f")
     return frames.select(
@@ -53,8 +57,8 @@ def parse_index(documents: DataFrame) -> DataFrame:
 def read_scene_index(spark: SparkSession, path: str, *, line_delimited: bool = False) -> DataFrame:
     """Read one or many index files.
 
-    A file is one document and one task by default; a large index is best kept as line-delimited
-    documents (say one scene per line), which are split over tasks.
+    A file is one document and one task by default; line-delimited documents (say one scene per line) are split over tasks, and
+    :func:`read_index_ranges` splits any file.
     """
     reader = spark.read.schema(INDEX_SCHEMA).option("multiLine", str(not line_delimited).lower())
     documents = reader.json(path)
@@ -63,6 +67,19 @@ def read_scene_index(spark: SparkSession, path: str, *, line_delimited: bool = F
     return parse_index(documents.select("scene_infos", doc.alias("doc")))
 
 
+def read_index_ranges(spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Read index files of any size and layout in byte ranges, so that one object is many tasks and no scene is one value.
+
+    The rows of :func:`read_scene_index`, but ``pos`` is the place of a frame in its file in bytes and ``doc`` holds the file alone.
+    """
+    entries = frame_entries(spark, path, range_bytes)
+    frames = entries.select(
+        "scene", F.struct(F.col("file"), F.lit(0).cast("long").alias("at")).alias("doc"), F.col("at").alias("pos"), "token",
+        F.from_json("entry", FRAME_SCHEMA).alias("f"),
+    )
+    return _first_of_each(frames)
+
+
 def missing_scenes(requested: DataFrame, index: DataFrame) -> DataFrame:
     """Requested scene names that the index does not hold."""
     return requested.select("scene").distinct().join(index.select("scene").distinct(), "scene", "left_anti")
