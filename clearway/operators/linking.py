@@ -47,42 +47,127 @@ def stamp_ordered_scenes(poses: DataFrame) -> DataFrame:
     )
 
 
-def chain_order(poses: DataFrame) -> DataFrame:
-    """Exact link order by pointer doubling: log2(longest scene) rounds of equi-joins on (scene, token).
+# Frames that the short list may have; it is ranked by doubling.
+SHORT_LIST = 100_000
+
+
+def chain_order(poses: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
+    """Exact link order: chains followed from the head of each scene.
 
-    After round r, ``reached`` holds the first 2^r chain positions and ``jump`` the token 2^r links on.
     Tokens off the chain are not returned. A cycle ends the chain at its first repeated token, a link to
-    a missing token or an end mark ends it there. Scenes without a head keep file order.
+    a missing token or an end mark ends it there. Scenes without a head keep file order. Scenes in which several frames link to
+    one token, which no whole recording has, are ranked by :func:`doubled_ranks`, all others by :func:`contracted_ranks`.
     """
     heads = scene_heads(poses)
-    known = poses.select("scene", F.col("token").alias("to"))
-    jump = materialise(
-        poses.where(~_ends(F.col("next")))
-        .select("scene", F.col("token").alias("src"), F.col("next").alias("to"))
-        .join(known, ["scene", "to"], "left_semi")
-    )
+    nodes = materialise(link_nodes(poses, heads))
+    joined = nodes.groupBy("scene").agg(F.max("links").alias("links")).where("links > 1").select("scene")
+    several = nodes.join(joined, "scene", "left_semi")
+    single = nodes.join(joined, "scene", "left_anti")
+    reached = contracted_ranks(single, heads.join(joined, "scene", "left_anti"), short_list)
+    if not several.isEmpty():
+        reached = reached.unionByName(doubled_ranks(hops(several), heads.join(joined, "scene", "left_semi")))
+    headless = poses.join(heads, "scene", "left_anti")
+    return poses.join(reached, ["scene", "token"]).unionByName(number_rows(headless, ["scene"], file_order(poses)))
+
+
+def link_nodes(poses: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row per frame: ``next``, ``prev`` (a frame that links to it) at the distance ``dist``, and the number of ``links`` to it.
+
+    Every frame sends its token to the one it links to. Links to a head are left out, since a chain ends where it would come back to
+    its first token; those to missing tokens reach nobody.
+    """
+    onward = F.when(~_ends(F.col("next")), F.col("next"))
+    own = poses.select("scene", "token", onward.alias("next"), F.lit(None).cast("string").alias("prev"))
+    sent = own.where(F.col("next").isNotNull()).select(
+        "scene", F.col("next").alias("token"), F.lit(None).cast("string").alias("next"), F.col("token").alias("prev"))
+    met = own.withColumn("is_node", F.lit(True)).unionByName(sent.withColumn("is_node", F.lit(False))).groupBy("scene", "token").agg(
+        F.max("next").alias("next"), F.min("prev").alias("prev"), F.count("prev").alias("links"), F.max("is_node").alias("is_node"))
+    first = F.col("head").isNotNull() & F.col("head").eqNullSafe(F.col("token"))
+    return met.where("is_node").join(heads, "scene").select(
+        "scene", "token", F.when(F.col("next") != F.col("head"), F.col("next")).alias("next"), F.when(~first, F.col("prev")).alias("prev"), F.lit(1).alias("dist"),
+        F.when(first, F.lit(0).cast("long")).otherwise(F.col("links")).alias("links"))
+
+
+def hops(nodes: DataFrame) -> DataFrame:
+    """Links between existing frames as (scene, src, to, step)."""
+    links = nodes.where(F.col("next").isNotNull()).select("scene", F.col("token").alias("src"), F.col("next").alias("to"), F.lit(1).alias("step"))
+    return links.join(nodes.select("scene", F.col("token").alias("to")), ["scene", "to"], "left_semi")
+
+
+def doubled_ranks(links: DataFrame, heads: DataFrame) -> DataFrame:
+    """Distance ``t`` of every token from the head by pointer doubling: log2(longest chain) rounds of equi-joins on (scene, token).
+
+    After round r, ``reached`` holds the first 2^r tokens of each chain and a link the way over 2^r of them.
+    """
+    jump = materialise(links)
     reached = heads.select("scene", F.col("head").alias("token"), F.lit(0).alias("t"))
-    longest, span = largest_group(poses, ["scene"]), 1
+    longest, span = largest_group(jump, ["scene"]) + 1, 1
     while span < longest:
         further = reached.join(jump.withColumnRenamed("src", "token"), ["scene", "token"]).select(
-            "scene", F.col("to").alias("token"), (F.col("t") + span).alias("t")
+            "scene", F.col("to").alias("token"), (F.col("t") + F.col("step")).alias("t")
         )
         reached = materialise(reached.unionByName(further).groupBy("scene", "token").agg(F.min("t").alias("t")))
         span *= 2
         if span < longest:
-            second = jump.select("scene", F.col("src").alias("to"), F.col("to").alias("end"))
-            jump = materialise(jump.join(second, ["scene", "to"]).select("scene", "src", F.col("end").alias("to")))
+            second = jump.select("scene", F.col("src").alias("to"), F.col("to").alias("end"), F.col("step").alias("more"))
+            jump = materialise(
+                jump.join(second, ["scene", "to"]).select("scene", "src", F.col("end").alias("to"), (F.col("step") + F.col("more")).alias("step")))
             if jump.isEmpty():
                 break
-    headless = poses.join(heads, "scene", "left_anti")
-    return poses.join(reached, ["scene", "token"]).unionByName(number_rows(headless, ["scene"], file_order(poses)))
+    return reached
+
+
+def contracted_ranks(nodes: DataFrame, heads: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
+    """Distance ``t`` of every token from the head by list contraction; the rows moved are linear in the frames.
+
+    Each round takes out the frames whose hash is below those of both neighbours, about a third, which no two neighbours can be; every
+    frame decides that alone, and one aggregate tells its neighbours of each other. What is left in the end is the short list;
+    then the rounds are undone, each frame being as far as the one before it and the distance to that. ``nodes`` are written rows
+    of scenes in which no two frames link to one token.
+    """
+    live, taken = nodes.select("scene", "token", "next", "prev", "dist"), []
+    left = live.where(F.col("prev").isNotNull()).count()
+    while left > short_list:
+        def drawn(c: str) -> Column:
+            return F.xxhash64(F.lit(len(taken)), "scene", c)
+
+        lowest = (drawn("token") < drawn("prev")) & (F.col("next").isNull() | (drawn("token") < drawn("next")))
+        rows = live.withColumn("out", or_false(F.col("prev").isNotNull() & lowest))
+        gone, none = rows.where("out"), F.lit(None).cast("string")
+        taken.append(gone.select("scene", "token", "prev", "dist"))
+        # A frame that stays, or what one that goes tells the frame before it (its next) and the frame after it (its prev and distance).
+        heard = (
+            rows.where("NOT out").select("scene", "token", "next", "prev", "dist", F.lit(0).alias("more"), none.alias("new_prev"), none.alias("new_next"), F.lit(0).alias("cut"))
+            .unionByName(gone.select("scene", F.col("prev").alias("token"), none.alias("next"), none.alias("prev"), F.lit(None).cast("int").alias("dist"),
+                                     F.lit(0).alias("more"), none.alias("new_prev"), F.col("next").alias("new_next"), F.lit(1).alias("cut")))
+            .unionByName(gone.where(F.col("next").isNotNull()).select(
+                "scene", F.col("next").alias("token"), none.alias("next"), none.alias("prev"), F.lit(None).cast("int").alias("dist"),
+                F.col("dist").alias("more"), F.col("prev").alias("new_prev"), none.alias("new_next"), F.lit(0).alias("cut")))
+        )
+        met = heard.groupBy("scene", "token").agg(
+            *[F.max(c).alias(c) for c in ("next", "prev", "dist", "new_prev", "new_next", "cut")], F.sum("more").alias("more"))
+        live = materialise(met.where(F.col("dist").isNotNull()).select(
+            "scene", "token", F.when(F.col("cut") == 1, F.col("new_next")).otherwise(F.col("next")).alias("next"),
+            F.coalesce("new_prev", "prev").alias("prev"), (F.col("dist") + F.col("more")).cast("int").alias("dist")))
+        before, left = left, live.where(F.col("prev").isNotNull()).count()
+        if left > 0.95 * before:
+            # Only loops apart from every chain, too short to lose a frame.
+            break
+    # Distances are kept with the later frame of a link.
+    links = live.where(F.col("prev").isNotNull()).select("scene", F.col("prev").alias("src"), F.col("token").alias("to"), F.col("dist").alias("step"))
+    reached = doubled_ranks(links, heads)
+    for gone in reversed(taken):
+        back = reached.select("scene", F.col("token").alias("prev"), "t")
+        reached = reached.unionByName(gone.join(back, ["scene", "prev"]).select("scene", "token", (F.col("t") + F.col("dist")).alias("t")))
+        reached = materialise(reached)
+    return reached
 
 
 def temporal_order(poses: DataFrame) -> DataFrame:
     """Frames with their index ``t`` in link order.
 
     The usual case, links that agree with the time stamps, costs one sort; only the scenes where they
-    disagree go through :func:`chain_order`.
+    disagree go through :func:`chain_order`, whose rows moved are linear in the frames too.
     """
     rows = materialise(stamp_ordered_scenes(poses))
     agree = rows.where("linked").drop("linked")

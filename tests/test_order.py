@@ -75,16 +75,76 @@ def test_random_links(spark):
     assert got == {s: follow([r[:3] for r in rows]) for s, rows in scenes.items()}
 
 
-def test_long_chain_by_doubling(spark):
-    n = 1000
-    rows = spark.range(n).select(
+def backwards(spark, n):
+    """A chain against the order of its rows."""
+    return spark.range(n).select(
         F.lit("s").alias("scene"), F.col("id").cast("string").alias("token"), F.col("id").cast("int").alias("pos"),
         F.when(F.col("id") < n - 1, (F.col("id") + 1).cast("string")).alias("prev"),
         F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("next"),
         F.col("id").alias("ts_us"), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"),
     )
-    got = order_of(linking.chain_order(rows))["s"]
-    assert got == [str(x) for x in range(n - 1, -1, -1)]
+
+
+@pytest.mark.parametrize("short", [20, 100_000])
+def test_long_chain(spark, short):
+    got = order_of(linking.chain_order(backwards(spark, 1000), short))["s"]
+    assert got == [str(x) for x in range(999, -1, -1)]
+
+
+def test_contraction_of_odd_links(spark):
+    """Chains contracted to a handful of frames, next to scenes with loops, several heads and frames linked to twice."""
+    rng = random.Random(5)
+    scenes = dict(SCENES)
+    for n in range(12):
+        tokens = [f"k{x}" for x in range(rng.randrange(1, 60))]
+        rng.shuffle(tokens)
+        cut = rng.randrange(len(tokens) + 1)
+        # A chain from the first token and, behind the cut, a loop or a chain of its own, linked into the first one at times.
+        chain, rest = tokens[:cut], tokens[cut:]
+        nxt = dict(zip(chain, chain[1:])) | dict(zip(rest, rest[1:]))
+        if rest:
+            nxt[rest[-1]] = rng.choice([rest[0], "gone", "EOF", *([chain[0], rng.choice(chain)] if chain else [])])
+        prev = {b: a for a, b in nxt.items()}
+        if chain:
+            prev.pop(chain[0], None)
+        rows = [(x, prev.get(x), nxt.get(x), rng.randrange(1000)) for x in tokens]
+        rng.shuffle(rows)
+        scenes[f"s{n}"] = rows
+    got = order_of(linking.chain_order(poses(spark, scenes), 5))
+    assert got == {s: follow([r[:3] for r in rows]) for s, rows in scenes.items()}
+
+
+def shuffled_rows(spark, group, run):
+    """Rows written to shuffles by the jobs of a call, as Spark counts them."""
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {stage for job in tracker.getJobIdsForGroup(group) for stage in tracker.getJobInfo(job).stageIds}
+    rows = 0
+    for stage in stages:
+        try:
+            rows += store.lastStageAttempt(stage).shuffleWriteRecords()
+        except Exception as skipped:  # noqa: BLE001 - a stage whose output was there already
+            assert "NoSuchElement" in str(skipped)
+    return rows
+
+
+def test_contraction_moves_fewer_rows(spark):
+    n = 60_000
+    chain = backwards(spark, n)
+    heads = linking.scene_heads(chain)
+    nodes = linking.materialise(linking.link_nodes(chain, heads))
+    ways = {
+        "contraction": lambda: linking.contracted_ranks(nodes, heads, 500).agg(F.sum("t")).first()[0],
+        "doubling": lambda: linking.doubled_ranks(linking.hops(nodes), heads).agg(F.sum("t")).first()[0],
+    }
+    rows = {}
+    for name, way in ways.items():
+        def run():
+            assert way() == n * (n - 1) // 2
+        rows[name] = shuffled_rows(spark, name, run)
+    assert 0 < rows["contraction"] < 0.5 * rows["doubling"], rows
 
 
 def test_number_rows_splits_a_huge_group(spark):
