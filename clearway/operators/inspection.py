@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -112,35 +113,74 @@ def corridor_witness(voxels: DataFrame, frames: DataFrame, horizon: float = CORR
     return best.select(*FRAME_KEY, "w.gap", "w.station", "w.at", "w.left", "w.right")
 
 
-def box_fingerprint(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-free fingerprint of the boxes of each unit (``keys``): a size plus two 64-bit set hashes.
+def counted_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct boxes of each unit (``keys``) and how often each occurs, ``_n``; a unit of a scene has them by frame."""
+    return boxes.groupBy(*keys, *_box_columns(keys)).agg(F.count("*").alias("_n"))
 
-    Equal boxes are counted first, so the set has no repeats and XOR cannot cancel; both steps combine
-    map-side, and no list of boxes is ever built.
+
+def _box_columns(keys: list[str]) -> list[str]:
+    return [c for c in FRAME_KEY if c not in keys] + list(BOX_ATTRS)
+
+
+def box_fingerprint(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Order-free fingerprint of the counted boxes of each unit: sizes plus two 64-bit set hashes.
+
+    The set has no repeats, so XOR cannot cancel; it combines map-side, and no list of boxes is ever built.
     """
-    within = [c for c in FRAME_KEY if c not in keys]
-    distinct = boxes.groupBy(*keys, *within, *BOX_ATTRS).agg(F.count("*").alias("_n"))
-    parts = [*within, *BOX_ATTRS, "_n"]
-    return distinct.groupBy(*keys).agg(
-        F.sum("_n").alias("n_boxes"),
+    parts = [*_box_columns(keys), "_n"]
+    return counted.groupBy(*keys).agg(
+        F.sum("_n").alias("n_boxes"), F.count("*").alias("n_distinct"),
         F.bit_xor(F.xxhash64(F.lit(1), *parts)).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit(2), *parts)).alias("h2"),
     )
 
 
-def indistinguishable_units(answers: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+OBSERVATION = ["n_boxes", "n_distinct", "h1", "h2"]
+
+
+def confirmed_observations(units: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Units with ``observation``, the keys of a unit whose boxes equal theirs exactly; equal boxes get equal observations.
+
+    In each group of equal fingerprints one unit stands for the group. The counted boxes of every other unit are joined to its boxes, and
+    a unit that agrees in all of them is confirmed. Units that do not agree, which a clash of hashes leaves over, go round again
+    with one of their own; a round confirms at least its representatives. A representative has each box once, so rows do not multiply.
+    """
+    left, found = units, None
+    while True:
+        heads = left.groupBy(*OBSERVATION).agg(F.min(F.struct(*keys)).alias("observation"))
+        pairs = left.join(heads, OBSERVATION)
+        theirs = heads.select("observation", *[F.col(f"observation.{k}").alias(k) for k in keys]).join(counted, keys).drop(*keys)
+        same = [F.col("a.observation") == F.col("b.observation")] + [
+            F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*_box_columns(keys), "_n")]
+        mine = pairs.select(*keys, "observation").join(counted, keys).alias("a")
+        agreed = mine.join(theirs.alias("b"), same).groupBy(*[F.col(f"a.{k}") for k in keys]).agg(F.count("*").alias("agreed"))
+        checked = materialise(pairs.join(agreed, keys, "left").withColumn("equal", or_false(F.col("agreed") == F.col("n_distinct"))))
+        confirmed = checked.where("equal").drop("agreed", "equal")
+        found = confirmed if found is None else found.unionByName(confirmed)
+        left = checked.where("NOT equal").select(*units.columns)
+        if left.isEmpty():
+            return found
+
+
+def indistinguishable_units(
+    answers: DataFrame, boxes: DataFrame, keys: list[str], fingerprint: Callable[[DataFrame, list[str]], DataFrame] = box_fingerprint
+) -> DataFrame:
     """Units whose boxes equal those of another unit that gives a different occupancy answer.
 
     ``answers`` has the keys and a BOOLEAN ``answer``. No function of the boxes can return the right
-    answer for all rows of one observation. Units without boxes share the empty observation, which may be most of them, so
-    they are counted on their own and never joined; both sides of the join are written tables, whose large keys are split.
+    answer for all rows of one observation. Fingerprints only choose the groups in which answers differ; there boxes are compared
+    themselves. Units without boxes share the empty observation, which may be most of them, so
+    they are counted on their own and never joined; both sides of the joins are written tables, whose large keys are split.
     """
-    observation = ["n_boxes", "h1", "h2"]
-    units = materialise(answers.join(box_fingerprint(boxes, keys), keys, "left"))
+    counted = materialise(counted_boxes(boxes, keys))
+    units = materialise(answers.join(fingerprint(counted, keys), keys, "left"))
     sizes = [F.count("*").alias("group_size"), F.count_if("answer").alias("group_matches")]
     differ = (F.col("group_matches") > 0) & (F.col("group_matches") < F.col("group_size"))
     boxed, empty = units.where(F.col("n_boxes").isNotNull()), units.where(F.col("n_boxes").isNull())
-    groups = materialise(boxed.groupBy(*observation).agg(*sizes).where(differ))
+    likely = boxed.groupBy(*OBSERVATION).agg(*sizes).where(differ).drop("group_size", "group_matches")
+    exact = confirmed_observations(materialise(boxed.join(likely, OBSERVATION)), counted, keys)
+    groups = exact.groupBy("observation").agg(*sizes).where(differ)
     found = empty.agg(*sizes).first()
     alone = empty.fillna(0, ["n_boxes"]).withColumns({n: F.lit(found[n]) for n in ("group_size", "group_matches")}).where(differ)
-    return boxed.join(groups, observation).drop("h1", "h2").unionByName(alone.drop("h1", "h2"))
+    hashes = ["n_distinct", "h1", "h2"]
+    return exact.join(groups, "observation").drop("observation", *hashes).unionByName(alone.drop(*hashes))

@@ -599,6 +599,16 @@ def box_indistinguishable_frames(s: SceneTables) -> DataFrame:
     )
 
 
+@query
+def box_indistinguishable_scenes(s: SceneTables) -> DataFrame:
+    """Scenes whose boxes equal another scene's in every frame although only one of them ever has a tight clearance."""
+    m = metrics(s, needs(clearance=True))
+    answers = m.groupBy("scene").agg(F.max(F.col(fm.clearance_column(POLICY_FREE)) < 0.5).alias("answer"))
+    return inspection.indistinguishable_units(answers, s.boxes, ["scene"]).select(
+        "scene", "answer", "n_boxes", "group_size", "group_matches"
+    )
+
+
 @query
 def noise_filtered_voxels(s: SceneTables) -> DataFrame:
     solid = s.voxel_rows(attrs=False).where(F.col("state") == OCCUPIED)

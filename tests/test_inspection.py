@@ -1,5 +1,9 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from clearway import schemas
 from clearway.operators import frame_metrics as fm
 from clearway.operators import inspection
 from scene_rows import by_scene
@@ -53,6 +57,39 @@ def test_witness_pair(spark, scenes):
     assert {(r["scene"], r["answer"], r["group_size"]) for r in got} == {("clear", False, 2), ("wall", True, 2)}
 
 
+def hashes_that_clash(counted, keys):
+    """Every unit with as many boxes has the same fingerprint."""
+    return inspection.box_fingerprint(counted, keys).withColumns({"h1": F.lit(1).cast("long"), "h2": F.lit(2).cast("long")})
+
+
+@pytest.mark.parametrize("fingerprint", [inspection.box_fingerprint, hashes_that_clash])
+def test_boxes_decide_and_not_their_hashes(spark, fingerprint):
+    """Random units of two boxes from a small stock, nulls and repeats among them, against a comparison of lists."""
+    rng = random.Random(3)
+    stock = [(float(x), label) for x in (0, 1) for label in ("car", None)]
+    units = {f"s{n}": ([rng.choice(stock) for _ in range(rng.choice((0, 2, 2, 2)))], rng.random() < 0.3) for n in range(60)}
+    rows = [(s, 0, n, x, 0.0, 0.0, 4.5, 2.0, 1.8, 0.0, label, 0.0, 0.0) for s, (boxes, _) in units.items() for n, (x, label) in enumerate(boxes)]
+    boxes = spark.createDataFrame(rows, schemas.BOXES)
+    answers = spark.createDataFrame([(s, answer) for s, (_, answer) in units.items()], "scene STRING, answer BOOLEAN")
+    groups = {}
+    for s, (own, answer) in units.items():
+        groups.setdefault(tuple(sorted(own, key=repr)), []).append((s, answer))
+    want = {
+        (s, answer, len(seen), len(group), sum(a for _, a in group))
+        for seen, group in groups.items() if len({a for _, a in group}) == 2 for s, answer in group
+    }
+    got = inspection.indistinguishable_units(answers, boxes, ["scene"], fingerprint).collect()
+    assert len(got) == len(want) > 20
+    assert {(r["scene"], r["answer"], r["n_boxes"], r["group_size"], r["group_matches"]) for r in got} == want
+
+
+def test_scenes_are_told_apart_by_the_frame_of_a_box(spark):
+    rows = [(s, t, 0, 1.0, 0.0, 0.0, 4.5, 2.0, 1.8, 0.0, "car", 0.0, 0.0) for s, t in (("a", 0), ("b", 0), ("c", 1))]
+    answers = spark.createDataFrame([("a", True), ("b", False), ("c", False), ("d", True)], "scene STRING, answer BOOLEAN")
+    got = inspection.indistinguishable_units(answers, spark.createDataFrame(rows, schemas.BOXES), ["scene"]).collect()
+    assert {(r["scene"], r["group_size"]) for r in got} == {("a", 2), ("b", 2)}
+
+
 def test_clearance_witness_with_any_index(spark, scenes):
     """Negative and very large indices come back as they were."""
     far = 3_000_000
