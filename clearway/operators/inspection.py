@@ -113,13 +113,9 @@ def corridor_witness(voxels: DataFrame, frames: DataFrame, horizon: float = CORR
     return best.select(*FRAME_KEY, "w.gap", "w.station", "w.at", "w.left", "w.right")
 
 
-def counted_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """The distinct boxes of each unit (``keys``) and how often each occurs, ``_n``; a unit of a scene has them by frame."""
-    return boxes.groupBy(*keys, *_box_columns(keys)).agg(F.count("*").alias("_n"))
-
-
-def _box_columns(keys: list[str]) -> list[str]:
-    return [c for c in FRAME_KEY if c not in keys] + list(BOX_ATTRS)
+def counted_boxes(boxes: DataFrame, keys: list[str], seen: list[str]) -> DataFrame:
+    """The distinct boxes of each unit (``keys``) as far as they are ``seen``, and how often each occurs, ``_n``."""
+    return boxes.groupBy(*keys, *seen).agg(F.count("*").alias("_n"))
 
 
 def box_fingerprint(counted: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,7 +123,7 @@ def box_fingerprint(counted: DataFrame, keys: list[str]) -> DataFrame:
 
     The set has no repeats, so XOR cannot cancel; it combines map-side, and no list of boxes is ever built.
     """
-    parts = [*_box_columns(keys), "_n"]
+    parts = [c for c in counted.columns if c not in keys]
     return counted.groupBy(*keys).agg(
         F.sum("_n").alias("n_boxes"), F.count("*").alias("n_distinct"),
         F.bit_xor(F.xxhash64(F.lit(1), *parts)).alias("h1"),
@@ -151,7 +147,7 @@ def confirmed_observations(units: DataFrame, counted: DataFrame, keys: list[str]
         pairs = left.join(heads, OBSERVATION)
         theirs = heads.select("observation", *[F.col(f"observation.{k}").alias(k) for k in keys]).join(counted, keys).drop(*keys)
         same = [F.col("a.observation") == F.col("b.observation")] + [
-            F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*_box_columns(keys), "_n")]
+            F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in counted.columns if c not in keys]
         mine = pairs.select(*keys, "observation").join(counted, keys).alias("a")
         agreed = mine.join(theirs.alias("b"), same).groupBy(*[F.col(f"a.{k}") for k in keys]).agg(F.count("*").alias("agreed"))
         checked = materialise(pairs.join(agreed, keys, "left").withColumn("equal", or_false(F.col("agreed") == F.col("n_distinct"))))
@@ -163,16 +159,19 @@ def confirmed_observations(units: DataFrame, counted: DataFrame, keys: list[str]
 
 
 def indistinguishable_units(
-    answers: DataFrame, boxes: DataFrame, keys: list[str], fingerprint: Callable[[DataFrame, list[str]], DataFrame] = box_fingerprint
+    answers: DataFrame, boxes: DataFrame, keys: list[str], seen: list[str] | None = None,
+    fingerprint: Callable[[DataFrame, list[str]], DataFrame] = box_fingerprint,
 ) -> DataFrame:
     """Units whose boxes equal those of another unit that gives a different occupancy answer.
 
-    ``answers`` has the keys and a BOOLEAN ``answer``. No function of the boxes can return the right
+    ``answers`` has the keys and a BOOLEAN ``answer``. ``seen`` names the box columns that an observer knows; by default it
+    knows all attributes and, of a scene, the frame of each box. No function of the boxes can return the right
     answer for all rows of one observation. Fingerprints only choose the groups in which answers differ; there boxes are compared
     themselves. Units without boxes share the empty observation, which may be most of them, so
     they are counted on their own and never joined; both sides of the joins are written tables, whose large keys are split.
     """
-    counted = materialise(counted_boxes(boxes, keys))
+    columns = [*(c for c in FRAME_KEY if c not in keys), *BOX_ATTRS] if seen is None else seen
+    counted = materialise(counted_boxes(boxes, keys, columns))
     units = materialise(answers.join(fingerprint(counted, keys), keys, "left"))
     sizes = [F.count("*").alias("group_size"), F.count_if("answer").alias("group_matches")]
     differ = (F.col("group_matches") > 0) & (F.col("group_matches") < F.col("group_size"))

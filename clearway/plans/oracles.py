@@ -470,6 +470,16 @@ ORACLES = {
                     FROM (SELECT scene, concat_ws(',', t, cx, cy, cz, label) AS seen FROM boxes) GROUP BY scene) b
                   ON b.scene = a.scene) WINDOW w AS (PARTITION BY seen))
         WHERE group_matches > 0 AND group_matches < group_size"""),
+    "label_indistinguishable_scenes": sql("""
+        SELECT scene, answer, n_boxes, group_size, group_matches FROM (
+            SELECT *, count(*) OVER w AS group_size, count_if(answer) OVER w AS group_matches FROM (
+                SELECT a.scene, a.answer, coalesce(b.n_boxes, 0) AS n_boxes, coalesce(b.seen, '') AS seen
+                FROM (SELECT scene, bool_or(coalesce(clearance < 0.5, false)) AS answer FROM cheap_fm WHERE policy = 'free' GROUP BY scene) a
+                LEFT JOIN (
+                    SELECT scene, count(*) AS n_boxes, concat_ws(',', count_if(label = 'vehicle'), count_if(label = 'pedestrian'), count_if(label = 'cone')) AS seen
+                    FROM boxes GROUP BY scene) b
+                  ON b.scene = a.scene) WINDOW w AS (PARTITION BY seen))
+        WHERE group_matches > 0 AND group_matches < group_size"""),
     "noise_filtered_voxels": sql("""
         SELECT scene, t, count(*) AS cells, sum(n) AS neighbours, sum(i * 192 + j * 8 + k) AS cells_at FROM (
             SELECT a.scene, a.t, a.i, a.j, a.k, count(*) AS n

@@ -599,12 +599,23 @@ def box_indistinguishable_frames(s: SceneTables) -> DataFrame:
     )
 
 
+def tight_scenes(s: SceneTables) -> DataFrame:
+    """Whether a scene ever has a tight clearance."""
+    return metrics(s, needs(clearance=True)).groupBy("scene").agg(F.max(F.col(fm.clearance_column(POLICY_FREE)) < 0.5).alias("answer"))
+
+
 @query
 def box_indistinguishable_scenes(s: SceneTables) -> DataFrame:
     """Scenes whose boxes equal another scene's in every frame although only one of them ever has a tight clearance."""
-    m = metrics(s, needs(clearance=True))
-    answers = m.groupBy("scene").agg(F.max(F.col(fm.clearance_column(POLICY_FREE)) < 0.5).alias("answer"))
-    return inspection.indistinguishable_units(answers, s.boxes, ["scene"]).select(
+    return inspection.indistinguishable_units(tight_scenes(s), s.boxes, ["scene"]).select(
+        "scene", "answer", "n_boxes", "group_size", "group_matches"
+    )
+
+
+@query
+def label_indistinguishable_scenes(s: SceneTables) -> DataFrame:
+    """The same for an observer that only counts the boxes of a scene by label."""
+    return inspection.indistinguishable_units(tight_scenes(s), s.boxes, ["scene"], ["label"]).select(
         "scene", "answer", "n_boxes", "group_size", "group_matches"
     )
 

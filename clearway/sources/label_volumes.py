@@ -193,11 +193,14 @@ class LabelVolumeSource(DataSource):
         return LabelVolumeReader(self.options)
 
 
-def scan_label_volumes(spark: SparkSession, root: str, *, mask: str = "lidar", scenes: list[str] | None = None, tasks: int = 4096) -> DataFrame:
-    """Voxel rows (scene, token, cell, state) of the volumes below ``root``, of some scenes or all, without an index."""
+def scan_label_volumes(spark: SparkSession, root: str, *, mask: str = "lidar", scenes: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """Voxel rows (scene, token, cell, state) of the volumes below ``root``, of some scenes or all, without an index.
+
+    A task has whole scenes, four shares for each task that runs at once unless ``tasks`` says otherwise.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LabelVolumeSource)
-    volumes = spark.read.format("label_volumes").option("mask", mask).option("tasks", str(tasks)).load(root)
+    volumes = spark.read.format("label_volumes").option("mask", mask).option("tasks", str(tasks or 4 * many_tasks(spark))).load(root)
     if scenes is not None:
         volumes = volumes.where(F.col("scene").isin(scenes))
     return _cell_rows(volumes, ["scene", "token"])

@@ -78,7 +78,7 @@ def test_boxes_decide_and_not_their_hashes(spark, fingerprint):
         (s, answer, len(seen), len(group), sum(a for _, a in group))
         for seen, group in groups.items() if len({a for _, a in group}) == 2 for s, answer in group
     }
-    got = inspection.indistinguishable_units(answers, boxes, ["scene"], fingerprint).collect()
+    got = inspection.indistinguishable_units(answers, boxes, ["scene"], fingerprint=fingerprint).collect()
     assert len(got) == len(want) > 20
     assert {(r["scene"], r["answer"], r["n_boxes"], r["group_size"], r["group_matches"]) for r in got} == want
 
