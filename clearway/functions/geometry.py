@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -21,6 +23,26 @@ def in_height_band(z: Column, ground_height: Column, height: Column | None) -> C
     return above if height is None else above & (z <= ground_height + height)
 
 
+def band_layers(origin: float, voxel_size: float, ground_height: float, height: float | None) -> tuple[int, int | None]:
+    """First and last voxel layer whose centre is in the height band, None for no last one; first > last if there is none.
+
+    Centres do not fall as the layer rises, also when rounded, so the estimate is moved until the comparisons of
+    :func:`in_height_band` on the same double expression agree.
+    """
+    if not (voxel_size > 0 and all(map(math.isfinite, (origin, voxel_size, ground_height, height or 0.0)))):
+        raise ValueError("a grid needs finite numbers and a positive voxel size")
+
+    def first_above(limit: float) -> int:
+        k = math.floor((limit - origin) / voxel_size)
+        while origin + k * voxel_size > limit:
+            k -= 1
+        while not origin + k * voxel_size > limit:
+            k += 1
+        return k
+
+    return first_above(ground_height), None if height is None else first_above(ground_height + height) - 1
+
+
 def in_grid(i: Column, j: Column, k: Column, shape: tuple[int, int, int]) -> Column:
     """Whether a cell index lies inside a grid of the given shape."""
     nx, ny, nz = shape

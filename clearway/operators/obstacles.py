@@ -73,6 +73,17 @@ def obstacle_centers(
     )
 
 
+def band_voxels(voxels: DataFrame, layers: tuple[int, int | None]) -> DataFrame:
+    """The voxels of some layers, as a plain comparison of the stored index, which reaches the scan.
+
+    For frames of one grid, ``geometry.band_layers`` gives the layers that the height band keeps; what reads obstacles gives the same for
+    these voxels as for all. Frames whose grid or vehicle differ need the widest of their ranges.
+    """
+    low, high = layers
+    kept = voxels.where(F.col("k") >= low)
+    return kept if high is None else kept.where(F.col("k") <= high)
+
+
 def ego_obstacles(voxels: DataFrame, frames: DataFrame, *, policy: str = POLICY_OCCUPIED) -> DataFrame:
     """Obstacle rows in the ego frame: ``fwd`` ahead, ``lat`` to the left, ``solid`` if OCCUPIED."""
     return (

@@ -336,6 +336,9 @@ ORACLES = {
     "obstacle_filter": sql("""
         SELECT scene, t, count_if(solid) AS obstacles_free, count(*) AS obstacles_occupied, sum(k * 0.5::DOUBLE) AS z_sum
         FROM obs GROUP BY scene, t"""),
+    "obstacle_layers": sql("""
+        SELECT scene, t, count_if(solid) AS obstacles_free, count(*) AS obstacles_occupied, sum(k * 0.5::DOUBLE) AS z_sum
+        FROM obs GROUP BY scene, t"""),
     "obstacles_uncapped": sql("""
         SELECT scene, t, count(*) AS above_ground, max(k * 0.5::DOUBLE) AS z_max, count_if(k * 0.5::DOUBLE <= 1.25) AS below_one_metre
         FROM voxels WHERE state = 1 AND k * 0.5::DOUBLE > 0.25 GROUP BY scene, t"""),

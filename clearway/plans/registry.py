@@ -16,7 +16,7 @@ from clearway.operators import evaluation as ev
 from clearway.operators import frame_metrics as fm
 from clearway.operators import clusters, inspection, linking, obstacles, rays, retrieval, temporal
 from clearway.plans import catalogue as cat
-from clearway.plans.derived import GRID_SHAPE, ORIGIN, VOXEL_SIZE, SceneTables
+from clearway.plans.derived import EGO_SIZE, GRID_SHAPE, GROUND_HEIGHT, ORIGIN, VOXEL_SIZE, SceneTables
 from clearway.plans.windows import number_rows
 from clearway.session import materialise, new_shared_path
 from clearway.sources import scene_index, tables
@@ -298,6 +298,19 @@ def obstacle_filter(s: SceneTables) -> DataFrame:
     )
 
 
+@query
+def obstacle_layers(s: SceneTables) -> DataFrame:
+    """The same over voxels written by layer, of which only the layers in the height band are read."""
+    path = new_shared_path(s.spark, "layers")
+    tables.write_voxel_layers(s.voxels(), path)
+    layers = geo.band_layers(ORIGIN[2], VOXEL_SIZE, GROUND_HEIGHT, EGO_SIZE[2])
+    rows = obstacles.obstacle_centers(obstacles.band_voxels(s.spark.read.parquet(path), layers), s.frames)
+    return rows.groupBy("scene", "t").agg(
+        F.count_if(F.col("state") == OCCUPIED).alias("obstacles_free"), F.count("*").alias("obstacles_occupied"),
+        F.sum("z").alias("z_sum"),
+    )
+
+
 @query
 def obstacles_uncapped(s: SceneTables) -> DataFrame:
     """Occupied cells above the ground without an upper limit, and below a fixed height of one metre."""

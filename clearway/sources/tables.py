@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clearway.operators.obstacles import stored_counts
 from clearway.schemas import FRAME_KEY
+from clearway.sources.storage import many_tasks
+
+# Size of the row groups of voxels in layers: below the usual one, so that a file has several.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def write_frame_table(df: DataFrame, table: str, buckets: int) -> None:
@@ -20,6 +24,16 @@ def write_frame_table(df: DataFrame, table: str, buckets: int) -> None:
     df.repartition(buckets, *FRAME_KEY).write.mode("overwrite").bucketBy(buckets, *FRAME_KEY).sortBy(*ordered).saveAsTable(table)
 
 
+def write_voxel_layers(voxels: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+    """Write voxels in files of whole ranges of frames, in each of which rows are ordered by layer.
+
+    Row groups then hold few layers each, and a filter on ``k`` skips those outside by their statistics.
+    """
+    ordered = ["k", *FRAME_KEY, *[c for c in ("i", "j") if c in voxels.columns]]
+    dealt = voxels.repartitionByRange(many_tasks(voxels.sparkSession), *FRAME_KEY).sortWithinPartitions(*ordered)
+    dealt.write.option("parquet.block.size", row_group_bytes).parquet(path)
+
+
 def assemble_frames(frames: DataFrame, voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Frames next to what they hold: occupied, unknown and box counts; frames without children stay."""
     cells = stored_counts(voxels).withColumnsRenamed({"occupied": "n_occupied", "unknown": "n_unknown"})
