@@ -28,9 +28,10 @@ def bit_at(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
-def cell_masks(voxels: DataFrame) -> DataFrame:
+def cell_masks(voxels: DataFrame, attrs: list[str] = []) -> DataFrame:
     """The voxel table as bit masks: per row segment, which cells are ``occupied`` and which ``unknown``.
 
+    ``attrs`` names columns to keep that are constant per frame.
     An OCCUPIED observation wins over an UNKNOWN one, and repeated cells set the same bit, so this also
     removes duplicates. Neighbouring cells merge map-side: far fewer rows are shuffled than cells.
     """
@@ -39,18 +40,18 @@ def cell_masks(voxels: DataFrame) -> DataFrame:
     masks = keyed.groupBy(*SEGMENT_KEY).agg(*[
         F.coalesce(F.bit_or(F.when(F.col("state") == s, bit)), F.lit(0)).alias(n)
         for n, s in (("occupied", OCCUPIED), ("unknown", UNKNOWN))
-    ])
+    ], *[F.max(a).alias(a) for a in attrs])
     return masks.withColumn("unknown", F.col("unknown").bitwiseAND(F.bitwise_not("occupied")))
 
 
-def unique_cells(voxels: DataFrame) -> DataFrame:
-    """One row per cell; an OCCUPIED observation wins over an UNKNOWN one."""
+def unique_cells(voxels: DataFrame, attrs: list[str] = []) -> DataFrame:
+    """One row per cell; an OCCUPIED observation wins over an UNKNOWN one. ``attrs`` names columns to keep that are constant per frame."""
     place = F.col("place")
-    cells = cell_masks(voxels).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_CELLS - 1))))
+    cells = cell_masks(voxels, attrs).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_CELLS - 1))))
     occupied = F.getbit("occupied", place) == 1
     return cells.where(occupied | (F.getbit("unknown", place) == 1)).select(
         "scene", "t", (F.col("segment") * SEGMENT_CELLS + place).alias("i"), "j", "k",
-        F.when(occupied, OCCUPIED).otherwise(UNKNOWN).alias("state"),
+        F.when(occupied, OCCUPIED).otherwise(UNKNOWN).alias("state"), *attrs,
     )
 
 
