@@ -24,14 +24,15 @@ def write_frame_table(df: DataFrame, table: str, buckets: int) -> None:
     df.repartition(buckets, *FRAME_KEY).write.mode("overwrite").bucketBy(buckets, *FRAME_KEY).sortBy(*ordered).saveAsTable(table)
 
 
-def write_voxel_layers(voxels: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+def write_voxel_layers(voxels: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES, dealt: bool = False) -> None:
     """Write voxels in files of whole ranges of frames, in each of which rows are ordered by layer.
 
-    Row groups then hold few layers each, and a filter on ``k`` skips those outside by their statistics.
+    Row groups then hold few layers each, and a filter on ``k`` skips those outside by their statistics. Voxels that are ``dealt`` by
+    frame already are written as they lie, which saves a shuffle of all cells and the sampling of range bounds.
     """
     ordered = ["k", *FRAME_KEY, *[c for c in ("i", "j") if c in voxels.columns]]
-    dealt = voxels.repartitionByRange(many_tasks(voxels.sparkSession), *FRAME_KEY).sortWithinPartitions(*ordered)
-    dealt.write.option("parquet.block.size", row_group_bytes).parquet(path)
+    rows = voxels if dealt else voxels.repartitionByRange(many_tasks(voxels.sparkSession), *FRAME_KEY)
+    rows.sortWithinPartitions(*ordered).write.option("parquet.block.size", row_group_bytes).parquet(path)
 
 
 def assemble_frames(frames: DataFrame, voxels: DataFrame, boxes: DataFrame) -> DataFrame:
