@@ -173,16 +173,20 @@ def _relevant(needs: Needs) -> Column:
     return keep
 
 
-def occupancy_metrics(voxels: DataFrame, frames: DataFrame, needs: Needs) -> DataFrame:
-    """Metrics of the frames that hold at least one relevant obstacle; NULL means "no answer"."""
+def occupancy_metrics(voxels: DataFrame, frames: DataFrame, needs: Needs, variant: list[str] = []) -> DataFrame:
+    """Metrics of the frames that hold at least one relevant obstacle; NULL means "no answer".
+
+    Columns of ``variant`` tell several readings of a frame apart; they come after its key, so voxels dealt by frame stay where they are.
+    """
+    keys = [*FRAME_KEY, *variant]
     obstacles = ego_obstacles(voxels, frames).where(_relevant(needs))
     if needs.gate is not None:
         obstacles = obstacles.where(needs.gate)
     if not needs.width_horizons:
-        return obstacles.groupBy(*FRAME_KEY).agg(*_row_aggregates(needs))
+        return obstacles.groupBy(*keys).agg(*_row_aggregates(needs))
     first = (
         by_station(obstacles, keep_all=len(_row_aggregates(needs)) > 0)
-        .groupBy(*FRAME_KEY, "station")
+        .groupBy(*keys, "station")
         .agg(*_row_aggregates(needs), *_side_aggregates(needs))
     )
     second = []
@@ -197,7 +201,7 @@ def occupancy_metrics(voxels: DataFrame, frames: DataFrame, needs: Needs) -> Dat
             gap = F.col(f"_left_{policy}") + F.col(f"_right_{policy}")
             here = F.col("station").isNotNull() & F.col(f"_reach_{seconds(h)}")
             second.append(F.min(F.when(here, gap)).alias(width_column(h, policy)))
-    return first.groupBy(*FRAME_KEY).agg(*second)
+    return first.groupBy(*keys).agg(*second)
 
 
 def box_metrics(boxes: DataFrame, frames: DataFrame, labels: tuple[str | None, ...]) -> DataFrame:
@@ -216,11 +220,14 @@ def first_frame_width(frames: DataFrame) -> DataFrame:
     return first_frame_value(frames, "width").withColumnRenamed("width", "ego_width")
 
 
-def frame_metrics(frames: DataFrame, voxels: DataFrame | None, boxes: DataFrame | None = None, needs: Needs = ALL_METRICS) -> DataFrame:
-    """One row per frame: speed, width and the requested metrics, inf where there is no answer."""
+def frame_metrics(frames: DataFrame, voxels: DataFrame | None, boxes: DataFrame | None = None, needs: Needs = ALL_METRICS, occupancy: DataFrame | None = None) -> DataFrame:
+    """One row per frame: speed, width and the requested metrics, inf where there is no answer.
+
+    ``occupancy`` hands over the rows of :func:`occupancy_metrics` instead of voxels.
+    """
     out = frames.select(*FRAME_KEY, "speed", "width", "voxel_size")
     if needs.voxel_metrics:
-        out = out.join(occupancy_metrics(voxels, frames, needs), FRAME_KEY, "left")
+        out = out.join(occupancy_metrics(voxels, frames, needs) if occupancy is None else occupancy, FRAME_KEY, "left")
     if needs.labels:
         out = out.join(box_metrics(boxes, frames, needs.labels), FRAME_KEY, "left")
     if needs.ego_width:

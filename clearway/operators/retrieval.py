@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clearway.functions.occupancy import METRIC_POLICIES, POLICY_FREE, POLICY_IGNORED, POLICY_OCCUPIED
-from clearway.operators.frame_metrics import frame_metrics
+from clearway.operators.frame_metrics import frame_metrics, occupancy_metrics
 from clearway.operators.temporal import scope_flags, transition_hits
 from clearway.plans.catalogue import FrameView, Query, needs_of
+from clearway.plans.joins import with_attrs
+from clearway.schemas import FRAME_ATTRS
 
 
 def match_matrix(
@@ -89,12 +91,14 @@ def retrieve_transition(metrics: DataFrame, before: Column, after: Column, withi
 def retrieve_by_variant(frames: DataFrame, voxels: DataFrame, variants: Sequence[str], queries: Sequence[Query]) -> DataFrame:
     """Retrieval on several readings of the same volumes (for example one per visibility mask).
 
-    ``voxels`` has a column ``variant``. The variant becomes part of the scene key, so all readings share
-    one scan and one pass. Returns (variant, query_id, policy, scene).
+    ``voxels`` has a column ``variant``. The variant becomes part of the scene key once voxels are metrics, so all readings share
+    one scan and one pass, and what is shuffled under the new key is a few numbers per frame. Returns (variant, query_id, policy, scene).
     """
     keyed = F.struct("variant", "scene")
     every = F.explode(F.array(*[F.lit(v) for v in variants]))
+    needs = needs_of(queries)
+    occupancy = occupancy_metrics(with_attrs(voxels, frames, FRAME_ATTRS), frames, needs, ["variant"])
     frames = frames.withColumn("variant", every).withColumn("scene", keyed).drop("variant")
-    voxels = voxels.withColumn("scene", keyed).drop("variant")
-    found = retrieve(frame_metrics(frames, voxels, None, needs_of(queries)), queries)
+    occupancy = occupancy.withColumn("scene", keyed).drop("variant")
+    found = retrieve(frame_metrics(frames, None, None, needs, occupancy), queries)
     return found.select("scene.variant", "query_id", "policy", "scene.scene")
