@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from clearway.functions.occupancy import FREE, OCCUPIED, UNKNOWN
-from clearway.operators.obstacles import SEGMENT_BITS, SEGMENT_CELLS, SEGMENT_KEY, cell_masks
+from clearway.operators.clusters import frame_numbers
+from clearway.operators.obstacles import SEGMENT_BITS, SEGMENT_CELLS, cell_masks
 from clearway.schemas import FRAME_KEY
+from clearway.sources.storage import many_tasks
 
 RAY_KEY = ["ray_id", *FRAME_KEY]
 # Rays stepped together; bounds the memory of one output batch.
@@ -70,6 +72,15 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _emit(part, who, {"pos": pos, "i": cells[:, 0], "j": cells[:, 1], "k": cells[:, 2]})
 
 
+def _path_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, who, _, cells in _stepped(batches):
+        # Positions rise already, so a stable order by ray keeps them.
+        cells = cells[np.argsort(who, kind="stable")]
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(who, minlength=part.num_rows))].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(cells[:, n]))) for n in range(3)]
+        yield pa.RecordBatch.from_arrays([*[part[c] for c in RAY_KEY], *lists], names=[*RAY_KEY, "i", "j", "k"])
+
+
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, who, pos, cells in _stepped(batches):
         order = np.lexsort((pos, who))
@@ -94,23 +105,78 @@ def ray_cells(rays: DataFrame) -> DataFrame:
     return _mapped(rays, _cell_rows, "pos INT, i INT, j INT, k INT")
 
 
+def ray_paths(rays: DataFrame) -> DataFrame:
+    """The same cells as one row per ray: arrays ``i``, ``j`` and ``k`` in order, empty between neighbours.
+
+    A path is never longer than the grid is wide in all, and what is computed per ray needs no grouping of its cells.
+    """
+    return _mapped(rays, _path_rows, "i ARRAY<INT>, j ARRAY<INT>, k ARRAY<INT>")
+
+
 def ray_segments(rays: DataFrame) -> DataFrame:
     """The cells between source and target as bit masks (``path``) over the segments of ``cell_masks``."""
     return _mapped(rays, _segment_rows, "j INT, k INT, segment INT, path BIGINT")
 
 
-def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED) -> DataFrame:
+# Columns of a cell mask besides those that rays have too.
+MASK = ("j", "k", "segment", "occupied", "unknown")
+
+
+def _hits(masks: pa.Table, frame: np.ndarray, ray_frame: np.ndarray, who: np.ndarray, cells: np.ndarray) -> list[np.ndarray]:
+    """Per ray, how many of its cells are OCCUPIED and UNKNOWN in the masks of its frame, for the cells of rays ``who``."""
+    i, places = cells[:, 0], []
+    own = [frame, *[masks[f"_{c}"].to_numpy() for c in MASK[:3]]]
+    # Coordinates by their rank among those of the masks, so that four of them are one number; a cell at none of them is free.
+    code, wanted, known = np.zeros(len(frame), np.int64), np.zeros(len(who), np.int64), np.ones(len(who), bool)
+    for have, want in zip(own, (ray_frame[who], cells[:, 1], cells[:, 2], i >> SEGMENT_BITS)):
+        values = np.unique(have)
+        at = np.minimum(np.searchsorted(values, want), len(values) - 1)
+        known &= values[at] == want
+        code, wanted = code * len(values) + np.searchsorted(values, have), wanted * len(values) + at
+    order = np.argsort(code)
+    at = np.minimum(np.searchsorted(code, wanted, sorter=order), len(code) - 1)
+    at = order[at]
+    known &= code[at] == wanted
+    who, at, place = who[known], at[known], (i[known] & (SEGMENT_CELLS - 1)).astype(np.int64)
+    for c in MASK[3:]:
+        hit = who[(masks[f"_{c}"].to_numpy()[at] >> place) & 1 == 1]
+        places.append(np.bincount(hit, minlength=len(ray_frame)).astype(np.int64))
+    return places
+
+
+def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, tasks: int | None = None) -> DataFrame:
     """Per ray: OCCUPIED cells in between (``depth``), UNKNOWN ones, and visibility under both rules.
 
-    Paths and voxels meet as bit masks, one voxel row per key, so copies of a voxel cannot multiply rows.
-    Voxels of frames without rays find no partner in that join; they are merged map-side before it.
+    Rays and voxels, as bit masks without copies, are dealt by frame into ``tasks`` parts and sorted, the masks of a frame before its rays. Rays are
+    stepped and looked up in the masks where they are, so cells are never rows. A task holds a batch and the masks of one frame.
     """
-    met = ray_segments(rays).join(cell_masks(voxels), SEGMENT_KEY)
-    hits = met.groupBy("ray_id").agg(
-        F.sum(F.bit_count(F.col("path").bitwiseAND(F.col("occupied")))).alias("depth"),
-        F.sum(F.bit_count(F.col("path").bitwiseAND(F.col("unknown")))).alias("unknown_cells"),
-    )
-    out = rays.join(hits, "ray_id", "left").fillna(0, ["depth", "unknown_cells"])
+    types = dict(rays.dtypes)
+    masks = cell_masks(voxels).dropna(subset=FRAME_KEY).select(*[F.col(c).cast(types[c]) for c in FRAME_KEY], *[F.col(c).alias(f"_{c}") for c in MASK])
+    both = rays.withColumn("_ray", F.lit(True)).unionByName(masks.withColumn("_ray", F.lit(False)), allowMissingColumns=True)
+    dealt = both.repartition(tasks or many_tasks(rays.sparkSession), *FRAME_KEY).sortWithinPartitions(*FRAME_KEY, "_ray")
+    columns = rays.columns
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            frame, is_ray = frame_numbers(rows), rows["_ray"].to_numpy()
+            masks, seen = rows.filter(pa.array(~is_ray)).combine_chunks(), rows.filter(pa.array(is_ray)).combine_chunks()
+            mask_frame, ray_frame = frame[~is_ray], frame[is_ray]
+            start = 0
+            for part, who, _, cells in _stepped(seen.to_batches()):
+                here = ray_frame[start: start + part.num_rows]
+                start += part.num_rows
+                found = _hits(masks, mask_frame, here, who, cells) if len(mask_frame) else [np.zeros(part.num_rows, np.int64)] * 2
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in columns], *map(pa.array, found)], names=[*columns, "depth", "unknown_cells"])
+            # Rays of the last frame may follow in the next batch.
+            rest = masks.filter(pa.array(mask_frame == frame[-1]))
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "depth long", "unknown_cells long"])
+    out = dealt.mapInArrow(meet, schema)
     steps = F.abs(F.col("di") - F.col("si")) + F.abs(F.col("dj") - F.col("sj")) + F.abs(F.col("dk") - F.col("sk"))
     free = F.greatest(steps - 1, F.lit(0)) - F.col("depth") - F.col("unknown_cells")
     blocking = {OCCUPIED: F.col("depth"), UNKNOWN: F.col("unknown_cells"), FREE: free}.get(occupied_value, F.lit(0))
@@ -119,7 +185,7 @@ def occlusion(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUP
     )
 
 
-def line_of_sight(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, unknown_blocks: bool = False) -> DataFrame:
+def line_of_sight(rays: DataFrame, voxels: DataFrame, *, occupied_value: int = OCCUPIED, unknown_blocks: bool = False, tasks: int | None = None) -> DataFrame:
     """The rays that meet no blocking cell."""
-    seen = occlusion(rays, voxels, occupied_value=occupied_value)
+    seen = occlusion(rays, voxels, occupied_value=occupied_value, tasks=tasks)
     return seen.where("visible_unknown_blocks" if unknown_blocks else "visible").select(*rays.columns)
