@@ -40,7 +40,7 @@ _SHIFTS = _STATE.randint(1 << 62, size=BANDS * ROWS, dtype=np.int64).astype(np.u
 
 LONG = pa.int64()
 SKETCH = pa.schema([("id", LONG), ("h", LONG), ("node", LONG), ("print", LONG), ("bands", pa.list_(LONG))])
-SETS = pa.schema([("node", LONG), ("shingles", pa.binary())])
+SETS = pa.schema([("component", LONG), ("node", LONG), ("print", LONG), ("shingles", pa.binary())])
 LINKS = pa.schema([("a", LONG), ("b", LONG)])
 
 
@@ -222,11 +222,13 @@ def _linking(links):
     return run
 
 
-def confirmed_groups(links: DataFrame, sets: DataFrame, radius: int, similarity: float, texts: int) -> DataFrame:
-    """(node, component) over all pairs of ``sets`` (node, print, shingles) in one component of ``links`` that are near and similar enough."""
-    named = cut(components(links, cut))
+def confirmed_groups(links: DataFrame, named: DataFrame, sets: DataFrame, radius: int, similarity: float, texts: int) -> DataFrame:
+    """(node, component) over all pairs of ``sets`` (component, node, print, shingles) in one component of ``links`` that are near and similar enough.
+
+    ``named`` are the components (node, component) of the links. A node may have several equal rows.
+    """
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count().join(named, "node")
-    members = sets.join(named, "node").select("component", F.struct("node", "print", "shingles").alias("r"))
+    members = sets.select("component", F.struct("node", "print", "shingles").alias("r"))
     # As many parts of a component as its texts need; the text with most links is in all of them.
     sizes = members.groupBy("component").agg(
         F.ceil(F.greatest(F.count("*") / texts, F.sum(F.length("r.shingles")) / GROUP_BYTES)).cast("int").alias("cuts"))
@@ -264,14 +266,21 @@ def confirmed_groups(links: DataFrame, sets: DataFrame, radius: int, similarity:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """Of rows (node, text): the node and its sorted distinct shingles."""
+    """Of rows (component, node, print, text): the sorted distinct shingles of each node, once per task whatever the rows of a node in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                new = []
+                for n, node in enumerate(part["node"].to_pylist()):
+                    if node not in done:
+                        done.add(node)
+                        new.append(n)
+                part = part.take(pa.array(new, LONG))
                 sets = [np.unique(shingle_hashes(t)[0]).tobytes() for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["node"], pa.array(sets, pa.binary())], schema=SETS)
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in ("component", "node", "print")], pa.array(sets, pa.binary())], schema=SETS)
 
     return rows.mapInArrow(run, spark_schema(SETS))
 
@@ -287,13 +296,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("first")
     nodes = cut(found.groupBy("node").agg(first, F.first("print").alias("print"), F.first("bands").alias("bands")))
     links = cut(candidate_links(tiles_of(nodes, tile), radius))
-    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # Only texts with links are read again; of a node's texts one, by its id and hash.
-    wanted = cut(linked.join(nodes.select("node", F.col("first.id").alias("id2"), F.col("first.h").alias("h2")), "node"))
+    named = cut(components(links, cut))
+    # Only texts with links are read again; of a node's texts one, by its id and hash. What a set needs later comes along, and rows of one id and
+    # text are in one task after the join but for skew, so sets of shingles are shuffled once, by component.
+    wanted = cut(named.join(nodes.select("node", "print", F.col("first.id").alias("id2"), F.col("first.h").alias("h2")), "node"))
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
-    sets = shingle_sets(texts.select("node", "text")).dropDuplicates(["node"]).join(nodes.select("node", "print"), "node")
-    named = confirmed_groups(links, cut(sets), radius, similarity, min(tile, GROUP_TEXTS))
-    grouped = nodes.select("node", "first").join(named, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    sets = cut(shingle_sets(texts.select("component", "node", "print", "text")))
+    confirmed = confirmed_groups(links, named, sets, radius, similarity, min(tile, GROUP_TEXTS))
+    grouped = nodes.select("node", "first").join(confirmed, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     best = grouped.groupBy("component").agg(F.min("first").alias("best"))
     by_row = found.groupBy("node", "id", "h").agg(F.count("*").alias("rows"))
     out = by_row.join(grouped.select("node", "component"), "node").join(best, "component")

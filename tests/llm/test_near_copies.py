@@ -154,3 +154,17 @@ def test_every_near_copy_of_the_table_is_found(spark):
     assert close and all(component[i] == component[j] for i, j in close)
     wanted = lowest_reachable(sets, close)
     assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == {i for i, low in wanted.items() if i == low}
+
+
+def test_sets_of_shingles_are_made_once_per_task(spark):
+    """Rows of one text in a task give one set, with all that is needed after it."""
+    rows = spark.createDataFrame([(7, n % 2, 3, f"a b c d e f {n % 2}") for n in range(40)], "component long, node long, print long, text string").coalesce(1)
+    got = near_copies.shingle_sets(rows)
+    assert got.columns == ["component", "node", "print", "shingles"] and sorted(r.node for r in got.collect()) == [0, 1]
+
+
+def test_rows_repeated_with_id_and_text(spark):
+    """A group in which one text is repeated with its id many times, over several files, keeps one row."""
+    near = " ".join(f"w{n}" for n in range(60))
+    df = spark.createDataFrame([(1, near)] * 300 + [(2, near + " end")] * 300 + [(3, "quite another text with its own words")], "doc_id long, text string").repartition(6)
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == [1, 3]
