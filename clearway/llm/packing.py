@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from clearway.llm.common import cut, id_and_text, per_process, record_batch
 
 # Pieces packed together; bounds the memory and time of one task.
 GROUP_PIECES = 8192
-# Words and word parts whose ids a worker remembers; when full, the memory starts anew.
+# Words and word parts whose ids a worker remembers; when full, those not asked for lately go.
 REMEMBERED = 400_000
 
 # Words of these characters are their own normal form apart from their case, and hold no white space.
@@ -33,13 +34,41 @@ _PLAIN = re.compile("[!-~¡-ÿ]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 # Fixed value: the word pattern of the tokenizer file.
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same pattern for lower-case texts of such words, with the letters, numbers and spaces that they can have. Only parts that begin
+# with an apostrophe can begin alike, and those keep their order.
+_SPACES, _LETTERS, _NUMBERS = " \t\n\r\x0b\x0c", "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_PLAIN_TEXT = re.compile(f"[!-~¡-ÿ{_SPACES}]*")
+_plain_parts = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+").findall
+
+
+class Remembered(dict):
+    """What ``learn`` gave for each short key. When half of ``REMEMBERED`` is full, it becomes the older half and the one before goes; keys asked for
+    again come back, so frequent words are never learned anew.
+    """
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.learn(key)
+        if len(key) <= 64:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
 
 
 class WordEncoder:
     """Token ids of whole texts by a tokenizer whose tokens never span white space.
 
-    Texts repeat their words, so ids are looked up per word. A new word of plain characters is cut into the
-    tokenizer's word parts and only those unknown are sent to its model; any other word is encoded by the tokenizer.
+    Texts repeat their words, so ids are looked up. A text of plain characters alone is cut into the tokenizer's word parts, of which there are
+    fewer than words with their cases and signs, and only unknown parts are sent to its model. Other texts are cut at white space: a new word of
+    plain characters goes by its parts, any other is encoded by the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -49,8 +78,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.parts_of = regex.compile(_PARTS).findall
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = Remembered(self._learn)
+        self.parts = Remembered(self._learn_part)
         # How byte-level tokenizers write bytes as characters.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in shown]
@@ -58,32 +87,24 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if "<|" not in text and _PLAIN_TEXT.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, _plain_parts(text.lower())))
         words = re.split("[ \t\n\r\x0b\x0c]+", text) if _ODD_SPACE.search(text) else text.split()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known[w] if w in known else self._learn(w) for w in words])
+        return b"".join(map(self.words.__getitem__, words))
 
     def _learn(self, word: str) -> bytes:
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
         if _PLAIN.fullmatch(word) and "<|" not in word:
-            ids = b"".join([self.parts[p] if p in self.parts else self._learn_part(p) for p in self.parts_of(word.lower())])
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self.words[word] = ids
-        return ids
+            return b"".join([self.parts[p] for p in self.parts_of(word.lower())])
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _learn_part(self, part: str) -> bytes:
-        if len(self.parts) >= REMEMBERED:
-            self.parts.clear()
-        spelled = part.encode().decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-        if len(part) <= 64:
-            self.parts[part] = ids
-        return ids
+        # Printable ASCII is spelled as it is.
+        spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.model.tokenize(spelled)])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 PIECES = pa.schema([

@@ -30,6 +30,52 @@ def test_ids_of_any_text(text):
     assert ids(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aAzZ019'.,<|>&~\x01\x7f "), max_size=12))
+def test_ids_of_short_words(text):
+    assert ids(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("'stremvld !.\n\x0b"), st.characters(max_codepoint=255)), max_size=40))
+def test_ids_of_latin_texts(text):
+    assert ids(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("more", ["", " 日本"])
+def test_frequent_words_are_learned_once(monkeypatch, more):
+    """Also when new words fill the memory again and again; ids stay right and the memory bounded."""
+    monkeypatch.setattr(packing, "REMEMBERED", 30)
+    learned = []
+
+    class Counting(packing.WordEncoder):
+        def _learn(self, word):
+            learned.append(word)
+            return super()._learn(word)
+
+        def _learn_part(self, part):
+            learned.append(part)
+            return super()._learn_part(part)
+
+    encoder = Counting(VOCABULARY)
+    letters = "abcdefghij"
+    for n in range(100):
+        new = letters[n // 10] + letters[n % 10]
+        text = f"Often x{new} y{new}, often. z{new}{more}"
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+        for known in (encoder.words, encoder.parts):
+            assert len(known) + len(known.older) <= 30
+    assert learned.count("often") == 1 and learned.count("Often") == bool(more)
+
+
+def test_cases_and_signs_of_a_word_share_its_part():
+    """A text of plain characters asks the model once per part, and remembers no words."""
+    encoder = packing.WordEncoder(VOCABULARY)
+    text = "Tree tree, TREE! (tree) tree. Größe GRÖSSE größe; it's"
+    assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert not encoder.words and set(encoder.parts) == {"tree", ",", "!", "(", ")", ".", "größe", "grösse", ";", "it", "'s"}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 32), max_size=80))
 def test_best_two_fit_places_everything(lengths):
