@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clearway.functions.numbers import or_false
@@ -47,7 +51,7 @@ def stamp_ordered_scenes(poses: DataFrame) -> DataFrame:
     )
 
 
-# Frames that the short list may have; it is ranked by doubling.
+# Frames of a scene that one task may hold, and that the short list may have, which is ranked by doubling.
 SHORT_LIST = 100_000
 
 
@@ -55,8 +59,79 @@ def chain_order(poses: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
     """Exact link order: chains followed from the head of each scene.
 
     Tokens off the chain are not returned. A cycle ends the chain at its first repeated token, a link to
-    a missing token or an end mark ends it there. Scenes without a head keep file order. Scenes in which several frames link to
-    one token, which no whole recording has, are ranked by :func:`doubled_ranks`, all others by :func:`contracted_ranks`.
+    a missing token or an end mark ends it there. Scenes without a head keep file order. Scenes of up to ``short_list`` frames are
+    walked by :func:`walked_order`; of larger ones no task holds the whole, see :func:`split_order`.
+    """
+    if largest_group(poses, ["scene"]) <= short_list:
+        return walked_order(poses)
+    # Scenes without a name are no scene to join on; they keep file order.
+    large = poses.groupBy("scene").count().where((F.col("count") > short_list) & F.col("scene").isNotNull()).select("scene")
+    small = poses.where(F.col("scene").isNotNull()).join(large, "scene", "left_anti")
+    unnamed = number_rows(poses.where(F.col("scene").isNull()), ["scene"], file_order(poses))
+    return walked_order(small).unionByName(split_order(poses.join(large, "scene", "left_semi"), short_list)).unionByName(unnamed)
+
+
+def walk(tokens: list[str | None], prevs: list[str | None], nexts: list[str | None]) -> list[int | None]:
+    """The place of each frame of one scene, given in file order; None off the chain."""
+    ends = (None, *END_MARKS)
+    head = next((token for token, prev in zip(tokens, prevs) if prev in ends), None)
+    if not head:
+        return list(range(len(tokens)))
+    # Of several rows with one token the largest link counts.
+    onward: dict[str, str | None] = {}
+    for token, link in zip(tokens, nexts):
+        link, known = None if link in ends else link, onward.get(token)
+        onward[token] = link if known is None or (link is not None and link > known) else known
+    place: dict[str, int] = {}
+    at: str | None = head
+    while at is not None and at in onward and at not in place:
+        place[at] = len(place)
+        at = onward[at]
+    return [place.get(token) for token in tokens]
+
+
+def walked_order(poses: DataFrame) -> DataFrame:
+    """Link order of scenes of which each fits one task: dealt by scene in one shuffle, and every chain walked where it lies."""
+    columns = poses.columns
+    dealt = poses.repartition("scene").sortWithinPartitions("scene", *file_order(poses))
+
+    def ordered(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of whole scenes, one after the other."""
+        rows = pa.Table.from_batches(parts)
+        scenes, tokens, prevs, nexts = (rows[c].to_pylist() for c in ("scene", "token", "prev", "next"))
+        places: list[int | None] = []
+        for scene, size in ((s, sum(1 for _ in same)) for s, same in groupby(scenes)):
+            part = slice(len(places), len(places) + size)
+            # A scene without a name is none to follow links in.
+            places += range(size) if scene is None else walk(tokens[part], prevs[part], nexts[part])
+        out = rows.select(columns).append_column("t", pa.array(places, pa.int32()))
+        yield from out.filter(out["t"].is_valid()).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: object = None
+        for batch in batches:
+            scenes = batch["scene"].to_pylist()
+            starts = [n for n in range(len(scenes)) if scenes[n] != (scenes[n - 1] if n else last) or not (n or held)]
+            if not scenes:
+                continue
+            last = scenes[-1]
+            # Everything before the last scene that starts here is whole.
+            if starts and (held or starts[-1]):
+                yield from ordered([*held, batch.slice(0, starts[-1])])
+                held = []
+            held.append(batch.slice(starts[-1]) if starts else batch)
+        if held:
+            yield from ordered(held)
+
+    return dealt.mapInArrow(run, poses.select("*", F.lit(0).alias("t")).schema)
+
+
+def split_order(poses: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
+    """Link order of scenes of any size, by equi-joins on (scene, token).
+
+    Scenes in which several frames link to one token, which no whole recording has, are ranked by :func:`doubled_ranks`, all others by
+    :func:`contracted_ranks`.
     """
     heads = scene_heads(poses)
     nodes = materialise(link_nodes(poses, heads))

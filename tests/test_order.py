@@ -147,6 +147,44 @@ def test_contraction_moves_fewer_rows(spark):
     assert 0 < rows["contraction"] < 0.5 * rows["doubling"], rows
 
 
+def test_small_scenes_are_walked_in_one_shuffle(spark):
+    """However many there are: together they are more than one task may hold of a scene."""
+    scenes, frames = 600, 50
+    chains = backwards(spark, frames).drop("scene").crossJoin(spark.range(scenes).select(F.col("id").cast("string").alias("scene")))
+    chains = linking.materialise(chains.select("scene", "token", "pos", "prev", "next", "ts_us", "tx", "ty"))
+
+    def run():
+        got = linking.chain_order(chains, 1000)
+        assert got.where(F.col("t") != frames - 1 - F.col("pos")).isEmpty() and got.count() == scenes * frames
+
+    rows = shuffled_rows(spark, "small scenes", run)
+    # Once for each of both actions, and counts of scenes.
+    assert scenes * frames < rows < 2.5 * scenes * frames, rows
+
+
+def test_walked_and_split_scenes_agree(spark):
+    """Also for equal tokens, missing names and batches that end inside a scene."""
+    rng = random.Random(3)
+    rows = []
+    for n in range(40):
+        scene = None if n == 7 else f"s{n}"
+        tokens = [rng.choice([None, "", *"abcdefgh"]) if rng.random() < 0.3 else f"k{x}" for x in range(rng.randrange(1, 30))]
+        for pos, token in enumerate(tokens):
+            near = [tokens[pos + 1] if pos + 1 < len(tokens) else "EOF", rng.choice([*tokens, "gone", "", None])]
+            rows.append((scene, token, pos, None if pos == 0 and n % 5 else rng.choice(["x", "x", "x", ""]), near[rng.random() < 0.1], pos, 0.0, 0.0))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, schemas.POSES)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(linking.chain_order(df, 0).collect(), key=str)
+    try:
+        for size in (1, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for limit in (12, 1000):
+                assert sorted(linking.chain_order(df, limit).select(*want[0].__fields__).collect(), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_number_rows_splits_a_huge_group(spark):
     """The range-partitioned way must equal row_number, with one key holding a third of all rows."""
     rows = spark.range(6000).select(
