@@ -15,6 +15,18 @@ from pyspark.sql.types import StructType
 from clearway.session import new_shared_path, materialise as cut  # noqa: F401 - a reliable checkpoint, used by every iterative operator
 
 
+# Bytes of the rows that go to a Python worker at once. Spark's own bound of 64 MB is held several times over by each running task: as rows, as buffers that
+# double while they grow, and as the worker's copy.
+BATCH_BYTES = 4 << 20
+_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session end after ``BATCH_BYTES``, whatever the size of a row; a smaller bound that was set stays."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES_PER_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BYTES_PER_BATCH, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

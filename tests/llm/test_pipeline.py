@@ -1,5 +1,9 @@
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from clearway.llm import near_copies, packing, quality, secret_scan, toxicity
+from clearway.llm.common import BATCH_BYTES
 from clearway.llm.queries import QUALITY_THRESHOLD, TOXIC_THRESHOLD, fold, tokenizer_path
 
 FOLDER = "/root/testdata/sf0.01"
@@ -50,3 +54,26 @@ def test_run_is_the_stages_in_order(spark):
     got = corpus_pipeline.run(spark, folder)
     key = lambda r: (r.doc_id, r.piece, r.ids_crc32)
     assert sorted(map(key, got.collect())) == sorted(map(key, docs.collect()))
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    """What a task holds of long texts or large tiles is bounded by bytes, not by 10 000 rows; a smaller bound of the user stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long_texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    spark.conf.unset(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES[3:]:
+            spark.conf.unset(key)
+            stage(spark, long_texts.limit(1), FOLDER)
+            most = max(r.bytes for r in long_texts.mapInArrow(sizes, "bytes long").collect())
+            assert BATCH_BYTES // 2 < most <= 2 * BATCH_BYTES
+        spark.conf.set(key, "1m")
+        corpus_pipeline.mask_secrets(spark, long_texts, FOLDER)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
