@@ -107,10 +107,10 @@ def pillars(voxels: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-def pillar_voxels(voxels: DataFrame, frames: DataFrame) -> DataFrame:
-    """The voxel table reduced to one in-band voxel per pillar, usable wherever voxels are."""
+def pillar_voxels(voxels: DataFrame, frames: DataFrame, attrs: list[str] = []) -> DataFrame:
+    """The voxel table reduced to one in-band voxel per pillar, usable wherever voxels are. ``attrs`` names columns to keep that are constant per frame."""
     return obstacle_centers(voxels, frames).groupBy(*FRAME_KEY, "i", "j").agg(
-        F.min("k").alias("k"), F.max("state").alias("state")
+        F.min("k").alias("k"), F.max("state").alias("state"), *[F.max(a).alias(a) for a in attrs]
     )
 
 
