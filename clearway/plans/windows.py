@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from clearway.session import materialise
+from clearway.session import materialise, written
 
 # Rows of one group that a single task may sort.
 GROUP_ROWS = 1_000_000
@@ -45,6 +50,50 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str | Column], name:
     )
 
 
+def numbered_in_order(df: DataFrame, order: Sequence[str | Column], places: dict[str, str | None], keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` and, for each name of ``places``, the 0-based position of a row in ``order`` among the rows that are equal in a class column, or all (None).
+
+    Rows are shuffled once, by range of the order, for all positions. They are counted where they lie, by class, and written
+    without the columns that only order them; each part is shifted by the counts of the parts before it. The order must be total. Classes are few: their counts
+    in each part are broadcast.
+    """
+    classes = [c for c in dict.fromkeys(places.values()) if c is not None]
+    columns = list(dict.fromkeys([*keep, *classes]))
+    types = dict(df.dtypes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        by_class: dict[str, dict] = {c: {} for c in classes}
+        for batch in batches:
+            n = batch.num_rows
+            found: dict[str | None, np.ndarray] = {None: np.arange(before, before + n)}
+            before += n
+            for c, so_far in by_class.items():
+                coded = batch[c].dictionary_encode(null_encoding="encode")
+                code, values = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                sizes = np.bincount(code, minlength=len(values))
+                at = np.empty(n, np.int64)
+                at[np.argsort(code, kind="stable")] = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                found[c] = at + np.array([so_far.get(v, 0) for v in values], np.int64)[code] if n else at
+                so_far.update({v: so_far.get(v, 0) + int(size) for v, size in zip(values, sizes)})
+            local = [pa.array(found[c], pa.int64()) for c in places.values()]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns], pa.array(np.full(n, part, np.int32)), *local], names=[*columns, "_part", *places])
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "_part int", *(f"`{p}` long" for p in places)])
+    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(count, schema), "numbered")
+    out = parts
+    for place, c in places.items():
+        keys = [c] if c is not None else []
+        earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = parts.groupBy(*keys, "_part").count()
+        shift = sizes.select(*[F.col(k).alias("_class") for k in keys], F.col("_part").alias("_of"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift"))
+        same = F.col("_part") == F.col("_of")
+        if keys:
+            same &= F.col(c).eqNullSafe(F.col("_class"))
+        out = out.join(F.broadcast(shift), same).withColumn(place, F.col(place) + F.col("_shift")).drop("_of", "_class", "_shift")
+    return out.select(*dict.fromkeys([*columns, *places]))
+
+
 def running_totals(df: DataFrame, keys: list[str], order: list[str | Column], sums: list[str]) -> DataFrame:
     """Add ``before_<c>`` and ``all_<c>``, the sum of column c over the rows earlier in their group and over all of them, for each c of ``sums``.
 

@@ -100,3 +100,41 @@ def test_running_totals_split_a_group_over_parts(spark, keys):
     for r in got:
         mine = [(n, x) for g, n, x in rows if not keys or g == r.g]
         assert r.before_x == sum(x for n, x in mine if n < r.n) and r.all_x == sum(x for _, x in mine)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_permuted_in_classes(spark, batch):
+    """Over several parts and batches, for several dealings at once, against lists; a missing class deals with nothing."""
+    rng = random.Random(4)
+    rows = [(n * 7 % 1009, rng.choice("abc"), n * 10, rng.choice([1, 1, 1, 2, 5, None])) for n in range(600)]
+    df = spark.createDataFrame(rows, "id long, kept string, value long, kind int").repartition(6)
+    mixed = F.col("id") * 7919 % 1009
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ev.permuted_in_classes(df, "id", "value", mixed, {"all": None, "own": F.col("kind"), "other": F.col("id") % 2}, ["id", "kept"])
+        got = {name: sorted(map(tuple, d.collect())) for name, d in got.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    def dealt(members):
+        plain, other = sorted(members), sorted(members, key=lambda r: (r[0] * 7919 % 1009, r[0]))
+        return [(p[0], p[1], o[2]) for p, o in zip(plain, other)]
+
+    assert got["all"] == sorted(dealt(rows))
+    assert got["own"] == sorted(x for k in (1, 2, 5) for x in dealt([r for r in rows if r[3] == k]))
+    assert got["other"] == sorted(x for k in (0, 1) for x in dealt([r for r in rows if r[0] % 2 == k]))
+
+
+def test_ranked_rays_are_never_checkpointed(spark, monkeypatch):
+    """Checkpoints hold whole rows without compression; only counts by value may go into one."""
+    from __spark_entry__ import queries
+
+    sizes = []
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "checkpoint", lambda self, eager=True, f=kind.checkpoint: sizes.append(self.count()) or f(self, eager))
+    out = {r["score"]: r for r in queries()["occlusion_ranking"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(out) == 4
+    assert max(sizes) <= sum(r["distinct_values"] for r in out.values()) < out["depth"]["rows"] / 4
